@@ -151,3 +151,14 @@ def byte_class(*, without: bytes) -> np.ndarray:
 NOT_WHITE = byte_class(without=WHITE.encode())
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+
+
+def in_fold(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id, as text, leaves `fold` modulo `folds`; false for a null id."""
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def bounded_ids(ids: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """At most `rows` distinct ids, those of the smallest hashes: a repeatable sample of proven size."""
+    named = ids.filter(F.col(f"`{id_col}`").isNotNull())
+    return named.orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`")).limit(rows)
