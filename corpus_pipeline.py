@@ -1,11 +1,64 @@
-"""The corpus pipeline: whole documents in, token digests of the kept ones out."""
+"""The corpus pipeline: documents that pass the quality classifier lose lines that many share, one document of each
+near-duplicate group stays, contaminated documents go, and what is kept is encoded."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalspark.llm import quality_classifier
+from signalspark.llm.bpe import token_digests
+from signalspark.llm.common import in_fold
+from signalspark.llm.decontaminate import drop_contaminated
+from signalspark.llm.line_dedup import drop_common_lines
+from signalspark.llm.queries import tokenizer_files
+from signalspark.llm.simhash import keep_one
+from signalspark.session import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more; the model learns from the labels outside the held-out fold."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), learn_from=~in_fold("doc_id", 3, 1))
+    scored = quality_classifier.scored(docs, model)
+    return scored.filter("predicted = 1").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that ten or more documents share; n_chars follows the text."""
+    kept = drop_common_lines(docs, min_docs=10, min_chars=1).select(docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return keep_one(docs, shingle_words=3, max_bits=2)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold benchmark passages in a twentieth of their words or more."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=13, hits_per_100=5)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token count and digests of every document that is left."""
+    vocabulary, pattern = tokenizer_files()
+    return token_digests(docs.select("doc_id", "text"), vocabulary=vocabulary, pattern=pattern).drop("text")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", encoding),
+]
+
+#: A learned score, XXH64 fingerprints and BPE merges have no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
