@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import cache
 from hashlib import sha256
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, struct, utf8
+from .common import slices, struct, utf8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,7 +32,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes in, token ids out; transitions are worked out when first taken. At most `max_states` are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_memo: int = 500_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
@@ -44,8 +45,10 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.max_states, self.max_memo = max_states, max_memo
         self._reset()
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[str, bytes]] = {}
+        #: Encodings met lately, as int32 bytes; what is used moves from the old half to the young one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.written = [str(i) for i in range(max(ranks.values(), default=0) + 1)]
 
     def _child(self, node: int, byte: int) -> int:
         found = self.children[node].get(byte)
@@ -59,7 +62,9 @@ class Transducer:
         start = ((0, -1, ()),)
         self.states = {start: 0}
         self.sets = [start]
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: state << 8 | byte to the next state << 1 | whether tokens are emitted on the way; those tokens.
+        self.next: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
 
     def _edges_of(self, token: int) -> tuple[list, list] | None:
         """The parts at the token's left and right edge while it is merged alone, each with the rank that ends it.
@@ -93,7 +98,7 @@ class Transducer:
         if known is None:
             one, other = self._edges_of(left), self._edges_of(right)
             known = one is not None and other is not None and self._apart(one[1], other[0])
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             self.fits[left, right] = known
         return known
@@ -113,7 +118,18 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _ends_at(self, state: int, byte: int) -> tuple[int, ...]:
+        """What is still to be emitted if the text ends with this byte: one place of the state ends in a token there."""
+        children, token_at = self.children, self.token_at
+        for node, last, pending in self.sets[state]:
+            node = children[node].get(byte)
+            if node is not None:
+                token = token_at[node]
+                if token >= 0 and (self._edges_of(token) is not None if last < 0 else self._may_follow(last, token)):
+                    return (*pending, token)
+        raise AssertionError("every text has an encoding")
+
+    def _step(self, state: int, byte: int) -> int:
         children, token_at, whole = self.children, self.token_at, None
         places = []
         for node, last, pending in self.sets[state]:
@@ -128,6 +144,8 @@ class Transducer:
         places.append(whole)
         emitted = places[0][2]
         for _, _, pending in places:
+            if not emitted:
+                break
             n = 0
             for x, y in zip(emitted, pending):
                 if x != y:
@@ -140,9 +158,11 @@ class Transducer:
         if number is None:
             number = self.states[key] = len(self.sets)
             self.sets.append(key)
-            self.next.append({})
-        self.next[state][byte] = number, emitted
-        return number, emitted
+        at = state << 8 | byte
+        if n:
+            self.emitted[at] = emitted
+        value = self.next[at] = number << 1 | (n > 0)
+        return value
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the splitting pattern; a piece that is itself a token is that token."""
@@ -153,51 +173,72 @@ class Transducer:
             self._reset()
         out: list[int] = []
         state, following = 0, self.next
-        for byte in piece:
-            taken = following[state].get(byte) or self._step(state, byte)
-            state = taken[0]
-            if taken[1]:
-                out += taken[1]
-        out += self.sets[state][-1][2]
+        for byte in piece[:-1]:
+            at = state << 8 | byte
+            taken = following.get(at)
+            if taken is None:
+                taken = self._step(state, byte)
+            if taken & 1:
+                out += self.emitted[at]
+            state = taken >> 1
+        out += self._ends_at(state, piece[-1])
         return out
 
-    def _chunk(self, chunk: str, pattern: regex.Pattern) -> tuple[str, bytes]:
-        ids: list[int] = []
-        for piece in pattern.findall(chunk):
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.encode_piece(piece.encode())
-                if len(piece) < 64:
-                    if len(self.pieces) >= self.max_memo:
-                        self.pieces.clear()
-                    self.pieces[piece] = known
-            ids += known
-        done = " ".join(map(str, ids)), np.array(ids, np.int32).tobytes()
-        if len(chunk) < 64:
-            if len(self.chunks) >= self.max_memo:
-                self.chunks.clear()
-            self.chunks[chunk] = done
-        return done
-
-    def encode(self, text: str, pattern: regex.Pattern) -> tuple[str, np.ndarray]:
-        """The ids in decimal, joined by one space, and as int32.
+    @staticmethod
+    def _pieces(chunk: str, pattern: regex.Pattern) -> list[str]:
+        """The matches of the pattern; plain words, alone or before one mark, need no regex."""
+        if chunk.isascii() and chunk[0] == " " and len(chunk) > 2:
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[1:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return [chunk[:-1], chunk[-1]]
+        return pattern.findall(chunk)
+
+    def _met(self, text: str, pattern: regex.Pattern) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            pieces = self._pieces(text, pattern)
+            if len(pieces) == 1:
+                found = array("i", self.encode_piece(text.encode())).tobytes()
+            else:
+                found = b"".join([self.young.get(p) or self._met(p, pattern) for p in pieces])
+        if len(text) < 64:
+            if len(self.young) * 2 >= self.max_memo:
+                self.old, self.young = self.young, {}
+            self.young[text] = found
+        return found
+
+    def encode(self, text: str, pattern: regex.Pattern) -> np.ndarray:
+        """The ids, int32.
 
         No match goes on over a space that stands between two characters that aren't white space, so the text is cut
         there, unless white space stands together.
         """
-        known = self.chunks.get
-        if _TOGETHER.search(text):
-            cut = [text]
+        known = self.young
+        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER_WHITE.search(text):
+            cut = pattern.findall(text)
         else:
             first, *rest = text.split(" ")
-            cut = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        done = [known(x) or self._chunk(x, pattern) for x in cut if x]
-        return " ".join([x[0] for x in done]), np.frombuffer(b"".join([x[1] for x in done]), np.int32)
-
-
+            cut = [first, *[" " + x for x in rest]]
+        done = []
+        for x in cut:
+            ids = known.get(x)
+            if ids is None and x:
+                ids = self._met(x, pattern)
+                known = self.young
+            done.append(ids or b"")
+        return np.frombuffer(b"".join(done), np.int32)
+
+    def decimal(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by one space."""
+        written = self.written
+        return " ".join([written[i] for i in ids.tolist()])
+
+
+#: No merge; comes after every rank.
 NEVER = 1 << 60
-#: White space (or, at the ends of a text, nothing) beside a space.
-_TOGETHER = re.compile(r"\s |^ | $| \s")
+#: White space other than the space and \n.
+_OTHER_WHITE = re.compile(r"[^\S \n]")
 
 
 @cache
@@ -283,7 +324,7 @@ def encode(text: Column | str, vocabulary: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
         machine, split = transducer(vocabulary), regex.compile(compiled)
-        ids = [machine.encode(t.decode("utf-8", "replace"), split)[1] for t in blobs(texts)]
+        ids = [machine.encode(t.decode("utf-8", "replace"), split) for part in slices(texts) for t in part]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))
 
@@ -318,14 +359,14 @@ def token_digests(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
     def of(texts: pa.Array) -> pa.Array:
         machine, split, table = transducer(vocabulary), regex.compile(pattern), decoder(vocabulary)
         counts, ids_hex, decoded_hex = [], [], []
-        for text in blobs(texts):
-            written, ids = machine.encode(text.decode("utf-8", "replace"), split)
+        for text in (text for part in slices(texts) for text in part):
+            ids = machine.encode(text.decode("utf-8", "replace"), split)
             stream, digest = Utf8Stream(), sha256()
             for i in range(0, len(ids), block):
                 digest.update(stream.push(table.decode(ids[i : i + block])).encode())
             digest.update(stream.close().encode())
             counts.append(len(ids))
-            ids_hex.append(sha256(written.encode()).hexdigest())
+            ids_hex.append(sha256(machine.decimal(ids).encode()).hexdigest())
             decoded_hex.append(digest.hexdigest())
         return struct(n_tokens=pa.array(counts, pa.int64()), ids_sha256=pa.array(ids_hex, pa.string()), decoded_sha256=pa.array(decoded_hex, pa.string()))
 

@@ -82,10 +82,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return forward, inverse
 
 
-def slices(texts: list[bytes], limit: int = 8 << 20) -> Iterator[list[bytes]]:
-    """The texts in order, in parts of about `limit` bytes; a longer text is a part of its own."""
+def slices(array: pa.Array, limit: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The texts of a batch in order, in parts of about `limit` bytes, so that what is worked out for a part stays
+    small beside the batch; a longer text is a part of its own."""
     part, room = [], limit
-    for text in texts:
+    for value in array:
+        text = value.as_py() or b""
         if part and len(text) > room:
             yield part
             part, room = [], limit

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Words, blobs, byte_class, slices, utf8
+from .common import FOLD, Words, byte_class, slices, utf8
 
 #: Word bytes: letters and digits of ASCII, and every byte of other code points.
 WORD = byte_class(without=bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -172,7 +172,7 @@ def _match(shared: Broadcast, window: int) -> Callable[[Column], Column]:
     @F.arrow_udf("struct<n_words: bigint, hits: array<int>, items: array<string>, longest: bigint>")
     def of(texts: pa.Array) -> pa.Array:
         tests = _compiled(*shared.value, window)
-        found = [x for part in slices(blobs(texts)) for x in search_shard(part, tests)]
+        found = [x for part in slices(texts) for x in search_shard(part, tests)]
         return pa.array([{"n_words": n, "hits": hits, "items": sorted({tests.items[i] for i in own}), "longest": longest} for n, hits, own, longest in found], _RESULT)
 
     return of

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Words, blobs, bounded_ids, slices, struct, utf8
+from .common import NOT_WHITE, Words, bounded_ids, slices, struct, utf8
 
 #: Byte classes whose share of the words is a measure.
 CLASSES = (b"#$%&*@^~`", b"|<>{}[]\\/_=+", b"!?", b".", b",;:", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(0xC2, 0xF5)))
@@ -86,7 +86,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def style_of(texts: pa.Array) -> pa.Array:
-    rows = [r for part in slices(blobs(texts)) for r in style(part)]
+    rows = [r for part in slices(texts) for r in style(part)]
     return pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
 
 
@@ -121,7 +121,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFram
 
     @F.arrow_udf("struct<score: double>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [model.scores(style(part)) for part in slices(blobs(texts))]
+        found = [model.scores(style(part)) for part in slices(texts)]
         return struct(score=pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64()))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, blobs, checkpointed, struct, utf8
+from .common import WHITE, checkpointed, slices, struct, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_WORD = WHITE.encode()
@@ -57,7 +57,7 @@ def measures(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
     def of(texts: pa.Array) -> pa.Array:
-        rows = [_measure(t) for t in blobs(texts)]
+        rows = [_measure(t) for part in slices(texts) for t in part]
         return struct(**{m: pa.array([r[i] for r in rows], pa.int64()) for i, m in enumerate(MEASURES)})
 
     return of(utf8(text))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, blobs, slices, struct, utf8
+from .common import FOLD, slices, struct, utf8
 
 
 @dataclass(frozen=True)
@@ -212,7 +212,7 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule,
 
     @F.arrow_udf("array<struct<kind: string, start: int, end: int>>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [spans for part in slices(blobs(texts)) for spans in find_all(part, rules)]
+        found = [spans for part in slices(texts) for spans in find_all(part, rules)]
         return pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in spans] for spans in found], pa.list_(_SPAN))
 
     return docs.withColumn("secrets", of(utf8(F.col(f"`{text_col}`"))))
@@ -233,7 +233,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] =
     @F.arrow_udf("struct<text: string>")
     def of(texts: pa.Array) -> pa.Array:
         out = []
-        for part in slices(blobs(texts)):
+        for part in slices(texts):
             for text, spans in zip(part, find_all(part, rules), strict=True):
                 whole, done, pieces = text.decode("utf-8", "replace"), 0, []
                 for a, k, b in spans:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpointed, utf8
+from .common import checkpointed, slices, utf8
 
 _SEED = 42
 #: For each byte value, its bits (lowest first) in eight 8-bit lanes of one word.
@@ -47,7 +47,7 @@ def fingerprint(text: Column | str, shingle_words: int = 3) -> Column:
 
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
-        values = np.fromiter((fingerprint_bytes(t, shingle_words) for t in blobs(texts)), np.uint64, len(texts))
+        values = np.fromiter((fingerprint_bytes(t, shingle_words) for part in slices(texts) for t in part), np.uint64, len(texts))
         return pa.array(values.view(np.int64))
 
     return of(utf8(text))

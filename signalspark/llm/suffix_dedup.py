@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPREAD, blobs, checkpoint_dir, mixed, powers, utf8
+from .common import _SPREAD, blobs, checkpoint_dir, mixed, powers, slices, utf8
 
 #: Bytes of a gram; places of a text that are looked at together.
 GRAM, STRETCH = 64, 1 << 20
@@ -90,7 +90,7 @@ def _lists(parts: list[list[tuple[np.ndarray, ...]]], kind: pa.StructType) -> pa
 def _runs(text: Column, window: int, gram: int) -> Column:
     @F.arrow_udf("array<struct<g: bigint, h: bigint, s: int, n: int>>")
     def of(texts: pa.Array) -> pa.Array:
-        return _lists([[(g, h, s.astype(np.int32), n.astype(np.int32)) for g, h, s, n in runs_of(t, window, gram)] for t in blobs(texts)], _RUN)
+        return _lists([[(g, h, s.astype(np.int32), n.astype(np.int32)) for g, h, s, n in runs_of(t, window, gram)] for part in slices(texts) for t in part], _RUN)
 
     return of(text)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, Words, blobs, bounded_ids, byte_class, slices, struct, utf8
+from .common import FOLD, Words, bounded_ids, byte_class, slices, struct, utf8
 
 #: Words are runs of ASCII letters, digits and bytes of other code points.
 WORD = byte_class(without=bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -117,7 +117,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, columns: int
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def terms_of(texts: pa.Array) -> pa.Array:
     out = []
-    for part in slices(blobs(texts)):
+    for part in slices(texts):
         row, bucket = terms(part)
         both = np.unique(row * np.int64(BUCKETS) + bucket)
         out += [x.tolist() for x in np.split(both % BUCKETS, np.searchsorted(both // BUCKETS, np.arange(1, len(part))))]
@@ -146,7 +146,7 @@ def scored(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> Data
 
     @F.arrow_udf("struct<score: double>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [machine.scores(part) for part in slices(blobs(texts))]
+        found = [machine.scores(part) for part in slices(texts)]
         return struct(score=pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64()))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
