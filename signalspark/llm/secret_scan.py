@@ -92,7 +92,7 @@ def _least(cases) -> frozenset:
 
 
 def _part(tree, limit: int = 32) -> _Texts:
-    whole = _Texts({""}, ANY)
+    whole, all_exact = _Texts({""}, ANY), True
     for code, arg in tree:
         if code is op.LITERAL:
             piece = _Texts({chr(arg)}, ANY)
@@ -117,12 +117,13 @@ def _part(tree, limit: int = 32) -> _Texts:
             continue
         else:
             piece = _Texts(None, ANY)
-        if whole.exact is not None and piece.exact is not None and len(whole.exact) * len(piece.exact) <= limit:
+        if piece.exact is not None and len(whole.exact) * len(piece.exact) <= limit:
             whole = _Texts({a + b for a in whole.exact for b in piece.exact}, _both(whole.query, piece.query))
         else:
-            # what came so far is settled; exact strings begin anew
-            whole = _Texts(piece.exact, _both(_settled(whole), piece.query))
-    return whole
+            # what came so far is settled; exact strings begin anew, and are no longer all that the part matches
+            all_exact = False
+            whole = _Texts(piece.exact if piece.exact is not None else {""}, _both(_settled(whole), piece.query))
+    return whole if all_exact else _Texts(None, _settled(whole))
 
 
 def trigram_query(pattern: str) -> frozenset[frozenset[str]]:

@@ -18,7 +18,7 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _SPREAD, blobs, checkpoint_dir, mixed, powers, slices, utf8
@@ -187,30 +187,30 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _settled(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """(id, th, s, n): repeated window starts of pieces (g, id, th, s, whole, piece); groups of g are merged whole."""
+    """(t1, t2, s, n): repeated window starts of pieces (g, t1, t2, s, whole, piece); groups of g are merged whole."""
 
     def close(held: list[tuple]) -> pd.DataFrame:
         found = repeated_starts([h[4] for h in held], window)
-        rows = [(i, th, s + a, n) for (i, th, s, whole, _), starts in zip(held, found, strict=True) if not whole for a, n in _spans(starts)]
-        out = pd.DataFrame(rows, columns=["id", "th", "s", "n"])
-        return out.astype({"th": "int64", "s": "int32", "n": "int32"})
+        rows = [(t1, t2, s + a, n) for (t1, t2, s, whole, _), starts in zip(held, found, strict=True) if not whole for a, n in _spans(starts)]
+        out = pd.DataFrame(rows, columns=["t1", "t2", "s", "n"])
+        return out.astype({"t1": "int64", "t2": "int64", "s": "int32", "n": "int32"})
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         room, last = block_bytes, None
         for batch in batches:
-            for g, i, th, s, whole, piece in zip(batch["g"], batch["id"], batch["th"], batch["s"], batch["whole"], batch["piece"], strict=True):
+            for g, t1, t2, s, whole, piece in zip(batch["g"], batch["t1"], batch["t2"], batch["s"], batch["whole"], batch["piece"], strict=True):
                 if g != last and room <= 0:
                     yield close(held)
                     held, room = [], block_bytes
                 last = g
-                held.append((i, th, s, whole, bytes(piece)))
+                held.append((t1, t2, s, whole, bytes(piece)))
                 room -= len(piece)
         if held:
             yield close(held)
 
     ordered = pieces.repartition("g").sortWithinPartitions("g")
-    return ordered.mapInPandas(stream, "id string, th long, s int, n int")
+    return ordered.mapInPandas(stream, "t1 long, t2 long, s int, n int")
 
 
 def _by_window(pieces: DataFrame, window: int) -> DataFrame:
@@ -226,9 +226,9 @@ def _by_window(pieces: DataFrame, window: int) -> DataFrame:
             parts.append([(whole.view(np.int64), tail.view(np.int64), at.astype(np.int32))])
         return _lists(parts, pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int32())]))
 
-    windows = pieces.select("id", "th", "s", "whole", F.explode(of(F.col("piece"))).alias("w")).select("id", "th", "s", "whole", "w.*")
+    windows = pieces.select("t1", "t2", "s", "whole", F.explode(of(F.col("piece"))).alias("w")).select("t1", "t2", "s", "whole", "w.*")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
-    return windows.join(twice, ["w1", "w2"]).filter(~F.col("whole")).select("id", "th", (F.col("s") + F.col("at")).alias("s"), F.lit(1).alias("n"))
+    return windows.join(twice, ["w1", "w2"]).filter(~F.col("whole")).select("t1", "t2", (F.col("s") + F.col("at")).alias("s"), F.lit(1).alias("n"))
 
 
 def _cut(text: Column, wanted: Column, window: int) -> Column:
@@ -273,34 +273,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans")
     keep = [c for c in docs.columns if c not in added]
-    text = F.col(f"`{text_col}`")
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.xxhash64(utf8(text)).alias("th"), utf8(text).alias("bytes"))
-    runs = named.filter(F.length("bytes") >= window).select("id", "th", F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select("id", "th", "r.*")
-    # one exchange by anchor: copies of each piece, and unlike pieces of each anchor
-    piece, anchor = Window.partitionBy("g", "h"), Window.partitionBy("g")
-    counted = (
-        runs.repartition("g")
-        .withColumn("copies", F.count(F.lit(1)).over(piece))
-        .withColumn("nth", F.row_number().over(piece.orderBy(F.lit(0))))
-        .withColumn("unlike", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor))
-        .filter((F.col("copies") > 1) | (F.col("unlike") > 1))
-    )
-    doubtful = stored(counted.select("g", "id", "th", "s", "n", (F.col("copies") > 1).alias("whole"), ((F.col("unlike") > 1) & (F.col("nth") == 1)).alias("open"), (F.col("unlike") > crowd).alias("crowded")))
-    wanted = doubtful.filter("open").groupBy("id", "th").agg(F.collect_list(F.struct("g", "s", "n", "whole", "crowded")).alias("wanted"))
-    texts = named.select("id", "th", "bytes")
-    if not doubtful.filter("open").isEmpty():
-        w = wanted.select(F.col("id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
-        # of rows that agree in id and text one is enough, and each wanted piece is cut once
-        met = texts.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("id", "th", "wanted", _cut(F.col("bytes"), F.col("wanted"), window).alias("pieces"))
-        cut = met.select("id", "th", F.explode(F.arrays_zip("wanted", "pieces")).alias("p")).select("id", "th", "p.wanted.*", F.col("p.pieces").alias("piece"))
-        cut = cut.select("g", "id", "th", "s", "whole", "piece", "crowded")
-        plain = _settled(cut.filter(~F.col("crowded")).drop("crowded"), window, block_bytes)
-        found = doubtful.filter("whole").select("id", "th", "s", "n").unionByName(stored(plain))
-        if not doubtful.filter("open and crowded").isEmpty():
-            found = found.unionByName(stored(_by_window(cut.filter("crowded"), window)))
-    else:
-        found = doubtful.filter("whole").select("id", "th", "s", "n")
-    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans")).select(F.col("id").alias("s_id"), F.col("th").alias("s_th"), "spans")
-    joined = named.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
+    text = utf8(F.col(f"`{text_col}`"))
+    key = ["t1", "t2"]  # a text's 128-bit hash: equal texts lose the same bytes
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("bytes"))
+    long = named.filter(F.length("bytes") >= window).select(*key, "bytes")
+    runs = long.select(*key, F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select(*key, "r.*")
+    # copies are counted before anything is gathered by anchor, so a piece of many documents is one row from here on
+    pieces = runs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in (*key, "s", "n")))
+    unlike = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("unlike")).filter("unlike > 1")
+    doubtful = stored(pieces.join(unlike, "g", "left").filter("copies > 1 OR unlike > 1").select("g", "h", *key, "s", "n", (F.col("copies") > 1).alias("whole"), (F.col("unlike") > crowd).alias("crowded")))
+    found = runs.join(doubtful.filter("whole").select("g", "h"), ["g", "h"]).select(*key, "s", "n")
+    open_pieces = doubtful.filter("crowded IS NOT NULL")
+    if not open_pieces.isEmpty():
+        wanted = open_pieces.groupBy(*key).agg(F.collect_list(F.struct("g", "s", "n", "whole", "crowded")).alias("wanted"))
+        # copies of a text are put together before the shuffle; one of them brings the text's pieces
+        texts = long.groupBy(*key).agg(F.first("bytes").alias("bytes"))
+        met = texts.join(wanted, key).select(*key, "wanted", _cut(F.col("bytes"), F.col("wanted"), window).alias("pieces"))
+        cut = met.select(*key, F.explode(F.arrays_zip("wanted", "pieces")).alias("p")).select(*key, "p.wanted.*", F.col("p.pieces").alias("piece"))
+        cut = cut.select("g", *key, "s", "whole", "piece", "crowded")
+        settled = _settled(cut.filter("NOT crowded").drop("crowded"), window, block_bytes)
+        if not open_pieces.filter("crowded").isEmpty():
+            settled = settled.unionByName(_by_window(cut.filter("crowded"), window))
+        found = found.unionByName(stored(settled))
+    spans = found.distinct().groupBy(*key).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    joined = named.join(spans, key, "left")
     result = joined.select("row", _removed(F.col("bytes"), F.col("spans"), window).alias("r"))
     return result.select(*(F.col("row").getField(c).alias(c) for c in keep), *(F.col(f"r.{c}").alias(c) for c in added))
