@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, checkpointed, slices, struct, utf8
+from .common import WHITE, slices, stored, struct, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_WORD = WHITE.encode()
@@ -122,7 +122,7 @@ def judged(docs: DataFrame, *, text_col: str = "text", least_words: int = 10, re
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # the measures are asked for once: each is a field of one struct
     measured = lambda df: df.select(*kept, measures(F.col(f"`{text_col}`")).alias("_m")).select(*kept, "_m.*").withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_per_100 * F.col("n_words")))
-    passed = checkpointed(measured(sampled(docs, text, sample_rows)).filter(~F.col("base_failed")))
+    passed = stored(measured(sampled(docs, text, sample_rows)).filter(~F.col("base_failed")))
     order = ordered(passed, more_rules if more_rules is not None else rules(text))
     rejected = F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order))
     return measured(docs).withColumn("rejected_by", rejected).withColumn("kept", F.col("rejected_by").isNull())

@@ -2,7 +2,7 @@
 
 Each text becomes a 64-bit fingerprint of its word shingles. Distinct fingerprints are filed under each of their
 segments; every fingerprint enumerates the small Hamming ball around each segment, fetches the filed fingerprints and
-verifies the complete distance. Components of the links are found by pointer jumping over checkpointed tables.
+verifies the complete distance. Components of the links are found by pointer jumping over stored tables.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, utf8
+from .common import slices, stored, utf8
 
 _SEED = 42
 #: For each byte value, its bits (lowest first) in eight 8-bit lanes of one word.
@@ -77,7 +77,7 @@ def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2, dense: int =
     bits, radius = 64 // segments, max_bits // segments
     filed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _segment(F.col("fp"), bits, k).alias("value")) for k in range(segments)))).alias("s")).select("s.seg", "s.value", F.col("fp").alias("a"))
     asked = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _ball(_segment(F.col("fp"), bits, k), bits, radius).alias("ball")) for k in range(segments)))).alias("s")).select(F.col("s.seg").alias("seg"), F.explode("s.ball").alias("value"), F.col("fp").alias("b"))
-    crowded = checkpointed(filed.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("seg", "value"))
+    crowded = stored(filed.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("seg", "value"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
@@ -102,16 +102,16 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each connected component, for nodes that have an edge (a, b).
 
     Each round takes the smallest label around a node and then that label's label, so the rounds grow with the
-    logarithm of a component's diameter; every round is checkpointed.
+    logarithm of a component's diameter; every round is stored.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    label = checkpointed(label)
+    label = stored(label)
     for _ in range(max_rounds):
         around = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
         closer = label.join(around, F.col("node") == F.col("at")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        stepped = checkpointed(closer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        stepped = stored(closer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         label = stepped.select("node", "label")
         if stepped.filter(F.col("old") != F.col("label")).isEmpty():
             return label
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fingerprint or component_id are replaced. An empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c not in ("fingerprint", "component_id", text_col)]
-    row = checkpointed(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), fingerprint(F.col(f"`{text_col}`"), shingle_words).alias("fp")))
+    row = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), fingerprint(F.col(f"`{text_col}`"), shingle_words).alias("fp")))
     groups = component_of(row.select(F.col("row").getField(id_col).alias("id"), "fp"), max_bits=max_bits, segments=segments, dense=dense)
     joined = row.join(groups, row["fp"] == groups["group_fp"])
     return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def component_of(ids: DataFrame, *, max_bits: int, segments: int, dense: int) -> DataFrame:
     """(group_fp, component_id) for each distinct fp of (id, fp)."""
-    smallest = checkpointed(ids.groupBy("fp").agg(F.min("id").alias("least_id")))
+    smallest = stored(ids.groupBy("fp").agg(F.min("id").alias("least_id")))
     label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments, dense=dense))
     named = smallest.join(label, smallest["fp"] == label["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -148,12 +148,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash")
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), hashed, F.col(f"`{text_col}`").alias("text"))
-    row = checkpointed(keyed.select("id", "text_hash", fingerprint("text", shingle_words).alias("fp")))
+    row = stored(keyed.select("id", "text_hash", fingerprint("text", shingle_words).alias("fp")))
     order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("text_hash"))
-    smallest = checkpointed(row.groupBy("fp", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min(order).alias("least"), F.max("n").alias("most")))
+    smallest = stored(row.groupBy("fp", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min(order).alias("least"), F.max("n").alias("most")))
     label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments, dense=dense))
     named = smallest.join(label, smallest["fp"] == label["node"], "left").select(F.coalesce("label", "fp").alias("root"), "least", "most")
-    chosen = checkpointed(named.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).select(F.col("least.id").alias("chosen_id"), F.col("least.text_hash").alias("chosen_hash"), "most"))
+    chosen = stored(named.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).select(F.col("least.id").alias("chosen_id"), F.col("least.text_hash").alias("chosen_hash"), "most"))
     picked = docs.withColumn("_text_hash", hashed).join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id")) & (F.col("_text_hash") == F.col("chosen_hash")), "left_semi")
     if not chosen.filter(F.col("most") > 1).isEmpty():
         picked = picked.dropDuplicates([id_col, "_text_hash"])

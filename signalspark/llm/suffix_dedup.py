@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -21,19 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPREAD, blobs, checkpoint_dir, mixed, powers, slices, utf8
+from .common import _SPREAD, blobs, mixed, powers, slices, stored, utf8
 
 #: Bytes of a gram; places of a text that are looked at together.
 GRAM, STRETCH = 64, 1 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a parquet table in the shared checkpoint folder, read back: compressed, and without lineage."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Hashes:
     """Hashes of any byte ranges of a buffer."""
 
