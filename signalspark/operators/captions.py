@@ -27,7 +27,7 @@ def cue_checks(cues: DataFrame, keys: list[str], durations: DataFrame) -> DataFr
 
 def sync(cues: DataFrame, speech: DataFrame, keys: list[str], within: float = 2.5) -> DataFrame:
     """(keys, matched, offset, spread, systematic): how far cues start after the nearest start of speech."""
-    near = nearest(cues.select(*keys, F.col("t0").alias("t")), speech.select(*keys, F.col("t0").alias("t")), keys, within).filter("near IS NOT NULL").withColumn("late", -F.col("offset"))
+    near = nearest(cues.select(*keys, F.col("t0").alias("t")), speech.select(*keys, F.col("t0").alias("t")), keys, within).filter("near IS NOT NULL").select(*keys, (-F.col("offset")).alias("late"))
     offset = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"), upper_median(F.col("late")).alias("offset"))
     spread = near.join(offset, keys).groupBy(*keys).agg(F.first("matched").alias("matched"), F.first("offset").alias("offset"), upper_median(F.abs(F.col("late") - F.col("offset"))).alias("spread"))
     return spread.withColumn("systematic", (F.abs("offset") > 0.30) & (F.col("spread") < 0.45))
