@@ -65,21 +65,20 @@ def audio_splices(features: DataFrame, keys: list[str], hop_s: float = 0.1) -> D
     jump = F.abs(F.col("floor_a") - F.col("floor_b"))
     ratio = F.greatest("rolloff_a", "rolloff_b") / F.greatest(F.least("rolloff_a", "rolloff_b"), F.lit(1e-3))
     score = (jump >= 8).cast("int") + (jump >= 14).cast("int") + (ratio >= 1.6).cast("int") + (F.abs(F.col("rms_db_a") - F.col("rms_db_b")) >= 10).cast("int")
-    heard = (F.least("rms_db_a", "rms_db_b") >= -65) & (F.least("floor_a", "floor_b") >= -75) & (n == 10)
-    scored = features.withColumn("score", score.cast("double")).filter(heard & (F.col("score") >= 2)).select(*keys, (F.col("block") * hop_s).alias("t"), "score")
+    heard = (F.least("rms_db_a", "rms_db_b") >= -65) & (F.least("floor_a", "floor_b") >= -75) & (F.col("_n") == 10)
+    scored = features.withColumn("score", score.cast("double")).withColumn("_n", n).filter(heard & (F.col("score") >= 2)).select(*keys, (F.col("block") * hop_s).alias("t"), "score")
     return best_first(scored, keys, "t", "score", 0.5, 20)
 
 
-def loudness_steps(series: DataFrame, keys: list[str], least_lu: float = 6.0, sustain_s: float = 3.0, most: int = 20) -> DataFrame:
+def loudness_steps(series: DataFrame, keys: list[str], least_lu: float = 6.0, sustain_s: float = 3.0, step_s: float = 0.1, most: int = 20) -> DataFrame:
     """(keys, t, change): lasting steps of short-term loudness (t, m); after a step the search goes on behind it."""
-    w, whole = along(keys, ["t"]), Window.partitionBy(*keys)
-    dt = median(F.col("_dt"), whole)
-    timed = series.withColumn("_dt", F.col("t") - F.lag("t").over(w)).withColumn("_i", F.row_number().over(w)).withColumn("_step", dt)
-    k = 30
+    w = along(keys, ["t"])
+    k = max(3, round(sustain_s / step_s))
     before, after = rolling_median(F.col("m"), w, -k, -1), rolling_median(F.col("m"), w, 0, k - 1)
+    settled = rolling_median(F.col("m"), w, k, 2 * k - 1)  # behind the step the level has settled
     full = F.count(F.lit(1)).over(w.rowsBetween(-k, k - 1)) == 2 * k
-    steps = timed.withColumn("_b", before).withColumn("_a", after).filter(full & (F.abs(F.col("_a") - F.col("_b")) >= least_lu) & (F.col("_a") > -90) & (F.col("_b") > -90))
-    kept = spread_out(steps.select(*keys, "t", (F.col("_a") - F.col("_b")).alias("change")), keys, "t", sustain_s)
+    steps = series.withColumn("_b", before).withColumn("_a", after).withColumn("_s", F.coalesce(settled, after)).withColumn("_full", full).filter(F.col("_full") & (F.abs(F.col("_a") - F.col("_b")) >= least_lu) & (F.col("_a") > -90) & (F.col("_b") > -90))
+    kept = spread_out(steps.select(*keys, "t", (F.col("_s") - F.col("_b")).alias("change")), keys, "t", sustain_s)
     return kept.withColumn("_n", F.row_number().over(along(keys, ["t"]))).filter(F.col("_n") <= most).drop("_n")
 
 

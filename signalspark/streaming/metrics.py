@@ -16,9 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """A table's files as a stream."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # as a pattern, the path may be one file or a folder of files
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def summary(events: DataFrame, keys: list[str], time: str, value: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
