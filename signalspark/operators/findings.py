@@ -76,12 +76,12 @@ def time_gaps(packets: DataFrame, keys: list[str], times: float = 1.75) -> DataF
     return steps.filter((F.col("step") <= 0) | (F.col("step") > times * F.col("usual")))
 
 
-def early_keys(packets: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
+def early_keys(packets: DataFrame, keys: list[str], share: float = 0.7, least_gop: float = 8) -> DataFrame:
     """Key frames that come sooner than `share` of the median distance, in series of four key frames or more."""
     w, whole = along(keys, ["frame"]), Window.partitionBy(*keys)
     kf = packets.filter("key = 1").withColumn("gap", F.col("frame") - F.lag("frame").over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
     kf = kf.filter("gap IS NOT NULL").withColumn("usual", median(F.col("gap"), whole))
-    return kf.filter((F.col("_n") >= 4) & (F.col("usual") >= 8) & (F.col("gap") < share * F.col("usual"))).drop("_n")
+    return kf.filter((F.col("_n") >= 4) & (F.col("usual") >= least_gop) & (F.col("gap") < share * F.col("usual"))).drop("_n")
 
 
 #: How much each kind of signal says.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import along, mark_runs
+from .series import along
 
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
@@ -104,16 +104,15 @@ def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, ban
     return met.select("a", "b", bits.alias("bits")).filter(F.col("bits") <= max_bits).distinct()
 
 
-def loops(frames: DataFrame, keys: list[str], hash_col: str, least: int) -> DataFrame:
-    """(keys, delta, source, repeat, n): longest stretches of frames that come again, hash for hash, `delta` later.
+def loops(frames: DataFrame, keys: list[str], hash_col: str, least: int, kinds: int = 3) -> DataFrame:
+    """(keys, delta, source, repeat, n): stretches of frames that come again, hash for hash, `delta` frames later.
 
-    Frames are paired with the next frames of the same hash only as far as `delta` stays the same along a stretch: a
-    stretch's start is found by joining frames to their nearest later equals, so a long still picture doesn't make all
-    pairs.
+    A frame is paired with the next frame of its hash only, so a still picture doesn't make all pairs; stretches are
+    the runs of one distance. A stretch needs some different pictures and may not be longer than its distance.
     """
     w = Window.partitionBy(*keys, hash_col).orderBy("frame")
-    paired = frames.withColumn("later", F.lead("frame").over(w)).filter("later IS NOT NULL").withColumn("delta", F.col("later") - F.col("frame"))
-    marked = mark_runs(paired.withColumn("base", F.col("frame") - F.row_number().over(along([*keys, "delta"], ["frame"]))), F.col("base"), [*keys, "delta"], ["frame"])
-    out = marked.groupBy(*keys, "delta", "run").agg(F.min("frame").alias("source"), F.min("later").alias("repeat"), F.count(F.lit(1)).alias("n"), F.count_distinct(hash_col).alias("kinds"))
-    varied = F.col("kinds") >= F.greatest(F.lit(3), F.floor(F.col("n") / 4))
+    paired = frames.withColumn("_later", F.lead("frame").over(w)).filter("_later IS NOT NULL").withColumn("delta", F.col("_later") - F.col("frame"))
+    run = paired.withColumn("_run", F.col("frame") - F.row_number().over(along([*keys, "delta"], ["frame"])))
+    out = run.groupBy(*keys, "delta", "_run").agg(F.min("frame").alias("source"), F.min("_later").alias("repeat"), F.count(F.lit(1)).alias("n"), F.count_distinct(hash_col).alias("_kinds"))
+    varied = F.col("_kinds") >= F.greatest(F.lit(kinds), F.floor(F.col("n") / 4))
     return out.filter((F.col("n") >= least) & (F.col("n") <= F.col("delta")) & varied).select(*keys, "delta", "source", "repeat", "n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import colour
 from signalspark.functions import text as texts
-from signalspark.operators import aggregates, captions, findings, joins, qc, segments, series, signals
+from signalspark.operators import aggregates, captions, findings, joins, qc, segments, series, signals, timers
 from signalspark.plans.reports import verification
 from signalspark.session import table
 from signalspark.sources import containers, exports
@@ -379,10 +379,7 @@ def pts_gaps(spark, sf):
 @query(f"""WITH {PACKETS}, k AS (SELECT media, frame, frame - lag(frame) OVER (PARTITION BY media ORDER BY frame) AS gap, count(*) OVER (PARTITION BY media) AS n FROM p WHERE key = 1),
 u AS (SELECT *, median(gap) OVER (PARTITION BY media) AS usual FROM k WHERE gap IS NOT NULL) SELECT media, frame, gap, usual FROM u WHERE n >= 4 AND usual >= 3 AND gap < 0.7 * usual""")
 def idr_offcadence(spark, sf):
-    kf = packets(spark, sf).filter("key = 1")
-    w, whole = series.along(K, ["frame"]), Window.partitionBy(*K)
-    gaps = kf.withColumn("gap", F.col("frame") - F.lag("frame").over(w)).withColumn("n", F.count(F.lit(1)).over(whole)).filter("gap IS NOT NULL").withColumn("usual", series.median(F.col("gap"), whole))
-    return gaps.filter((F.col("n") >= 4) & (F.col("usual") >= 3) & (F.col("gap") < 0.7 * F.col("usual"))).select("media", "frame", "gap", "usual")
+    return findings.early_keys(packets(spark, sf), K, least_gop=3).select("media", "frame", "gap", "usual")
 
 
 def _timer(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,23 +390,25 @@ def _timer(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {FRAMES}, r AS (SELECT media, frame, t, floor(t / 100) - CASE WHEN value > 200 THEN 5000 ELSE 0 END AS secs FROM f), d AS (SELECT *, secs - lag(secs) OVER w AS dt, (t - lag(t) OVER w) / 100 AS dv FROM r WINDOW w AS (PARTITION BY media ORDER BY frame))
 SELECT media, frame, dt AS change, CASE WHEN dt < -0.25 THEN 'backward' ELSE 'skip' END AS kind FROM d WHERE dt < -0.25 OR dt > 4 * greatest(dv, 1 / 30.0) + 0.75""")
 def timer_jumps(spark, sf):
-    w = series.along(K, ["frame"])
-    d = _timer(spark, sf).withColumn("change", series.delta(F.col("secs"), w)).withColumn("dv", series.delta(F.col("t"), w) / 100)
-    back = F.col("change") < -0.25
-    return d.filter(back | (F.col("change") > 4 * F.greatest("dv", F.lit(1 / 30.0)) + 0.75)).select("media", "frame", F.col("change").cast("double").alias("change"), F.when(back, "backward").otherwise("skip").alias("kind"))
+    readings = _timer(spark, sf).withColumn("t", F.col("t") / 100)
+    return timers.jumps(readings, K, 30.0).select("media", "frame", "change", "kind")
 
 
 SQL["timer_jumps"] = SQL["timer_jumps"].replace("dt AS change", "dt::DOUBLE AS change")
 
 
+@query(f"""WITH {FRAMES}, q AS (SELECT media, frame, t / 100 AS t, floor(t / 500) AS secs FROM f), c AS (SELECT *, coalesce(secs - lag(secs) OVER (PARTITION BY media ORDER BY frame) = 0, false) AS still FROM q),
+r AS (SELECT *, frame - row_number() OVER (PARTITION BY media, still ORDER BY frame) AS run FROM c) SELECT media, min(t) AS t0, max(t) AS t1, count(*) AS n FROM r WHERE still GROUP BY media, run HAVING max(t) - min(t) > 0.3""")
+def timer_freezes(spark, sf):
+    readings = frames(spark, sf).select("media", "frame", (F.col("t") / 100).alias("t"), F.floor(F.col("t") / 500).alias("secs"))
+    return timers.frozen(readings, K, least_s=0.3)
+
+
 @query(f"""WITH {FRAMES}, r AS (SELECT media, frame, t / 1000 AS t, floor(t / 100) - CASE WHEN value > 200 THEN 5000 ELSE 0 END AS secs FROM f), s AS (SELECT *, sum(CASE WHEN d < -0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY media ORDER BY frame) AS seg FROM (SELECT *, secs - lag(secs) OVER (PARTITION BY media ORDER BY frame) AS d FROM r))
 SELECT media, seg::BIGINT AS segment, count(*) AS n, round(regr_slope(secs, t), 6) AS slope FROM s GROUP BY media, seg HAVING count(*) >= 8 AND max(t) - min(t) >= 4""")
 def drift_slope(spark, sf):
-    w = series.along(K, ["frame"])
-    d = _timer(spark, sf).withColumn("tt", F.col("t") / 1000).withColumn("broke", F.when(series.delta(F.col("secs"), w) < -0.25, 1).otherwise(0))
-    seg = d.withColumn("segment", F.sum("broke").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    agg = seg.groupBy("media", "segment").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("secs", "tt")).alias("slope"), (F.max("tt") - F.min("tt")).alias("span"))
-    return agg.filter("n >= 8 AND span >= 4").drop("span")
+    readings = _timer(spark, sf).withColumn("t", F.col("t") / 1000)
+    return timers.drift(readings, K).select("media", "segment", "n", r6("slope").alias("slope"))
 
 
 # ---- joins
@@ -463,12 +462,7 @@ def hash_hamming_pairs(spark, sf):
 r AS (SELECT *, frame - row_number() OVER (PARTITION BY media, delta ORDER BY frame) AS run FROM d)
 SELECT media, delta, min(frame) AS source, min(later) AS repeat, count(*) AS n FROM r GROUP BY media, delta, run HAVING count(*) >= 2 AND count(*) <= delta AND count(DISTINCT h) >= greatest(2, count(*) // 4)""")
 def loop_runs(spark, sf):
-    f = frames(spark, sf).withColumn("h", F.floor(F.col("value") / 10))
-    w = Window.partitionBy("media", "h").orderBy("frame")
-    paired = f.withColumn("later", F.lead("frame").over(w)).filter("later IS NOT NULL").withColumn("delta", F.col("later") - F.col("frame"))
-    run = paired.withColumn("run", F.col("frame") - F.row_number().over(series.along(["media", "delta"], ["frame"])))
-    agg = run.groupBy("media", "delta", "run").agg(F.min("frame").alias("source"), F.min("later").alias("repeat"), F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("kinds"))
-    return agg.filter((F.col("n") >= 2) & (F.col("n") <= F.col("delta")) & (F.col("kinds") >= F.greatest(F.lit(2), F.floor(F.col("n") / 4)))).select("media", "delta", "source", "repeat", "n")
+    return joins.loops(frames(spark, sf).withColumn("h", F.floor(F.col("value") / 10)), K, "h", 2, 2)
 
 
 @query("""WITH s AS (SELECT l_orderkey AS media, l_shipdate AS created, l_extendedprice AS d FROM lineitem), j AS (SELECT o_orderkey AS media, bool_or(s.created <> o_orderdate) AS td, bool_or(abs(s.d - o_totalprice) > greatest(1, 0.05 * o_totalprice)) AS dd FROM orders JOIN s ON o_orderkey = media GROUP BY o_orderkey)
