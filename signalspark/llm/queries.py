@@ -153,7 +153,7 @@ places AS (
     FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ),
 found AS (SELECT p.doc_id, p.n, p.i, wins.item_id FROM places p JOIN wins USING (n, win)),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
 items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
     FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
@@ -172,8 +172,8 @@ WITH d AS (
 grams AS (SELECT doc_id, i, w[i : i + 4] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, gram FROM grams GROUP BY doc_id, gram HAVING count(*) > 1),
 repeats AS (
-    SELECT doc_id, count(DISTINCT at) AS n
-    FROM (SELECT doc_id, unnest(range(i, i + 5)) AS at FROM grams JOIN twice USING (doc_id, gram)) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT pos) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM grams JOIN twice USING (doc_id, gram)) GROUP BY doc_id
 ),
 base AS (
     SELECT doc_id, text, len(lines) AS n_lines, len(w)::BIGINT AS n_words,
