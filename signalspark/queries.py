@@ -17,6 +17,7 @@ from signalspark.operators import aggregates, captions, findings, joins, qc, seg
 from signalspark.plans.reports import verification
 from signalspark.session import table
 from signalspark.sources import containers, exports
+from signalspark.streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -729,3 +730,38 @@ def flicker_tone(spark, sf):
 def audio_bandwidth(spark, sf):
     cut = signals.cutoff(signals.mean_spectrum(_pcm(spark, sf), K), K, 689.0, below_db=12.0)
     return signals.bandwidth_verdict(cut)
+
+
+# ---- event time
+
+
+@query("""SELECT event_type, epoch_us(date_trunc('day', ts)) / 1e6 AS start, count(value) AS n, min(value) AS low, max(value) AS high, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_summary(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = metrics.summary(e, ["event_type"], "ts", "value", "1 day")
+    return out.select("event_type", (F.unix_micros("start") / 1e6).alias("start"), "n", "low", "high", F.round("total", 4).alias("total"))
+
+
+@query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, epoch_us(min(ts)) / 1e6 AS start, epoch_us(max(ts)) / 1e6 + 21600 AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = metrics.sessions(e, ["user_id"], "ts", "6 hours")
+    return out.select("user_id", (F.unix_micros("start") / 1e6).alias("start"), (F.unix_micros("end") / 1e6).alias("end"), "n")
+
+
+@query("""WITH k AS (SELECT DISTINCT l_returnflag AS media, list(DISTINCT l_linestatus) OVER (PARTITION BY l_returnflag) AS s FROM lineitem) SELECT media, array_to_string(list_sort(s), '') AS coverage FROM k""")
+def symbol_coverage(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("media")).agg(F.array_join(F.array_sort(F.collect_set("l_linestatus")), "").alias("coverage"))
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT media, t, value FROM f WHERE value > 100), l AS (SELECT *, lag(value) OVER (PARTITION BY media ORDER BY t) AS p, row_number() OVER (PARTITION BY media ORDER BY t) AS k FROM c)
+SELECT media, t, value FROM l WHERE k = 1 OR value IS DISTINCT FROM p""")
+def scene_cuts(spark, sf):
+    return series.drop_repeats(frames(spark, sf).filter("value > 100").select("media", "t", "value"), "value", K, ["t"])
+
+
+@query("""WITH m AS (SELECT l_suppkey AS media, l_quantity AS q, count(*) AS n FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY n DESC, q) AS k FROM m) SELECT media, q, n FROM k WHERE k <= 3""")
+def worst_three(spark, sf):
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("media"), F.col("l_quantity").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    return series.top_k(counts, K, [F.desc("n"), F.col("q")], 3)
