@@ -76,7 +76,7 @@ def rules(text: Column) -> list[Rule]:
     letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > F.col("word_chars")),
-        Rule("long_words", F.col("word_chars") > 20 * F.col("n_words")),
+        Rule("long_words", F.col("word_chars") > 60 * F.col("n_words")),
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(text, "\n"))),
         Rule("few_letters", 10 * letters < 5 * F.col("word_chars")),
         Rule("shouting", 2 * F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) > letters),

@@ -188,7 +188,7 @@ base AS (
 ),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_lines
+    NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 60 * n_words OR 10 * n_dup_lines > 3 * n_lines
         OR 10 * letters < 5 * word_chars OR 2 * capitals > letters) AS kept
 FROM failed
 """
