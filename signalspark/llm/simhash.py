@@ -78,17 +78,18 @@ def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2, dense: int =
     filed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _segment(F.col("fp"), bits, k).alias("value")) for k in range(segments)))).alias("s")).select("s.seg", "s.value", F.col("fp").alias("a"))
     asked = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _ball(_segment(F.col("fp"), bits, k), bits, radius).alias("ball")) for k in range(segments)))).alias("s")).select(F.col("s.seg").alias("seg"), F.explode("s.ball").alias("value"), F.col("fp").alias("b"))
     crowded = stored(filed.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("seg", "value"))
+    # Spark takes exploded rows for as few as they came from, so these joins are told not to broadcast
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
-        return filed.join(asked, ["seg", "value"]).filter(near).select(*ordered).distinct()
-    sparse = filed.join(crowded, ["seg", "value"], "left_anti").join(asked, ["seg", "value"]).filter(near).select(*ordered)
+        return filed.join(asked.hint("merge"), ["seg", "value"]).filter(near).select(*ordered).distinct()
+    sparse = filed.join(crowded, ["seg", "value"], "left_anti").join(asked.hint("merge"), ["seg", "value"]).filter(near).select(*ordered)
     inside = asked.join(crowded, ["seg", "value"], "left_semi").select(F.col("b").alias("fp")).distinct()
     point_radius = [0] + [1 << b for b in range(63)] + [-(1 << 63)]
     points = inside.select("fp", F.explode(F.transform(F.array(*(F.lit(f).cast("long") for f in point_radius)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
     if max_bits == 2:  # both within one bit of a point: within two bits of each other
         meeting = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top"))
-        star = points.join(meeting.filter(F.col("a") != F.col("top")).select("point", "a"), "point").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+        star = points.join(meeting.filter(F.col("a") != F.col("top")).select("point", "a").hint("merge"), "point").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     else:  # a fingerprint within one bit is itself a point
         star = points.join(inside.select(F.col("fp").alias("point")), "point").filter(near_pair("fp", "point", max_bits)).select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
     return sparse.unionByName(star).distinct()
