@@ -64,7 +64,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = tokenizer_files()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_digests(docs, vocabulary=vocabulary, pattern=pattern).drop("text")
+    return token_digests(docs, vocabulary=vocabulary, pattern=pattern, max_states=220_000, max_memo=1_400_000).drop("text")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
