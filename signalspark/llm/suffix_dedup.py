@@ -255,7 +255,7 @@ def _removed(text: Column, spans: Column, window: int) -> Column:
     return of(text, spans)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = GRAM, block_bytes: int = 4 << 20, crowd: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = GRAM, block_bytes: int = 2 << 20, crowd: int = 10_000) -> DataFrame:
     """docs plus kept (binary), n_bytes, n_removed and n_spans: without each byte of a `window`-byte string found twice.
 
     Strings are judged on the input, within and across documents; matches never cross documents; overlaps count. Null
