@@ -91,9 +91,6 @@ def mapping_of(schema: T.StructType, mappings=MAPPINGS) -> Mapping:
     return found
 
 
-_TURNS = "conv_id", "turn", "part", "role", "text"
-
-
 def turns_of_rows(df: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """(conv_id, turn, part, role, text) of a DataFrame with one turn a row; null texts and roles are empty.
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import cache
-from hashlib import sha256
 from re import _constants as op
 from re import _parser as parser
 
