@@ -2,7 +2,7 @@
 
 Each text becomes a 64-bit fingerprint of its word shingles. Distinct fingerprints are filed under each of their
 segments; every fingerprint enumerates the small Hamming ball around each segment, fetches the filed fingerprints and
-verifies the complete distance. Components of the links are found by pointer jumping over stored tables.
+verifies the complete distance. Components of the links are found by hooking and pointer jumping over stored tables.
 """
 
 from __future__ import annotations
@@ -99,24 +99,38 @@ def near_pair(a: str, b: str, max_bits: int) -> Column:
     return (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits)
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, for nodes that have an edge (a, b).
 
-    Each round takes the smallest label around a node and then that label's label, so the rounds grow with the
-    logarithm of a component's diameter; every round is stored.
+    Each round hooks every node on the smallest of itself and its neighbours, follows the hooks to their roots by
+    pointer jumping, and goes on with the edges between different roots. A root on which nothing hooked has a smaller
+    neighbour in the next round, so two rounds at least halve the nodes, whatever the shape of a component; a round
+    has as many jumps as the logarithm of its longest chain of hooks. Every round is stored.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    label = stored(label)
-    for _ in range(max_rounds):
-        around = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
-        closer = label.join(around, F.col("node") == F.col("at")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = label.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        stepped = stored(closer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        label = stepped.select("node", "label")
-        if stepped.filter(F.col("old") != F.col("label")).isEmpty():
-            return label
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+    edges, hooks = stored(edges.select("a", "b")), []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks.append(_roots(stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))))
+        at_a, at_b = (hooks[-1].select(F.col("node").alias(f"node_{x}"), F.col("label").alias(f"root_{x}")) for x in "ab")
+        between = edges.join(at_a, F.col("a") == F.col("node_a")).join(at_b, F.col("b") == F.col("node_b")).filter(F.col("root_a") != F.col("root_b"))
+        edges = stored(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    label = hooks.pop()
+    while hooks:  # a root of an earlier round may have been hooked later
+        later = label.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        label = stored(hooks.pop().join(later, F.col("label") == F.col("via"), "left").select("node", F.coalesce("further", "label").alias("label")))
+    return label
+
+
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(node, label) with each label followed to the end; labels are nodes, and smaller unless a node is a root."""
+    while True:
+        up = hooks.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        jumped = stored(hooks.join(up, F.col("label") == F.col("via")).select("node", F.col("label").alias("old"), F.col("further").alias("label")))
+        hooks = jumped.select("node", "label")
+        if jumped.filter(F.col("old") != F.col("label")).isEmpty():
+            return hooks
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, segments: int = 2, dense: int = 1000) -> DataFrame:

@@ -77,3 +77,29 @@ def test_long_chain_of_links(spark):
     random.Random(4).shuffle(nodes)
     edges = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long")
     assert {r.label for r in components(edges).collect()} == {0}
+
+
+def path(nodes):
+    return list(zip(nodes, nodes[1:], strict=False))
+
+
+def shuffled(n):
+    nodes = list(range(0, 2 * n, 2))
+    random.Random(4).shuffle(nodes)
+    return nodes
+
+
+def test_chains_of_any_length_and_shape(spark):
+    saw = [x for i in range(600) for x in (i, 5000 + i)]
+    for nodes in (shuffled(350), shuffled(3000), saw, saw[::-1]):
+        got = {r.node: r.label for r in components(spark.createDataFrame(path(nodes), "a long, b long")).collect()}
+        assert got == dict.fromkeys(nodes, 0)
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(900, 900), (7, 8), (8, 7), (7, 8)]
+    linked = {frozenset(e) for e in edges}
+    root = groups({n for e in edges for n in e}, lambda a, b: frozenset((a, b)) in linked)
+    assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
