@@ -135,17 +135,30 @@ def hum_verdict(trace: DataFrame, keys: list[str], jump_hz: float = 0.08) -> Dat
 
 
 def flicker(frames: DataFrame, keys: list[str], fps: float, value: str, low: float = 0.2, high: float = 4.0) -> DataFrame:
-    """(keys, hz, ratio): the strongest slow tone of a luma series against the median power of the band.
+    """(keys, hz, ratio): the strongest slow tone of a luma series against the median power of all its frequencies.
 
-    Power at each of the band's frequencies is a pair of sums over the frames, so the series is never gathered.
+    Every frequency of the band is searched: a series of at least four seconds is gathered, as two numbers a frame,
+    and transformed whole. Frames without a value count as the mean.
     """
-    span = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).filter(F.col("n") >= 4 * fps)
-    bins = span.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(low * F.col("n") / fps)), F.least(F.floor(high * F.col("n") / fps), F.floor(low * F.col("n") / fps) + 400))))
-    angle = 2 * np.pi * F.col("k") * F.col("frame") / F.col("n")
-    hann = 0.5 - 0.5 * F.cos(2 * np.pi * F.col("frame") / (F.col("n") - 1))
-    x = (F.col(value) - F.col("mean")) * hann
-    power = frames.join(bins, keys).groupBy(*keys, "k", "n").agg((F.pow(F.sum(x * F.cos(angle)), 2) + F.pow(F.sum(x * F.sin(angle)), 2)).alias("power"))
-    return power.groupBy(*keys).agg((F.max_by("k", "power") * fps / F.first("n")).alias("hz"), (F.max("power") / (median(F.col("power")) + 1e-12)).alias("ratio"))
+    types = frames.schema
+
+    def tone(rows: pd.DataFrame) -> pd.DataFrame:
+        n = len(rows)
+        frame, x = rows["_frame"].to_numpy(np.int64), rows["_x"].to_numpy(np.float64)
+        x = np.nan_to_num(x - np.nanmean(x) if not np.isnan(x).all() else np.zeros(n))
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * frame / (n - 1))
+        power = np.abs(np.fft.rfft(np.bincount(frame % n, x * hann, n))) ** 2
+        hz = np.arange(len(power)) * fps / n
+        band = np.flatnonzero((hz >= low) & (hz <= high) & (hz > 0))
+        out = rows[keys].iloc[:1].copy()
+        if not len(band):
+            return out.iloc[:0].assign(hz=0.0, ratio=0.0)
+        k = band[np.argmax(power[band])]
+        return out.assign(hz=hz[k], ratio=power[k] / (np.median(power[1:]) + 1e-12))
+
+    long = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= 4 * fps) & (F.col("_n") > 1)).drop("_n")
+    series = frames.join(long, keys, "left_semi").select(*keys, F.col("frame").alias("_frame"), F.col(value).cast("double").alias("_x"))
+    return series.groupBy(*keys).applyInPandas(tone, T.StructType([*(types[k] for k in keys), T.StructField("hz", T.DoubleType()), T.StructField("ratio", T.DoubleType())]))
 
 
 def novelty(features: DataFrame, keys: list[str], half: int, x: str = "flux") -> DataFrame:

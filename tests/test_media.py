@@ -135,6 +135,19 @@ def test_flicker_tone(spark):
     assert got[1].hz == pytest.approx(1.0, abs=0.2) and got[1].ratio > 100 and got[0].ratio < 25
 
 
+def test_flicker_in_long_series(spark):
+    rng = np.random.default_rng(7)
+    tones, n = (None, 0.5, 2.0, 3.9), 15000  # ten minutes
+    v = [100 + (np.sin(2 * np.pi * hz * np.arange(n) / 25) if hz else 0) + rng.normal(0, 1, n) for hz in tones]
+    rows = [(m, i, float(x)) for m, one in enumerate(v) for i, x in enumerate(one)]
+    got = {r.media: r for r in signals.flicker(spark.createDataFrame(rows, "media int, frame long, v double"), K, 25.0, "v").collect()}
+    for m, one in enumerate(v):
+        power = np.abs(np.fft.rfft((one - one.mean()) * np.hanning(n))) ** 2
+        band = power * ((np.fft.rfftfreq(n, 1 / 25) >= 0.2) & (np.fft.rfftfreq(n, 1 / 25) <= 4.0))
+        assert got[m].hz == pytest.approx(np.argmax(band) * 25 / n) and got[m].ratio == pytest.approx(band.max() / np.median(power[1:]), rel=1e-6)
+        assert tones[m] is None or (got[m].hz == pytest.approx(tones[m], abs=0.01) and got[m].ratio > 1000)
+
+
 def test_reused_passage(spark):
     rng = np.random.default_rng(6)
     v = rng.random((60, 6))
