@@ -105,10 +105,44 @@ def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, ban
 
 
 def loops(frames: DataFrame, keys: list[str], hash_col: str, least: int, kinds: int = 3) -> DataFrame:
+    """(keys, delta, source, repeat, n): every longest stretch of frames that comes again, hash for hash, `delta`
+    frames later.
+
+    A stretch has `kinds` different pictures (2 at least) and one for each four frames, and isn't longer than its
+    distance. So it has a certain number of changes of picture in a row: held frames are collapsed to runs, and only
+    places with that many equal changes are paired, with all such places before them. Material of period p makes
+    frames * frames / p pairs.
+    """
+    if kinds < 2:
+        raise ValueError("a stretch has two different pictures at least")
+    changes = max(kinds, least // 4) - 1
+    w = along(keys, ["frame"])
+    broken = F.coalesce(F.col("frame") != F.lag("frame").over(w) + 1, F.lit(True))  # frames are missing before it
+    marked = frames.select(*keys, F.col("frame").cast("long").alias("frame"), F.col(hash_col).alias("_h"))
+    marked = marked.withColumn("_broken", broken).withColumn("_new", F.col("_broken") | ~F.col("_h").eqNullSafe(F.lag("_h").over(w)))
+    counted = marked.withColumn("_part", F.sum(F.col("_broken").cast("long")).over(w)).withColumn("_run", F.sum(F.col("_new").cast("long")).over(w))
+    runs = counted.groupBy(*keys, "_part", "_run").agg(F.min("frame").alias("_at"), F.count(F.lit(1)).alias("_len"), F.first("_h").alias("_h"))
+    row = F.collect_list(F.struct("_h", "_at", "_len")).over(along([*keys, "_part"], ["_run"]).rowsBetween(-1, changes - 1))
+    places = runs.withColumn("_row", row).filter(F.size("_row") == changes + 1)
+    inner = F.transform("_row", lambda r, i: F.struct(r["_h"].alias("h"), F.when((i > 0) & (i < changes), r["_len"]).alias("len")))
+    first, last = F.element_at("_row", 1), F.element_at("_row", -1)
+    places = places.select(*keys, inner.alias("_like"), "_run", "_at", first["_h"].alias("_h"), first["_len"].alias("_before"), last["_at"].alias("_last"), last["_len"].alias("_after"))
+    again = places.select(*keys, "_like", F.col("_run").alias("_run_b"), F.col("_at").alias("_at_b"), F.col("_before").alias("_before_b"), F.col("_after").alias("_after_b"))
+    met = places.join(again, [*keys, "_like"]).filter(F.col("_at") < F.col("_at_b"))
+    met = met.select(*keys, (F.col("_at_b") - F.col("_at")).alias("delta"), (F.col("_run_b") - F.col("_run")).alias("_ahead"), "_run", "_like", "_h", (F.col("_at") - F.least("_before", "_before_b")).alias("_from"), (F.col("_last") + F.least("_after", "_after_b")).alias("_to"))
+    chained = met.withColumn("_chain", F.col("_run") - F.row_number().over(along([*keys, "delta", "_ahead"], ["_run"])))
+    pictures = F.concat(F.collect_set("_h"), F.transform(F.max_by("_like", "_run"), lambda r: r["h"]))
+    out = chained.groupBy(*keys, "delta", "_ahead", "_chain").agg(F.min_by("_from", "_run").alias("source"), F.max_by("_to", "_run").alias("_to"), F.size(F.filter(F.array_distinct(pictures), lambda h: h.isNotNull())).alias("_kinds"))
+    out = out.withColumn("n", F.col("_to") - F.col("source")).withColumn("repeat", F.col("source") + F.col("delta"))
+    varied = F.col("_kinds") >= F.greatest(F.lit(kinds), F.floor(F.col("n") / 4))
+    return out.filter((F.col("n") >= least) & (F.col("n") <= F.col("delta")) & varied).select(*keys, "delta", "source", "repeat", "n")
+
+
+def next_loops(frames: DataFrame, keys: list[str], hash_col: str, least: int, kinds: int = 3) -> DataFrame:
     """(keys, delta, source, repeat, n): stretches of frames that come again, hash for hash, `delta` frames later.
 
-    A frame is paired with the next frame of its hash only, so a still picture doesn't make all pairs; stretches are
-    the runs of one distance. A stretch needs some different pictures and may not be longer than its distance.
+    A frame is paired with the next frame of its hash only, and stretches are the runs of one distance: held frames and
+    pictures that come in between hide a stretch. loops() finds all. A stretch needs some different pictures and may not be longer than its distance.
     """
     w = Window.partitionBy(*keys, hash_col).orderBy("frame")
     paired = frames.withColumn("_later", F.lead("frame").over(w)).filter("_later IS NOT NULL").withColumn("delta", F.col("_later") - F.col("frame"))

@@ -463,7 +463,7 @@ def hash_hamming_pairs(spark, sf):
 r AS (SELECT *, frame - row_number() OVER (PARTITION BY media, delta ORDER BY frame) AS run FROM d)
 SELECT media, delta, min(frame) AS source, min(later) AS repeat, count(*) AS n FROM r GROUP BY media, delta, run HAVING count(*) >= 2 AND count(*) <= delta AND count(DISTINCT h) >= greatest(2, count(*) // 4)""")
 def loop_runs(spark, sf):
-    return joins.loops(frames(spark, sf).withColumn("h", F.floor(F.col("value") / 10)), K, "h", 2, 2)
+    return joins.next_loops(frames(spark, sf).withColumn("h", F.floor(F.col("value") / 10)), K, "h", 2, 2)
 
 
 @query("""WITH s AS (SELECT l_orderkey AS media, l_shipdate AS created, l_extendedprice AS d FROM lineitem), j AS (SELECT o_orderkey AS media, bool_or(s.created <> o_orderdate) AS td, bool_or(abs(s.d - o_totalprice) > greatest(1, 0.05 * o_totalprice)) AS dd FROM orders JOIN s ON o_orderkey = media GROUP BY o_orderkey)

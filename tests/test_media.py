@@ -148,6 +148,41 @@ def test_flicker_in_long_series(spark):
         assert tones[m] is None or (got[m].hz == pytest.approx(tones[m], abs=0.01) and got[m].ratio > 1000)
 
 
+def plain_loops(h, least, kinds):
+    """h: frame -> hash. Every longest stretch, frame by frame."""
+    out = []
+    for delta in range(1, max(h) + 1):
+        same = lambda f, d=delta: f in h and f + d in h and h[f] == h[f + d]
+        for a in (f for f in h if same(f) and not same(f - 1)):
+            n = next(k for k in range(1, len(h) + 1) if not same(a + k))
+            seen = {h[f] for f in range(a, a + n)} - {None}
+            if least <= n <= delta and len(seen) >= max(kinds, n // 4):
+                out.append((delta, a, a + delta, n))
+    return sorted(out)
+
+
+def test_loops_of_held_and_interrupted_frames(spark):
+    rng = random.Random(8)
+    new = lambda n: [rng.getrandbits(40) for _ in range(n)]
+    clip, black = new(50), 0
+    doubled = [x for x in new(40) + clip + new(70) + clip + new(10) for _ in range(2)]
+    cut = clip[:25] + [black] + clip[25:]
+    dark = [black] + cut + [black] * 9 + new(30) + [black] + new(40) + cut + new(5)
+    thrice = clip + new(60) + clip[:40] + new(60) + clip
+    noise = [[rng.choice([None, 1, 2, 3, 4]) for _ in range(90) for _ in range(rng.choice([1, 1, 3]))] for _ in range(4)]
+    media = [dict(enumerate(x)) for x in (doubled, dark, thrice, *noise)]
+    media += [{f: x for f, x in m.items() if f not in (40, 90, 91)} for m in media[2:5]]  # missing frames
+    df = spark.createDataFrame([(m, f, x) for m, one in enumerate(media) for f, x in one.items()], "media int, frame long, h long")
+    for least, kinds in ((30, 3), (3, 2), (5, 3)):
+        got = joins.loops(df, K, "h", least, kinds).collect()
+        for m, one in enumerate(media):
+            assert sorted((r.delta, r.source, r.repeat, r.n) for r in got if r.media == m) == plain_loops(one, least, kinds)
+        if least == 30:
+            assert [(r.source, r.repeat, r.n) for r in got if r.media == 0] == [(80, 320, 100)]
+            assert [(r.source, r.n) for r in got if r.media == 1] == [(1, 51)]
+            assert len([r for r in got if r.media == 2]) == 3
+
+
 def test_reused_passage(spark):
     rng = np.random.default_rng(6)
     v = rng.random((60, 6))
