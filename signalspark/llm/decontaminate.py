@@ -34,10 +34,10 @@ class TestSet:
     begin: np.ndarray  # where each distinct window begins in text
     size: np.ndarray  # words of each window
     owners: list[np.ndarray]  # places in items, for each window
-    items: list[str]
+    items: list[str | None]
 
 
-def test_set(items: list[tuple[str, bytes]], window: int) -> TestSet:
+def test_set(items: list[tuple[str | None, bytes]], window: int) -> TestSet:
     words = Words([t for _, t in items], WORD, FOLD)
     hashes = words.hashes()
     vocabulary = np.unique(hashes)
@@ -144,9 +144,9 @@ def search_shard(texts: list[bytes], tests: TestSet) -> list[tuple[int, list[int
     return out
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_mb: int) -> Iterator[list[tuple[str, bytes]]]:
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_mb: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of at most about block_mb MB (a longer item is a block of its own)."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(F.col(f"`{text_col}`")).alias("text")).filter(F.col("item").isNotNull() & (F.length("text") > 0))
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(F.col(f"`{text_col}`")).alias("text")).filter(F.length("text") > 0)
     block, room = [], block_mb * 1_000_000
     for row in rows.toLocalIterator():
         if block and room < len(row.text):
@@ -161,7 +161,7 @@ _RESULT = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("
 _COMPILED: dict = {}
 
 
-def _compiled(name: str, items: list[tuple[str, bytes]], window: int) -> TestSet:
+def _compiled(name: str, items: list[tuple[str | None, bytes]], window: int) -> TestSet:
     """A block, ready to be searched for; a worker keeps the one it used last."""
     if _COMPILED.get("name") != (name, window):
         _COMPILED.update(name=(name, window), tests=test_set(items, window))
@@ -173,16 +173,16 @@ def _match(shared: Broadcast, window: int) -> Callable[[Column], Column]:
     def of(texts: pa.Array) -> pa.Array:
         tests = _compiled(*shared.value, window)
         found = [x for part in slices(texts) for x in search_shard(part, tests)]
-        return pa.array([{"n_words": n, "hits": hits, "items": sorted({tests.items[i] for i in own}), "longest": longest} for n, hits, own, longest in found], _RESULT)
+        return pa.array([{"n_words": n, "hits": hits, "items": sorted({tests.items[i] for i in own}, key=lambda i: (i is None, i or "")), "longest": longest} for n, hits, own, longest in found], _RESULT)
 
     return of
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_mb: int = 16) -> DataFrame:
-    """docs plus `match`: n_words, hits (places of hit words), items (sorted ids as strings), longest (run of hit words).
+    """docs plus `match`: n_words, hits (places of hit words), items (sorted ids as strings, null last), longest (run of hit words).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
-    Items without an id can't be named and are left out.
+    Items without an id are searched for like others and share the id null.
     """
     out = None
     for items in _item_blocks(benchmark, item_col, item_text_col, block_mb):
@@ -207,6 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, hits_per_100: int =
 
     A document is contaminated if it has a hit word and hit words are at least hits_per_100 of 100. Null and empty
     texts have no words; an item without words has no window; a repeated window or item counts once for each item id.
+    Items without an id count as one item in n_items, and add nothing to the names of items_sha256.
     Columns with these names are replaced. Empty tables give no hits or no rows.
     """
     names = ("n_words", "n_hit", "n_items", "items_sha256", "longest_match", "contaminated", "match", "more")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 from cases import frame, lowered, sha, texts
 
 from signalspark.llm.decontaminate import contamination, drop_contaminated
@@ -66,3 +67,24 @@ def test_filter_and_empty_tables(spark):
     assert kept.count() == sum(not x[-1] for x in brute(rows, items, 13))
     assert drop_contaminated(docs, bench.limit(0)).count() == docs.count()
     assert contamination(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id(spark, monkeypatch):
+    from signalspark.llm import decontaminate
+    from signalspark.llm.queries import ORACLE_SQL
+
+    passage, other = (" ".join(f"{w}{i}" for i in range(20)) for w in "pq")
+    rows = [(1, f"before {passage} after"), (2, f"{passage} {other}"), (3, other), (4, "nothing of it"), (5, "short one")]
+    items = [(None, passage), (None, "short one"), (7, other), (7, passage), (8, other), (None, passage.upper())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({ORACLE_SQL["op9_decontamination"]})").fetchall())
+    assert [r[2:4] for r in want] == [(20, 2), (40, 3), (20, 2), (0, 0), (2, 1)] and want[4][4] == sha("")
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    for blocks in (None, [[(None if i is None else str(i), t.encode())] for i, t in items]):
+        if blocks:
+            monkeypatch.setattr(decontaminate, "_item_blocks", lambda *a, b=blocks: iter(b))
+        got = contamination(docs, bench, window=13)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == want
+        assert [r.doc_id for r in drop_contaminated(docs, bench, window=13).collect()] == [4]
