@@ -2,11 +2,10 @@
 
 Two equal windows of W bytes choose the same anchor, the window's K-byte gram of least hash. Neighbouring window starts
 with one anchor are a run, and a run's bytes are a piece. Pieces that are equal as a whole are found by their hash; a
-piece that shares its anchor with other pieces only is settled on its bytes: pieces are sorted into shards, and the
-shards' Burrows-Wheeler transforms are merged by iterative interleave refinement. A refinement takes the merged order
-at depth h, steps every suffix back over the symbol before it and deals the suffixes stably by that symbol; with the
-h-byte block before a suffix as its symbol the depth doubles. No suffixes are compared or sorted anew, and the
-intervals that are left at depth W are the repeated windows.
+piece that shares its anchor with other pieces only is settled on its bytes, by prefix doubling in place of a merge of
+Burrows-Wheeler transforms: suffixes start in blocks of one first byte, and each round sorts those that aren't alone
+by the numbers of two blocks, their own and that of the bytes behind it, which doubles the depth. The order inside the
+shards' suffix arrays doesn't matter to it. The blocks that are left at depth W are the repeated windows.
 """
 
 from __future__ import annotations
@@ -126,8 +125,8 @@ def shard_order(pieces: Pieces, first: int, last: int, depth: int) -> np.ndarray
 def merged_intervals(pieces: Pieces, shards: list[np.ndarray], depth: int) -> np.ndarray:
     """For each byte the number of its block of suffixes with `depth` equal first bytes, or -1 if it stands alone.
 
-    The interleave of the shards at depth 1 follows from the first bytes; each round of refinement deals the suffixes
-    by the symbol before those that are already in order. Suffixes alone in their block are settled and leave.
+    Blocks at depth 1 follow from the first bytes, in whatever order the shards come; each round sorts the suffixes by
+    the block numbers of the round before (prefix doubling). Suffixes alone in their block are settled and leave.
     """
     block = np.full(len(pieces.data), -1, np.int32)
     order = np.concatenate(shards)
