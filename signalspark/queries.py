@@ -2,6 +2,9 @@
 
 The tables stand in for media: a user's events are the frames of a file, a supplier's line items its packets, orders
 its intervals, conversations its captions, texts its bytes, vectors its fingerprints.
+
+An order has one interval, from its date to the shipping of its first line (l_linenumber = 1), in the queries' SQL as
+here. segment_clean, chained_segments, speech_complement and caption_coverage don't see the other lines of an order.
 """
 
 from __future__ import annotations
