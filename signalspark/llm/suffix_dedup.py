@@ -1,11 +1,13 @@
 """Suffix-array dedup of byte strings over all documents.
 
 Two equal windows of W bytes choose the same anchor, the window's K-byte gram of least hash. Neighbouring window starts
-with one anchor are a run, and a run's bytes are a piece. Pieces that are equal as a whole are found by their hash; a
-piece that shares its anchor with other pieces only is settled on its bytes, by prefix doubling in place of a merge of
-Burrows-Wheeler transforms: suffixes start in blocks of one first byte, and each round sorts those that aren't alone
-by the numbers of two blocks, their own and that of the bytes behind it, which doubles the depth. The order inside the
-shards' suffix arrays doesn't matter to it. The blocks that are left at depth W are the repeated windows.
+with one anchor are a run, and a run's bytes are a piece. Copies of a piece are counted by hash, so one piece stands for
+all of them; pieces that share an anchor but differ are gathered, and a task merges them block by block: the pieces are
+dealt to shards, each shard's suffixes are sorted once and give its Burrows-Wheeler transform, and the transforms are
+merged by refining their interleave. Each round deals the rows stably by the symbol before them and steps to the rows
+of the suffixes that begin there, so the interleave is in order one byte deeper; no suffix is compared or sorted anew.
+A boundary between two rows that appears in round k says that their common prefix is k bytes. Rows that W rounds leave
+without a boundary between them are the repeated windows.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (anchor hash, piece hash, first start, starts) of a text's runs; no run reaches over a stretch."""
+    """Arrays (anchor hash, piece hash, first start, starts, anchor's place in the piece) of a text's runs; no run
+    reaches over a stretch."""
     for first in range(0, max(1, len(text) - window + 1), STRETCH):
         buf = np.frombuffer(text[first : first + STRETCH + window - 1], np.uint8)
         if len(buf) < window:
@@ -64,10 +67,10 @@ def runs_of(text: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, .
         anchor = chosen[start]
         starts = np.diff(start, append=len(chosen))
         piece = hashes.of(start, start + starts + window - 1) ^ mixed((anchor - start).astype(np.uint64))
-        yield grams[anchor].view(np.int64), piece.view(np.int64), start + first, starts
+        yield grams[anchor].view(np.int64), piece.view(np.int64), start + first, starts, anchor - start
 
 
-_RUN = pa.struct([("g", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+_RUN = pa.struct([("g", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("a", pa.int32())])
 
 
 def _lists(parts: list[list[tuple[np.ndarray, ...]]], kind: pa.StructType) -> pa.ListArray:
@@ -79,96 +82,172 @@ def _lists(parts: list[list[tuple[np.ndarray, ...]]], kind: pa.StructType) -> pa
 
 
 def _runs(text: Column, window: int, gram: int) -> Column:
-    @F.arrow_udf("array<struct<g: bigint, h: bigint, s: int, n: int>>")
+    @F.arrow_udf("array<struct<g: bigint, h: bigint, s: int, n: int, a: int>>")
     def of(texts: pa.Array) -> pa.Array:
-        return _lists([[(g, h, s.astype(np.int32), n.astype(np.int32)) for g, h, s, n in runs_of(t, window, gram)] for part in slices(texts) for t in part], _RUN)
+        return _lists([[(g, h, *(x.astype(np.int32) for x in places)) for g, h, *places in runs_of(t, window, gram)] for part in slices(texts) for t in part], _RUN)
 
     return of(text)
 
 
-@dataclass
-class Pieces:
-    """Byte strings one after the other: the bytes, and for each byte its place in its string and how many are left."""
-
-    data: np.ndarray
-    place: np.ndarray
-    left: np.ndarray
-
-    @classmethod
-    def of(cls, strings: list[bytes]) -> Pieces:
-        sizes = np.array([len(s) for s in strings], np.int64)
-        ends = np.cumsum(sizes)
-        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
-        return cls(np.frombuffer(b"".join(strings), np.uint8), place, np.repeat(sizes, sizes) - place)
-
-
-def shard_order(pieces: Pieces, first: int, last: int, depth: int) -> np.ndarray:
-    """The suffix array of one shard, the bytes first..last of whole strings, to `depth` bytes."""
-    n = last - first
-    rank = pieces.data[first:last].astype(np.int64) + 1
-    left = pieces.left[first:last]
-    order, h = np.argsort(rank.astype(np.int16), kind="stable"), 1
-    while h < depth:
-        following = np.zeros(n, np.int64)
-        inside = np.flatnonzero(left > h)
-        following[inside] = rank[inside + h]
-        key = rank * (n + 257) + following
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        h *= 2
-        if rank[order[-1]] == n:
+@dataclass(frozen=True)
+class Shard:
+    """The transform of some strings, each closed by a sentinel that sorts before all bytes, and by its string's number.
+
+    order: text position of each row (strings one after the other, a sentinel after each); before: the byte before each
+    row's suffix (0 at the beginning of a string); first: how many rows begin with a sentinel, and with each byte value.
+    """
+
+    order: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray  # rows of whole strings: nothing stands before them
+
+
+def shard_of(strings: list[bytes]) -> Shard:
+    """Sorts the suffixes of the strings: the first symbols packed with the position are sorted at once, then suffixes
+    that are still tied by the ranks of their halves."""
+    sizes = np.array([len(s) + 1 for s in strings], np.int64)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    symbol = np.empty(n, np.uint64)  # byte plus 1; 0 is the sentinel
+    symbol[:] = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    symbol += np.uint64(1)
+    symbol[ends - 1] = 0
+    left = np.repeat(ends - 1, sizes) - np.arange(n)  # symbols before the string's sentinel
+    bits = n.bit_length()
+    depth = (64 - bits) // 9
+    packed = symbol.copy()
+    for k in range(1, depth):
+        packed <<= np.uint64(9)
+        ahead = np.zeros(n, np.uint64)
+        ahead[:-k] = symbol[k:]
+        ahead[left < k] = 0  # nothing behind the sentinel counts
+        packed |= ahead
+    packed <<= np.uint64(bits)
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int32)
+    key = packed >> np.uint64(bits)
+    # a suffix that has met its sentinel is settled: equal ones stand in the order of their strings
+    new = np.diff(key, prepend=~key[:1]) != 0
+    new |= left[order] < depth
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(slots):
+        at = order[slots]
+        packed = rank[at].astype(np.uint64) << np.uint64(bits) | rank[at + depth].astype(np.uint64)
+        dealt = np.argsort(packed)
+        order[slots] = at = at[dealt]
+        packed = packed[dealt]
+        new = np.diff(packed, prepend=~packed[:1]) != 0
+        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        slots = slots[~(new & np.append(new[1:], True))]
+        depth *= 2
+    before = symbol[order - 1]
+    data = (before - np.uint64(1)).astype(np.uint8)
+    data[before == 0] = 0
+    return Shard(order, data, np.bincount(symbol.astype(np.int64), minlength=257), before == 0)
+
+
+def merged(shards: list[Shard], depth: int, wanted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, blocks): rows whose suffixes share their first `depth` bytes with another's, and the number of each one's block.
+
+    Rows of all shards are numbered through. Only the transforms are read. `wanted` marks the rows from which `depth` - 1
+    steps to the left stay in their string; others are never asked for. A row alone in its block stays alone with every
+    byte before it, so it leaves the merge with the length of its longest common prefix known.
+    """
+    steps, firsts, offset = [], [], 0
+    for shard in shards:  # the row of the suffix that begins a byte earlier: as many rows before it as lesser symbols
+        step = np.empty(len(shard.before), np.int32)
+        begins = np.flatnonzero(shard.starts)
+        inner = np.flatnonzero(~shard.starts)
+        step[begins] = np.arange(offset, offset + len(begins))
+        step[inner[np.argsort(shard.before[inner], kind="stable")]] = np.arange(offset + len(begins), offset + len(step))
+        steps.append(step)
+        firsts.append(np.repeat(np.arange(-1, 256), shard.first))
+        offset += len(step)
+    step, before = np.concatenate(steps), np.concatenate([s.before for s in shards])
+    first = np.concatenate(firsts)
+    row = np.flatnonzero((first >= 0) & np.concatenate(wanted)).astype(np.int32)
+    # interleaved by the first byte: for each byte the rows of the first shard, then the second's
+    row = row[np.argsort(first[row].astype(np.uint8), kind="stable")]
+    boundary = np.diff(first[row], prepend=-2) != 0
+    row, block = _shared(row, boundary)
+    for _ in range(1, depth):
+        if not len(row):
             break
-    return order + first
+        symbol = before[row]
+        dealt = np.argsort(symbol, kind="stable")
+        symbol, block = symbol[dealt], block[dealt]
+        row = step[row[dealt]]
+        boundary = np.empty(len(row), bool)
+        boundary[0] = True
+        np.not_equal(symbol[1:], symbol[:-1], out=boundary[1:])
+        boundary[1:] |= block[1:] != block[:-1]
+        row, block = _shared(row, boundary)
+    return row, block
+
 
+def _shared(row: np.ndarray, boundary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that aren't alone between two boundaries, and their blocks' numbers."""
+    block = np.cumsum(boundary, dtype=np.int32)
+    kept = ~(boundary & np.append(boundary[1:], True))
+    return row[kept], block[kept]
 
-def merged_intervals(pieces: Pieces, shards: list[np.ndarray], depth: int) -> np.ndarray:
-    """For each byte the number of its block of suffixes with `depth` equal first bytes, or -1 if it stands alone.
 
-    Blocks at depth 1 follow from the first bytes, in whatever order the shards come; each round sorts the suffixes by
-    the block numbers of the round before (prefix doubling). Suffixes alone in their block are settled and leave.
+def repeated_starts(strings: list[bytes], window: int, shard_bytes: int = 1 << 17, asked: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each string the places where a window begins that also begins elsewhere among the strings.
+
+    asked: a boolean for each byte and sentinel, false where the window that begins there is known to stand alone.
     """
-    block = np.full(len(pieces.data), -1, np.int32)
-    order = np.concatenate(shards)
-    order = order[np.argsort(pieces.data[order], kind="stable")]
-    order, block = _blocks(order, pieces.data[order], block)
-    steps = [depth]
-    while steps[-1] > 1:
-        steps.append((steps[-1] + 1) // 2)
-    for h, deeper in zip(steps[:0:-1], steps[-2::-1], strict=True):
-        back = deeper - h
-        before = order[pieces.place[order] >= back] - back
-        before = before[block[before] >= 0]
-        dealt = np.argsort(block[before], kind="stable")
-        order = before[dealt]
-        # the common prefix grows over a boundary only if both symbols and both blocks behind them are equal
-        order, block = _blocks(order, block[order].astype(np.int64) << 32 | block[order + back], np.full(len(block), -1, np.int32))
-    return block
-
-
-def _blocks(order: np.ndarray, key: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers the blocks of equal keys and drops suffixes alone in theirs."""
-    new = np.diff(key.astype(np.int64), prepend=-1) != 0
-    number = np.cumsum(new)
-    shared = np.bincount(number, minlength=1)[number] > 1 if len(number) else new
-    order = order[shared]
-    block[order] = number[shared]
-    return order, block
-
-
-def repeated_starts(strings: list[bytes], window: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
-    """For each string the places where a window begins that also begins elsewhere among the strings."""
-    pieces = Pieces.of(strings)
-    ends = np.cumsum([len(s) for s in strings])
+    ends = np.cumsum([len(s) + 1 for s in strings])
     cuts = [0]
-    for end in ends.tolist():
-        if end - cuts[-1] >= shard_bytes or end == ends[-1]:
-            cuts.append(end)
-    shards = [shard_order(pieces, a, b, window) for a, b in zip(cuts, cuts[1:])]
-    again = merged_intervals(pieces, shards, window) >= 0
+    for k, end in enumerate(ends.tolist()):
+        if end - (ends[cuts[-1] - 1] if cuts[-1] else 0) >= shard_bytes or k == len(strings) - 1:
+            cuts.append(k + 1)
+    shards = [shard_of(strings[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    begins = ends - np.array([len(s) + 1 for s in strings])
+    text = np.concatenate([s.order + (begins[a] if len(begins) else 0) for s, a in zip(shards, cuts, strict=False)])
+    # a window's row is first met at its last byte
+    last = np.arange(ends[-1]) - np.repeat(begins, np.diff(ends, prepend=0)) >= window - 1
+    if asked is not None:
+        last[window - 1 :] &= asked[: 1 - window] if window > 1 else asked
+    row, _ = merged(shards, window, np.split(last[text], np.cumsum([len(s.order) for s in shards])[:-1]))
+    again = np.zeros(ends[-1], bool)
+    again[text[row]] = True
     return [np.flatnonzero(x) for x in np.split(again, ends[:-1])]
 
 
+def perhaps_repeated(strings: list[bytes], anchors: np.ndarray, window: int, width: int = 32) -> np.ndarray:
+    """A boolean for each byte and sentinel: false where a window begins that can't begin elsewhere among the strings.
+
+    Equal windows begin equally far before their anchor. All windows that begin within `width` such places share a core,
+    the bytes from the last of them to the end of the first; a core that no other string has rules them out.
+    """
+    sizes = np.array([len(s) + 1 for s in strings])
+    ends = np.cumsum(sizes)
+    begins, starts = ends - sizes, np.maximum(sizes - window, 0)
+    hashes = Hashes(np.frombuffer(b"\0".join(strings) + b"\0", np.uint8))
+    nearest, farthest = (anchors - starts + 1) // width, anchors // width
+    n = np.where(starts > 0, farthest - nearest + 1, 0)
+    string = np.repeat(np.arange(len(strings)), n)
+    cell = np.repeat(nearest - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    anchor = (begins + anchors)[string]
+    core = hashes.of(anchor - cell * width, anchor - cell * width - width + 1 + window) ^ mixed(cell.astype(np.uint64))
+    _, same, times = np.unique(core, return_inverse=True, return_counts=True)
+    shared = times[same] > 1
+    out = np.zeros(ends[-1], bool)
+    # each cell's window starts in its string
+    first = np.maximum(anchor - cell * width - width + 1, begins[string])[shared]
+    past = np.minimum(anchor - cell * width + 1, (begins + starts)[string])[shared]
+    edge = np.zeros(len(out) + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, past, -1)
+    out[:] = np.cumsum(edge)[:-1] > 0
+    return out
+
+
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     """Runs of consecutive places as (first, how many)."""
     if not len(starts):
@@ -178,11 +257,12 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _settled(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """(t1, t2, s, n): repeated window starts of pieces (g, t1, t2, s, whole, piece); groups of g are merged whole."""
+    """(t1, t2, s, n): repeated window starts of pieces (g, t1, t2, s, a, whole, piece); groups of g are merged whole."""
 
     def close(held: list[tuple]) -> pd.DataFrame:
-        found = repeated_starts([h[4] for h in held], window)
-        rows = [(t1, t2, s + a, n) for (t1, t2, s, whole, _), starts in zip(held, found, strict=True) if not whole for a, n in _spans(starts)]
+        strings, anchors = [h[5] for h in held], np.array([h[4] for h in held])
+        found = repeated_starts(strings, window, asked=perhaps_repeated(strings, anchors, window))
+        rows = [(t1, t2, s + at, n) for (t1, t2, s, whole, *_), starts in zip(held, found, strict=True) if not whole for at, n in _spans(starts)]
         out = pd.DataFrame(rows, columns=["t1", "t2", "s", "n"])
         return out.astype({"t1": "int64", "t2": "int64", "s": "int32", "n": "int32"})
 
@@ -190,12 +270,12 @@ def _settled(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
         held: list[tuple] = []
         room, last = block_bytes, None
         for batch in batches:
-            for g, t1, t2, s, whole, piece in zip(batch["g"], batch["t1"], batch["t2"], batch["s"], batch["whole"], batch["piece"], strict=True):
+            for g, t1, t2, s, whole, a, piece in zip(*(batch[c] for c in ("g", "t1", "t2", "s", "whole", "a", "piece")), strict=True):
                 if g != last and room <= 0:
                     yield close(held)
                     held, room = [], block_bytes
                 last = g
-                held.append((t1, t2, s, whole, bytes(piece)))
+                held.append((t1, t2, s, whole, a, bytes(piece)))
                 room -= len(piece)
         if held:
             yield close(held)
@@ -254,13 +334,14 @@ def _removed(text: Column, spans: Column, window: int) -> Column:
     return of(text, spans)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = GRAM, block_bytes: int = 2 << 20, crowd: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = GRAM, block_bytes: int = 1 << 19, crowd: int = 1000) -> DataFrame:
     """docs plus kept (binary), n_bytes, n_removed and n_spans: without each byte of a `window`-byte string found twice.
 
     Strings are judged on the input, within and across documents; matches never cross documents; overlaps count. Null
     and empty texts have no bytes. Rows that agree in id and text are documents of their own, so all their strings
     repeat. Ids may be null or repeated. Columns with the added names are replaced. An empty table gives an empty one.
-    Anchors with over `crowd` unlike pieces are settled by counting window hashes, which spreads over tasks.
+    An anchor's unlike pieces are merged by one task, about block_bytes at a time; an anchor with over `crowd` of them is
+    a hot group, whose windows are hashed and counted instead, which spreads over tasks and finds the same.
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans")
     keep = [c for c in docs.columns if c not in added]
@@ -268,20 +349,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     key = ["t1", "t2"]  # a text's 128-bit hash: equal texts lose the same bytes
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("bytes"))
     long = named.filter(F.length("bytes") >= window).select(*key, "bytes")
-    runs = long.select(*key, F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select(*key, "r.*")
+    # computed once, in the narrow form in which they are counted, joined and cut below
+    runs = stored(long.select(*key, F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select(*key, "r.*"))
     # copies are counted before anything is gathered by anchor, so a piece of many documents is one row from here on
-    pieces = runs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in (*key, "s", "n")))
+    pieces = runs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in (*key, "s", "n", "a")))
     unlike = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("unlike")).filter("unlike > 1")
-    doubtful = stored(pieces.join(unlike, "g", "left").filter("copies > 1 OR unlike > 1").select("g", "h", *key, "s", "n", (F.col("copies") > 1).alias("whole"), (F.col("unlike") > crowd).alias("crowded")))
+    doubtful = stored(pieces.join(unlike, "g", "left").filter("copies > 1 OR unlike > 1").select("g", "h", *key, "s", "n", "a", (F.col("copies") > 1).alias("whole"), (F.col("unlike") > crowd).alias("crowded")))
     found = runs.join(doubtful.filter("whole").select("g", "h"), ["g", "h"]).select(*key, "s", "n")
     open_pieces = doubtful.filter("crowded IS NOT NULL")
     if not open_pieces.isEmpty():
-        wanted = open_pieces.groupBy(*key).agg(F.collect_list(F.struct("g", "s", "n", "whole", "crowded")).alias("wanted"))
+        wanted = open_pieces.groupBy(*key).agg(F.collect_list(F.struct("g", "s", "n", "a", "whole", "crowded")).alias("wanted"))
         # copies of a text are put together before the shuffle; one of them brings the text's pieces
         texts = long.groupBy(*key).agg(F.first("bytes").alias("bytes"))
         met = texts.join(wanted, key).select(*key, "wanted", _cut(F.col("bytes"), F.col("wanted"), window).alias("pieces"))
         cut = met.select(*key, F.explode(F.arrays_zip("wanted", "pieces")).alias("p")).select(*key, "p.wanted.*", F.col("p.pieces").alias("piece"))
-        cut = cut.select("g", *key, "s", "whole", "piece", "crowded")
+        cut = cut.select("g", *key, "s", "a", "whole", "piece", "crowded")
         settled = _settled(cut.filter("NOT crowded").drop("crowded"), window, block_bytes)
         if not open_pieces.filter("crowded").isEmpty():
             settled = settled.unionByName(_by_window(cut.filter("crowded"), window))
