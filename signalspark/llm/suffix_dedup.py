@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -219,33 +220,34 @@ def repeated_starts(strings: list[bytes], window: int, shard_bytes: int = 1 << 1
     return [np.flatnonzero(x) for x in np.split(again, ends[:-1])]
 
 
-def perhaps_repeated(strings: list[bytes], anchors: np.ndarray, window: int, width: int = 32) -> np.ndarray:
-    """A boolean for each byte and sentinel: false where a window begins that can't begin elsewhere among the strings.
+def cells_of(hashes: Hashes, sizes: np.ndarray, anchors: np.ndarray, window: int, width: int) -> tuple[np.ndarray, ...]:
+    """Arrays (string, core hash, first, past): the window starts first..past, as places in the joined strings, that lie
+    in one cell of `width` distances from the string's anchor.
 
-    Equal windows begin equally far before their anchor. All windows that begin within `width` such places share a core,
-    the bytes from the last of them to the end of the first; a core that no other string has rules them out.
+    Equal windows begin equally far before their anchor. All windows of a cell share a core, the bytes from the last
+    place of the cell to the end of the window at its first place. So windows of unlike cores are unlike.
     """
-    sizes = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(sizes)
-    begins, starts = ends - sizes, np.maximum(sizes - window, 0)
-    hashes = Hashes(np.frombuffer(b"\0".join(strings) + b"\0", np.uint8))
+    begins, starts = ends - sizes, np.maximum(sizes - window, 0)  # a sentinel ends each string
     nearest, farthest = (anchors - starts + 1) // width, anchors // width
     n = np.where(starts > 0, farthest - nearest + 1, 0)
-    string = np.repeat(np.arange(len(strings)), n)
+    string = np.repeat(np.arange(len(sizes)), n)
     cell = np.repeat(nearest - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    anchor = (begins + anchors)[string]
-    core = hashes.of(anchor - cell * width, anchor - cell * width - width + 1 + window) ^ mixed(cell.astype(np.uint64))
+    last = (begins + anchors)[string] - cell * width
+    core = hashes.of(last, last - width + 1 + window) ^ mixed(cell.astype(np.uint64))
+    return string, core, np.maximum(last - width + 1, begins[string]), np.minimum(last + 1, (begins + starts)[string])
+
+
+def perhaps_repeated(strings: list[bytes], anchors: np.ndarray, window: int, width: int = 32) -> np.ndarray:
+    """A boolean for each byte and sentinel: false where a window begins whose core no other string has."""
+    sizes = np.array([len(s) + 1 for s in strings])
+    joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    _, core, first, past = cells_of(Hashes(joined), sizes, anchors, window, width)
     _, same, times = np.unique(core, return_inverse=True, return_counts=True)
-    shared = times[same] > 1
-    out = np.zeros(ends[-1], bool)
-    # each cell's window starts in its string
-    first = np.maximum(anchor - cell * width - width + 1, begins[string])[shared]
-    past = np.minimum(anchor - cell * width + 1, (begins + starts)[string])[shared]
-    edge = np.zeros(len(out) + 1, np.int32)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, past, -1)
-    out[:] = np.cumsum(edge)[:-1] > 0
-    return out
+    edge = np.zeros(len(joined) + 1, np.int32)
+    np.add.at(edge, first[times[same] > 1], 1)
+    np.add.at(edge, past[times[same] > 1], -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -257,7 +259,8 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _settled(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """(t1, t2, s, n): repeated window starts of pieces (g, t1, t2, s, a, whole, piece); groups of g are merged whole."""
+    """(t1, t2, s, n): repeated window starts of pieces (k, t1, t2, s, a, whole, piece); pieces of one k are merged
+    together. Those of a whole piece, which has copies, are known already; it is there for the others."""
 
     def close(held: list[tuple]) -> pd.DataFrame:
         strings, anchors = [h[5] for h in held], np.array([h[4] for h in held])
@@ -270,36 +273,71 @@ def _settled(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
         held: list[tuple] = []
         room, last = block_bytes, None
         for batch in batches:
-            for g, t1, t2, s, whole, a, piece in zip(*(batch[c] for c in ("g", "t1", "t2", "s", "whole", "a", "piece")), strict=True):
-                if g != last and room <= 0:
+            for k, t1, t2, s, whole, a, piece in zip(*(batch[c] for c in ("k", "t1", "t2", "s", "whole", "a", "piece")), strict=True):
+                if k != last and room <= 0:
                     yield close(held)
                     held, room = [], block_bytes
-                last = g
+                last = k
                 held.append((t1, t2, s, whole, a, bytes(piece)))
                 room -= len(piece)
         if held:
             yield close(held)
 
-    ordered = pieces.repartition("g").sortWithinPartitions("g")
+    ordered = pieces.repartition("k").sortWithinPartitions("k")
     return ordered.mapInPandas(stream, "t1 long, t2 long, s int, n int")
 
 
-def _by_window(pieces: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with too many pieces for one task: every window is hashed, and equal hashes are counted."""
-
-    @F.arrow_udf("array<struct<w1: bigint, w2: bigint, at: int>>")
-    def of(texts: pa.Array) -> pa.Array:
-        parts = []
-        for text in blobs(texts):
-            buf = np.frombuffer(text, np.uint8)
-            at = np.arange(max(0, len(buf) - window + 1))
-            whole, tail = Hashes(buf).of(at, at + window), Hashes(buf[::-1]).of(len(buf) - at - window, len(buf) - at)
-            parts.append([(whole.view(np.int64), tail.view(np.int64), at.astype(np.int32))])
-        return _lists(parts, pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int32())]))
-
-    windows = pieces.select("t1", "t2", "s", "whole", F.explode(of(F.col("piece"))).alias("w")).select("t1", "t2", "s", "whole", "w.*")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
-    return windows.join(twice, ["w1", "w2"]).filter(~F.col("whole")).select("t1", "t2", (F.col("s") + F.col("at")).alias("s"), F.lit(1).alias("n"))
+def _in_cells(pieces: DataFrame, window: int, width: int) -> DataFrame:
+    """(k, h, t1, t2, s, n, a, whole, piece): pieces cut at their cells; k stands for the core, h for the whole part."""
+    kind = pa.struct([("k", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("piece", pa.binary())])
+
+    @F.arrow_udf("array<struct<k: bigint, h: bigint, at: int, n: int, piece: binary>>")
+    def of(texts: pa.Array, anchors: pa.Array) -> pa.Array:
+        strings = blobs(texts)
+        joined = b"\0".join(strings) + b"\0"
+        sizes = np.array([len(s) + 1 for s in strings])
+        buf = np.frombuffer(joined, np.uint8)
+        string, core, first, past = cells_of(Hashes(buf), sizes, anchors.to_numpy(), window, width)
+        # unlike the core's, so that both together are 128 bits
+        whole = Hashes(buf[::-1]).of(len(buf) - past - window + 1, len(buf) - first)
+        begins = (np.cumsum(sizes) - sizes)[string]
+        parts = [joined[a : b + window - 1] for a, b in zip(first.tolist(), past.tolist(), strict=True)]
+        columns = [pa.array(x) for x in (core.view(np.int64), whole.view(np.int64), (first - begins).astype(np.int32), (past - first).astype(np.int32))]
+        ends = np.append(0, np.cumsum(np.bincount(string, minlength=len(strings)))).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([*columns, pa.array(parts, pa.binary())], fields=list(kind)))
+
+    cut = pieces.select("t1", "t2", "s", "a", "whole", F.explode(of(F.col("piece"), F.col("a"))).alias("c"))
+    return cut.select("c.k", "c.h", "t1", "t2", (F.col("s") + F.col("c.at")).alias("s"), "c.n", (F.col("a") - F.col("c.at")).alias("a"), "whole", "c.piece")
+
+
+def _counted(parts: DataFrame, crowd: int) -> DataFrame:
+    """One row for each (k, h) that has copies or shares k with unlike parts: whole (it has copies), and crowded (k has
+    over `crowd` unlike parts; null if it has no other)."""
+    kept = [c for c in parts.columns if c not in ("k", "h", "whole")]
+    copies = F.count(F.lit(1)) + (F.count_if("whole") if "whole" in parts.columns else F.lit(0))
+    one = parts.groupBy("k", "h").agg(copies.alias("copies"), *(F.first(c).alias(c) for c in kept))
+    unlike = one.groupBy("k").agg(F.count(F.lit(1)).alias("unlike")).filter("unlike > 1")
+    return one.join(unlike, "k", "left").filter("copies > 1 OR unlike > 1").select("k", "h", *kept, (F.col("copies") > 1).alias("whole"), (F.col("unlike") > crowd).alias("crowded"))
+
+
+def _split(pieces: DataFrame, window: int, crowd: int, block_bytes: int, width: int = 32) -> DataFrame:
+    """(t1, t2, s, n): as _settled, for anchors with too many unlike pieces for one task.
+
+    Pieces are cut at their cells and grouped by core instead, and what is still crowded at narrower cells, down to single
+    windows: equal parts are counted, parts of unlike cores part, and the rest is merged. A level makes a few rows of each
+    piece that is left.
+    """
+    found = []
+    while True:
+        parts = stored(_in_cells(pieces, window, width))
+        doubtful = stored(_counted(parts, crowd))
+        copies = doubtful.filter("whole").select("k", "h")
+        found.append(parts.filter("NOT whole").join(copies, ["k", "h"]).select("t1", "t2", "s", "n"))
+        open_parts = doubtful.filter("NOT crowded")
+        found.append(stored(_settled(open_parts, window, block_bytes)))
+        pieces, width = doubtful.filter("crowded"), width // 4 or 1
+        if pieces.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def _cut(text: Column, wanted: Column, window: int) -> Column:
@@ -340,8 +378,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Strings are judged on the input, within and across documents; matches never cross documents; overlaps count. Null
     and empty texts have no bytes. Rows that agree in id and text are documents of their own, so all their strings
     repeat. Ids may be null or repeated. Columns with the added names are replaced. An empty table gives an empty one.
-    An anchor's unlike pieces are merged by one task, about block_bytes at a time; an anchor with over `crowd` of them is
-    a hot group, whose windows are hashed and counted instead, which spreads over tasks and finds the same.
+    An anchor's unlike pieces are merged by one task, about block_bytes at a time. An anchor with over `crowd` of them is a
+    hot group; its pieces are cut and grouped anew, by more bytes, until no group is, and then merged in the same way.
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans")
     keep = [c for c in docs.columns if c not in added]
@@ -349,25 +387,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     key = ["t1", "t2"]  # a text's 128-bit hash: equal texts lose the same bytes
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("bytes"))
     long = named.filter(F.length("bytes") >= window).select(*key, "bytes")
-    # computed once, in the narrow form in which they are counted, joined and cut below
-    runs = stored(long.select(*key, F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select(*key, "r.*"))
+    # twice, here and for `found`: as a table they would take over half as much disk as the texts
+    runs = long.select(*key, F.explode(_runs(F.col("bytes"), window, gram)).alias("r")).select(*key, F.col("r.g").alias("k"), "r.h", "r.s", "r.n", "r.a")
     # copies are counted before anything is gathered by anchor, so a piece of many documents is one row from here on
-    pieces = runs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in (*key, "s", "n", "a")))
-    unlike = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("unlike")).filter("unlike > 1")
-    doubtful = stored(pieces.join(unlike, "g", "left").filter("copies > 1 OR unlike > 1").select("g", "h", *key, "s", "n", "a", (F.col("copies") > 1).alias("whole"), (F.col("unlike") > crowd).alias("crowded")))
-    found = runs.join(doubtful.filter("whole").select("g", "h"), ["g", "h"]).select(*key, "s", "n")
+    doubtful = stored(_counted(runs, crowd))
+    found = runs.join(doubtful.filter("whole").select("k", "h"), ["k", "h"]).select(*key, "s", "n")
     open_pieces = doubtful.filter("crowded IS NOT NULL")
     if not open_pieces.isEmpty():
-        wanted = open_pieces.groupBy(*key).agg(F.collect_list(F.struct("g", "s", "n", "a", "whole", "crowded")).alias("wanted"))
+        wanted = open_pieces.groupBy(*key).agg(F.collect_list(F.struct("k", "s", "n", "a", "whole", "crowded")).alias("wanted"))
         # copies of a text are put together before the shuffle; one of them brings the text's pieces
         texts = long.groupBy(*key).agg(F.first("bytes").alias("bytes"))
         met = texts.join(wanted, key).select(*key, "wanted", _cut(F.col("bytes"), F.col("wanted"), window).alias("pieces"))
         cut = met.select(*key, F.explode(F.arrays_zip("wanted", "pieces")).alias("p")).select(*key, "p.wanted.*", F.col("p.pieces").alias("piece"))
-        cut = cut.select("g", *key, "s", "a", "whole", "piece", "crowded")
-        settled = _settled(cut.filter("NOT crowded").drop("crowded"), window, block_bytes)
-        if not open_pieces.filter("crowded").isEmpty():
-            settled = settled.unionByName(_by_window(cut.filter("crowded"), window))
-        found = found.unionByName(stored(settled))
+        crowds = not open_pieces.filter("crowded").isEmpty()
+        cut = stored(cut) if crowds else cut
+        found = found.unionByName(stored(_settled(cut.filter("NOT crowded"), window, block_bytes)))
+        if crowds:
+            found = found.unionByName(_split(cut.filter("crowded"), window, crowd, block_bytes))
     spans = found.distinct().groupBy(*key).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     joined = named.join(spans, key, "left")
     result = joined.select("row", _removed(F.col("bytes"), F.col("spans"), window).alias("r"))

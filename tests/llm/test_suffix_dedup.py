@@ -39,7 +39,8 @@ def test_matches_brute_force(spark):
     docs = frame(spark, rows).drop("kept").selectExpr("*", "1 AS n_spans", "2 AS g", "3 AS spans")
     for window, gram in ((200, 64), (40, 16)):
         assert found(remove_repeats(docs, window=window, gram=gram)) == brute(rows, window)
-    assert found(remove_repeats(docs, window=40, gram=16, crowd=1, block_bytes=500)) == brute(rows, 40)
+    for crowd in (1, 3):  # hot anchors, and hot cores down to single windows
+        assert found(remove_repeats(docs, window=40, gram=16, crowd=crowd, block_bytes=500)) == brute(rows, 40)
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
