@@ -1,8 +1,11 @@
 """SimHash near-dedup by multi-index hashing.
 
-Each text becomes a 64-bit fingerprint of its word shingles. Distinct fingerprints are filed under each of their
-segments; every fingerprint enumerates the small Hamming ball around each segment, fetches the filed fingerprints and
-verifies the complete distance. Components of the links are found by hooking and pointer jumping over stored tables.
+Each text becomes a 64-bit fingerprint of its word shingles. Two fingerprints within two bits differ by at most one bit
+in one of two segments, or by two in one and none in the other; either way they meet if each enumerates the Hamming ball
+of radius one within each segment, beside the other segment's value. So every distinct fingerprint is filed under each
+value of its balls, a bucket of the table is fetched whole, and complete distances are verified. A bucket's value is the
+whole fingerprint's width, so a bucket holds at most 65 fingerprints, whatever cluster they come from.
+Components of the links are found by hooking and pointer jumping over stored tables.
 """
 
 from __future__ import annotations
@@ -53,50 +56,29 @@ def fingerprint(text: Column | str, shingle_words: int = 3) -> Column:
     return of(utf8(text))
 
 
-def _segment(fp: Column, bits: int, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 64 - bits * (k + 1)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2) -> DataFrame:
+    """(a, b), a < b: pairs of the distinct longs `fp` that connect all fingerprints within `max_bits` (0 to 2) bits.
 
-
-def _ball(center: Column, bits: int, radius: int) -> Column:
-    """Every value within `radius` (0 or 1) flipped bits of a segment's value."""
-    flips = [0] + ([1 << b for b in range(bits)] if radius else [])
-    return F.transform(F.array(*(F.lit(f).cast("long") for f in flips)), lambda f: center.bitwiseXOR(f))
-
-
-def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2, dense: int = 1000) -> DataFrame:
-    """(a, b), a < b: pairs of the distinct longs `fp` that connect all fingerprints within `max_bits` bits.
-
-    The 64 bits are cut in `segments` equal segments; two fingerprints within max_bits bits differ by at most
-    max_bits // segments in one of them. Where over `dense` fingerprints share a segment value, no pairs of the
-    segment are compared: those that meet there are linked through the points within one bit of both instead, at 65
-    rows a fingerprint, so the work stays linear in any cluster. The relation's components are those of all pairs
-    within max_bits (2 at most).
+    A bucket is kept as one bit for each place in which a fingerprint may differ from the bucket's value, so counting
+    combines before the shuffle and never gathers rows. Within two bits all of a bucket are linked to its least; within
+    one bit the bucket's own value is linked to the others. The components are those of all pairs within max_bits.
     """
-    if max_bits > 2 or 64 % segments or max_bits // segments > 1:
-        raise ValueError("max_bits is 2 at most, and a segment's radius 1 at most")
-    bits, radius = 64 // segments, max_bits // segments
-    filed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _segment(F.col("fp"), bits, k).alias("value")) for k in range(segments)))).alias("s")).select("s.seg", "s.value", F.col("fp").alias("a"))
-    asked = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), _ball(_segment(F.col("fp"), bits, k), bits, radius).alias("ball")) for k in range(segments)))).alias("s")).select(F.col("s.seg").alias("seg"), F.explode("s.ball").alias("value"), F.col("fp").alias("b"))
-    crowded = stored(filed.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("seg", "value"))
-    # Spark takes exploded rows for as few as they came from, so these joins are told not to broadcast
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if crowded.isEmpty():
-        return filed.join(asked.hint("merge"), ["seg", "value"]).filter(near).select(*ordered).distinct()
-    sparse = filed.join(crowded, ["seg", "value"], "left_anti").join(asked.hint("merge"), ["seg", "value"]).filter(near).select(*ordered)
-    inside = asked.join(crowded, ["seg", "value"], "left_semi").select(F.col("b").alias("fp")).distinct()
-    point_radius = [0] + [1 << b for b in range(63)] + [-(1 << 63)]
-    points = inside.select("fp", F.explode(F.transform(F.array(*(F.lit(f).cast("long") for f in point_radius)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
-    if max_bits == 2:  # both within one bit of a point: within two bits of each other
-        meeting = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top"))
-        star = points.join(meeting.filter(F.col("a") != F.col("top")).select("point", "a").hint("merge"), "point").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    else:  # a fingerprint within one bit is itself a point
-        star = points.join(inside.select(F.col("fp").alias("point")), "point").filter(near_pair("fp", "point", max_bits)).select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
-    return sparse.unionByName(star).distinct()
-
-
-def near_pair(a: str, b: str, max_bits: int) -> Column:
-    return (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits)
+    if not 0 <= max_bits <= 2 or 64 % segments:
+        raise ValueError("max_bits is 0 to 2, and segments are of equal size")
+    size = 64 // segments
+    balls = [F.struct(F.lit(s * size + b).alias("at"), F.shiftleft(F.lit(1).cast("long"), s * size + b).alias("flip")) for s in range(segments) for b in range(size)]
+    own = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("flip"))
+    filed = fps.select("fp", F.explode(F.array(own, *balls)).alias("ball")).select(F.col("fp").bitwiseXOR(F.col("ball.flip")).alias("value"), F.col("ball.flip").alias("flip"), (F.col("ball.at") < 0).alias("own"))
+    bucket = filed.groupBy("value").agg(F.bit_or("flip").alias("flips"), F.max("own").alias("own"))
+    met = bucket.filter(F.bit_count("flips") + F.col("own").cast("int") > (1 if max_bits else 65))
+    inside = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("flips", i) == 1), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    if max_bits == 2:
+        everyone = F.when(F.col("own"), F.concat(inside, F.array("value"))).otherwise(inside)
+        fetched = met.select(everyone.alias("found")).select(F.array_min("found").alias("x"), F.explode("found").alias("y"))
+    else:
+        fetched = met.filter("own").select(F.col("value").alias("x"), F.explode(inside).alias("y"))
+    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits)
+    return fetched.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,7 +115,7 @@ def _roots(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, segments: int = 2, dense: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
     """docs without its text, plus fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
     Null and empty texts have the fingerprint zero and link like any other. Rows with equal fingerprints form one
@@ -142,21 +124,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     keep = [c for c in docs.columns if c not in ("fingerprint", "component_id", text_col)]
     row = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), fingerprint(F.col(f"`{text_col}`"), shingle_words).alias("fp")))
-    groups = component_of(row.select(F.col("row").getField(id_col).alias("id"), "fp"), max_bits=max_bits, segments=segments, dense=dense)
+    groups = component_of(row.select(F.col("row").getField(id_col).alias("id"), "fp"), max_bits=max_bits, segments=segments)
     joined = row.join(groups, row["fp"] == groups["group_fp"])
     return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_of(ids: DataFrame, *, max_bits: int, segments: int, dense: int) -> DataFrame:
+def component_of(ids: DataFrame, *, max_bits: int, segments: int) -> DataFrame:
     """(group_fp, component_id) for each distinct fp of (id, fp)."""
     smallest = stored(ids.groupBy("fp").agg(F.min("id").alias("least_id")))
-    label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments, dense=dense))
+    label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments))
     named = smallest.join(label, smallest["fp"] == label["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return named.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, segments: int = 2, dense: int = 1000) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
     """One row of docs for each component: the one with the smallest (id, hash of the text); a null id comes last.
 
     Rows that agree in id and text count as one row, of which one stays.
@@ -166,7 +148,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     row = stored(keyed.select("id", "text_hash", fingerprint("text", shingle_words).alias("fp")))
     order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("text_hash"))
     smallest = stored(row.groupBy("fp", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min(order).alias("least"), F.max("n").alias("most")))
-    label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments, dense=dense))
+    label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments))
     named = smallest.join(label, smallest["fp"] == label["node"], "left").select(F.coalesce("label", "fp").alias("root"), "least", "most")
     chosen = stored(named.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).select(F.col("least.id").alias("chosen_id"), F.col("least.text_hash").alias("chosen_hash"), "most"))
     picked = docs.withColumn("_text_hash", hashed).join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id")) & (F.col("_text_hash") == F.col("chosen_hash")), "left_semi")

@@ -52,9 +52,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert keep_one(frame(spark, [])).count() == 0
 
 
-def test_links_with_and_without_dense_buckets(spark):
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_links_match_brute_force(spark):
     rng = random.Random(1)
-    centres = [rng.getrandbits(64) for _ in range(6)] + [0]
+    centres = [rng.getrandbits(64) for _ in range(6)] + [0, 2**63]
     fps = set(centres)
     for c in centres:
         for _ in range(30):
@@ -62,14 +66,23 @@ def test_links_with_and_without_dense_buckets(spark):
             for _ in range(rng.randint(1, 5)):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
-    signed = lambda f: f - (1 << 64) if f >> 63 else f
     table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     for max_bits, segments in ((2, 2), (2, 4), (1, 2), (0, 2)):
-        root = groups({signed(f) for f in fps}, lambda a, b, m=max_bits: ((a ^ b) & (2**64 - 1)).bit_count() <= m)
+        near = lambda a, b, m=max_bits: ((a ^ b) & (2**64 - 1)).bit_count() <= m
+        root = groups({signed(f) for f in fps}, near)
         want = {n: r for n, r in root.items() if sum(x == r for x in root.values()) > 1}
-        for dense in (3, 1000):
-            edges = links(table, max_bits=max_bits, segments=segments, dense=dense)
-            assert {r.node: r.label for r in components(edges).collect()} == want
+        edges = links(table, max_bits=max_bits, segments=segments)
+        assert all(a < b and near(a, b) for a, b in edges.collect())
+        assert {r.node: r.label for r in components(edges).collect()} == want
+
+
+def test_a_large_cluster_makes_few_rows(spark):
+    """All 2,081 fingerprints within two bits of one: each bucket has 65 at most, and links stay linear."""
+    fps = [0, *(1 << b for b in range(64)), *(1 << b | 1 << c for b in range(64) for c in range(b))]
+    edges = links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
+    labels = [r.label for r in components(edges).collect()]
+    assert len(labels) == len(fps) and len(set(labels)) == 1
+    assert edges.count() < 65 * len(fps)
 
 
 def test_long_chain_of_links(spark):
