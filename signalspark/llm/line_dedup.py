@@ -1,7 +1,9 @@
 """Line dedup: lines that many documents share leave every document.
 
-Lines are exploded and hashed, documents are counted per hash, and the positions of dropped lines travel back to
-their document; line texts are never shuffled, whole texts once, beside the positions.
+Lines are exploded and hashed once, into a stored table of hashes and positions; documents are counted per hash, and the
+positions of dropped lines travel back to their document. Line texts are never shuffled, whole texts once, beside the
+positions. Lines with more than a HOT-th of all rows, of which there are fewer than HOT, are looked up in a broadcast;
+the others are joined by their hash, where no key has more rows than that.
 """
 
 from __future__ import annotations
@@ -9,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, stored
+
+#: A bound on the hot lines that are broadcast: 16 bytes each.
+HOT = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -27,10 +32,13 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), *(h.alias(n) for h, n in zip(hash128(text), ("t1", "t2"), strict=True)), text.alias("text"))
     lines = rows.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars).select("id", "t1", "t2", "pos", *hash128(F.col("key")))
-    # a document counts once for a line: first distinct (line, document), then a count per line
-    frequent = keyed.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
-    hits = keyed.join(frequent, ["h1", "h2"])
+    keyed = stored(lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars).select("id", "t1", "t2", "pos", *hash128(F.col("key"))))
+    # a document counts once for a line: rows per (line, document) first, combined before they are shuffled
+    counted = keyed.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_rows"))
+    frequent = stored(counted.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "n_rows"))
+    is_hot = F.col("n_rows") * HOT > keyed.count()
+    hot, others = (frequent.filter(x).select("h1", "h2") for x in (is_hot, ~is_hot))
+    hits = keyed.join(F.broadcast(hot), ["h1", "h2"]).unionByName(keyed.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(others, ["h1", "h2"]))
     return hits.groupBy("id", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 from cases import frame, lowered, texts
 
+from signalspark.llm import line_dedup
 from signalspark.llm.line_dedup import drop_common_lines
 
 
@@ -30,6 +31,14 @@ def test_matches_brute_force(spark):
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted(brute(rows, min_docs, min_chars), key=key)
 
 
+def test_hot_and_other_lines(spark, monkeypatch):
+    rows = [*texts(), *((100 + i, "hot\n" * 9 + "shared by three " + str(i % 4) + "\nown " + str(i)) for i in range(14))]
+    for bound in (1, 20, 10_000):  # no line is hot, some are, all are
+        monkeypatch.setattr(line_dedup, "HOT", bound)
+        got = drop_common_lines(frame(spark, rows), min_docs=3)
+        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted(brute(rows, 3, 1), key=key)
+
+
 def test_columns_and_empty_table(spark):
     docs = frame(spark, texts()).selectExpr("*", "'old' AS n_lines", "'x' AS id", "'y' AS drop", "'z' AS h1")
     got = drop_common_lines(docs)
