@@ -80,7 +80,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    return contamination(docs, benchmark, window=13, hits_per_100=5).drop("text", "longest_match")
+    return contamination(docs, benchmark, window=13, hits_per_100=5).drop("text", "longest_at", "longest_item", "longest_item_at")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,23 +144,29 @@ _CONTAMINATION_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
 wins AS (
-    SELECT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win
-    FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+    SELECT item_id, item_row, i AS place, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM (SELECT *, row_number() OVER () AS item_row FROM b) WHERE len(w) > 0)
 ),
 sizes AS (SELECT DISTINCT n FROM wins),
 places AS (
     SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
     FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ),
-found AS (SELECT p.doc_id, p.n, p.i, wins.item_id FROM places p JOIN wins USING (n, win)),
+found AS (SELECT p.doc_id, p.n, p.i, wins.item_id, wins.item_row, wins.place FROM places p JOIN wins USING (n, win)),
+-- windows one after the other in the document and in the item are one match
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_row, n, i - place ORDER BY i) AS run FROM found),
+longest AS (
+    SELECT doc_id, max(words) AS words
+    FROM (SELECT doc_id, n + count(*) - 1 AS words FROM runs GROUP BY doc_id, item_row, n, i - place, run) GROUP BY doc_id
+),
 hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
 items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
     FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(longest.words, 0)::BIGINT AS longest_match, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _RULES_SQL = r"""

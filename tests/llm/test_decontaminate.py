@@ -5,7 +5,7 @@ from collections import defaultdict
 import duckdb
 from cases import frame, lowered, sha, texts
 
-from signalspark.llm.decontaminate import contamination, drop_contaminated
+from signalspark.llm.decontaminate import contamination, drop_contaminated, search_shard, test_set as compiled
 
 
 def words(text):
@@ -59,6 +59,53 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == brute(rows, items, 13)
 
 
+def longest(text, items, window):
+    """(words, place, item, place in the item) of the longest verbatim match of a window or more, the first of them."""
+    w, best = words(text), (0, None, None, None)
+    for item, t in items:
+        v = words(t)
+        least = min(window, len(v))
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if least and n >= least and (least == window or j == 0) and (n, -i) > (best[0], -(best[1] or 0) if best[0] else -(10**9)):
+                    best = n, i, item, j
+    return best
+
+
+def test_longest_matches_match_brute_force():
+    rng = random.Random(11)
+    for _ in range(40):
+        vocabulary = [f"w{k}" for k in range(rng.choice([2, 3, 30]))]
+        prose = lambda n, v=vocabulary: [rng.choice(v) for _ in range(n)]
+        items = [(str(i), " ".join(prose(rng.choice([0, 2, 4, 9, 30])))) for i in range(5)]
+        items += [("copy", items[0][1]), ("tail", items[-1][1][6:])]
+        texts = []
+        for _ in range(8):
+            parts = [items[rng.randrange(7)][1].split()[rng.randrange(4) :][: rng.randrange(25)] if rng.random() < 0.6 else prose(rng.randrange(8)) for _ in range(4)]
+            texts.append(" ".join(sum(parts, [])))
+        tests = compiled([(i, t.encode()) for i, t in items], 4)
+        for text, (_, _, _, found) in zip(texts, search_shard([t.encode() for t in texts], tests), strict=True):
+            want = longest(text, items, 4)
+            if not want[0]:
+                assert found is None
+                continue
+            n, at, item, item_at = found
+            assert (n, at) == want[:2]
+            assert words(text)[at : at + n] == words(items[item][1])[item_at : item_at + n]
+
+
+def test_neighbouring_items_are_two_matches(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(13)) for w in "pq")
+    items = spark.createDataFrame([(1, one), (2, two), (3, "x " + two + " tail of it"), (4, "a b")], "item_id long, text string")
+    docs = frame(spark, [(1, f"{one} {two}"), (2, f"so {two} tail of"), (3, "z a b"), (4, None), (5, "nothing")])
+    for block_mb in (16, 1e-6):
+        got = {r.doc_id: (r.longest_match, r.longest_at, r.longest_item, r.longest_item_at) for r in contamination(docs, items, block_mb=block_mb).collect()}
+        assert got[1][0] == 13 and got[2] == (15, 1, "3", 1) and got[3] == (2, 1, "4", 0) and got[4] == got[5] == (0, None, None, None)
+
+
 def test_filter_and_empty_tables(spark):
     rows, items = cases()
     docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
