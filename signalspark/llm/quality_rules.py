@@ -1,25 +1,32 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects rows. On a bounded sample of rows each rule's cost and the share that it rejects are measured, and
-the rules are ordered by rejection per cost; a row is tried by the next rule only if the ones before let it pass. The
-order changes the work, never the verdict.
+A rule looks at a text and its measures, which are worked out when a rule first asks for one. On a bounded share of all
+rows the tasks measure each rule's CPU seconds and how many rows it rejects; the rules are ordered by rejection per cost,
+and a row is tried by the next rule only if the ones before let it pass. The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, slices, stored, struct, utf8
+from .common import WHITE, slices, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_WORD = WHITE.encode()
 _CONTINUATION = bytes(range(0x80, 0xC0))
+_ASCII = bytes(range(128))
+_NO_CAPITAL = bytes(set(range(256)) - set(range(65, 91)))
+_NO_LETTER = bytes(set(range(256)) - set(range(65, 91)) - set(range(97, 123)))
+_LETTER, _CAPITAL = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}")
 WINDOW = 5
 
 
@@ -37,92 +44,148 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(inside) > 0).sum())
 
 
-def _measure(text: bytes) -> tuple[int, int, int, int, int]:
-    words = text.split()
-    lines = [line for line in text.split(b"\n") if line.strip()]
-    return (
-        len(words),
-        len(text.translate(None, _NOT_WORD + _CONTINUATION)),
-        len(text) - len(text.translate(None, SYMBOLS)),
-        len(lines) - len(set(lines)),
-        repeated_words(words),
-    )
+class Text:
+    """A text's bytes and its measures, each worked out once, when it is asked for."""
 
+    def __init__(self, raw: bytes):
+        self.raw = raw
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
 
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
 
-def measures(text: Column) -> Column:
-    """A struct of the base measures (long) of a text; null has no words, characters or lines."""
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.raw.translate(None, _NOT_WORD + _CONTINUATION))
 
-    @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
-    def of(texts: pa.Array) -> pa.Array:
-        rows = [_measure(t) for part in slices(texts) for t in part]
-        return struct(**{m: pa.array([r[i] for r in rows], pa.int64()) for i, m in enumerate(MEASURES)})
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, SYMBOLS))
+
+    @cached_property
+    def n_lines(self) -> int:
+        return self.raw.count(b"\n") + 1
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        lines = [line for line in self.raw.split(b"\n") if line.strip()]
+        return len(lines) - len(set(lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
+    @cached_property
+    def beyond_ascii(self) -> str:
+        return self.raw.translate(None, _ASCII).decode("utf-8", "replace")
 
-    return of(utf8(text))
+    @cached_property
+    def letters(self) -> int:
+        return len(self.raw.translate(None, _NO_LETTER)) + len(_LETTER.findall(self.beyond_ascii))
+
+    @cached_property
+    def capitals(self) -> int:
+        return len(self.raw.translate(None, _NO_CAPITAL)) + len(_CAPITAL.findall(self.beyond_ascii))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's name and when it rejects, as a Column over the text, the measures, or both."""
+    """A rule's name and whether it rejects a text."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Text], bool]
+
+
+def base_rules(least_words: int = 10, repeat_per_100: int = 20) -> list[Rule]:
+    return [
+        Rule("few_words", lambda t: t.n_words < least_words),
+        Rule("repeated_words", lambda t: 100 * t.n_repeat_words > repeat_per_100 * t.n_words),
+    ]
 
 
-def rules(text: Column) -> list[Rule]:
+def rules() -> list[Rule]:
     """The further rules of the cascade; each rejects what no fluent text of any language does."""
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("word_chars")),
-        Rule("long_words", F.col("word_chars") > 60 * F.col("n_words")),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(text, "\n"))),
-        Rule("few_letters", 10 * letters < 5 * F.col("word_chars")),
-        Rule("shouting", 2 * F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) > letters),
+        Rule("symbols", lambda t: 10 * t.n_symbols > t.word_chars),
+        Rule("long_words", lambda t: t.word_chars > 60 * t.n_words),
+        Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+        Rule("few_letters", lambda t: 10 * t.letters < 5 * t.word_chars),
+        Rule("shouting", lambda t: 2 * t.capitals > t.letters),
     ]
 
 
-def ordered(sample: DataFrame, candidates: list[Rule]) -> list[Rule]:
-    """The rules by rejected rows per second, both measured on the sample; ties keep their order."""
-    worth = []
-    for rule in candidates:
-        began = time.perf_counter()
-        rejected = sample.select(F.count(F.when(rule.rejects, 1))).first()[0]
-        worth.append(rejected / max(time.perf_counter() - began, 1e-6))
-    return [candidates[i] for i in sorted(range(len(candidates)), key=lambda i: (-worth[i], i))]
+def _asked(text: Text, measures: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(getattr(text, m) for m in measures)
 
 
-def sampled(docs: DataFrame, text: Column, rows: int, longest: int = 100_000) -> DataFrame:
-    """At most `rows` rows, found by a hash of the text in the first files; none has over `longest` code points."""
-    some = docs.filter((F.xxhash64(text) % 16 == 0) & (F.length(text) <= longest)).take(rows)
-    return docs.sparkSession.createDataFrame(some, docs.schema)
+def costs(texts: DataFrame, candidates: list[Rule], given: tuple[str, ...] = ()) -> DataFrame:
+    """(rule, seconds, rejected): CPU seconds of a rule's calls, and rows that it rejects, of the one column of `texts`.
+
+    Each rule is timed in the tasks on a text of its own, so it pays for the measures that it asks for, but not for the
+    `given` ones, which are worked out for every row anyway.
+    """
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent, rejected = [0.0] * len(candidates), [0] * len(candidates)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                for k, rule in enumerate(candidates):
+                    own = [Text(raw) for raw in part]
+                    for text in own:
+                        _asked(text, given)
+                    began = time.thread_time()
+                    rejected[k] += sum(bool(rule.rejects(text)) for text in own)
+                    spent[k] += time.thread_time() - began
+        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in candidates], "seconds": spent, "rejected": rejected})
 
+    each = texts.mapInArrow(measured, "rule string, seconds double, rejected long")
+    return each.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
 
-def verdict(order: list[Rule]) -> Column:
-    """The name of the first rule that rejects, or null: CASE tries a branch only if those before didn't hold."""
-    out = F.lit(None).cast("string")
-    if order:
-        out = F.when(F.coalesce(order[0].rejects, F.lit(False)), F.lit(order[0].name))
-        for rule in order[1:]:
-            out = out.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
-    return out
 
+def ordered(texts: DataFrame, candidates: list[Rule], given: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by rejected rows per CPU second, both measured on `texts`; ties keep their order."""
+    worth = {r.rule: r.rejected / max(r.seconds, 1e-9) for r in costs(texts, candidates, given).collect()}
+    return sorted(candidates, key=lambda rule: -worth.get(rule.name, 0))
 
-def judged(docs: DataFrame, *, text_col: str = "text", least_words: int = 10, repeat_per_100: int = 20, sample_rows: int = 400, more_rules: list[Rule] | None = None) -> DataFrame:
-    """docs plus the measures, base_failed, kept, and rejected_by (a rule that rejects; which one of several may vary).
 
-    base_failed: fewer than least_words words, or over repeat_per_100 of 100 words in repeated windows. Rows that pass
-    go through the cascade. Null and empty texts have no words and fail. Rows are judged by themselves; columns with
-    these names are replaced. An empty table gives an empty table. The order of the rules comes from at most
-    sample_rows rows; it changes no verdict.
+def sampled(docs: DataFrame, text: Column, rows: int) -> DataFrame:
+    """The bytes of about `rows` whole texts, picked from all partitions alike."""
+    return docs.select(text.alias("raw")).sample(fraction=min(1.0, rows / max(1, docs.count())), seed=7)
+
+
+def judged(docs: DataFrame, *, text_col: str = "text", least_words: int = 10, repeat_per_100: int = 20, sample_rows: int = 2000, more_rules: list[Rule] | None = None, report: tuple[str, ...] = MEASURES) -> DataFrame:
+    """docs plus the measures in `report`, base_failed, kept, and rejected_by (a rule that rejects; which one of several
+    may vary).
+
+    base_failed: fewer than least_words words, or over repeat_per_100 of 100 words in repeated windows; these two are
+    rules of the cascade like the others. A measure that isn't in `report` is only worked out for the rows that come to
+    a rule that needs it; without n_words and n_repeat_words in it there is no column base_failed. Null and empty texts
+    have no words and fail. Rows are judged by themselves; columns with these names are replaced. An empty table gives an
+    empty table. The order of the rules comes from about sample_rows rows of all partitions; it changes no verdict.
     """
     added = (*MEASURES, "base_failed", "kept", "rejected_by")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # the measures are asked for once: each is a field of one struct
-    measured = lambda df: df.select(*kept, measures(F.col(f"`{text_col}`")).alias("_m")).select(*kept, "_m.*").withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_per_100 * F.col("n_words")))
-    passed = stored(measured(sampled(docs, text, sample_rows)).filter(~F.col("base_failed")))
-    order = ordered(passed, more_rules if more_rules is not None else rules(text))
-    rejected = F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order))
-    return measured(docs).withColumn("rejected_by", rejected).withColumn("kept", F.col("rejected_by").isNull())
+    text = utf8(F.col(f"`{text_col}`"))
+    cascade = ordered(sampled(docs, text, sample_rows), base_rules(least_words, repeat_per_100) + (rules() if more_rules is None else more_rules), report)
+    kind = pa.struct([*((m, pa.int64()) for m in report), ("rejected_by", pa.string())])
+
+    @F.arrow_udf("struct<" + "".join(f"{m}: bigint, " for m in report) + "rejected_by: string>")
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for part in slices(texts):
+            for raw in part:
+                own = Text(raw)
+                rows.append((*_asked(own, report), next((rule.name for rule in cascade if rule.rejects(own)), None)))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
+
+    out = docs.select(*kept, of(text).alias("_m")).select(*kept, "_m.*")
+    if {"n_words", "n_repeat_words"} <= set(report):
+        out = out.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_per_100 * F.col("n_words")))
+    return out.withColumn("kept", F.col("rejected_by").isNull())

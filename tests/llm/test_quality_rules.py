@@ -2,9 +2,8 @@ import re
 from collections import Counter
 
 from cases import frame, texts
-from pyspark.sql import functions as F
 
-from signalspark.llm.quality_rules import MEASURES, Rule, judged, ordered, rules
+from signalspark.llm.quality_rules import MEASURES, Rule, Text, judged, ordered, rules
 
 
 def brute(text):
@@ -39,12 +38,31 @@ def test_clean_prose_stays_and_junk_goes(spark):
 def test_order_changes_no_verdict(spark):
     docs = frame(spark, texts())
     base = {(r.doc_id, r.text): r.kept for r in judged(docs).collect()}
-    turned = judged(docs, more_rules=rules(F.coalesce(F.col("text"), F.lit("")))[::-1], sample_rows=0)
+    turned = judged(docs, more_rules=rules()[::-1], sample_rows=0)
     assert {(r.doc_id, r.text): r.kept for r in turned.collect()} == base
 
 
+def test_measures_that_nobody_asks_for(spark):
+    docs = frame(spark, texts())
+    lean = judged(docs, report=())
+    assert lean.columns == [c for c in docs.columns if c != "kept"] + ["rejected_by", "kept"]
+    key = lambda r: (str(r.doc_id), r.text or "", r.kept)
+    assert sorted(map(key, lean.collect())) == sorted(map(key, judged(docs).collect()))
+    text = Text(b"one two " * 40)
+    assert rules()[0].rejects(text) is False and "n_repeat_words" not in vars(text)
+
+
 def test_rejecting_rules_come_first(spark):
-    sample = spark.range(1000)
-    never, often = Rule("never", F.col("id") < 0), Rule("often", F.col("id") < 900)
-    ordered(sample, [never, often])  # compiled
+    sample = spark.range(1000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS raw")
+    never, often = Rule("never", lambda t: False), Rule("often", lambda t: t.raw[-1] % 4 > 0)
     assert [r.name for r in ordered(sample, [never, often])] == ["often", "never"]
+
+
+def test_of_equal_rejection_the_cheaper_rule_comes_first(spark):
+    sample = spark.range(600).selectExpr("CAST(repeat('some words of a text ', 30) AS BINARY) AS raw")
+    slow, fast = Rule("slow", lambda t: t.n_repeat_words > 0), Rule("fast", lambda t: len(t.raw) > 0)
+    for order in ([slow, fast], [fast, slow]):
+        assert [r.name for r in ordered(sample, order)] == ["fast", "slow"]
+    # a measure that every row needs costs its rule nothing, so a rule with another costly one comes after it
+    other = Rule("other", lambda t: sum(len(w) for w in t.raw.split()) > 0)
+    assert [r.name for r in ordered(sample, [other, slow], ("n_repeat_words",))] == ["slow", "other"]
