@@ -14,11 +14,13 @@ import re
 from array import array
 from functools import cache
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, struct, utf8
@@ -329,13 +331,19 @@ def decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
+def shipped(path: str) -> str:
+    """The name under which tasks find the file: executors fetch it from the driver, whatever folders they share."""
+    SparkSession.active().sparkContext.addFile(path)
+    return Path(path).name
+
+
 def encode(text: Column | str, vocabulary: str, pattern: str) -> Column:
     """The token ids of a text column, array<int>; null counts as empty."""
-    compiled = pattern
+    name = shipped(vocabulary)
 
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        machine, split = transducer(vocabulary), regex.compile(compiled)
+        machine, split = transducer(SparkFiles.get(name)), regex.compile(pattern)
         ids = [machine.encode(t.decode("utf-8", "replace"), split) for part in slices(texts) for t in part]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))
@@ -345,10 +353,11 @@ def encode(text: Column | str, vocabulary: str, pattern: str) -> Column:
 
 def decode(ids: Column | str, vocabulary: str, block: int = 4096) -> Column:
     """The text of an array of token ids, decoded in blocks of ids through the UTF-8 state machine; null stays null."""
+    name = shipped(vocabulary)
 
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
-        table, out = decoder(vocabulary), []
+        table, out = decoder(SparkFiles.get(name)), []
         for one in lists:
             values = None if not one.is_valid else np.array(one.as_py() or [], np.int64)
             if values is not None:
@@ -367,10 +376,12 @@ def token_digests(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
     these names are replaced; all others, `text_col` included, pass through. An empty table gives an empty table.
     max_states and max_memo bound what a worker remembers (about 0.8 and 0.2 KB each); they change no result.
     """
+    name = shipped(vocabulary)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
-        machine, split, table = transducer(vocabulary, max_states, max_memo), regex.compile(pattern), decoder(vocabulary)
+        path, split = SparkFiles.get(name), regex.compile(pattern)
+        machine, table = transducer(path, max_states, max_memo), decoder(path)
         counts, ids_hex, decoded_hex = [], [], []
         for text in (text for part in slices(texts) for text in part):
             ids = machine.encode(text.decode("utf-8", "replace"), split)
