@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
@@ -36,11 +37,14 @@ def struct(**columns: pa.Array) -> pa.StructArray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """This application's folder in the shared one of spark.checkpoint.dir; a temporary one where none is set and all runs
+    in one process. A cluster without that setting is an error: its executors would not see a machine's own folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -164,6 +168,14 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
 
 
 def bounded_ids(ids: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most `rows` distinct ids, those of the smallest hashes: a repeatable sample of proven size."""
-    named = ids.filter(F.col(f"`{id_col}`").isNotNull())
-    return named.orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`")).limit(rows)
+    """At most `rows` distinct ids, those of the smallest hashes (then the smallest ids): a repeatable sample of proven size."""
+    named = ids.select(F.col(f"`{id_col}`").alias(id_col)).filter(F.col(id_col).isNotNull()).distinct()
+    return named.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw): for each of a bounded set of distinct ids that docs has, the bytes of its text; of several rows with one
+    id the text of least hash. So there are no more rows than ids, however often docs repeats one."""
+    raw = utf8(F.col(f"`{text_col}`"))
+    found = docs.select(F.col(f"`{id_col}`").alias(id_col), raw.alias("raw")).join(F.broadcast(ids), id_col, "left_semi")
+    return found.groupBy(id_col).agg(F.min_by("raw", F.struct(F.xxhash64("raw"), "raw")).alias("raw"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Words, bounded_ids, slices, struct, utf8
+from .common import NOT_WHITE, Words, bounded_ids, one_text_each, slices, struct, utf8
 
 #: Byte classes whose share of the words is a measure.
 CLASSES = (b"#$%&*@^~`", b"|<>{}[]\\/_=+", b"!?", b".", b",;:", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(0xC2, 0xF5)))
@@ -91,17 +91,18 @@ def style_of(texts: pa.Array) -> pa.Array:
 
 
 def _measured(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """The measures of the documents of a bounded set of ids; only these numbers reach the driver."""
-    chosen = docs.join(F.broadcast(ids), id_col, "left_semi").select(style_of(utf8(F.col(f"`{text_col}`"))).alias("x"))
-    rows = chosen.toArrow()["x"].to_pylist()
+    """The measures of one document for each of a bounded set of ids; only these numbers reach the driver."""
+    chosen = one_text_each(docs, ids, id_col, text_col).select(id_col, style_of(F.col("raw")).alias("x"))
+    rows = chosen.toArrow().sort_by(id_col)["x"].to_pylist()
     return np.array(rows).reshape(-1, N_MEASURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = 6000, max_unlabelled: int = 12000) -> Model:
     """A model from rows where `learn_from` (over the id) holds.
 
-    Trusted positives are at most max_positive rows with label 1; the unlabelled texts are at most max_unlabelled
-    rows, whatever their label; the class prior is the share of label 1 among all labelled rows learned from.
+    Trusted positives are at most max_positive ids with label 1 (an id labelled twice counts as 1 if it ever is); the
+    unlabelled texts are at most max_unlabelled ids, whatever their label; the class prior is the share of label 1 among
+    all labelled rows learned from. An id of several documents counts with one text (the one of least hash).
     """
     known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").alias("label")).filter(learn_from & F.col("label").isNotNull())
     prior = known.select(F.avg(F.col("label").cast("double"))).first()[0]
