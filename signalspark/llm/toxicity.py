@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, Words, bounded_ids, byte_class, slices, struct, utf8
+from .common import FOLD, Words, bounded_ids, byte_class, one_text_each, slices, struct, utf8
 
 #: Words are runs of ASCII letters, digits and bytes of other code points.
 WORD = byte_class(without=bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -61,26 +61,25 @@ class Machine:
         return z
 
 
-def select(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, columns: int, least: int = 3) -> np.ndarray:
-    """The buckets, at most `columns`, whose presence in a text tells most about its label (chi-squared)."""
+def select(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, least: int = 3, gain: float = 12.0) -> np.ndarray:
+    """All buckets whose presence in a text tells something about its label: chi-squared over `gain`, and in `least` texts
+    or more. The others keep weight 0: as columns of their own they learn the labels' noise by heart."""
     n, ones = len(label), label.sum()
     present = np.bincount(bucket, minlength=BUCKETS).astype(float)
     with_one = np.bincount(bucket, weights=label[row], minlength=BUCKETS)
     spread = present * (n - present) * ones * (n - ones)
-    gain = np.where(spread > 0, n * (n * with_one - present * ones) ** 2 / np.maximum(spread, 1), 0)
-    gain[present < min(least, max(1, ones))] = 0
-    best = np.argsort(-gain, kind="stable")[:columns]
-    return np.sort(best[gain[best] > 12])
+    told = np.where(spread > 0, n * (n * with_one - present * ones) ** 2 / np.maximum(spread, 1), 0)
+    return np.flatnonzero((told > gain) & (present >= min(least, max(1, ones))))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, columns: int = 4096, rank: int = 4, steps: int = 160, rate: float = 0.05, decay: float = 2e-5) -> Machine:
+def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, rank: int = 4, steps: int = 160, rate: float = 0.05, decay: float = 2e-5) -> Machine:
     """Logistic loss by Adam over all rows, the best of its steps on every eighth row, which isn't learned from.
 
     row, bucket: the distinct terms of each text. Without both labels every text scores the share of ones.
     """
     share = np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99)
     start = float(np.log(share / (1 - share)))
-    chosen = select(row, bucket, label, columns) if 0 < label.sum() < len(label) else np.zeros(0, np.int64)
+    chosen = select(row, bucket, label) if 0 < label.sum() < len(label) else np.zeros(0, np.int64)
     column = np.full(BUCKETS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(11)
@@ -125,12 +124,16 @@ def terms_of(texts: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12000, **params) -> Machine:
-    """A machine from at most max_rows labelled rows where `learn_from` (over the id) holds; an id labelled twice may
-    count with either label."""
+    """A machine from at most max_rows labelled ids where `learn_from` (over the id) holds.
+
+    An id labelled twice counts as 1 if it ever is; an id of several documents counts with one text (the one of least
+    hash). Of all hashed terms those learn that tell something about the label (see select); however many they are.
+    """
     known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").alias("label")).filter(learn_from & F.col("label").isNotNull())
     few = bounded_ids(known, id_col, max_rows)
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col)).join(F.broadcast(few), id_col)
-    found = rows.select(id_col, "label", terms_of(utf8(F.col(f"`{text_col}`"))).alias("terms")).toArrow().sort_by(id_col).combine_chunks()
+    label_of = known.join(F.broadcast(few), id_col, "left_semi").groupBy(id_col).agg(F.max("label").alias("label"))
+    rows = one_text_each(docs, few, id_col, text_col).join(F.broadcast(label_of), id_col)
+    found = rows.select(id_col, "label", terms_of(F.col("raw")).alias("terms")).toArrow().sort_by(id_col).combine_chunks()
     label = found["label"].to_numpy().astype(float)
     lists = found["terms"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
     row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy())) if found.num_rows else np.zeros(0, np.int64)

@@ -5,7 +5,7 @@ import numpy as np
 from cases import frame, texts
 
 from signalspark.llm import quality_classifier, toxicity
-from signalspark.llm.common import in_fold
+from signalspark.llm.common import bounded_ids, in_fold, one_text_each
 
 WORDS = ["river", "stone", "garden", "light", "window", "morning", "paper", "quiet", "yellow", "seven"]
 
@@ -77,3 +77,21 @@ def test_machine_matches_its_definition():
     z = machine.logits(np.array([0, 0, 0, 1]), np.array([1, 4, 6, 2]), 3)
     pairs = sum(machine.vectors[a] @ machine.vectors[b] for a, b in ((1, 4), (1, 6), (4, 6)))
     assert np.allclose(z, [0.3 + machine.weights[[1, 4, 6]].sum() + pairs, 0.3 + machine.weights[2], 0.3])
+
+
+def test_samples_are_bounded_with_repeated_ids(spark):
+    ids = spark.createDataFrame([(i % 20,) for i in range(100)] + [(None,)], "doc_id long")
+    few = bounded_ids(ids, "doc_id", 7)
+    assert few.count() == few.distinct().count() == 7 and few.collect() == bounded_ids(ids.orderBy("doc_id"), "doc_id", 7).collect()
+    docs = frame(spark, [(i % 20, f"text {i}") for i in range(100)] + [(None, "x")])
+    rows = one_text_each(docs, few, "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in few.collect())
+
+
+def test_repeated_ids_and_labels(spark):
+    docs, labels, truth = tables(spark)
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", docs.text)).unionByName(frame(spark, [(5, "another text")] * 50))
+    labels = labels.unionByName(labels.filter("doc_id % 5 = 0"))
+    for train, scored, label, folds, fold, k in ((quality_classifier.train, quality_classifier.scored, "quality", 3, 1, 1), (toxicity.train, toxicity.scored, "toxic", 5, 0, 2)):
+        got = {r.doc_id: r.predicted for r in scored(docs, train(docs, labels, learn_from=~in_fold("doc_id", folds, fold))).collect() if r.doc_id != 5}
+        assert held_out_accuracy(got, [(x[0], x[k]) for x in truth if x[0] != 5], folds, fold) > 0.93, label
