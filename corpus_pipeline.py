@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalspark.llm import quality_classifier
 from signalspark.llm.bpe import token_digests
-from signalspark.llm.common import in_fold
+from signalspark.llm.common import in_fold, stored
 from signalspark.llm.decontaminate import drop_contaminated
 from signalspark.llm.line_dedup import drop_common_lines
 from signalspark.llm.queries import tokenizer_files
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what each keeps is stored before the next, which may read its input more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
