@@ -57,10 +57,16 @@ def local_std(x: np.ndarray, k: int = 5) -> np.ndarray:
 
 
 def _blockiness(x: np.ndarray, size: int = 8) -> float | None:
-    step = np.abs(np.diff(x, axis=1))
-    at = (np.arange(step.shape[1]) + 1) % size == 0
-    inside = step[:, ~at].mean() if (~at).any() else 0.0
-    return float(step[:, at].mean() / inside - 1) if at.any() and inside >= 0.05 else None
+    """How much steeper the steps over block edges are than others, of both directions; null for a small or flat picture."""
+    at_edge, inside = [], []
+    for axis in (0, 1):
+        step = np.abs(np.diff(x, axis=axis)).mean(axis=1 - axis)
+        edge = np.arange(1, len(step) + 1) % size == 0
+        if not edge.any() or edge.all():
+            return None
+        at_edge.append(step[edge].mean())
+        inside.append(step[~edge].mean())
+    return float(sum(at_edge) / sum(inside) - 1) if sum(inside) >= 0.1 else None
 
 
 def _noise(x: np.ndarray) -> float:
@@ -68,30 +74,76 @@ def _noise(x: np.ndarray) -> float:
     return float(1.4826 * np.median(np.abs(r)))
 
 
-def _double_quantised(x: np.ndarray, size: int = 8) -> float | None:
-    """How periodic the histogram of one DCT coefficient is: the strongest of its frequencies against all."""
+def _double_quantised(x: np.ndarray, size: int = 8) -> float:
+    """How periodic the histogram of one DCT coefficient is: the strongest frequency from the second on, as a share of
+    all but the constant; 0 for fewer than 16 blocks."""
     h, w = (n // size * size for n in x.shape)
-    if not h or not w:
-        return None
-    k = np.arange(size)
-    basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / (2 * size)) * np.sqrt(2 / size)
-    basis[0] /= np.sqrt(2)
-    blocks = x[:h, :w].reshape(h // size, size, w // size, size).transpose(0, 2, 1, 3) - 128
-    values = np.einsum("i,abij,j->ab", basis[2], blocks, basis[2]).ravel()
-    counts = np.histogram(values, bins=64, range=(-40, 40))[0].astype(float)
-    power = np.abs(np.fft.rfft(counts - counts.mean()))[3:]
-    return float(power.max() / power.sum()) if power.sum() > 0 else None
+    if h * w < 16 * size * size:
+        return 0.0
+    wave = np.cos((2 * np.arange(size) + 1) * np.pi * 2 / (2 * size)) * np.sqrt(2 / size)
+    blocks = x[:h, :w].reshape(h // size, size, w // size, size)
+    counts = np.histogram(np.einsum("i,aibj,j->ab", wave, blocks, wave), bins=64, range=(-40, 40))[0]
+    power = np.abs(np.fft.rfft(counts - counts.mean()))[1:]
+    return float(power[1:].max() / power.sum()) if power.sum() > 0 else 0.0
+
+
+def blurred(x: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur, edges mirrored."""
+    reach = int(4 * sigma)
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    for axis in (0, 1):
+        padded = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        x = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=axis) @ weights
+    return x
+
+
+def line_means(x: np.ndarray, size: int = 11, angles: int = 8) -> np.ndarray:
+    """For each of the angles the mean along a line of `size` pixels through each pixel, edges mirrored."""
+    half = size // 2
+    padded = np.pad(x, half, mode="reflect")
+    h, w = x.shape
+    out = []
+    for k in range(angles):
+        steps = {(round(r * np.sin(k * np.pi / angles)), round(r * np.cos(k * np.pi / angles))) for r in range(-half, half + 1)}
+        out.append(sum(padded[half + dy : half + dy + h, half + dx : half + dx + w] for dy, dx in sorted(steps)) / len(steps))
+    return np.stack(out)
+
+
+def regions(mask: np.ndarray) -> np.ndarray:
+    """A number for each pixel's region of touching pixels (diagonals too), 0 outside: labels flow to the least one."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    far = mask.size + 1
+    while True:
+        near = np.where(mask, label, far)
+        for axis in (0, 1):
+            pad = np.pad(near, [(1, 1) if k == axis else (0, 0) for k in (0, 1)], constant_values=far)
+            near = np.minimum.reduce([np.take(pad, range(s, s + mask.shape[axis]), axis=axis) for s in range(3)])
+        least = np.where(mask, near, 0)
+        least = np.where(mask, np.append(0, least.ravel())[least], 0)  # and on to the label of that pixel
+        if (least == label).all():
+            return label
+        label = least
 
 
 def _banding(x: np.ndarray) -> float:
-    """Percent of pixels on long faint edges: steps of a few levels between flat runs on both sides."""
-    step = np.abs(np.diff(x, axis=1))
-    faint = (step >= 1) & (step <= 6)
-    flat = np.abs(np.diff(x, axis=1)) < 0.5
-    run = lambda m: np.minimum.reduce([np.roll(m, s, 1) for s in (1, 2, 3)])
-    edge = faint & run(flat) & run(flat[:, ::-1])[:, ::-1]
-    tall = np.minimum.reduce([np.roll(edge, s, 0) for s in range(-2, 3)])
-    return float(100 * tall.mean() * 16)
+    """Percent of pixels on or beside contours: long thin lines in smooth parts, on which the picture stays on one side of
+    its blurred self. Noise, which has no direction, cancels out along the lines."""
+    off = x - blurred(x, 2.0)
+    smooth = local_std(x, 9) < 3
+    noise = float(np.median(np.abs(off[smooth]))) if smooth.any() else 0.0
+    label = regions((np.abs(line_means(off)).max(axis=0) > max(0.22, 1.2 * noise)) & smooth)
+    band = np.zeros(x.shape, bool)
+    least = max(16, min(x.shape) // 16)
+    for number in np.unique(label[label > 0]).tolist():
+        rows, columns = np.nonzero(label == number)
+        tall, wide = np.ptp(rows) + 1, np.ptp(columns) + 1
+        long = max(tall, wide)
+        if long >= least and (len(rows) <= 0.35 * tall * wide or long >= 4 * min(tall, wide)):
+            band[rows, columns] = True
+    wider = np.pad(band, 1)
+    h, w = x.shape
+    return float(100 * np.logical_or.reduce([wider[a : a + h, b : b + w] for a in range(3) for b in range(3)]).mean())
 
 
 def _head_switch(x: np.ndarray, band: int = 6) -> float:

@@ -5,6 +5,8 @@ Interval and nearest joins go through buckets of time, so they are equi-joins th
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,17 @@ def near_any(events: DataFrame, marks: DataFrame, keys: list[str], within: float
     return events.join(hit, [*keys, "t"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def frames_in(spans: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, q0, q1, frames): how many frames of inclusive spans (f0, f1) lie in inclusive ranges (q0, q1)."""
+def frames_in(spans: DataFrame, ranges: DataFrame, keys: list[str], width: int = 1024) -> DataFrame:
+    """(keys, q0, q1, frames): how many frames of inclusive spans (f0, f1) lie in inclusive ranges (q0, q1).
+
+    Spans and ranges meet in buckets of `width` frames, each pair in the first that they share.
+    """
+    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("bucket")
+    asked = ranges.select(*keys, "q0", "q1").distinct()
+    met = asked.filter("q0 <= q1").select(*keys, "q0", "q1", cut("q0", "q1")).join(spans.filter("f0 <= f1").select(*keys, "f0", "f1", cut("f0", "f1")), [*keys, "bucket"])
     low, high = F.greatest("f0", "q0"), F.least("f1", "q1")
-    met = ranges.join(spans, keys, "left")
-    shared = F.when(high >= low, high - low + 1).otherwise(0)
-    return met.groupBy(*keys, "q0", "q1").agg(F.coalesce(F.sum(shared), F.lit(0)).alias("frames"))
+    shared = met.filter((high >= low) & (F.floor(low / width) == F.col("bucket"))).groupBy(*keys, "q0", "q1").agg(F.sum(high - low + 1).alias("frames"))
+    return asked.join(shared, [*keys, "q0", "q1"], "left").select(*keys, "q0", "q1", F.coalesce("frames", F.lit(0)).alias("frames"))
 
 
 def scenes(cuts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,22 +93,35 @@ def psnr(reference: DataFrame, distorted: DataFrame, keys: list[str], value: str
     return agg.withColumn("psnr", F.when(F.col("mse") == 0, F.lit(float("inf"))).otherwise(10 * F.log10(peak * peak / F.col("mse"))))
 
 
-def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, bands: int = 8) -> DataFrame:
-    """(a, b, bits), a < b: rows whose hashes of 64-bit words differ in at most max_bits bits.
+def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, segment: int = 16) -> DataFrame:
+    """(a, b, bits), a < b: pairs of different hashes, of 64-bit words, that differ in at most max_bits bits, each by the
+    least key of its rows (hash_members has the others; copies aren't paired with each other). Rows with a null word have
+    no hash.
 
-    The bits are cut in bands; pairs that agree in at least one band are compared. With more bands than max_bits none
-    is missed, otherwise the bands are a sieve.
+    The hash is cut in segments of `segment` bits. Two hashes within max_bits bits differ by at most max_bits // segments
+    bits in one of them, so each looks up all segment values within that radius and complete distances are verified; no
+    pair is missed.
     """
-    size = 64 * len(words) // bands
-    if 64 % size:
-        raise ValueError("a band has to be a part of a word")
-    mask = F.lit((1 << size) - 1).cast("long") if size < 64 else F.lit(-1).cast("long")
-    cut = [F.shiftrightunsigned(F.col(w), 64 - size * (k + 1)).bitwiseAND(mask) for w in words for k in range(64 // size)]
-    banded = hashes.select(key, *words, F.posexplode(F.array(*cut)).alias("band", "value"))
-    other = banded.select(F.col(key).alias("b"), *(F.col(w).alias(f"{w}_b") for w in words), "band", "value")
-    met = banded.withColumnRenamed(key, "a").join(other, ["band", "value"]).filter(F.col("a") < F.col("b"))
+    if 64 % segment or segment > 32:
+        raise ValueError("a segment is an equal part of a word, of 32 bits at most")
+    each = 64 // segment
+    radius = max_bits // (each * len(words))
+    if radius > 2:
+        raise ValueError("so many bits need shorter segments")
+    cut = [F.shiftrightunsigned(F.col(w), 64 - segment * (k + 1)).bitwiseAND(F.lit((1 << segment) - 1).cast("long")) for w in words for k in range(each)]
+    flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(segment), r)]
+    ball = F.array(*(F.lit(f).cast("long") for f in flips))
+    distinct = hash_members(hashes, key, words).select("first", *words).distinct()
+    filed = distinct.select(F.col("first").alias("a"), *words, F.posexplode(F.array(*cut)).alias("place", "value"))
+    asked = filed.select(F.col("a").alias("b"), *(F.col(w).alias(f"{w}_b") for w in words), "place", F.explode(F.transform(ball, lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
     bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    return met.select("a", "b", bits.alias("bits")).filter(F.col("bits") <= max_bits).distinct()
+    return filed.join(asked, ["place", "value"]).filter(F.col("a") < F.col("b")).select("a", "b", bits.alias("bits")).filter(F.col("bits") <= max_bits).distinct()
+
+
+def hash_members(hashes: DataFrame, key: str, words: list[str]) -> DataFrame:
+    """(key, words, first): the least key of the rows with the same hash."""
+    known = hashes.select(key, *words).dropna(subset=words)
+    return known.join(known.groupBy(*words).agg(F.min(key).alias("first")), words).select(key, *words, "first")
 
 
 def loops(frames: DataFrame, keys: list[str], hash_col: str, least: int, kinds: int = 3) -> DataFrame:

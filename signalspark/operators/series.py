@@ -84,7 +84,8 @@ def drop_repeats(df: DataFrame, x: str, keys: list[str], order: list[str]) -> Da
 
 
 def spread_out(df: DataFrame, keys: list[str], time: str, gap: float) -> DataFrame:
-    """Greedy in time: a row stays if it's over `gap` after the last row that stayed. State is one number a series."""
+    """Greedy in time: a row stays if it's over `gap` after the last row that stayed. State is one number a series.
+    Rows without a time are left out."""
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
@@ -98,14 +99,14 @@ def spread_out(df: DataFrame, keys: list[str], time: str, gap: float) -> DataFra
                 keep.append(stays)
             yield batch[keep]
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, time)
+    ordered = df.filter(F.col(time).isNotNull() & ~F.isnan(time)).repartition(*keys).sortWithinPartitions(*keys, time)
     return ordered.mapInPandas(stream, df.schema)
 
 
 def best_first(df: DataFrame, keys: list[str], time: str, score: str, radius: float, most: int) -> DataFrame:
     """Greedy by score: a row stays if no better row within `radius` stayed; at most `most` in a series.
 
-    A series' kept rows are its only state; rows come in order of score.
+    A series' kept rows are its only state; rows come in order of score. Rows without a time or score are left out.
     """
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +122,8 @@ def best_first(df: DataFrame, keys: list[str], time: str, score: str, radius: fl
                 keep.append(stays)
             yield batch[keep]
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, F.desc(score), time)
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in (time, score)]
+    ordered = df.filter(known[0] & known[1]).repartition(*keys).sortWithinPartitions(*keys, F.desc(score), time)
     return ordered.mapInPandas(stream, df.schema)
 
 
@@ -135,17 +137,22 @@ def cut_points(df: DataFrame, keys: list[str], order: str, x: str, least: int =
     for _ in range(depth):
         whole = Window.partitionBy(*keys, "segment")
         w = whole.orderBy(order)
-        run, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+        run = w.rowsBetween(Window.unboundedPreceding, -1)
         part = seg.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_k", F.row_number().over(w) - 1)
         a, b = F.col(order).cast("double"), F.col(x).cast("double")
 
-        def residual(frame, a=a, b=b):
-            n, sy = F.count(F.lit(1)).over(frame), F.sum(b).over(frame)
-            sx, sxx, sxy, syy = (F.sum(v).over(frame) for v in (a, a * a, a * b, b * b))
-            vx, vxy, vy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
+        # the sums of the rows from a cut on are those of all rows less those before it
+        sums = {"n": F.lit(1), "x": a, "y": b, "xx": a * a, "xy": a * b, "yy": b * b}
+        for name, v in sums.items():
+            part = part.withColumn(f"_all_{name}", F.sum(v).over(whole)).withColumn(f"_run_{name}", F.coalesce(F.sum(v).over(run), F.lit(0)))
+
+        def residual(of):
+            n, x, y, xx, xy, yy = (of(name) for name in sums)
+            vx, vxy, vy = xx - x * x / n, xy - x * y / n, yy - y * y / n
             return F.greatest(F.when(vx > 0, vy - vxy * vxy / vx).otherwise(vy), F.lit(0.0))
 
-        part = part.withColumn("_one", residual(whole)).withColumn("_two", residual(run) + residual(rest))
+        before, after = residual(lambda s: F.col(f"_run_{s}")), residual(lambda s: F.col(f"_all_{s}") - F.col(f"_run_{s}"))
+        part = part.withColumn("_one", residual(lambda s: F.col(f"_all_{s}"))).withColumn("_two", F.coalesce(before, F.lit(0.0)) + after)
         side = F.greatest(F.lit(8), F.floor(F.col("_n") / 40))
         may = (F.col("_n") >= least) & (F.col("_k") >= side) & (F.col("_n") - F.col("_k") >= side) & (F.col("_k") % side == 0)
         part = part.withColumn("_best", F.min(F.when(may, F.struct("_two", "_k"))).over(whole))

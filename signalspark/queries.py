@@ -3,13 +3,13 @@
 The tables stand in for media: a user's events are the frames of a file, a supplier's line items its packets, orders
 its intervals, conversations its captions, texts its bytes, vectors its fingerprints.
 
-An order has one interval, from its date to the shipping of its first line (l_linenumber = 1), in the queries' SQL as
-here. segment_clean, chained_segments, speech_complement and caption_coverage don't see the other lines of an order.
+Every line of an order is an interval, from the order's date to the line's shipping.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,15 +145,6 @@ def lsb_probability(spark, sf):
     return aggregates.with_probability(lsb_chi_pairs(spark, sf)).withColumn("p", F.round("p", 9))
 
 
-@query(f"""WITH {PACKETS}, g AS (SELECT media, frame // 4 AS g, list(complexity::INT ORDER BY frame) AS x FROM p GROUP BY ALL HAVING count(*) = 4),
-m AS (SELECT media, x, mask, flip, unnest([1]) FROM g, (VALUES ('0110', 1), ('0110', -1), ('1001', 1), ('1001', -1)) v(mask, flip)),
-y AS (SELECT media, mask, flip, x, list_transform([1, 2, 3, 4], lambda k: CASE WHEN substr(mask, k, 1) = '0' THEN x[k] WHEN flip = 1 THEN xor(x[k], 1) ELSE least(greatest(xor(x[k] + 1, 1) - 1, 0), 255) END) AS z FROM m),
-d AS (SELECT media, mask, flip, abs(z[2] - z[1]) + abs(z[3] - z[2]) + abs(z[4] - z[3]) - abs(x[2] - x[1]) - abs(x[3] - x[2]) - abs(x[4] - x[3]) AS change FROM y)
-SELECT media, mask, flip, round(avg((change > 0)::INT), 6) AS regular, round(avg((change < 0)::INT), 6) AS singular FROM d GROUP BY ALL""")
-def rs_counts(spark, sf):
-    return aggregates.regular_singular(packets(spark, sf), K, "frame", "complexity").withColumn("regular", r6("regular")).withColumn("singular", r6("singular"))
-
-
 @query("""WITH l AS (SELECT l_partkey AS media, l_quantity AS bitrate, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
 b AS (SELECT *, max(score) OVER w * 0.98 AS target, max(bitrate) OVER w AS last FROM l WINDOW w AS (PARTITION BY media))
 SELECT media, coalesce(min(bitrate) FILTER (score >= target), max(last)) AS bitrate, arg_min(score, bitrate) FILTER (score >= target) AS score, round(any_value(target), 6) AS target FROM b GROUP BY media""")
@@ -162,13 +153,6 @@ def optimal_bitrate(spark, sf):
     return aggregates.optimal_bitrate(ladder, K, "bitrate", "score").withColumn("target", r6("target"))
 
 
-@query()
-def luck_tail(spark, sf):
-    """Binomial tails have no SQL; tests compare them with exact sums."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("media"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("k"))
-    return aggregates.luck(e.withColumn("p", F.lit(0.25)).withColumn("select", F.lit(2.0)), K).withColumn("log10_p", r6("log10_p"))
-
-
 @query(f"""WITH {PACKETS}, r AS (SELECT *, regr_slope(size, complexity) OVER w AS s, regr_intercept(size, complexity) OVER w AS i, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY media)),
 e AS (SELECT media, frame, size - (s * complexity + i) AS residual FROM r WHERE n >= 16), m AS (SELECT *, median(residual) OVER (PARTITION BY media) AS med FROM e),
 d AS (SELECT *, median(abs(residual - med)) OVER (PARTITION BY media) AS mad FROM m)
@@ -226,12 +210,12 @@ def silence_runs(spark, sf):
 
 
 INTERVALS = """iv AS (SELECT DISTINCT o_custkey AS media, least(epoch_us(o_orderdate), epoch_us(l_shipdate)) / 1e6 AS t0, greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) / 1e6 AS t1
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate <> l_shipdate AND l_linenumber = 1)"""
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate <> l_shipdate)"""
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     s = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    both = table(spark, sf, "orders").join(table(spark, sf, "lineitem").filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    both = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return segments.clean(both.select(F.col("o_custkey").alias("media"), s("o_orderdate").alias("t0"), s("l_shipdate").alias("t1")), K)
 
 
@@ -334,9 +318,12 @@ def load_overlap(spark, sf):
 # ---- windows
 
 
-@query(f"""WITH {FRAMES} SELECT * FROM (SELECT media, frame, round(abs(value - lag(value) OVER (PARTITION BY media ORDER BY frame)), 6) AS leap FROM f) WHERE leap >= 40""")
+@query(f"""WITH {FRAMES}, d AS (SELECT media, CASE WHEN max(value) <= 255 THEN 8 WHEN max(value) <= 1023 THEN 10 ELSE 12 END AS bits FROM f GROUP BY media)
+SELECT media, frame, leap FROM (SELECT media, frame, bits, round(abs(value - lag(value) OVER (PARTITION BY media ORDER BY frame)), 6) AS leap FROM f JOIN d USING (media)) WHERE leap >= 40 * (pow(2, bits) - 1) / 255""")
 def flash_risk(spark, sf):
-    return signals.flash_risk(frames(spark, sf).withColumn("bits", F.lit(8)), K, "value", "bits").select("media", "frame", r6("leap").alias("leap"))
+    f = frames(spark, sf)
+    depth = aggregates.bit_depth(f, K, "value").withColumnRenamed("bit_depth", "bits")
+    return signals.flash_risk(f.join(depth, K), K, "value", "bits").select("media", "frame", r6("leap").alias("leap"))
 
 
 @query(f"""WITH {FRAMES}, s AS (SELECT media, frame, coalesce((abs(value - lag(value) OVER (PARTITION BY media ORDER BY frame)) >= 25)::INT, 0) AS s FROM f),
@@ -401,10 +388,10 @@ def timer_jumps(spark, sf):
 SQL["timer_jumps"] = SQL["timer_jumps"].replace("dt AS change", "dt::DOUBLE AS change")
 
 
-@query(f"""WITH {FRAMES}, q AS (SELECT media, frame, t / 100 AS t, floor(t / 500) AS secs FROM f), c AS (SELECT *, coalesce(secs - lag(secs) OVER (PARTITION BY media ORDER BY frame) = 0, false) AS still FROM q),
+@query(f"""WITH {FRAMES}, q AS (SELECT media, frame, t / 100 AS t, floor(t / 50000) AS secs FROM f), c AS (SELECT *, coalesce(secs - lag(secs) OVER (PARTITION BY media ORDER BY frame) = 0, false) AS still FROM q),
 r AS (SELECT *, frame - row_number() OVER (PARTITION BY media, still ORDER BY frame) AS run FROM c) SELECT media, min(t) AS t0, max(t) AS t1, count(*) AS n FROM r WHERE still GROUP BY media, run HAVING max(t) - min(t) > 0.3""")
 def timer_freezes(spark, sf):
-    readings = frames(spark, sf).select("media", "frame", (F.col("t") / 100).alias("t"), F.floor(F.col("t") / 500).alias("secs"))
+    readings = frames(spark, sf).select("media", "frame", (F.col("t") / 100).alias("t"), F.floor(F.col("t") / 50000).alias("secs"))
     return timers.frozen(readings, K, least_s=0.3)
 
 
@@ -455,11 +442,18 @@ def psnr_aligned(spark, sf):
     return joins.psnr(f, f.withColumn("media", F.col("media") + 1), ["media", "frame"], "value").select("media", "frames", r6("mse").alias("mse"), r6("psnr").alias("psnr"))
 
 
-@query("""WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN (1::HUGEINT << (64 - k)::INT) ELSE 0 END))::UBIGINT AS h FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 7""")
+#: What a text's 64-bit hash looks at: whether a character's count, in eighths and sixteenths, is odd.
+_SIGNS = "etaoinshrdlucmfwypvbgkjqxzéöüä,. "
+_WORD_SQL = "list_sum([" + ", ".join(f"((length(text) - length(replace(text, '{c}', ''))) // {n} % 2)::HUGEINT << {2 * k + (n > 8)}" for k, c in enumerate(_SIGNS[:32]) for n in (8, 16)) + "])"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORD_SQL} AS h FROM documents WHERE text IS NOT NULL), h AS (SELECT min(doc_id) AS id, h::UBIGINT AS h FROM w GROUP BY h)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 7""")
 def hash_hamming_pairs(spark, sf):
-    word = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (63 - i).cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return joins.hash_pairs(table(spark, sf, "embeddings").select("vec_id", word.alias("h")), "vec_id", ["h"], 7)
+    count = lambda c: (F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).cast("long")
+    bit = lambda k, c, n: F.shiftleft(F.floor(count(c) / n) % 2, 2 * k + (n > 8))
+    word = reduce(Column.bitwiseOR, (bit(k, c, n) for k, c in enumerate(_SIGNS[:32]) for n in (8, 16)))
+    return joins.hash_pairs(table(spark, sf, "documents").select("doc_id", word.alias("h")), "doc_id", ["h"], 7)
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT media, frame, floor(value / 10) AS h, lead(frame) OVER (PARTITION BY media, floor(value / 10) ORDER BY frame) AS later FROM f), d AS (SELECT *, later - frame AS delta FROM l WHERE later IS NOT NULL),
@@ -624,12 +618,6 @@ def sha256_rows(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query()
-def entropy_blocks(spark, sf):
-    """Bytes have no unnesting SQL of this size; tests compare with the definition."""
-    return containers.entropy_blocks(table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content")), ["page_id"], 4096).withColumn("entropy", r6("entropy"))
-
-
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
 def probe_json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
@@ -692,16 +680,6 @@ def nits_bands(spark, sf):
 # ---- greedy and spectral operators: no SQL; tests compare with plain versions
 
 
-@query()
-def anchor_dedupe(spark, sf):
-    return series.spread_out(frames(spark, sf).filter("value > 50").select("media", "frame", "t"), K, "t", 43200.0)
-
-
-@query()
-def nms_pick(spark, sf):
-    return series.best_first(frames(spark, sf).select("media", "frame", "t", "value"), K, "t", "value", 86400.0, 12)
-
-
 @query()
 def changepoint_split(spark, sf):
     return series.cut_points(frames(spark, sf).withColumn("x", F.col("frame").cast("double")), K, "x", "t").withColumn("slope", r6("slope"))
@@ -724,11 +702,6 @@ def enf_track(spark, sf):
     return signals.hum(_pcm(spark, sf), K, 8.0, 24.0).select("media", "block", r6("hz").alias("hz"), r6("snr_db").alias("snr_db"))
 
 
-@query()
-def flicker_tone(spark, sf):
-    return signals.flicker(frames(spark, sf), K, 10.0, "value").select("media", r6("hz").alias("hz"), F.round("ratio", 4).alias("ratio"))
-
-
 @query()
 def audio_bandwidth(spark, sf):
     cut = signals.cutoff(signals.mean_spectrum(_pcm(spark, sf), K), K, 689.0, below_db=12.0)

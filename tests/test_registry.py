@@ -33,14 +33,14 @@ def con():
 
 
 def names():
-    from signalspark.queries import SQL
+    from signalspark.record_queries import SQL
 
     return sorted(SQL)
 
 
 @pytest.mark.parametrize("name", names())
 def test_query_matches_sql(spark, con, name):
-    from signalspark.queries import QUERIES, SQL
+    from signalspark.record_queries import QUERIES, SQL
 
     df = QUERIES[name](spark, SF)
     got = rows(df.columns, [list(r) for r in df.collect()])
