@@ -59,8 +59,8 @@ def fingerprint(text: Column | str, shingle_words: int = 3) -> Column:
 def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2) -> DataFrame:
     """(a, b), a < b: pairs of the distinct longs `fp` that connect all fingerprints within `max_bits` (0 to 2) bits.
 
-    A bucket is kept as one bit for each place in which a fingerprint may differ from the bucket's value, so counting
-    combines before the shuffle and never gathers rows. Within two bits all of a bucket are linked to its least; within
+    A bucket is kept as one bit for each place in which a fingerprint may differ from the bucket's value, so it has one
+    size and no rows are gathered. Within two bits all of a bucket are linked to its least; within
     one bit the bucket's own value is linked to the others. The components are those of all pairs within max_bits.
     """
     if not 0 <= max_bits <= 2 or 64 % segments:
@@ -69,7 +69,8 @@ def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2) -> DataFrame:
     balls = [F.struct(F.lit(s * size + b).alias("at"), F.shiftleft(F.lit(1).cast("long"), s * size + b).alias("flip")) for s in range(segments) for b in range(size)]
     own = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("flip"))
     filed = fps.select("fp", F.explode(F.array(own, *balls)).alias("ball")).select(F.col("fp").bitwiseXOR(F.col("ball.flip")).alias("value"), F.col("ball.flip").alias("flip"), (F.col("ball.at") < 0).alias("own"))
-    bucket = filed.groupBy("value").agg(F.bit_or("flip").alias("flips"), F.max("own").alias("own"))
+    # hardly two rows of a task share a bucket, so nothing is combined (and held) before the shuffle
+    bucket = filed.repartition("value").groupBy("value").agg(F.bit_or("flip").alias("flips"), F.max("own").alias("own"))
     met = bucket.filter(F.bit_count("flips") + F.col("own").cast("int") > (1 if max_bits else 65))
     inside = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("flips", i) == 1), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     if max_bits == 2:
