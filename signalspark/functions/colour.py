@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +25,15 @@ TRIANGLE = {"709": ((0.64, 0.33), (0.30, 0.60), (0.15, 0.06)), "2020": ((0.708,
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x held between two values; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def pq_eotf(signal: Column, floor: float = 1e-7) -> Column:
     """PQ signal (0 to 1) to light relative to 10,000 nits."""
     p = F.pow(clip(signal), F.lit(1 / PQ_M2))
-    return F.pow(F.greatest(p - PQ_C1, F.lit(0.0)) / F.greatest(PQ_C2 - PQ_C3 * p, F.lit(floor)), F.lit(1 / PQ_M1))
+    light = F.pow(F.greatest(p - PQ_C1, F.lit(0.0)) / F.greatest(PQ_C2 - PQ_C3 * p, F.lit(floor)), F.lit(1 / PQ_M1))
+    return F.when(p.isNotNull(), light)  # greatest() would take null for its other side
 
 
 def pq_nits(signal: Column) -> Column:
@@ -117,3 +120,90 @@ def nits_band(nits: Column) -> Column:
     for k, end in enumerate(NITS_BANDS[1:], 1):
         band = band.when(nits < end, k)
     return band.otherwise(len(NITS_BANDS))
+
+
+def _product(matrix: tuple, vector: list[Column]) -> list[Column]:
+    return [row[0] * vector[0] + row[1] * vector[1] + row[2] * vector[2] for row in matrix]
+
+
+def to_709(r: Column, g: Column, b: Column, primaries: str = "709") -> Column:
+    """A struct (r, g, b) of linear light in BT.709 primaries, by way of XYZ; unknown primaries count as BT.709."""
+    rgb = [r, g, b]
+    if primaries in XYZ and primaries != "709":
+        matrix = np.linalg.inv(np.array(XYZ["709"])) @ np.array(XYZ[primaries])
+        rgb = _product(matrix.tolist(), rgb)
+    return F.struct(*(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
+# fixed values: stops of the false-colour scale, by 8-bit luma
+FALSE_STOPS = ((0, 40, 30, 90), (16, 30, 60, 180), (45, 40, 160, 160), (110, 60, 170, 60), (128, 150, 150, 150), (180, 210, 200, 70), (235, 235, 140, 40), (254, 240, 80, 40), (255, 255, 40, 40))
+
+
+def false_colour(level: Column) -> Column:
+    """A struct (r, g, b) of 8-bit values for an 8-bit luma: whole parts of the line between two stops."""
+    v = F.floor(clip(level, 0, 255))
+
+    def channel(k: int) -> Column:
+        out = F.lit(FALSE_STOPS[-1][k])
+        for low, high in reversed(list(zip(FALSE_STOPS, FALSE_STOPS[1:], strict=False))):
+            out = F.when(v < high[0], F.expr("0") + low[k] + (high[k] - low[k]) * (v - low[0]) / (high[0] - low[0])).otherwise(out)
+        return F.floor(out).cast("int")
+
+    return F.struct(channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
+
+
+def chart_place(x: Column, y: Column, size: int) -> Column:
+    """A struct (px, py): where a chromaticity stands on a square chart of x to 0.8 and y to 0.9, y upwards."""
+    at = lambda v, top: clip(v / top) * (size - 1)
+    return F.struct(F.floor(at(x, 0.8)).cast("int").alias("px"), F.floor((size - 1) - at(y, 0.9)).cast("int").alias("py"))
+
+
+# ---- reshaped IPT signals
+
+# fixed values: LMS to linear BT.2020 RGB
+LMS_TO_2020 = ((3.06441879, -2.16597676, 0.10155818), (-0.65612108, 1.78554118, -0.12943749), (0.01736321, -0.04725154, 1.03004253))
+
+
+def polynomial(x: Column, coefficients: Column) -> Column:
+    """The value of a polynomial, lowest coefficient first."""
+    return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda acc, c: acc * x + c)
+
+
+def regression(signal: list[Column], coefficients: Column) -> Column:
+    """A constant and, for each order, seven products of the three signals, each to the power of the order."""
+    a, b, c = signal
+    terms = F.array(a, b, c, a * b, a * c, b * c, a * b * c)
+    weights = F.slice(coefficients, 2, F.greatest(F.size(coefficients) - 1, F.lit(0)))
+    powered = F.transform(weights, lambda w, i: w * F.pow(F.get(terms, i % 7), F.floor(i / 7) + 1))
+    return F.aggregate(powered, F.element_at(coefficients, 1), lambda acc, v: acc + v)
+
+
+def reshaped(signal: list[Column], component: int, pieces: Column) -> Column:
+    """A component of a signal (0 to 1) through the pieces of its curve, an array of structs (low, high, kind,
+    coefficients) in order; as it is without pieces. The ends of the curve bound what goes in and what comes out."""
+    low, high = F.element_at(pieces, 1)["low"], F.element_at(pieces, -1)["high"]
+    x = F.least(F.greatest(signal[component], low), high)
+    piece = F.coalesce(F.get(F.filter(pieces, lambda p: (x >= p["low"]) & (x < p["high"])), F.lit(0)), F.element_at(pieces, -1))
+    value = F.when(piece["kind"] == "polynomial", polynomial(x, piece["coefficients"])).otherwise(regression(signal, piece["coefficients"]))
+    return F.when(F.size(pieces) > 0, F.least(F.greatest(value, low), high)).otherwise(signal[component])
+
+
+def ipt_linear(signal: list[Column], nonlinear: Column, offset: Column, linear: Column) -> Column:
+    """A struct (r, g, b) of linear BT.2020 light, 1 for 10,000 nits, of a reshaped IPT signal; the matrices are arrays of
+    nine values, rows first."""
+    row = lambda m, k, v: F.get(m, F.lit(3 * k)) * v[0] + F.get(m, F.lit(3 * k + 1)) * v[1] + F.get(m, F.lit(3 * k + 2)) * v[2]
+    centred = [s - F.get(offset, F.lit(k)) for k, s in enumerate(signal)]
+    light = [pq_eotf(row(nonlinear, k, centred)) for k in range(3)]
+    lms = [row(linear, k, light) for k in range(3)]
+    return F.struct(*(F.greatest(v, F.lit(0.0)).alias(n) for v, n in zip(_product(LMS_TO_2020, lms), "rgb", strict=True)))
+
+
+def displayed(rgb: Column, peak: Column, white_nits: float = 100.0) -> Column:
+    """A struct (r, g, b) of 8-bit BT.709 values: linear BT.2020 light (1 for 10,000 nits) through the filmic curve on its
+    largest channel, up to the source's peak in nits."""
+    white = [rgb[n] * (10000 / white_nits) for n in "rgb"]
+    top = F.greatest(*white, F.lit(1e-6))
+    most = F.greatest(F.lit(1.0), F.least(peak, F.lit(10000.0)) / white_nits)
+    scale = hable(F.least(top, most)) / hable(most) / top
+    narrow = to_709(*(v * scale for v in white), "2020")
+    return F.struct(*(F.floor(clip(bt709_oetf(narrow[n]) * 255 + 0.5, 0, 255)).cast("int").alias(n) for n in "rgb"))

@@ -94,3 +94,28 @@ def finite(x: Column) -> Column:
 def half_even(x: Column, digits: int = 0) -> Column:
     """Rounding with ties to even."""
     return F.rint(x) if digits == 0 else F.bround(x, digits)
+
+
+def frame_to_x(frame: Column, width: Column | int, n: Column | int) -> Column:
+    """Where a frame of n stands on an axis of `width` pixels; 0 for a single frame."""
+    n, width = (F.lit(v) if isinstance(v, int) else v for v in (n, width))
+    share = F.least(F.greatest(F.try_divide(frame, n - 1), F.lit(0.0)), F.lit(1.0))
+    return F.when(n > 1, share * (width - 1)).otherwise(0.0)
+
+
+def x_to_frame(x: Column, width: Column | int, n: Column | int) -> Column:
+    """The frame of n that stands at a place of the axis, to the nearest, ties to even."""
+    n, width = (F.lit(v) if isinstance(v, int) else v for v in (n, width))
+    share = F.least(F.greatest(F.try_divide(x, width - 1), F.lit(0.0)), F.lit(1.0))
+    return F.when((n > 1) & (width > 1), F.rint(share * (n - 1)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def cell(x: Column) -> Column:
+    """A number as a cell shows it: n/a for null, minus infinity as silence."""
+    return F.when(x.isNull(), "n/a").when(x == float("-inf"), "-inf (digital silence)").otherwise(x.cast("string"))
+
+
+def evenly_spaced(n: Column, samples: int, middle: bool = False) -> Column:
+    """The frames, an array, that cut n frames in samples + 1 equal parts, or that stand in the middle of `samples`."""
+    place = lambda i: (i + 0.5) / samples if middle else (i + 1.0) / (samples + 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.floor(n * place(i)).cast("long"))

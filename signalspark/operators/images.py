@@ -147,11 +147,109 @@ def _banding(x: np.ndarray) -> float:
 
 
 def _head_switch(x: np.ndarray, band: int = 6) -> float:
-    rough = np.abs(np.diff(x, axis=1)).mean(axis=1)
-    return float(rough[-band:].mean() / (np.median(rough[:-band]) + 1e-6))
+    """How rough the last rows are against the body; 0 for a picture with too few rows."""
+    if x.shape[0] < 4 * band:
+        return 0.0
+    rough = np.abs(np.diff(x, axis=1))
+    return float(rough[-band:].mean() / (rough[x.shape[0] // 4 : -2 * band].mean() + 1e-3))
+
+
+def _noise_spread(x: np.ndarray, block: int = 16) -> float | None:
+    """How far the noise of blocks lies from the usual block's: the 95th percentile, against the median or 0.15."""
+    h, w = (n // block for n in x.shape)
+    if h < 2 or w < 2:
+        return None
+    r = (x - median3(x))[: h * block, : w * block].reshape(h, block, w, block).std(axis=(1, 3))
+    usual = np.median(r)
+    return float(np.percentile(np.abs(r - usual) / max(usual, 0.15), 95))
+
+
+def _detail(x: np.ndarray) -> float:
+    """Mean steps along rows and columns."""
+    return float(np.abs(np.diff(x, axis=1)).mean() + np.abs(np.diff(x, axis=0)).mean())
+
+
+def resized(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """x at h by w points, bilinear, pixel centres aligned."""
+    for axis, n in ((0, h), (1, w)):
+        at = np.clip((np.arange(n) + 0.5) * x.shape[axis] / n - 0.5, 0, x.shape[axis] - 1)
+        low = np.minimum(at.astype(int), max(0, x.shape[axis] - 2))
+        share = (at - low).reshape([-1 if k == axis else 1 for k in (0, 1)])
+        x = np.take(x, low, axis) * (1 - share) + np.take(x, np.minimum(low + 1, x.shape[axis] - 1), axis) * share
+    return x
+
+
+def saliency_map(x: np.ndarray, size: int = 64) -> np.ndarray:
+    """What stands out, 0 to 1, at the picture's size: the picture whose spectrum keeps only what departs from its
+    neighbourhood in log amplitude."""
+    spectrum = np.fft.fft2(resized(x, size, size))
+    log = np.log(np.abs(spectrum) + 1e-8)
+    odd = np.abs(np.fft.ifft2(np.exp(log - box_mean(log, 3)) * np.exp(1j * np.angle(spectrum)))) ** 2
+    out = resized(blurred(odd, 2.0), *x.shape)
+    out = out - out.min()
+    return out / out.max() if out.max() > 0 else out
+
+
+def salient_place(column: str = "pixels") -> Column:
+    """A struct (x, y, share): where the most salient point is, and the mean saliency of the picture."""
+
+    @F.pandas_udf("x int, y int, share double")
+    def of(p: pd.Series, hs: pd.Series, ws: pd.Series, cs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in zip(p, hs, ws, cs, strict=True):
+            m = saliency_map(gray(array_of(*v)))
+            y, x = np.unravel_index(int(m.argmax()), m.shape)
+            rows.append((int(x), int(y), float(m.mean())))
+        return pd.DataFrame(rows, columns=["x", "y", "share"])
+
+    return of(column, "h", "w", "c")
+
+
+#: Ways to look at two pictures at once: each gives the pixels of one.
+VIEWS = {
+    "a": lambda a, b, amplify: a,
+    "b": lambda a, b, amplify: b,
+    "split": lambda a, b, amplify: np.concatenate((a[:, : a.shape[1] // 2], b[:, a.shape[1] // 2 :]), axis=1),
+    "blend": lambda a, b, amplify: np.rint((a.astype(float) + b) / 2).astype(np.uint8),
+    "diff": lambda a, b, amplify: np.minimum(np.abs(a.astype(int) - b) * amplify, 255).astype(np.uint8),
+    "heat": lambda a, b, amplify: np.minimum((np.abs(a.astype(int) - b) if a.ndim == 2 else np.abs(a.astype(int) - b).max(axis=2)) * amplify, 255).astype(np.uint8),
+}
+
+
+def view(mode: str, amplify: int = 4) -> Column:
+    """The pixels (binary) of a view of pairs (a, b, h, w, c); heat has one channel. Without b it is a."""
+
+    @F.pandas_udf(T.BinaryType())
+    def of(a: pd.Series, b: pd.Series, hs: pd.Series, ws: pd.Series, cs: pd.Series) -> pd.Series:
+        rows = zip(a, b, hs, ws, cs, strict=True)
+        return pd.Series([p if q is None else VIEWS[mode](array_of(p, h, w, c), array_of(q, h, w, c), amplify).tobytes() for p, q, h, w, c in rows])
+
+    return of("a", "b", "h", "w", "c")
+
+
+def row_wobble(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean distance of rows' sideways shifts since the picture before, in pixels, from the median shift (a pan).
+
+    About 48 rows are looked at, those with steps in both pictures; a shift of up to two pixels is where the rows' steps
+    agree best, refined by a parabola. 0 for fewer than six such rows.
+    """
+    rows = np.arange(8, max(8, x.shape[0] - 8), max(1, x.shape[0] // 48))
+    a, b = np.diff(x[rows], axis=1), np.diff(y[rows], axis=1)
+    lively = (a.std(axis=1) >= 1) & (b.std(axis=1) >= 1)
+    a, b = a[lively], b[lively]
+    if len(a) < 6:
+        return 0.0
+    agree = np.stack([(a[:, 4:-4] * np.roll(b, s, axis=1)[:, 4:-4]).sum(axis=1) for s in range(-2, 3)])
+    best = agree.argmax(axis=0)
+    inner = np.clip(best, 1, 3)
+    left, mid, right = (np.take_along_axis(agree, (inner + k)[None], axis=0)[0] for k in (-1, 0, 1))
+    bend = left - 2 * mid + right
+    refined = np.where((best == inner) & (bend < 0), 0.5 * (left - right) / np.where(bend < 0, bend, -1), 0)
+    shift = best - 2 + refined
+    return float(np.abs(shift - np.median(shift)).mean())
 
 
-blockiness, noise_floor, double_quantised, banding, head_switch = map(measured, (_blockiness, _noise, _double_quantised, _banding, _head_switch))
+blockiness, noise_floor, double_quantised, banding, head_switch, noise_spread, detail = map(measured, (_blockiness, _noise, _double_quantised, _banding, _head_switch, _noise_spread, _detail))
 
 
 def dropout_rows(images: DataFrame, limit: float = 7.0, share: float = 0.45, skip: int = 10) -> Column:
@@ -172,10 +270,10 @@ def dropout_rows(images: DataFrame, limit: float = 7.0, share: float = 0.45, ski
 
 
 def frame_change(images: DataFrame, keys: list[str]) -> DataFrame:
-    """images plus ydif (mean luma change), comb (how comb-like rows are) and jitter (spread of row shifts, in pixels)
-    against the frame before."""
+    """images plus ydif (mean luma change), comb (how comb-like rows are), jitter (rows' wobble, in pixels) and complexity
+    (steps within the picture, and since the one before); the first picture of a series has no change and no jitter."""
 
-    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("ydif", "comb", "jitter")]))
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("ydif", "comb", "jitter", "complexity")]))
     def of(p: pd.Series, before: pd.Series, hs: pd.Series, ws: pd.Series, cs: pd.Series) -> pd.DataFrame:
         rows = []
         for now, last, h, w, c in zip(p, before, hs, ws, cs, strict=True):
@@ -183,13 +281,12 @@ def frame_change(images: DataFrame, keys: list[str]) -> DataFrame:
             inner = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2).mean()
             comb = float(inner / (np.abs(x[2:] - x[:-2]).mean() + 1e-6))
             if last is None:
-                rows.append((None, comb, None))
+                rows.append((None, comb, None, _detail(x)))
                 continue
             y = gray(array_of(last, h, w, c))
-            cost = np.stack([np.abs(np.roll(x, s, 1) - y).mean(axis=1) for s in range(-2, 3)])
-            shift = cost.argmin(axis=0) - 2.0
-            rows.append((float(np.abs(x - y).mean()), comb, float((shift - np.median(shift)).std())))
-        return pd.DataFrame(rows, columns=["ydif", "comb", "jitter"], dtype="float64")
+            ydif = float(np.abs(x - y).mean())
+            rows.append((ydif, comb, row_wobble(x, y), _detail(x) + ydif))
+        return pd.DataFrame(rows, columns=["ydif", "comb", "jitter", "complexity"], dtype="float64")
 
     w = along(keys, ["frame"])
     return images.withColumn("_b", F.lag("pixels").over(w)).withColumn("_r", of("pixels", "_b", "h", "w", "c")).select(*images.columns, "_r.*")

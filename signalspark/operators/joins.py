@@ -112,10 +112,11 @@ def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, seg
     flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(segment), r)]
     ball = F.array(*(F.lit(f).cast("long") for f in flips))
     distinct = hash_members(hashes, key, words).select("first", *words).distinct()
-    filed = distinct.select(F.col("first").alias("a"), *words, F.posexplode(F.array(*cut)).alias("place", "value"))
-    asked = filed.select(F.col("a").alias("b"), *(F.col(w).alias(f"{w}_b") for w in words), "place", F.explode(F.transform(ball, lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+    filed = distinct.select(F.col("first").alias("_a"), *words, F.posexplode(F.array(*cut)).alias("_place", "_value"))
+    asked = filed.select(F.col("_a").alias("_b"), *(F.col(w).alias(f"{w}_b") for w in words), "_place", F.explode(F.transform(ball, lambda f: F.col("_value").bitwiseXOR(f))).alias("_value"))
     bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    return filed.join(asked, ["place", "value"]).filter(F.col("a") < F.col("b")).select("a", "b", bits.alias("bits")).filter(F.col("bits") <= max_bits).distinct()
+    near = filed.join(asked, ["_place", "_value"]).filter((F.col("_a") < F.col("_b")) & (bits <= max_bits))
+    return near.select(F.col("_a").alias("a"), F.col("_b").alias("b"), bits.alias("bits")).distinct()
 
 
 def hash_members(hashes: DataFrame, key: str, words: list[str]) -> DataFrame:
@@ -170,3 +171,48 @@ def next_loops(frames: DataFrame, keys: list[str], hash_col: str, least: int, ki
     out = run.groupBy(*keys, "delta", "_run").agg(F.min("frame").alias("source"), F.min("_later").alias("repeat"), F.count(F.lit(1)).alias("n"), F.count_distinct(hash_col).alias("_kinds"))
     varied = F.col("_kinds") >= F.greatest(F.lit(kinds), F.floor(F.col("n") / 4))
     return out.filter((F.col("n") >= least) & (F.col("n") <= F.col("delta")) & varied).select(*keys, "delta", "source", "repeat", "n")
+
+
+def loop_scan(frames: DataFrame, keys: list[str], words: list[str], least: int, tolerance: int, segment: int = 16) -> DataFrame:
+    """(keys, delta, source, repeat, n, periodic): longest stretches that come again `delta` frames later, frame for frame
+    within `tolerance` bits of a hash; at least `least` frames long and apart, and not longer than their distance.
+
+    Alike hashes are found through hash_pairs' balls within a series. Pictures that a quarter of a series (and over 64
+    frames) is like say nothing and are left out, as are stretches of fewer than max(3, n / 4) pictures (a freeze) and those that are like
+    themselves a half, a third or a quarter of their distance before (seven in ten of their frames).
+    periodic: the stretches of about one distance tile the series (a quarter of it, two and a half times or more).
+    """
+    shots = frames.select(*keys, F.col("frame").cast("long").alias("frame"), *words).dropna(subset=words)
+    size = shots.groupBy(*keys).agg((F.max("frame") + 1).alias("_size"))
+    kinds = shots.groupBy(*keys, *words).agg(F.count(F.lit(1)).alias("_n"))
+    near = _near_hashes(kinds, keys, words, tolerance, segment)
+    crowd = near.groupBy(*keys, *words).agg(F.sum("_n_b").alias("_like")).join(size, keys)
+    telling = crowd.filter(F.col("_like") <= F.greatest(F.lit(64), F.floor(F.col("_size") / 4))).select(*keys, *words)
+    later = shots.join(telling, [*keys, *words])
+    pairs = later.join(near.select(*keys, *words, *(f"{w}_b" for w in words)), [*keys, *words])
+    earlier = shots.select(*keys, F.col("frame").alias("_from"), *(F.col(w).alias(f"{w}_b") for w in words))
+    met = pairs.join(earlier, [*keys, *(f"{w}_b" for w in words)]).withColumn("delta", F.col("frame") - F.col("_from")).filter(F.col("delta") >= 2)
+    run = met.filter(F.col("delta") >= least).withColumn("_run", F.col("frame") - F.row_number().over(along([*keys, "delta"], ["frame"])))
+    out = run.groupBy(*keys, "delta", "_run").agg(F.min("_from").alias("source"), F.min("frame").alias("repeat"), F.count(F.lit(1)).alias("n"), F.count_distinct(*words).alias("_kinds"))
+    out = out.filter((F.col("n") >= least) & (F.col("n") <= F.col("delta")) & (F.col("_kinds") >= F.greatest(F.lit(3), F.floor(F.col("n") / 4)))).join(size, keys)
+    parts = F.filter(F.transform(F.array(*(F.lit(k) for k in (2, 3, 4))), lambda k: F.floor(F.col("delta") / k)), lambda d: d >= 2)
+    inner = run.select(*keys, "delta", "_run", "frame", F.explode(F.array_distinct(parts)).alias("_part")).join(met.select(*keys, "frame", F.col("delta").alias("_part"), F.lit(1).alias("_hit")), [*keys, "frame", "_part"], "left")
+    cyclic = inner.groupBy(*keys, "delta", "_run", "_part").agg(F.count("_hit").alias("_hits"), F.count(F.lit(1)).alias("_all")).filter("10 * _hits >= 7 * _all").select(*keys, "delta", "_run").distinct()
+    out = out.join(cyclic, [*keys, "delta", "_run"], "left_anti")
+    about = Window.partitionBy(*keys, F.rint(F.col("delta") / least))
+    tiles = (F.col("_size") >= 2.5 * F.percentile("delta", F.lit(0.5)).over(about)) & (F.sum("n").over(about) >= 0.25 * F.greatest(F.lit(1), F.col("_size") - F.percentile("delta", F.lit(0.5)).over(about)))
+    return out.select(*keys, "delta", "source", "repeat", "n", tiles.alias("periodic"))
+
+
+def _near_hashes(kinds: DataFrame, keys: list[str], words: list[str], tolerance: int, segment: int) -> DataFrame:
+    """(keys, words, words_b, _n_b): for each distinct hash of a series all within `tolerance` bits, itself included."""
+    each = 64 // segment
+    radius = tolerance // (each * len(words))
+    if 64 % segment or segment > 32 or radius > 2:
+        raise ValueError("a segment is an equal part of a word, and short enough for two bits each")
+    cut = [F.shiftrightunsigned(F.col(w), 64 - segment * (k + 1)).bitwiseAND(F.lit((1 << segment) - 1).cast("long")) for w in words for k in range(each)]
+    flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(segment), r)]
+    filed = kinds.select(*keys, *words, "_n", F.posexplode(F.array(*cut)).alias("_place", "_value"))
+    asked = filed.select(*keys, *(F.col(w).alias(f"{w}_b") for w in words), F.col("_n").alias("_n_b"), "_place", F.explode(F.transform(F.array(*(F.lit(f).cast("long") for f in flips)), lambda f: F.col("_value").bitwiseXOR(f))).alias("_value"))
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    return filed.join(asked, [*keys, "_place", "_value"]).filter(bits <= tolerance).select(*keys, *words, *(f"{w}_b" for w in words), "_n_b").distinct()

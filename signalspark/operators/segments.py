@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import frames_in
 from .series import along, chain, mark_runs, median, robust_z, runs
 
 
@@ -104,3 +105,28 @@ def noise_outliers(samples: DataFrame, keys: list[str], x: str, least: int = 6,
     out = robust_z(samples, x, keys, eps=1e-4, eps_inside=False)
     tells = (F.count(F.lit(1)).over(w) >= least) & (median(F.col(x), w) >= floor)
     return out.withColumn("outlier", tells & (F.abs("z") > limit))
+
+
+# fixed values: limits of the load scan by preset
+PRESETS = {
+    "strict": {"dark": 12.0, "still": 0.55, "match": 10.0, "still_s": 0.80},
+    "normal": {"dark": 18.0, "still": 0.9, "match": 14.0, "still_s": 0.50},
+    "loose": {"dark": 26.0, "still": 1.60, "match": 20.0, "still_s": 0.35},
+}
+
+
+def load_scan(frames: DataFrame, keys: list[str], fps: float, preset: str = "normal", **limits: float) -> DataFrame:
+    """Stretches of loading by a preset's limits (an unknown name means normal); `limits` go before them."""
+    return load_segments(load_kinds(frames, keys, fps, **(PRESETS.get(preset, PRESETS["normal"]) | limits)), keys, fps)
+
+
+def retimed(runs: DataFrame, loads: DataFrame, keys: list[str], fps: Column, game_fps: Column | None = None) -> DataFrame:
+    """(keys, start, end, frames, rta, load_frames, lrt, game_frames): a run's time from its first frame to the one after
+    its last, as it is and without the frames of loading in it; an end that isn't after the start gives no row."""
+    valid = runs.filter("end > start")
+    ranges = valid.select(*keys, F.col("start").alias("q0"), (F.col("end") - 1).alias("q1"))
+    loading = frames_in(loads, ranges, keys).select(*keys, F.col("q0").alias("start"), (F.col("q1") + 1).alias("end"), F.col("frames").alias("load_frames"))
+    out = valid.join(loading, [*keys, "start", "end"], "left").withColumn("load_frames", F.coalesce("load_frames", F.lit(0))).withColumn("frames", F.col("end") - F.col("start"))
+    rta = F.col("frames") / fps
+    game = F.rint(rta * game_fps).cast("long") if game_fps is not None else F.lit(None).cast("long")
+    return out.select(*keys, "start", "end", "frames", rta.alias("rta"), "load_frames", (F.greatest(F.lit(0), F.col("frames") - F.col("load_frames")) / fps).alias("lrt"), game.alias("game_frames"))

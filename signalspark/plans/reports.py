@@ -68,3 +68,62 @@ def platform(records: DataFrame) -> DataFrame:
 def verification(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, verdict): review if any row asks for it, else note if any, else clear."""
     return findings.worst(rows, keys, "verdict", findings.VERDICTS)
+
+
+def analog(frames: DataFrame, keys: list[str], fps: float, head_ratio: float = 2.6, jitter_px: float = 0.55) -> tuple[DataFrame, DataFrame]:
+    """((keys, frames, dropout_pct, head_switch_pct, jitter_pct), events (keys, t, kind, severity, text)) of frames with
+    dropouts (an array of rows), head (the ratio of the last rows) and jitter (pixels).
+
+    Each frame with dropouts is an event; of frames that wobble the first, the fifth and every sixtieth. Over half the
+    frames with rough last rows, or a quarter that wobble, is an event of the whole file.
+    """
+    marked = frames.withColumn("_drop", F.size("dropouts") > 0).withColumn("_head", F.coalesce(F.col("head") > head_ratio, F.lit(False))).withColumn("_wobble", F.coalesce(F.col("jitter") > jitter_px, F.lit(False)))
+    pct = lambda c, digits: F.round(100 * F.avg(F.col(c).cast("double")), digits)
+    stats = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), pct("_drop", 2).alias("dropout_pct"), pct("_head", 1).alias("head_switch_pct"), pct("_wobble", 1).alias("jitter_pct"), F.avg(F.col("_head").cast("double")).alias("_h"), F.avg(F.col("_wobble").cast("double")).alias("_w"))
+    row = lambda df, t, kind, severity, text: df.select(*keys, t.cast("double").alias("t"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text.alias("text"))
+    at = F.col("frame") / fps
+    nth = F.row_number().over(series.along(keys, ["frame"]))
+    wobbles = marked.filter("_wobble").withColumn("_n", nth).filter("_n IN (1, 5) OR _n % 60 = 0")
+    events = row(marked.filter("_drop"), at, "dropout", "warn", F.concat(F.lit("streaks at rows "), F.array_join(F.transform(F.slice("dropouts", 1, 4), lambda r: r.cast("string")), ",")))
+    events = events.unionByName(row(wobbles, at, "jitter", "info", F.format_string("line wobble of %.2f px", "jitter")))
+    events = events.unionByName(row(stats.filter("_h > 0.5"), F.lit(0), "head_switch", "warn", F.format_string("rough last rows on %.0f%% of frames", F.rint(100 * F.col("_h")))))
+    events = events.unionByName(row(stats.filter("_w > 0.25"), F.lit(0), "jitter", "warn", F.format_string("line wobble on %.0f%% of frames", F.rint(100 * F.col("_w")))))
+    return stats.drop("_h", "_w"), events
+
+
+# fixed values: codecs that keep the lowest bits, and codecs that carry free data in messages
+LOSSLESS = ("ffv1", "huffyuv", "ffvhuff", "utvideo", "rawvideo", "lagarith", "qtrle", "msrle", "png", "apng", "tiff", "v210", "r210", "ljpeg", "gif")
+MESSAGING = ("h264", "avc", "h265", "hevc")
+
+
+def hidden_data_scan(records: DataFrame, channels: DataFrame, tallies: DataFrame, anomalies: DataFrame, container: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings (keys, severity, kind, offset, size) of hidden data, container findings first.
+
+    Lowest bits count for lossless codecs of 8 bits, where over a tenth of the sampled frames, and more than one, are
+    suspicious; free data in messages from 2 KB on; frames far larger than their picture is complex are information.
+    """
+    row = lambda df, severity, kind, size: df.select(*keys, F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("offset"), size.cast("long").alias("size"))
+    keeps = records.filter(F.lower("codec").isin(*LOSSLESS) & (F.coalesce("bit_depth", F.lit(8)) == 8)).select(*keys)
+    frames = channels.join(keeps, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("suspicious").alias("odd"))
+    bits = row(frames.filter(F.col("odd") > F.greatest(F.lit(1), F.floor(F.col("n") / 10))), "warn", "lsb", F.lit(0))
+    carries = records.filter(F.lower("codec").isin(*MESSAGING)).select(*keys)
+    free = row(tallies.join(carries, keys).filter("user_bytes > 2048"), "warn", "sei_userdata", F.col("user_bytes"))
+    large = row(anomalies.select(*keys).distinct(), "info", "size_anomaly", F.lit(0))
+    return container.select(*keys, "severity", "kind", "offset", "size").unionByName(bits).unionByName(free).unionByName(large)
+
+
+def hidden_data_marks(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, label): one mark at the beginning for findings that have a place in the file, by the first of their kinds."""
+    order = F.array_position(F.array(*(F.lit(k) for k in ("appended_data", "embedded_file", "padding_atom", "mdat_gap", "sei_userdata"))), F.col("kind"))
+    placed = found.withColumn("_order", order).filter("_order > 0")
+    return placed.groupBy(*keys).agg(F.min_by("kind", F.struct("_order", "offset")).alias("label")).select(*keys, F.lit(0.0).alias("t"), "label")
+
+
+#: Checks that say less about a recording once a platform has encoded it anew.
+WEAKENED = ("splices", "recompress", "fingerprint", "noise_floor")
+
+
+def weakened(checks: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """checks plus weakened: whether the file was encoded anew and the check's evidence with it."""
+    again = records.select(*keys, F.col("reencoded").alias("_again"))
+    return checks.join(again, keys, "left").withColumn("weakened", F.coalesce(F.col("_again"), F.lit(False)) & F.col("check_id").isin(*WEAKENED)).drop("_again")

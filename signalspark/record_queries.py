@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import colour
 from signalspark.functions import text as texts
-from signalspark.operators import aggregates, captions, findings, images, joins, qc, series, signals
+from signalspark.operators import aggregates, captions, findings, images, joins, qc, segments, series, signals
 from signalspark.plans import reports
 from signalspark.queries import FRAMES, PACKETS, QUERIES, SQL, K, frames, packets, query, r6
 from signalspark.session import table
-from signalspark.sources import containers, exports, probes
+from signalspark.sources import containers, dynamic, exports, probes
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -647,3 +647,204 @@ k AS (SELECT media, n, unnest(range(1, n // 2 + 1)) AS k FROM s), p AS (SELECT m
 r AS (SELECT media, arg_max(hz, p) FILTER (hz BETWEEN 0.2 AND 4) AS hz, max(p) FILTER (hz BETWEEN 0.2 AND 4) / (median(p) + 1e-12) AS ratio FROM p GROUP BY media) SELECT media, round(hz, 6) AS hz, round(ratio, 4) AS ratio FROM r WHERE hz IS NOT NULL""")
 def flicker_tone(spark, sf):
     return signals.flicker(frames(spark, sf), K, 10.0, "value").select("media", r6("hz").alias("hz"), F.round("ratio", 4).alias("ratio"))
+
+
+# ---- axes, cells, choices
+
+
+@query("""WITH o AS (SELECT o_orderkey AS media, o_custkey AS k, o_orderkey % 50 AS n FROM orders) SELECT media, round(CASE WHEN n > 1 THEN least(greatest(k / (n - 1.0::DOUBLE), 0), 1) * 799 ELSE 0 END, 6) AS x,
+    CASE WHEN n > 1 THEN round_even(least(greatest(k / 799.0::DOUBLE, 0), 1) * (n - 1), 0) ELSE 0 END::BIGINT AS frame, CASE k % 3 WHEN 0 THEN 'n/a' WHEN 1 THEN '-inf (digital silence)' ELSE '1.5' END AS cell,
+    array_to_string([floor(n * (i + 1) / 6.0)::BIGINT FOR i IN range(5)], ',') AS spaced, array_to_string([floor(n * (i + 0.5) / 5)::BIGINT FOR i IN range(5)], ',') AS middles,
+    CASE WHEN k % 4 < 2 THEN round(k / 7.0::DOUBLE + 3, 6) END AS ratios FROM o""")
+def axis_functions(spark, sf):
+    k, n = F.col("o_custkey"), F.col("o_orderkey") % 50
+    value = F.when(k % 3 == 1, F.lit(float("-inf"))).when(k % 3 == 2, 1.5)
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    listed = F.concat(k.cast("string"), F.when(k % 4 < 2, F.lit("/7 3 9/0")).otherwise("/7 junk"))
+    two = dynamic.rationals(listed, 2)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("media"), r6(texts.frame_to_x(k, 800, n)).alias("x"), texts.x_to_frame(k, 800, n).alias("frame"), texts.cell(value).alias("cell"), joined(texts.evenly_spaced(n, 5)).alias("spaced"), joined(texts.evenly_spaced(n, 5, True)).alias("middles"), r6(F.get(two, F.lit(0)) + F.get(two, F.lit(1))).alias("ratios"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS media, o_custkey % 4 AS c, 1000 + o_custkey * 2 AS w, 500 + o_orderkey % 1500 AS h FROM orders)
+SELECT media, CASE WHEN c = 0 THEN 'vmaf_4k_v0.6.1' WHEN c = 1 THEN 'vmaf_v0.6.1neg' WHEN c = 2 THEN NULL WHEN h >= 1620 OR w >= 2880 THEN 'vmaf_4k_v0.6.1' END AS model, CASE WHEN w <> 1920 OR h <> 1080 THEN printf('distorted scaled %dx%d -> 1920x1080 to match reference', w, h) END AS note FROM o""")
+def quality_choices(spark, sf):
+    c, w, h = F.col("o_custkey") % 4, 1000 + F.col("o_custkey") * 2, 500 + F.col("o_orderkey") % 1500
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("media"), probes.quality_model(pick(c, ["4k", "neg", "default", "auto"]), w, h).alias("model"), probes.scale_note(w, h, F.lit(1920), F.lit(1080)).alias("note"))
+
+
+@query(f"""WITH {FRAMES} SELECT media, round(coalesce(avg(value) FILTER (value >= 20 AND frame % 9 > 0), 'inf'::DOUBLE), 6) AS average FROM f WHERE frame % 9 > 0 OR value < 100 GROUP BY media""")
+def xpsnr_average(spark, sf):
+    f = frames(spark, sf).filter("frame % 9 > 0 OR value < 100")
+    line = F.concat(F.lit("n: 1  XPSNR y: "), F.when((F.col("value") >= 20) & (F.col("frame") % 9 > 0), F.col("value").cast("string")).otherwise("inf"), F.lit("  XPSNR u: 3"))
+    return probes.pooled_xpsnr(probes.xpsnr_log(_lines(f, ["frame"], F.array(line, F.lit("junk"))), K), K).withColumn("average", r6("average"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS media, 'shots/' || p_partkey || '.take.mp4' AS path, p_partkey % 3 AS k FROM part) SELECT media, CASE k WHEN 0 THEN 'shots/' || media || '.take.srt' WHEN 1 THEN 'shots/' || media || '.take.en.srt' END AS sidecar FROM p""")
+def sidecar_lookup(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("media"), F.concat(F.lit("shots/"), F.col("p_partkey").cast("string"), F.lit(".take")).alias("stem"))
+    names = lambda k, *ends: p.filter(F.col("media") % 3 == k).select(F.explode(F.array(*(F.concat("stem", F.lit(e)) for e in ends))).alias("path"))
+    files = names(0, ".en.srt", ".srt", ".txt").unionByName(names(1, ".en.srt")).unionByName(names(2, ".srt.bak"))
+    return probes.sidecars(p.select("media", F.concat("stem", F.lit(".mp4")).alias("path")), files).select("media", "sidecar")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT k AS media, CASE WHEN k % 5 = 4 THEN NULL WHEN k % 5 = 0 THEN 'VALID' WHEN k % 5 = 1 THEN CASE WHEN k % 2 = 0 THEN 'INVALID' ELSE 'VALID' END WHEN k % 5 = 2 THEN 'INVALID' ELSE 'present' END AS state,
+    CASE WHEN k % 5 < 4 THEN 'tool ' || k END AS generator, CASE WHEN k % 5 < 4 THEN 'issuer' END AS issuer, CASE WHEN k % 5 < 4 THEN k % 3 ELSE 0 END::INT AS ingredients FROM c""")
+def credential_states(spark, sf):
+    k = F.col("c_custkey")
+    said = F.when(k % 5 == 0, F.lit('"validation_state": "Trusted",')).when(k % 5 == 1, F.concat(F.lit('"validation_status": [{"code": "claim.ok"}, {"code": "'), F.when(k % 2 == 0, "signingCredential.untrusted").otherwise("timeStamp.fine"), F.lit('"}],'))).when(k % 5 == 2, F.lit('"validation_state": "Invalid",')).otherwise(F.when(k % 2 == 0, F.lit('"validation_state": "odd",')).otherwise(F.lit('"validation_status": [],')))
+    body = F.concat(F.lit('{"active_manifest": "m", '), said, F.lit('"manifests": {"m": {"claim_generator": "tool '), k.cast("string"), F.lit('", "signature_info": {"issuer": "issuer"}, "ingredients": ['), F.array_join(F.array_repeat(F.lit('{"title": "x"}'), (k % 3).cast("int")), ","), F.lit("]}}}"))
+    docs = table(spark, sf, "customer").select(k.alias("media"), F.when(k % 5 == 4, "not json").otherwise(body).alias("body"))
+    return containers.credentials_state(docs).drop("body")
+
+
+# ---- loads, loops
+
+
+_SCAN = f"""{FRAMES}, q AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY media ORDER BY frame)) / 20 AS diff FROM f), st AS (SELECT *, coalesce(diff < 1.6, false) AS flag FROM q),
+si AS (SELECT *, frame - row_number() OVER (PARTITION BY media, flag ORDER BY frame) AS run FROM st), sc AS (SELECT *, count(*) OVER (PARTITION BY media, flag, run) AS len FROM si),
+k AS (SELECT media, frame, CASE WHEN abs(value - 60) < 20 THEN 3 WHEN value / 4 < 26 THEN 2 WHEN flag AND len >= 3.5 THEN 1 ELSE 0 END AS kind FROM sc),
+kr AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY media ORDER BY frame) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY media ORDER BY frame) AS p FROM k)),
+kg AS (SELECT media, run, kind, min(frame) AS f0, max(frame) AS f1, count(*) AS n FROM kr GROUP BY ALL),
+kb AS (SELECT media, f0, f1, n, CASE WHEN kind = 0 AND n <= 1.5 AND lag(kind) OVER w = lead(kind) OVER w THEN lag(kind) OVER w ELSE kind END AS kind FROM kg WINDOW w AS (PARTITION BY media ORDER BY f0)),
+ks AS (SELECT *, sum(CASE WHEN (kind > 0) IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY media ORDER BY f0) AS span FROM (SELECT *, lag(kind > 0) OVER (PARTITION BY media ORDER BY f0) AS p FROM kb)),
+ld AS (SELECT media, min(f0) AS f0, max(f1) AS f1 FROM ks WHERE kind > 0 GROUP BY media, span HAVING (max(f1) + 1) / 10.0 - min(f0) / 10.0 >= 0.30)"""
+
+
+def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf).withColumn("diff", F.abs(series.delta(F.col("value"), series.along(K, ["frame"]))) / 20).withColumn("luma", F.col("value") / 4).withColumn("refd", F.abs(F.col("value") - 60))
+    return segments.load_scan(f, K, 10.0, "loose")
+
+
+@query(f"WITH {_SCAN} SELECT media, f0, f1 FROM ld")
+def load_presets(spark, sf):
+    return _scanned(spark, sf).select("media", "f0", "f1")
+
+
+@query(f"""WITH {_SCAN}, r AS (SELECT DISTINCT media, 5::BIGINT AS s, 45::BIGINT AS e FROM f UNION SELECT DISTINCT media, 50, media % 60 FROM f), v AS (SELECT * FROM r WHERE e > s),
+l AS (SELECT v.media, s, e, sum(greatest(0, least(f1, e - 1) - greatest(f0, s) + 1)) AS n FROM v LEFT JOIN ld USING (media) GROUP BY ALL)
+SELECT media, s AS start, e AS "end", e - s AS frames, round((e - s) / 29.97, 6)::DOUBLE AS rta, coalesce(n, 0)::BIGINT AS load_frames, round(greatest(0, e - s - coalesce(n, 0)) / 29.97, 6)::DOUBLE AS lrt, round_even((e - s) / 29.97::DOUBLE * 60, 0)::BIGINT AS game_frames FROM l""")
+def retimed_runs(spark, sf):
+    media = frames(spark, sf).select("media").distinct()
+    asked = media.select("media", F.lit(5).cast("long").alias("start"), F.lit(45).cast("long").alias("end")).unionByName(media.select("media", F.lit(50).cast("long").alias("start"), (F.col("media") % 60).alias("end")))
+    out = segments.retimed(asked, _scanned(spark, sf), K, F.lit(29.97), F.lit(60.0))
+    return out.withColumn("rta", r6("rta")).withColumn("lrt", r6("lrt"))
+
+
+@query(f"""WITH {FRAMES}, h AS (SELECT media, frame, (1 << (floor(value / 40)::INT % 12))::BIGINT AS h FROM f), z AS (SELECT media, max(frame) + 1 AS size FROM h GROUP BY media),
+c AS (SELECT a.media, a.h, sum(CASE WHEN bit_count(xor(a.h, b.h)) <= 1 THEN b.n ELSE 0 END) AS n FROM (SELECT media, h, count(*) AS n FROM h GROUP BY ALL) a JOIN (SELECT media, h, count(*) AS n FROM h GROUP BY ALL) b USING (media) GROUP BY ALL),
+t AS (SELECT media, h FROM c JOIN z USING (media) WHERE n <= greatest(64, size // 4)),
+m AS (SELECT b.media, b.frame, b.h, a.frame AS src, b.frame - a.frame AS delta FROM h b JOIN t ON t.media = b.media AND t.h = b.h JOIN h a ON a.media = b.media AND b.frame - a.frame >= 2 AND bit_count(xor(a.h, b.h)) <= 1),
+r AS (SELECT *, frame - row_number() OVER (PARTITION BY media, delta ORDER BY frame) AS run FROM m WHERE delta >= 3),
+i AS (SELECT DISTINCT r.media, r.delta, r.run, r.frame, r.delta // k AS part FROM r, (VALUES (2), (3), (4)) t(k) WHERE r.delta // k >= 2),
+y AS (SELECT DISTINCT media, delta, run FROM (SELECT i.media, i.delta, i.run, i.part FROM i LEFT JOIN m ON m.media = i.media AND m.frame = i.frame AND m.delta = i.part GROUP BY ALL HAVING 10 * count(m.frame) >= 7 * count(*))),
+o AS (SELECT media, delta, min(src) AS source, min(frame) AS repeat, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.media = r.media AND y.delta = r.delta AND y.run = r.run) GROUP BY media, delta, run HAVING count(*) >= 3 AND count(*) <= delta AND count(DISTINCT h) >= greatest(3, count(*) // 4)),
+p AS (SELECT o.*, size, round_even(delta / 3.0, 0) AS g FROM o JOIN z USING (media)), d AS (SELECT media, g, median(delta) AS d, sum(n) AS total FROM p GROUP BY media, g)
+SELECT p.media, delta, source, repeat, n, size >= 2.5 * d AND total >= 0.25 * greatest(1, size - d) AS periodic FROM p JOIN d USING (media, g)""")
+def loop_scan(spark, sf):
+    f = frames(spark, sf).withColumn("h", F.call_function("shiftleft", F.lit(1).cast("long"), (F.floor(F.col("value") / 40) % 12).cast("int")))
+    return joins.loop_scan(f, K, ["h"], least=3, tolerance=1)
+
+
+# ---- colour of reshaped signals, scales
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, least(l_quantity / 50, 1) AS i, l_discount * 5 AS t, l_tax * 8 AS u FROM lineitem),
+x AS (SELECT *, least(greatest(i, 0.0625), 0.9375) AS x FROM l), c AS (SELECT *, CASE WHEN x < 0.5 THEN 0.125 + 0.5 * x + 0.25 * x * x ELSE 0.25 + 0.5 * i + 0.125 * t - 0.25 * u + 0.0625 * i * t + 0.03125 * i * u - 0.015625 * t * u + 0.5 * i * t * u END AS y FROM x)
+SELECT k, n, p, s, round(least(greatest(y, 0.0625), 0.9375), 6) AS i FROM c""")
+def reshaped_signal(spark, sf):
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.least(F.col("l_quantity") / 50, F.lit(1.0)).alias("i"), (F.col("l_discount") * 5).alias("t"), (F.col("l_tax") * 8).alias("u"))
+    piece = lambda low, high, kind, *c: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(kind).alias("kind"), F.array(*(F.lit(v) for v in c)).alias("coefficients"))
+    pieces = F.array(piece(0.0625, 0.5, "polynomial", 0.125, 0.5, 0.25), piece(0.5, 0.9375, "mmr", 0.25, 0.5, 0.125, -0.25, 0.0625, 0.03125, -0.015625, 0.5))
+    return line.select("k", "n", "p", "s", r6(colour.reshaped([F.col(c) for c in "itu"], 0, pieces)).alias("i"))
+
+
+_PQ = "pow(greatest(pow(least(greatest({0}, 0), 1), 1 / 78.84375) - 0.8359375, 0) / greatest(18.8515625 - 18.6875 * pow(least(greatest({0}, 0), 1), 1 / 78.84375), 1e-7), 1 / 0.1593017578125)"
+
+
+@query(f"""WITH e AS (SELECT event_id, least(value / 500, 1) AS i, 0.5 + value / 5000 AS p, 0.5 - value / 8000 AS t FROM events), n AS (SELECT event_id, {", ".join(f"{_PQ.format(f'(i + {a} * (p - 0.5) + {b} * (t - 0.5))')} AS {c}" for c, a, b in (("l", 0.0975, 0.2052), ("m", -0.1139, 0.1332), ("s", 0.0326, -0.6769)))} FROM e)
+SELECT event_id, {", ".join(f"round(greatest({a} * l + {b} * m + {c} * s, 0), 6) AS {n}" for n, (a, b, c) in zip("rgb", colour.LMS_TO_2020, strict=True))} FROM n""")
+def ipt_light(spark, sf):
+    v = F.col("value")
+    array = lambda *x: F.array(*(F.lit(float(c)) for c in x))
+    rgb = colour.ipt_linear([F.least(v / 500, F.lit(1.0)), 0.5 + v / 5000, 0.5 - v / 8000], array(1, 0.0975, 0.2052, 1, -0.1139, 0.1332, 1, 0.0326, -0.6769), array(0, 0.5, 0.5), array(1, 0, 0, 0, 1, 0, 0, 0, 1))
+    return table(spark, sf, "events").select("event_id", rgb.alias("c")).select("event_id", *(r6(f"c.{n}").alias(n) for n in "rgb"))
+
+
+_TO_709 = """t AS (SELECT event_id, value, least(value / 500, 1) AS r, least(value / 250, 1) AS g, 0.25 AS b FROM events)"""
+
+
+@query(f"""WITH {_TO_709}, z AS (SELECT *, 0.6369580 * r + 0.1446169 * g + 0.1688810 * b AS X, 0.2627002 * r + 0.6779981 * g + 0.0593017 * b AS Y, 0.0280727 * g + 1.0609851 * b AS Z FROM t)
+SELECT event_id, round(3.2409699 * X - 1.5373832 * Y - 0.4986108 * Z, 4) AS red, CASE WHEN value < 16 THEN 40 + floor(floor(value) * -10 / 16.0)::INT WHEN value < 45 THEN 30 + floor((floor(value) - 16) * 10 / 29.0)::INT END::INT AS false_red,
+    floor(least(greatest(value / 500 / 0.8, 0), 1) * 255)::INT AS px, floor(255 - least(greatest(value / 500 / 0.9, 0), 1) * 255)::INT AS py FROM z""")
+def colour_scales(spark, sf):
+    v = F.col("value")
+    t = colour.to_709(F.least(v / 500, F.lit(1.0)), F.least(v / 250, F.lit(1.0)), F.lit(0.25), "2020")
+    place = colour.chart_place(v / 500, v / 500, 256)
+    return table(spark, sf, "events").select("event_id", F.round(t["r"], 4).alias("red"), F.when(v < 45, colour.false_colour(v)["r"]).alias("false_red"), place["px"].alias("px"), place["py"].alias("py"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS media, o_custkey % 4096 AS q FROM orders), s AS (SELECT media, unnest([q, q // 2, 0]) AS q, unnest([0, 1, 2]) AS k FROM o), l AS (SELECT media, k, pow(q / 4095.0::DOUBLE, 1 / 78.84375) AS p FROM s),
+n AS (SELECT media, k, round_even(pow(greatest(p - 0.8359375, 0) / greatest(18.8515625 - 18.6875 * p, 1e-6), 1 / 0.1593017578125) * 10000, 0)::BIGINT AS n FROM l)
+SELECT media, 0 AS frame, max(n) FILTER (k = 0) AS max_nits, max(n) FILTER (k = 1) AS avg_nits, max(n) FILTER (k = 2) AS min_nits FROM n GROUP BY media""")
+def frame_levels(spark, sf):
+    q = F.col("o_custkey") % 4096
+    block = F.concat(F.lit('{"level": 1, "min_pq": 0, "max_pq": '), q.cast("string"), F.lit(', "avg_pq": '), F.floor(q / 2).cast("string"), F.lit("}"))
+    body = F.concat(F.lit('[{"vdr_dm_data": {"min_pq": 7, "ext_metadata_blocks": [{"level": 5}, '), block, F.lit("]}}]"))
+    return dynamic.level_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("media"), body.alias("body")), K)
+
+
+@query("""SELECT l_orderkey AS media, l_linenumber::INT AS frame, l_quantity AS avg_maxrgb, greatest(l_quantity, l_tax * 100) AS maxscl, 400::INT AS target_nits FROM lineitem""")
+def scene_levels(spark, sf):
+    scene = F.struct(F.col("l_linenumber").alias("SceneFrameIndex"), F.lit(400).alias("TargetedSystemDisplayMaximumLuminance"), F.struct(F.col("l_quantity").alias("AverageRGB"), F.array("l_quantity", F.col("l_tax") * 100).alias("MaxScl")).alias("LuminanceParameters"))
+    docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("media")).agg(F.to_json(F.struct(F.collect_list(scene).alias("SceneInfo"))).alias("body"))
+    return dynamic.scene_levels(docs, K)
+
+
+# ---- roll-ups of scans
+
+
+def _analog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = F.when(F.col("value") > 150, F.array(F.lit(3), F.lit(9))).otherwise(F.array().cast("array<int>"))
+    f = frames(spark, sf).select("media", "frame", rows.alias("dropouts"), (F.col("value") / 10).alias("head"), (F.col("value") / 60).alias("jitter"))
+    return reports.analog(f, K, 25.0)
+
+
+@query(f"""WITH {FRAMES} SELECT media, count(*) AS frames, round(100 * avg((value > 150)::INT), 2) AS dropout_pct, round(100 * avg((value / 10 > 2.6)::INT), 1) AS head_switch_pct, round(100 * avg((value / 60 > 0.55)::INT), 1) AS jitter_pct FROM f GROUP BY media""")
+def analog_summary(spark, sf):
+    return _analog(spark, sf)[0]
+
+
+@query(f"""WITH {FRAMES}, w AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY frame) AS n FROM f WHERE value / 60 > 0.55), s AS (SELECT media, avg((value / 10 > 2.6)::INT) AS h, avg((value / 60 > 0.55)::INT) AS j FROM f GROUP BY media)
+SELECT media, frame / 25.0::DOUBLE AS t, 'dropout' AS kind, 'warn' AS severity FROM f WHERE value > 150 UNION ALL SELECT media, frame / 25.0::DOUBLE, 'jitter', 'info' FROM w WHERE n IN (1, 5) OR n % 60 = 0
+UNION ALL SELECT media, 0, 'head_switch', 'warn' FROM s WHERE h > 0.5 UNION ALL SELECT media, 0, 'jitter', 'warn' FROM s WHERE j > 0.25""")
+def analog_events(spark, sf):
+    return _analog(spark, sf)[1].drop("text")
+
+
+_HIDDEN = """s AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT k AS media, unnest([CASE WHEN k % 3 = 0 THEN ['warn', 'appended_data'] END, CASE WHEN k % 4 = 0 AND k % 5 > 1 THEN ['warn', 'lsb'] END, CASE WHEN k % 4 = 1 AND k * 500 > 2048 THEN ['warn', 'sei_userdata'] END, CASE WHEN k % 7 = 0 THEN ['info', 'size_anomaly'] END]) AS f FROM s)"""
+
+
+def _hidden(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier")
+    records = s.select(k.alias("media"), pick(k, ["FFV1", "h264", "png", "vp9"]).alias("codec"), F.when(k % 4 == 2, 10).otherwise(8).alias("bit_depth"))
+    channels = s.select(k.alias("media"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).withColumn("suspicious", F.col("i") < F.col("media") % 5)
+    tallies = s.select(k.alias("media"), (k * 500).alias("user_bytes"))
+    container = s.filter(k % 3 == 0).select(k.alias("media"), F.lit("warn").alias("severity"), F.lit("appended_data").alias("kind"), F.lit(9).cast("long").alias("offset"), F.lit(1).cast("long").alias("size"))
+    return reports.hidden_data_scan(records, channels, tallies, s.filter(k % 7 == 0).select(k.alias("media")), container, K)
+
+
+@query(f"WITH {_HIDDEN} SELECT media, f[1] AS severity, f[2] AS kind FROM f WHERE f IS NOT NULL")
+def hidden_data_scan(spark, sf):
+    return _hidden(spark, sf).select("media", "severity", "kind")
+
+
+@query(f"WITH {_HIDDEN} SELECT media, 0.0::DOUBLE AS t, CASE WHEN bool_or(f[2] = 'appended_data') THEN 'appended_data' ELSE 'sei_userdata' END AS label FROM f WHERE f[2] IN ('appended_data', 'sei_userdata') GROUP BY media")
+def hidden_data_marks(spark, sf):
+    return reports.hidden_data_marks(_hidden(spark, sf), K)
+
+
+@query(f"{_CHECKS_SQL} SELECT media, s.check_id AS check_id, media % 2 = 0 AND s.check_id IN ('splices', 'recompress') AS weakened FROM k WHERE s.profile = 'integrity'")
+def weakened_checks(spark, sf):
+    checks = qc.evaluate(_context(spark, sf), K, "integrity").select("media", "check_id")
+    return reports.weakened(checks, frames(spark, sf).select("media", (F.col("media") % 2 == 0).alias("reencoded")).distinct(), K)

@@ -209,3 +209,40 @@ def srt_cues(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     seconds = lambda k: part(k).cast("double") * 3600 + part(k + 1).cast("double") * 60 + part(k + 2).cast("double") + F.rpad(part(k + 3), 3, "0").cast("double") / 1000
     words = F.regexp_replace(F.regexp_extract("b", arrow + r"[^\n]*\n([\s\S]*)$", 9), r"<[^>]*>|\{\\[^}]*\}", "")
     return block.select(*keys, seconds(1).alias("t0"), seconds(5).alias("t1"), F.btrim(words, F.lit(" \n\t")).alias("text")).filter("text != ''")
+
+
+def sidecars(media: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """media plus sidecar: the caption file beside it, of the same name with .srt, else .en.srt; null without one."""
+    stem = F.regexp_replace(F.col(path), r"\.[^./]*$", "")
+    found = files.select(F.col(path).alias("_file")).filter(F.endswith("_file", F.lit(".srt")))
+    named = found.select(F.regexp_replace("_file", r"\.srt$", "").alias("_stem"), F.lit(0).alias("_rank"), "_file").unionByName(found.filter(F.endswith("_file", F.lit(".en.srt"))).select(F.regexp_replace("_file", r"\.en\.srt$", "").alias("_stem"), F.lit(1).alias("_rank"), "_file"))
+    best = named.groupBy("_stem").agg(F.min_by("_file", "_rank").alias("sidecar"))
+    return media.withColumn("_stem", stem).join(best, "_stem", "left").drop("_stem")
+
+
+def xpsnr_log(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, xpsnr): luma values of a log, one line a frame."""
+    number = F.regexp_extract("line", r"\by:\s*(inf|[-\d.]+)", 1)
+    return lines.select(*keys, "line_no", F.when(number == "inf", F.lit(float("inf"))).otherwise(number.try_cast("double")).alias("xpsnr")).filter("xpsnr IS NOT NULL")
+
+
+def pooled_xpsnr(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, average): the mean of the finite frames; infinite if there is none."""
+    finite = F.when(F.col("xpsnr") < float("inf"), F.col("xpsnr"))
+    return frames.groupBy(*keys).agg(F.coalesce(F.avg(finite), F.lit(float("inf"))).alias("average"))
+
+
+# fixed values: names of the quality models that can be asked for
+MODELS = {"4k": "vmaf_4k_v0.6.1", "neg": "vmaf_v0.6.1neg"}
+
+
+def quality_model(choice: Column, width: Column, height: Column) -> Column:
+    """The model's name, null for the default: by choice, or for `auto` by the reference's size."""
+    large = (F.coalesce(height, F.lit(0)) >= 1620) | (F.coalesce(width, F.lit(0)) >= 2880)
+    return F.when(choice == "4k", MODELS["4k"]).when(choice == "neg", MODELS["neg"]).when(choice == "default", F.lit(None).cast("string")).when(large, MODELS["4k"])
+
+
+def scale_note(width: Column, height: Column, to_width: Column, to_height: Column) -> Column:
+    """What is said where a distorted picture is scaled to its reference; null where it isn't."""
+    differs = (width > 0) & (to_width > 0) & ((width != to_width) | (height != to_height))
+    return F.when(differs, F.format_string("distorted scaled %dx%d -> %dx%d to match reference", width, height, to_width, to_height))

@@ -218,6 +218,76 @@ def test_hidden_bits_are_seen(spark):
     assert p[0] < 1e-6 and p[1] > 1e-3
 
 
+def test_tails_beyond_any_loop():
+    assert aggregates.binomial_tail_log10(10_000_000, 4_900_000, 0.5) == pytest.approx(0, abs=1e-9)
+    assert aggregates.binomial_tail_log10(10_000_000, 5_000_000, 0.5) == pytest.approx(math.log10(0.5), abs=1e-3)
+    assert aggregates.binomial_tail_log10(10**9, 10**9 // 2 + 50_000, 0.5) == pytest.approx(math.log10(math.erfc(50_000 / math.sqrt(2 * 10**9 / 4)) / 2), abs=1e-3)
+    assert aggregates.binomial_tail_log10(100, 51, 0.5) == pytest.approx(math.log10((1 - math.comb(100, 50) / 2**100) / 2), abs=1e-12)
+    assert aggregates.upper_gamma(0, 3) == 0 and aggregates.upper_gamma(3, 0) == 1 and aggregates.upper_gamma(2.5, 3) == pytest.approx(0.3062189, abs=1e-6)
+    with pytest.raises(ValueError):
+        aggregates.upper_gamma(0.3, 1)
+
+
+def test_hidden_bit_rate(spark):
+    rng = np.random.default_rng(6)
+    smooth = np.clip(np.rint(128 + 60 * np.sin(np.arange(40000) / 90) + rng.normal(0, 1.5, 40000)), 0, 255).astype(int)
+    series_of = {0: smooth}
+    for media, share in ((1, 0.3), (2, 0.9)):
+        hit = rng.random(40000) < share
+        series_of[media] = np.where(hit, (smooth & ~1) | rng.integers(0, 2, 40000), smooth)
+    df = spark.createDataFrame([(m, i, int(v)) for m, x in series_of.items() for i, v in enumerate(x)] + [(9, i, i) for i in range(40)], "media int, i int, v int")
+    rate = aggregates.hidden_bit_rate(aggregates.regular_singular(df, K, "i", "v"), K)
+    got = {r.media: r.rate for r in rate.collect()}
+    assert got[0] < 0.05 and abs(got[1] - 0.3) < 0.1 and got[2] > 0.7 and got[9] == 0.0
+    verdict = aggregates.hidden_bit_verdict(rate, aggregates.with_probability(aggregates.lsb_pairs(df, K, "v")), K)
+    assert {r.media: r.suspicious for r in verdict.collect()} == {0: False, 1: True, 2: True, 9: False}
+
+
+def test_greedy_picks_leave_out_unknown_times(spark):
+    df = col(spark, [(1, t, s) for t, s in ((0.0, 1.0), (10.0, 3.0), (20.0, 2.0), (30.0, 4.0), (None, 9.0), (float("nan"), 8.0), (40.0, None))], "media int, t double, s double")
+    assert sorted(r.t for r in series.spread_out(df, K, "t", 5.0).collect()) == [0.0, 10.0, 20.0, 30.0, 40.0]
+    assert sorted(r.t for r in series.best_first(df, K, "t", "s", 5.0, 9).collect()) == [0.0, 10.0, 20.0, 30.0]
+
+
+def test_hash_pairs_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [rng.getrandbits(64), rng.getrandbits(64)]
+        for _ in range(6):
+            a, b = base
+            for _ in range(rng.randrange(6)):
+                a, b = a ^ 1 << rng.randrange(64), b ^ 1 << rng.randrange(64)
+            rows.append((len(rows), a, b))
+    rows += [(len(rows) + k, *rows[k][1:]) for k in range(5)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(i, signed(a), signed(b)) for i, a, b in rows] + [(999, None, 1)], "id int, a long, b long")
+    first = {}
+    for i, a, b in rows:
+        first.setdefault((a, b), i)
+    for most in (3, 11):
+        want = {(i, j, d) for (p, i) in first.items() for (q, j) in first.items() if i < j for d in [(p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count()] if d <= most}
+        assert {tuple(r) for r in joins.hash_pairs(df, "id", ["a", "b"], most).collect()} == want and want
+    assert {(r.id, r.first) for r in joins.hash_members(df, "id", ["a", "b"]).collect()} == {(i, first[a, b]) for i, a, b in rows}
+    with pytest.raises(ValueError):
+        joins.hash_pairs(df, "id", ["a"], 40)
+
+
+def test_loops_within_a_tolerance(spark):
+    rng = random.Random(5)
+    shots = [rng.getrandbits(63) for _ in range(200)]
+    shots[120:150] = [h ^ 1 << rng.randrange(63) for h in shots[20:50]]  # one bit differs in every frame
+    still = [7] * 200
+    cyclic = [rng.getrandbits(63) for _ in range(20)] * 5
+    tile = [rng.getrandbits(63) for _ in range(29)]
+    tiled = [h for _ in range(5) for h in (*tile, rng.getrandbits(63))]
+    df = spark.createDataFrame([(m, f, h) for m, x in ((1, shots), (2, still), (3, cyclic), (4, tiled)) for f, h in enumerate(x)], "media int, frame int, h long")
+    got = joins.loop_scan(df, K, ["h"], least=10, tolerance=3).collect()
+    assert [(r.delta, r.source, r.repeat, r.n, r.periodic) for r in got if r.media == 1] == [(100, 20, 120, 30, False)]
+    assert not [r for r in got if r.media in (2, 3)]
+    assert {r.periodic for r in got if r.media == 4 and r.delta == 30} == {True}
+
+
 # ---- findings and rules
 
 
@@ -305,3 +375,73 @@ def test_pictures(spark):
     pair = spark.createDataFrame([(bytearray(noisy.tobytes()), bytearray(x.tobytes()), 64, 256, 1) for x in (noisy, lined)], "a binary, b binary, h int, w int, c int")
     one, two = images.visually_lossless(images.pair_measures(pair)).collect()
     assert one.psnr == float("inf") and one.ssim == pytest.approx(1.0) and one.verdict == "lossless" and two.psnr < 40
+
+
+def picture(spark, **named):
+    rows = [(n, 0, x.shape[0], x.shape[1], 1, bytearray(np.clip(x, 0, 255).astype(np.uint8).tobytes())) for n, x in named.items()]
+    return spark.createDataFrame(rows, "media string, frame long, h int, w int, c int, pixels binary")
+
+
+def test_block_edges_of_either_direction(spark):
+    rng = np.random.default_rng(2)
+    base = 128 + rng.normal(0, 2, (96, 96))
+    across = base + np.repeat(rng.normal(0, 30, 12), 8)[:, None]
+    df = picture(spark, none=base, across=across, along=across.T, flat=np.full((96, 96), 9.0))
+    got = {r.media: r.b for r in df.select("media", images.blockiness().alias("b")).collect()}
+    assert abs(got["none"]) < 0.3 and got["across"] > 1 and got["along"] > 1 and got["flat"] is None
+    double = {r.media: r.d for r in df.select("media", images.double_quantised().alias("d")).collect()}
+    assert all(0 <= d <= 1 for d in double.values())
+
+
+def test_contours_are_found_and_noise_is_not(spark):
+    rng = np.random.default_rng(3)
+    ramp = np.linspace(60, 76, 256)[None, :] * np.ones((128, 1))
+    steps = np.floor(ramp / 2) * 2
+    df = picture(spark, steps=steps, dithered=np.floor(ramp + rng.random((128, 256))), flat=np.full((128, 256), 80.0))
+    got = {r.media: r.b for r in df.select("media", images.banding().alias("b")).collect()}
+    assert got["steps"] > 3 and got["dithered"] < 1 and got["flat"] == 0
+
+
+def test_regions_touch_by_corners():
+    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1]], bool)
+    label = images.regions(mask)
+    assert len(np.unique(label[mask])) == 3 and label[0, 0] == label[1, 1] != label[0, 3] and (label[~mask] == 0).all()
+
+
+def test_wobble_without_pans(spark):
+    rng = np.random.default_rng(4)
+    base = images.blurred(rng.normal(128, 60, (64, 128)), 1.0)
+    rows = [base, np.roll(base, 1, axis=1), np.stack([np.roll(r, int(s), axis=0) for r, s in zip(base, rng.integers(-2, 3, 64), strict=True)])]
+    df = spark.createDataFrame([(1, k, 64, 128, 1, bytearray(np.clip(x, 0, 255).astype(np.uint8).tobytes())) for k, x in enumerate(rows)], "media int, frame long, h int, w int, c int, pixels binary")
+    got = {r.frame: r for r in images.frame_change(df, K).collect()}
+    assert got[0].jitter is None and got[1].jitter < 0.2 and got[2].jitter > 0.55 and got[1].complexity > got[0].complexity
+
+
+def test_what_stands_out(spark):
+    rng = np.random.default_rng(5)
+    x = 100 + rng.normal(0, 1, (96, 128))
+    x[40:48, 90:98] += 100
+    place = picture(spark, one=x).select(images.salient_place().alias("p")).select("p.*").first()
+    assert 84 <= place.x <= 104 and 34 <= place.y <= 54 and 0 < place.share < 0.3
+    y = x.copy()
+    y[:48, :64] += rng.normal(0, 9, (48, 64))
+    noisy = {r.media: r.n for r in picture(spark, even=x, pasted=y, small=x[:8, :8]).select("media", images.noise_spread().alias("n")).collect()}
+    assert noisy["pasted"] > 3 > noisy["even"] and noisy["small"] is None
+
+
+def test_views_of_two_pictures(spark):
+    a, b = np.full((4, 6, 3), 10, np.uint8), np.full((4, 6, 3), 40, np.uint8)
+    df = spark.createDataFrame([(bytearray(a.tobytes()), bytearray(b.tobytes()), 4, 6, 3)], "a binary, b binary, h int, w int, c int")
+    got = df.select(*(images.view(m).alias(m) for m in images.VIEWS)).first()
+    assert set(got["diff"]) == {120} and set(got["blend"]) == {25} and bytes(got["split"][:18]) == bytes([10] * 9 + [40] * 9) and len(got["heat"]) == 24
+
+
+def test_many_boxes_and_hits(spark):
+    data = (struct.pack(">I4s", 8, b"free") * 7000) + struct.pack(">IQ", 1, 0)[:4] + b"mdat" + struct.pack(">Q", 20) + b"abcd"
+    files = spark.createDataFrame([(1, data), (2, b"PK\x03\x04" * 60)], "media int, content binary")
+    boxes = containers.mp4_boxes(files, K)
+    assert boxes.filter("media = 1").count() == 7001 and boxes.filter("type = 'mdat'").first()["size"] == 20
+    hits = containers.magic_hits(files, K, block=7).filter("media = 2")
+    assert sorted(r.offset for r in hits.collect()) == list(range(0, 240, 4))
+    few = containers.magic_hits(files, K, most=40).filter("media = 2").collect()
+    assert len(few) == 40 and all(r.truncated for r in few)
