@@ -1,7 +1,7 @@
 """Structured Streaming: windowed metric summaries, sessions, runs, latest rows, all with watermarks.
 
-Each function takes a streaming (or a batch) DataFrame with an event time and gives one; with a batch DataFrame the
-result is the batch operator's, which is how the tests compare them.
+Each function takes a streaming DataFrame with an event time and gives one; those without state of their own take a batch
+DataFrame too, and give the batch operator's result, which is how the tests compare them.
 """
 
 from __future__ import annotations
@@ -39,28 +39,70 @@ def latest(events: DataFrame, keys: list[str], time: str, late: str = "10 minute
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([*keys])
 
 
-def flagged_runs(events: DataFrame, key: str, time: str, flag: Column, least: int = 2) -> DataFrame:
-    """(key, t0, t1, n): stretches of at least `least` rows in order of time for which the flag holds.
+def flagged_runs(events: DataFrame, key: str, time: str, flag: Column, least: int = 2, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
+    """(key, t0, t1, n, missed): stretches of at least `least` rows in order of time for which the flag holds.
 
-    A stretch is closed by the first row for which it doesn't; the open stretch of a key is its state. Rows have to
-    come in order of time for each key; ones that come late are left out.
+    A stretch is closed by the first row for which it doesn't, or when the watermark (`late` behind the newest row) has
+    passed its key's last row by `idle`; then the key's state goes too. Rows older than one of their key from an earlier
+    batch are left out; `missed` counts those since the key's stretch before. For streams only; runs() is the batch form.
     """
+    wait = max(1, int(pd.Timedelta(idle).total_seconds() * 1000))
 
     def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, n, seen = state.get if state.exists else (0, 0, 0, -(1 << 62))
+        start, end, n, seen, missed = state.get if state.exists else (0, 0, 0, -(1 << 62), 0)
         rows = []
-        for at, on in sorted(row for b in batches for row in zip(b["us"].tolist(), b["on"].tolist(), strict=True)):
-            if at < seen:
-                continue
-            seen = at
-            if on:
-                start, end, n = (at if not n else start), at, n + 1
-                continue
-            if n >= least:
-                rows.append((who[0], start / 1e6, end / 1e6, n))
-            n = 0
-        state.update((start, end, n, seen))
-        yield pd.DataFrame(rows, columns=["key", "t0", "t1", "n"])
-
-    marked = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.coalesce(flag, F.lit(False)).alias("on"))
-    return marked.groupBy("key").applyInPandasWithState(step, "key string, t0 double, t1 double, n long", "start long, end long, n long, seen long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(who[0], start / 1e6, end / 1e6, n, missed)] if n >= least else []
+        else:
+            for at, on in sorted(row for b in batches for row in zip(b["us"].tolist(), b["on"].tolist(), strict=True)):
+                if at < seen:
+                    missed += 1
+                    continue
+                seen = at
+                if on:
+                    start, end, n = (at if not n else start), at, n + 1
+                    continue
+                if n >= least:
+                    rows.append((who[0], start / 1e6, end / 1e6, n, missed))
+                    missed = 0
+                n = 0
+            state.update((start, end, n, seen, missed))
+            state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame(rows, columns=["key", "t0", "t1", "n", "missed"])
+
+    marked = events.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("at"), F.coalesce(flag, F.lit(False)).alias("on"))
+    marked = marked.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    return marked.groupBy("key").applyInPandasWithState(step, "key string, t0 double, t1 double, n long, missed long", "start long, end long, n long, seen long, missed long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def overlapping(chunks: DataFrame, key: str, order: str, samples: str, size: int = 512, hop: int = 256) -> DataFrame:
+    """(key, block, samples): windows of `size` samples, `hop` apart, over a key's chunks one after the other.
+
+    What a window needs of earlier chunks is carried over as state, fewer than size + hop numbers a key. Chunks have to
+    come in order for each key; what doesn't fill a window at the end isn't given. For streams only.
+    """
+
+    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, block = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        for batch in batches:
+            rows = []
+            for _, chunk in sorted(zip(batch["at"].tolist(), batch["x"].tolist(), strict=True), key=lambda r: r[0]):
+                held.extend(chunk)
+                while len(held) >= size:
+                    rows.append((who[0], block, held[:size]))
+                    held, block = held[hop:], block + 1
+            yield pd.DataFrame(rows, columns=["key", "block", "samples"])
+        state.update((held, block))
+
+    asked = chunks.select(F.col(key).cast("string").alias("key"), F.col(order).alias("at"), F.col(samples).cast("array<double>").alias("x"))
+    return asked.groupBy("key").applyInPandasWithState(step, "key string, block long, samples array<double>", "held array<double>, block long", "append", GroupStateTimeout.NoTimeout)
+
+
+def current(results: DataFrame, keys: list[str], epoch: str) -> DataFrame:
+    """The results of each key's newest epoch; what an older run of the same question still delivers is superseded.
+
+    In a stream the newest epoch is an aggregate, so use it in foreachBatch or on the table that a sink keeps.
+    """
+    newest = results.groupBy(*keys).agg(F.max(epoch).alias("_newest"))
+    return results.join(newest, keys).filter(F.col(epoch) == F.col("_newest")).drop("_newest")
