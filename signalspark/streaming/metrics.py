@@ -88,7 +88,7 @@ def overlapping(chunks: DataFrame, key: str, order: str, samples: str, size: int
         for batch in batches:
             rows = []
             for _, chunk in sorted(zip(batch["at"].tolist(), batch["x"].tolist(), strict=True), key=lambda r: r[0]):
-                held.extend(chunk)
+                held.extend(map(float, chunk))
                 while len(held) >= size:
                     rows.append((who[0], block, held[:size]))
                     held, block = held[hop:], block + 1
