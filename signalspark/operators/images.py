@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalspark.functions.text import evenly_spaced
+
 from .series import along
 
 
@@ -362,3 +364,10 @@ def glyphs(least: int = 4) -> Column:
         return pd.Series([one(gray(array_of(*v))) for v in zip(p, hs, ws, cs, strict=True)])
 
     return of("pixels", "h", "w", "c")
+
+
+def evenly_sampled(images: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
+    """The pictures of `samples` frames that cut each series in equal parts; pixels of others aren't looked at."""
+    n = images.groupBy(*keys).agg((F.max("frame") + 1).alias("_n"))
+    chosen = n.select(*keys, F.explode(F.array_distinct(evenly_spaced(F.col("_n"), samples))).alias("frame"))
+    return images.join(chosen, [*keys, "frame"], "left_semi")

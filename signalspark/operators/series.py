@@ -148,6 +148,7 @@ def cut_points(df: DataFrame, keys: list[str], order: str, x: str, least: int =
 
         def residual(of):
             n, x, y, xx, xy, yy = (of(name) for name in sums)
+            n = F.nullif(n, F.lit(0))
             vx, vxy, vy = xx - x * x / n, xy - x * y / n, yy - y * y / n
             return F.greatest(F.when(vx > 0, vy - vxy * vxy / vx).otherwise(vy), F.lit(0.0))
 

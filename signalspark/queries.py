@@ -139,12 +139,6 @@ def lsb_chi_pairs(spark, sf):
     return aggregates.lsb_pairs(values, K, "v").withColumn("chi2", r6("chi2"))
 
 
-@query()
-def lsb_probability(spark, sf):
-    """The upper incomplete gamma function has no SQL; tests compare it with closed forms."""
-    return aggregates.with_probability(lsb_chi_pairs(spark, sf)).withColumn("p", F.round("p", 9))
-
-
 @query("""WITH l AS (SELECT l_partkey AS media, l_quantity AS bitrate, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
 b AS (SELECT *, max(score) OVER w * 0.98 AS target, max(bitrate) OVER w AS last FROM l WINDOW w AS (PARTITION BY media))
 SELECT media, coalesce(min(bitrate) FILTER (score >= target), max(last)) AS bitrate, arg_min(score, bitrate) FILTER (score >= target) AS score, round(any_value(target), 6) AS target FROM b GROUP BY media""")
@@ -677,37 +671,6 @@ def nits_bands(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("media"), colour.nits_band(F.col("l_extendedprice") / 50).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# ---- greedy and spectral operators: no SQL; tests compare with plain versions
-
-
-@query()
-def changepoint_split(spark, sf):
-    return series.cut_points(frames(spark, sf).withColumn("x", F.col("frame").cast("double")), K, "x", "t").withColumn("slope", r6("slope"))
-
-
-def _pcm(spark: SparkSession, sf: str) -> DataFrame:
-    """A vector table as PCM blocks of one recording for each label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf, "embeddings").select(F.col("label").alias("media"), (F.row_number().over(w) - 1).alias("block"), F.lit(64).alias("sr"), F.col("embedding").alias("samples"))
-
-
-@query()
-def spectral_flux(spark, sf):
-    cols = ("rms_db", "flux", "rolloff", "floor")
-    return signals.block_features(_pcm(spark, sf), K).select("media", "block", *(r6(c).alias(c) for c in cols))
-
-
-@query()
-def enf_track(spark, sf):
-    return signals.hum(_pcm(spark, sf), K, 8.0, 24.0).select("media", "block", r6("hz").alias("hz"), r6("snr_db").alias("snr_db"))
-
-
-@query()
-def audio_bandwidth(spark, sf):
-    cut = signals.cutoff(signals.mean_spectrum(_pcm(spark, sf), K), K, 689.0, below_db=12.0)
-    return signals.bandwidth_verdict(cut)
-
-
 # ---- event time
 
 

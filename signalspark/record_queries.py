@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -580,12 +581,12 @@ def nms_pick(spark, sf):
 
 # ---- small pictures: a vector as 8 by 8 pixels
 
-_PX = "px AS (SELECT label AS media, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda e: least(greatest(floor(e * 60 + 128), 0), 255)::INT) AS v FROM embeddings)"
+_PX = "px AS (SELECT label AS media, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 60 + 128), 0), 255)::INT) AS v FROM embeddings)"
 _CELLS = f"{_PX}, cell AS (SELECT media, frame, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM px), c AS (SELECT media, frame, v, i // 8 AS y, i % 8 AS x FROM cell)"
 
 
 def _pictures(spark: SparkSession, sf: str) -> DataFrame:
-    level = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(e * 60 + 128), F.lit(0)), F.lit(255)))
+    level = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(e.cast("double") * 60 + 128), F.lit(0)), F.lit(255)))
     pixels = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     return table(spark, sf, "embeddings").select(F.col("label").alias("media"), nth.cast("long").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), pixels.alias("pixels"))
@@ -770,11 +771,12 @@ def ipt_light(spark, sf):
     return table(spark, sf, "events").select("event_id", rgb.alias("c")).select("event_id", *(r6(f"c.{n}").alias(n) for n in "rgb"))
 
 
+_RED = " ".join(f"{v:+.17g} * {n}" for v, n in zip(np.linalg.inv(np.array(colour.XYZ["709"]))[0], "XYZ", strict=True))
 _TO_709 = """t AS (SELECT event_id, value, least(value / 500, 1) AS r, least(value / 250, 1) AS g, 0.25 AS b FROM events)"""
 
 
 @query(f"""WITH {_TO_709}, z AS (SELECT *, 0.6369580 * r + 0.1446169 * g + 0.1688810 * b AS X, 0.2627002 * r + 0.6779981 * g + 0.0593017 * b AS Y, 0.0280727 * g + 1.0609851 * b AS Z FROM t)
-SELECT event_id, round(3.2409699 * X - 1.5373832 * Y - 0.4986108 * Z, 4) AS red, CASE WHEN value < 16 THEN 40 + floor(floor(value) * -10 / 16.0)::INT WHEN value < 45 THEN 30 + floor((floor(value) - 16) * 10 / 29.0)::INT END::INT AS false_red,
+SELECT event_id, round({_RED}, 4) AS red, CASE WHEN value < 16 THEN 40 + floor(floor(value) * -10 / 16.0)::INT WHEN value < 45 THEN 30 + floor((floor(value) - 16) * 10 / 29.0)::INT END::INT AS false_red,
     floor(least(greatest(value / 500 / 0.8, 0), 1) * 255)::INT AS px, floor(255 - least(greatest(value / 500 / 0.9, 0), 1) * 255)::INT AS py FROM z""")
 def colour_scales(spark, sf):
     v = F.col("value")
@@ -848,3 +850,120 @@ def hidden_data_marks(spark, sf):
 def weakened_checks(spark, sf):
     checks = qc.evaluate(_context(spark, sf), K, "integrity").select("media", "check_id")
     return reports.weakened(checks, frames(spark, sf).select("media", (F.col("media") % 2 == 0).alias("reencoded")).distinct(), K)
+
+
+@query("""WITH c AS (SELECT l_suppkey AS media, floor(l_quantity / 2) AS pair, sum(1 - l_quantity::BIGINT % 2) AS even, sum(l_quantity::BIGINT % 2) AS odd FROM lineitem GROUP BY ALL),
+q AS (SELECT media, count(*) AS pairs, sum((even - (even + odd) / 2) * (even - (even + odd) / 2) / ((even + odd) / 2)) AS chi2 FROM c GROUP BY media), g AS (SELECT *, (pairs - 1) / 2.0::DOUBLE AS a, chi2 / 2 AS x FROM q),
+s AS (SELECT *, coalesce(list_sum([exp((a - i) * ln(x) - x - lgamma(a - i + 1)) FOR i IN range(1, 200) IF a - i > 0]), 0) AS parts, 1 - 2 / sqrt(pi()) * list_sum([exp(2 * i * ln(2.0) + (2 * i + 1) * ln(sqrt(x)) + lgamma(i + 1) - lgamma(2 * i + 2) - x) FOR i IN range(0, 400)]) AS tail FROM g)
+SELECT media, pairs, round(chi2, 6) AS chi2, round(CASE WHEN a <= 0 THEN 0 WHEN x <= 0 THEN 1 WHEN a % 1 = 0 THEN parts + exp(-x) ELSE parts + tail END, 8) AS p FROM s""")
+def lsb_probability(spark, sf):
+    values = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("media"), F.col("l_quantity").cast("long").alias("v"))
+    return aggregates.with_probability(aggregates.lsb_pairs(values, K, "v")).withColumn("p", F.round("p", 8)).withColumn("chi2", r6("chi2"))
+
+
+def _cut_sql(depth: int) -> str:
+    """The levels of a change-point search, each a table s<k> (media, segment, x, y)."""
+    sums = {"n": "1", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
+    fit = lambda n, x, y, xx, xy, yy: f"greatest(CASE WHEN {xx} - {x} * {x} / {n} > 0 THEN {yy} - {y} * {y} / {n} - ({xy} - {x} * {y} / {n}) * ({xy} - {x} * {y} / {n}) / ({xx} - {x} * {x} / {n}) ELSE {yy} - {y} * {y} / {n} END, 0)"
+    out = [f"{FRAMES}, s0 AS (SELECT media, 1 AS segment, frame::DOUBLE AS x, t AS y FROM f)"]
+    for k in range(depth):
+        out.append(f"a{k} AS (SELECT *, row_number() OVER r - 1 AS k, {', '.join(f'sum({v}) OVER w AS all_{n}, sum({v}) OVER b AS run_{n}' for n, v in sums.items())} FROM s{k} WINDOW w AS (PARTITION BY media, segment), r AS (PARTITION BY media, segment ORDER BY x), b AS (PARTITION BY media, segment ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        before, after, one = (fit(*of) for of in ([f"run_{n}" for n in sums], [f"(all_{n} - run_{n})" for n in sums], [f"all_{n}" for n in sums]))
+        out.append(f"c{k} AS (SELECT *, greatest(8, floor(all_n / 40)) AS side, {one} AS one, CASE WHEN k > 0 THEN {before} + {after} END AS two FROM a{k})")
+        out.append(f"m{k} AS (SELECT media, segment, min(two) AS two, arg_min(k, (two, k)) AS at FROM c{k} WHERE all_n >= 24 AND k >= side AND all_n - k >= side AND k % side = 0 GROUP BY media, segment)")
+        out.append(f"s{k + 1} AS (SELECT c.media, c.segment * 2 + CASE WHEN m.two <= one / 4 AND c.k >= m.at THEN 1 ELSE 0 END AS segment, x, y FROM c{k} c LEFT JOIN m{k} m ON m.media = c.media AND m.segment = c.segment)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_cut_sql(3)} SELECT media, row_number() OVER (PARTITION BY media ORDER BY min(x)) AS segment, count(*) AS n, min(x) AS x0, max(x) AS x1, round(regr_slope(y, x), 4) AS slope FROM s3 GROUP BY media, segment")
+def changepoint_split(spark, sf):
+    out = series.cut_points(frames(spark, sf).withColumn("x", F.col("frame").cast("double")), K, "x", "t")
+    return out.withColumn("slope", F.round("slope", 4)).withColumn("segment", F.col("segment").cast("long"))
+
+
+# ---- spectra: a vector as a block of 64 samples
+
+
+def _pcm(spark: SparkSession, sf: str) -> DataFrame:
+    """PCM blocks of one recording for each label."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return table(spark, sf, "embeddings").select(F.col("label").alias("media"), (F.row_number().over(w) - 1).alias("block"), F.lit(64).alias("sr"), F.col("embedding").alias("samples"))
+
+
+_SAMPLES = """b AS (SELECT label AS media, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS block, embedding FROM embeddings),
+s AS (SELECT media, block, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM b), h AS (SELECT media, block, i, x, 0.5 - 0.5 * cos(2 * pi() * i / 63) AS w, x - avg(x) OVER (PARTITION BY media, block) AS c FROM s)"""
+_SPECTRUM = f"""{_SAMPLES}, m AS (SELECT media, block, k, sqrt(pow(sum(x * w * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * w * sin(2 * pi() * k * i / 64)), 2)) AS m FROM h, range(33) t(k) GROUP BY media, block, k)"""
+
+
+@query(f"""WITH {_SPECTRUM}, l AS (SELECT media, block, round(20 * log10(sqrt(sum(x * x) / 64) + 1e-9), 6) AS rms_db FROM s GROUP BY media, block),
+d AS (SELECT *, m - lag(m) OVER (PARTITION BY media, k ORDER BY block) AS d, sum(m * m) OVER (PARTITION BY media, block ORDER BY k) AS run, sum(m * m) OVER (PARTITION BY media, block) AS total FROM m)
+SELECT media, block, any_value(rms_db) AS rms_db, round(sum(greatest(d, 0)) FILTER (d IS NOT NULL), 6) AS flux, round(count(*) FILTER (run < 0.95 * total) / 33.0::DOUBLE, 6) AS rolloff, round(20 * log10(list_sort(list(m))[4] + 1e-9), 6) AS floor FROM d JOIN l USING (media, block) GROUP BY media, block""")
+def spectral_flux(spark, sf):
+    return signals.block_features(_pcm(spark, sf), K).select("media", F.col("block").cast("long").alias("block"), *(r6(c).alias(c) for c in ("rms_db", "flux", "rolloff", "floor")))
+
+
+@query(f"""WITH {_SPECTRUM}, l AS (SELECT media, k, avg(m) AS level FROM m GROUP BY media, k), d AS (SELECT media, k * 689.0::DOUBLE AS hz, 20 * log10(sum(level) OVER (PARTITION BY media ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 + 1e-12) AS db FROM l),
+t AS (SELECT *, max(db) FILTER (hz BETWEEN 200 AND 4000) OVER (PARTITION BY media) AS top FROM d), c AS (SELECT media, max(hz) FILTER (db > top - 12) AS cutoff_hz, max(hz) AS nyquist_hz FROM t GROUP BY media)
+SELECT *, CASE WHEN cutoff_hz / nyquist_hz < 0.70 THEN 'suspicious' WHEN cutoff_hz / nyquist_hz < 0.85 THEN 'mild' ELSE 'full' END AS bandwidth FROM c""")
+def audio_bandwidth(spark, sf):
+    return signals.bandwidth_verdict(signals.cutoff(signals.mean_spectrum(_pcm(spark, sf), K), K, 689.0, below_db=12.0))
+
+
+_HUM = f"""{_SAMPLES}, m AS (SELECT media, block, k, k * 0.25 AS hz, sqrt(pow(sum(c * w * cos(2 * pi() * k * i / 256)), 2) + pow(sum(c * w * sin(2 * pi() * k * i / 256)), 2)) + 1e-12 AS m FROM h, range(129) t(k) GROUP BY media, block, k),
+p AS (SELECT media, block, arg_max(k, m) FILTER (hz BETWEEN 8 AND 24) AS top FROM m GROUP BY media, block),
+z AS (SELECT m.media, m.block, any_value(top) AS top, ln(max(m) FILTER (k = top - 1)) AS a, ln(max(m) FILTER (k = top)) AS b, ln(max(m) FILTER (k = top + 1)) AS c, 20 * log10(max(m) FILTER (k = top) / median(m) FILTER (hz BETWEEN 0 AND 32 AND abs(hz - top * 0.25) > 0.6)) AS snr FROM m JOIN p ON p.media = m.media AND p.block = m.block GROUP BY m.media, m.block),
+tr AS (SELECT media, block, (top + CASE WHEN a - 2 * b + c = 0 THEN 0 ELSE 0.5 * (a - c) / (a - 2 * b + c) END) * 0.25 AS hz, snr AS snr_db FROM z)"""
+
+
+@query(f"WITH {_HUM} SELECT media, block, round(hz, 6) AS hz, round(snr_db, 6) AS snr_db FROM tr")
+def enf_track(spark, sf):
+    return signals.hum(_pcm(spark, sf), K, 8.0, 24.0).select("media", F.col("block").cast("long").alias("block"), r6("hz").alias("hz"), r6("snr_db").alias("snr_db"))
+
+
+@query(f"""WITH {_HUM}, l AS (SELECT *, lag(hz) OVER w AS h0, lag(snr_db) OVER w AS s0 FROM tr WINDOW w AS (PARTITION BY media ORDER BY block))
+SELECT media, median(snr_db) >= 10 AND avg((snr_db >= 6)::INT) >= 0.7 AS present, count(*) FILTER (snr_db >= 6 AND s0 >= 6 AND abs(hz - h0) > 0.08) AS jumps, count(*) FILTER (snr_db < 6) AS gaps FROM l GROUP BY media""")
+def hum_gaps(spark, sf):
+    return signals.hum_verdict(signals.hum(_pcm(spark, sf), K, 8.0, 24.0), K)
+
+
+# ---- more containers, texts and pictures
+
+
+@query("""WITH e AS (SELECT s_suppkey AS media, s_suppkey % 100 AS n FROM supplier) SELECT media, unnest([{'depth': 0::INT, 'type': '1A45DFA3', 'offset': 0, 'size': 9}, {'depth': 0, 'type': '18538067', 'offset': 9, 'size': 30 + n}, {'depth': 1, 'type': 'EC', 'offset': 21, 'size': 9 + n}, {'depth': 1, 'type': '1654AE6B', 'offset': 30 + n, 'size': 9}], recursive := true) FROM e""")
+def mkv_elements(spark, sf):
+    n = F.col("s_suppkey") % 100
+    element = lambda name, length, body: F.concat(F.lit(bytes.fromhex(name)), length, body)
+    void = element("EC", F.concat(F.lit(b"\x01"), _be(n, 7)), _zeros(n.cast("int")))
+    tracks = element("1654AE6B", F.lit(b"\x84"), F.lit(b"abcd"))
+    segment = element("18538067", F.concat(F.lit(b"\x01"), _be(n + 18, 7)), F.concat(void, tracks))
+    files = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("media"), F.concat(element("1A45DFA3", F.lit(b"\x84"), F.lit(b"webm")), segment).alias("content"))
+    return containers.mkv_elements(files, K).drop("head")
+
+
+@query("""SELECT s_suppkey AS media, CASE WHEN s_suppkey % 3 > 0 THEN substr('x264 - core ' || s_suppkey || ' crf=' || repeat('9', s_suppkey * 20), 1, 911) END AS settings, CASE WHEN s_suppkey % 3 > 0 THEN 'x264' ELSE '' END || CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 3 > 0 THEN ',' ELSE '' END || 'libavformat' ELSE '' END AS encoders, CASE WHEN s_suppkey % 5 = 0 THEN 'C2PA,JUMBF' ELSE '' END AS marks FROM supplier""")
+def encoder_marks(spark, sf):
+    k = F.col("s_suppkey")
+    settings = F.when(k % 3 > 0, F.concat(F.lit("x264 - core "), k.cast("string"), F.lit(" crf="), F.repeat(F.lit("9"), (k * 20).cast("int")), F.lit("\0\0"))).otherwise("")
+    body = F.concat(F.lit(b"\0\xff\1"), F.encode(settings, "UTF-8"), F.when(k % 2 == 0, F.lit(b"Lavf60.1")).otherwise(F.lit(b"")), _zeros(5000), F.when(k % 5 == 0, F.lit(b"jumb....c2pa")).otherwise(F.lit(b"")))
+    files = table(spark, sf, "supplier").select(k.alias("media"), containers.latin1(body, 4096, 64).alias("text"))
+    named = lambda df, marks: containers.marker_scan(df, "text", marks)
+    out = named(files, containers.ENCODERS).withColumnRenamed("found", "encoders")
+    return named(out, containers.CREDENTIALS).select("media", F.substring(containers.settings_of(F.col("text")), 1, 911).alias("settings"), F.array_join("encoders", ",").alias("encoders"), F.array_join("found", ",").alias("marks"))
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT media, max(frame) + 1 AS n FROM c GROUP BY media), p AS (SELECT DISTINCT media, floor(n * (i + 1.0::DOUBLE) / 6)::BIGINT AS frame FROM n, range(5) t(i)),
+s AS (SELECT a.media, a.frame, a.x % 4 = 0 AS edge, avg(abs(a.v - b.v)) AS s FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.y = b.y AND a.x = b.x + 1 GROUP BY ALL
+    UNION ALL SELECT a.media, a.frame, a.y % 4 = 0, avg(abs(a.v - b.v)) FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.x = b.x AND a.y = b.y + 1 GROUP BY ALL),
+k AS (SELECT s.media, s.frame, sum(s) FILTER (edge) / sum(s) FILTER (NOT edge) - 1 AS b FROM s JOIN p ON p.media = s.media AND p.frame = s.frame GROUP BY s.media, s.frame) SELECT media, count(*) AS frames, round(avg(b), 6) AS blockiness FROM k GROUP BY media""")
+def recompression_rollup(spark, sf):
+    chosen = images.evenly_sampled(_pictures(spark, sf), K, 5)
+    of = images.measured(partial(images._blockiness, size=4))
+    return chosen.withColumn("b", of()).groupBy("media").agg(F.count("b").alias("frames"), r6(F.avg("b")).alias("blockiness"))
+
+
+@query(f"WITH {FRAMES}, c AS (SELECT media, count(*) AS n FROM f GROUP BY media), s AS (SELECT media, count(*) AS cuts FROM (SELECT media, t, lag(t) OVER (PARTITION BY media ORDER BY frame) AS p FROM f WHERE value > 100) WHERE p IS DISTINCT FROM t GROUP BY media) SELECT c.media, n, coalesce(cuts, 0) AS cuts FROM c LEFT JOIN s USING (media)")
+def combined_analysis(spark, sf):
+    f = frames(spark, sf).withColumn("scene", F.col("value") / 250).withColumn("black_ratio", 1 - F.col("value") / 500).withColumn("ydif", F.col("value") / 9)
+    parts = reports.analysis(f, K, ["value"], 1.0, 0.4)
+    cuts = parts["cuts"].groupBy("media").agg(F.count(F.lit(1)).alias("cuts"))
+    return f.groupBy("media").agg(F.count(F.lit(1)).alias("n")).join(parts["summary"].select("media"), K).join(cuts, K, "left").select("media", "n", F.coalesce("cuts", F.lit(0)).alias("cuts"))
