@@ -46,14 +46,28 @@ def templates(samples: DataFrame) -> DataFrame:
     return read.select(F.explode(F.arrays_zip(chars.alias("ch"), F.col("_g").alias("glyph"))).alias("p")).select("p.ch", "p.glyph").dropDuplicates(["ch", "glyph"])
 
 
-def texts(image_rows: DataFrame, keys: list[str], bank: DataFrame, most: float = 0.22) -> DataFrame:
-    """(keys, text, distance): each mark's nearest template by mean difference; marks farther than `most` read as ?.
+def texts(image_rows: DataFrame, keys: list[str], bank: DataFrame, most: float = 0.22, shapes: int = 5000) -> DataFrame:
+    """(keys, text, distance): each mark's nearest template by mean difference (of equally near ones the first character);
+    marks farther than `most` read as ?.
 
-    The bank is one row for each known shape of a character, a few hundred at most, and is broadcast.
+    The bank goes to every task, so it may have `shapes` templates at most (1.7 KB each); more is an error.
     """
-    marks = image_rows.select(*keys, F.posexplode(normalised()).alias("place", "mark"))
-    apart = F.aggregate(F.zip_with("mark", "glyph", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / (HEIGHT * WIDTH)
-    met = marks.crossJoin(F.broadcast(bank)).groupBy(*keys, "place").agg(F.min(F.struct(apart.alias("d"), F.col("ch").alias("ch"))).alias("m"))
+    known = bank.select("ch", "glyph").limit(shapes + 1).collect()
+    if len(known) > shapes:
+        raise ValueError(f"the bank has over {shapes} templates")
+    known.sort(key=lambda r: (r.ch, r.glyph))
+    names, table = [r.ch for r in known], np.array([r.glyph for r in known]).reshape(-1, HEIGHT * WIDTH)
+
+    @F.pandas_udf("ch string, d double")
+    def nearest(marks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for mark in marks:
+            apart = np.abs(table - np.asarray(mark)).mean(axis=1) if names else np.array([np.inf])
+            k = int(apart.argmin())
+            rows.append((names[k] if names else "?", float(apart[k])))
+        return pd.DataFrame(rows, columns=["ch", "d"])
+
+    marks = image_rows.select(*keys, F.posexplode(normalised()).alias("place", "mark")).withColumn("m", nearest("mark"))
     ch = F.when(F.col("m.d") <= most, F.col("m.ch")).otherwise("?")
-    row = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", ch.alias("ch")))).alias("r"), F.avg("m.d").alias("distance"))
+    row = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", ch.alias("ch")))).alias("r"), F.avg("m.d").alias("distance"))
     return row.select(*keys, F.array_join(F.transform("r", lambda x: x.ch), "").alias("text"), "distance")

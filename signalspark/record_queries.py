@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import colour
 from signalspark.functions import text as texts
-from signalspark.operators import aggregates, captions, findings, images, joins, qc, segments, series, signals
+from signalspark.operators import aggregates, captions, findings, glyphs, images, joins, qc, segments, series, signals
 from signalspark.plans import reports
 from signalspark.queries import FRAMES, PACKETS, QUERIES, SQL, K, frames, packets, query, r6
 from signalspark.session import table
@@ -967,3 +967,28 @@ def combined_analysis(spark, sf):
     parts = reports.analysis(f, K, ["value"], 1.0, 0.4)
     cuts = parts["cuts"].groupBy("media").agg(F.count(F.lit(1)).alias("cuts"))
     return f.groupBy("media").agg(F.count(F.lit(1)).alias("n")).join(parts["summary"].select("media"), K).join(cuts, K, "left").select("media", "n", F.coalesce("cuts", F.lit(0)).alias("cuts"))
+
+
+# ---- marks in pictures
+
+
+def _written(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with the picture of a number: each digit is five columns of eight pixels of its own, with two columns between."""
+    ink = lambda d, r, c: r == 7 or c == 0 or (d * 37 + 11) >> (r * 4 + c) % 13 & 1
+    digits = F.split(text, "")
+    lines = []
+    for r in range(8):
+        shapes = F.create_map(*(F.lit(x) for d in range(10) for x in (str(d), "".join("FA" if ink(d, r, c) else "0A" for c in range(5)) + "0A0A")))
+        lines.append(F.concat(F.lit("0A0A"), F.array_join(F.transform(digits, shapes.getItem), "")))
+    return rows.select("*", text.alias("text"), F.lit(8).alias("h"), (F.length(text) * 7 + 2).alias("w"), F.lit(1).alias("c"), F.unhex(F.concat(*lines)).alias("pixels"))
+
+
+@query("""SELECT c_custkey AS media, (c_custkey * 7919 % 1000000)::VARCHAR AS text, 0.0::DOUBLE AS distance, length((c_custkey * 7919 % 1000000)::VARCHAR) AS marks FROM customer""")
+def glyph_texts(spark, sf):
+    number = (F.col("media") * 7919 % 1000000).cast("string")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("media"))
+    # the first customers' numbers have every digit
+    bank = glyphs.templates(_written(c.filter("media <= 20"), number))
+    read = _written(c, number).drop("text")
+    counted = read.select("media", F.size(images.glyphs()).cast("long").alias("marks"))
+    return glyphs.texts(read, K, bank).withColumn("distance", r6("distance")).join(counted, K)
