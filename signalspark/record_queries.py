@@ -601,10 +601,11 @@ def picture_blocks(spark, sf):
 
 
 @query(f"""WITH {_CELLS}, k AS (SELECT b.media, b.frame, avg(abs(b.v - a.v)) AS ydif FROM c a JOIN c b ON a.media = b.media AND a.frame + 1 = b.frame AND a.x = b.x AND a.y = b.y GROUP BY ALL),
-m AS (SELECT b.media, b.frame, avg(abs(b.v - (a.v + d.v) / 2.0)) / (avg(abs(d.v - a.v)) + 1e-6) AS comb FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.x = b.x AND a.y + 1 = b.y JOIN c d ON d.media = b.media AND d.frame = b.frame AND d.x = b.x AND d.y = b.y + 1 GROUP BY ALL)
-SELECT media, frame, round(ydif, 6) AS ydif, round(comb, 6) AS comb FROM m LEFT JOIN k USING (media, frame)""")
+m AS (SELECT b.media, b.frame, avg(abs(b.v - (a.v + d.v) / 2.0)) / (avg(abs(d.v - a.v)) + 1e-6) AS comb FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.x = b.x AND a.y + 1 = b.y JOIN c d ON d.media = b.media AND d.frame = b.frame AND d.x = b.x AND d.y = b.y + 1 GROUP BY ALL),
+x AS (SELECT a.media, a.frame, avg(abs(a.v - b.v)) AS dx FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.y = b.y AND a.x = b.x + 1 GROUP BY ALL), y AS (SELECT a.media, a.frame, avg(abs(a.v - b.v)) AS dy FROM c a JOIN c b ON a.media = b.media AND a.frame = b.frame AND a.x = b.x AND a.y = b.y + 1 GROUP BY ALL)
+SELECT media, frame, round(ydif, 6) AS ydif, round(comb, 6) AS comb, round(dx + dy + coalesce(ydif, 0), 6) AS complexity FROM m JOIN x USING (media, frame) JOIN y USING (media, frame) LEFT JOIN k USING (media, frame)""")
 def picture_changes(spark, sf):
-    return images.frame_change(_pictures(spark, sf), K).select("media", "frame", r6("ydif").alias("ydif"), r6("comb").alias("comb"))
+    return images.frame_change(_pictures(spark, sf), K).select("media", "frame", r6("ydif").alias("ydif"), r6("comb").alias("comb"), r6("complexity").alias("complexity"))
 
 
 @query(f"""WITH {_CELLS}, e AS (SELECT b.media, b.frame, avg((b.v - a.v) * (b.v - a.v)) AS mse FROM c a JOIN c b ON a.media = b.media AND a.frame + 1 = b.frame AND a.x = b.x AND a.y = b.y GROUP BY ALL)
@@ -992,3 +993,44 @@ def glyph_texts(spark, sf):
     read = _written(c, number).drop("text")
     counted = read.select("media", F.size(images.glyphs()).cast("long").alias("marks"))
     return glyphs.texts(read, K, bank).withColumn("distance", r6("distance")).join(counted, K)
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT a.media, a.frame, a.y, a.x, any_value(a.v) AS v, median(b.v) AS m FROM c a, range(9) t(k), c b WHERE b.media = a.media AND b.frame = a.frame AND b.y = least(greatest(a.y + k // 3 - 1, 0), 7) AND b.x = least(greatest(a.x + k % 3 - 1, 0), 7) GROUP BY a.media, a.frame, a.y, a.x)
+SELECT media, frame, round(1.4826 * median(abs(v - m)), 6) AS noise FROM n GROUP BY media, frame""")
+def picture_noise(spark, sf):
+    return _pictures(spark, sf).select("media", "frame", r6(images.noise_floor()).alias("noise"))
+
+
+def _box_sql(k: int, values: dict[str, str]) -> str:
+    """For each pixel of pairs p the means of some values over k by k pixels, edges mirrored."""
+    at = lambda c: f"7 - abs(7 - abs(p.{c} + o.{c} - {k // 2}))"
+    means = ", ".join(f"avg({v}) AS {n}" for n, v in values.items())
+    return f"SELECT p.media, p.frame, p.x, p.y, any_value(p.a) AS a, any_value(p.b) AS b, {means} FROM p, (SELECT i % {k} AS x, i // {k} AS y FROM range({k * k}) t(i)) o, p q WHERE q.media = p.media AND q.frame = p.frame AND q.x = {at('x')} AND q.y = {at('y')} GROUP BY p.media, p.frame, p.x, p.y"
+
+
+@query(f"""WITH {_CELLS}, p AS (SELECT b.media, b.frame, b.x, b.y, a.v::DOUBLE AS a, b.v::DOUBLE AS b FROM c a JOIN c b ON a.media = b.media AND a.frame + 1 = b.frame AND a.x = b.x AND a.y = b.y),
+f AS ({_box_sql(5, {"m": "q.a", "mm": "q.a * q.a"})}), v AS (SELECT media, frame, 100 * avg((abs(a - b) / ((1 + 0.6 * sqrt(greatest(mm - m * m, 0))) * (1 + 0.04 * abs(a - 128))) > 1)::INT) AS visible FROM f GROUP BY media, frame),
+g AS ({_box_sql(7, {"ma": "q.a", "mb": "q.b", "aa": "q.a * q.a", "bb": "q.b * q.b", "ab": "q.a * q.b"})}),
+s AS (SELECT media, frame, avg((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (aa - ma * ma + bb - mb * mb + 58.5225))) AS ssim FROM g GROUP BY media, frame)
+SELECT media, frame, round(ssim, 6) AS ssim, round(visible, 6) AS visible_pct, CASE WHEN visible < 0.5 THEN 'lossless' WHEN visible < 2 THEN 'near lossless' ELSE 'visible' END AS verdict FROM v JOIN s USING (media, frame)""")
+def picture_visibility(spark, sf):
+    p = _pictures(spark, sf)
+    pairs = p.withColumnRenamed("pixels", "b").join(p.select("media", (F.col("frame") + 1).alias("frame"), F.col("pixels").alias("a")), ["media", "frame"])
+    return images.visually_lossless(images.pair_measures(pairs)).select("media", "frame", r6("ssim").alias("ssim"), r6("visible_pct").alias("visible_pct"), "verdict")
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, m AS (SELECT *, sum(value) OVER (PARTITION BY media ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) / 31 AS m FROM f), d AS (SELECT *, sum(abs(value - m)) OVER (PARTITION BY media ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) / 31 AS d FROM m),
+c AS (SELECT media, frame * 0.1::DOUBLE AS t, (value - m) / (d + 1e-9) AS score FROM d WHERE (value - m) / (d + 1e-9) >= 1.5),
+p AS (SELECT media, arg_min(t, (-score, t)) AS t, [arg_min(t, (-score, t))] AS kept FROM c GROUP BY media
+    UNION ALL SELECT p.media, arg_min(c.t, (-score, c.t)) AS t, list_append(any_value(kept), arg_min(c.t, (-score, c.t))) AS kept FROM p JOIN c ON c.media = p.media WHERE len(kept) < 12 AND len(list_filter(kept, lambda u: abs(c.t - u) < 0.35)) = 0 GROUP BY p.media, p.t)
+SELECT c.media, round(c.t, 4) AS t, round(score, 6) AS score FROM p JOIN c ON c.media = p.media AND c.t = p.t""")
+def music_cuts(spark, sf):
+    features = frames(spark, sf).select("media", F.col("frame").alias("block"), F.col("value").alias("flux"))
+    return signals.music_cuts(features, K, 0.1, least=1.5).select("media", F.round("t", 4).alias("t"), r6("score").alias("score"))
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, l AS (SELECT media, frame * 0.1::DOUBLE AS t, value, abs(value / 3 - lag(value / 3) OVER (PARTITION BY media ORDER BY frame)) AS step, median(value) OVER (PARTITION BY media) AS med FROM f), d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY media) AS mad FROM l),
+c AS (SELECT media, t FROM d WHERE (value - med) / (1.4826 * (mad + 1e-9)) > 4 OR step > 30), p AS (SELECT media, min(t) AS t FROM c GROUP BY media UNION ALL SELECT p.media, min(c.t) AS t FROM p JOIN c ON c.media = p.media AND c.t - p.t > 0.3 GROUP BY p.media, p.t) SELECT media, round(t, 4) AS t FROM p""")
+def audio_jumps(spark, sf):
+    features = frames(spark, sf).select("media", F.col("frame").alias("block"), F.col("value").alias("flux"), (F.col("value") / 3).alias("rms_db"))
+    return signals.audio_jumps(features, K, 0.1, z=4.0, step_db=30.0).withColumn("t", F.round("t", 4))
