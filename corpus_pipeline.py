@@ -3,7 +3,7 @@ near-duplicate group stays, contaminated documents go, and what is kept is encod
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.llm import quality_classifier
@@ -16,17 +16,27 @@ from signalspark.llm.simhash import keep_one
 from signalspark.session import table
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """What the operators look at, and the other columns in one: an operator's columns don't replace a row's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("own")] if others else []))
+
+
+def _together(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    return rows.select(*(changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c)).alias(c) for c in columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more; the model learns from the labels outside the held-out fold."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), learn_from=~in_fold("doc_id", 3, 1))
-    scored = quality_classifier.scored(docs, model)
-    return scored.filter("predicted = 1").select(docs.columns)
+    return _together(quality_classifier.scored(_apart(docs), model).filter("predicted = 1"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that ten or more documents share; n_chars follows the text."""
-    kept = drop_common_lines(docs, min_docs=10, min_chars=1).select(docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    kept = drop_common_lines(_apart(docs), min_docs=10, min_chars=1)
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long"
+    return _together(kept, docs.columns, n_chars=F.length("text").cast(kind))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
