@@ -62,11 +62,39 @@ def test_each_stage_matches_brute_force(spark, tables, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, rows))
 
 
+def test_stages_are_not_computed_again(spark, tables):
+    """Every stage but the last is a stored table by the time that the result is asked for."""
+    plan = corpus_pipeline.run(spark, tables[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "documents.parquet" not in plan
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tables, tmp_path):
+    sf, _ = tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 6")).unionByName(docs.filter("doc_id = 7").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat(text, ' and more of it') AS text", "lang", "source", "n_chars"))
+    clashing = ("score", "predicted", "n_lines", "n_dropped", "fingerprint", "component_id", "match", "n_words", "contaminated", "t1", "row", "fp", "raw")
+    docs = docs.selectExpr("*", *(f"'own' AS {c}" for c in clashing))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, rows, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        rows = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert rows.columns == columns, name
+        assert rows.filter(" OR ".join(f"{c} != 'own'" for c in clashing)).count() == 0, name
+    kept = [r.doc_id for r in rows.collect()]
+    assert kept.count(None) == 1 and len(kept) == len(set(kept))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+
+
 def test_queries_run_on_empty_tables(spark, tables, tmp_path):
     sf, _ = tables
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name, query in QUERIES.items():
         if name != "op1_chat_format":
             assert query(spark, str(tmp_path)).count() == 0, name
+    assert [(r.conv_id, r.n_turns) for r in QUERIES["op1_chat_format"](spark, str(tmp_path)).collect()] == [(-7, 2)]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
