@@ -25,15 +25,15 @@ TRIANGLE = {"709": ((0.64, 0.33), (0.30, 0.60), (0.15, 0.06)), "2020": ((0.708,
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """x held between two values; null stays null."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    """x held between two values; null counts as the lower (a condition here would keep Spark from sharing what several
+    channels work out)."""
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
 def pq_eotf(signal: Column, floor: float = 1e-7) -> Column:
     """PQ signal (0 to 1) to light relative to 10,000 nits."""
     p = F.pow(clip(signal), F.lit(1 / PQ_M2))
-    light = F.pow(F.greatest(p - PQ_C1, F.lit(0.0)) / F.greatest(PQ_C2 - PQ_C3 * p, F.lit(floor)), F.lit(1 / PQ_M1))
-    return F.when(p.isNotNull(), light)  # greatest() would take null for its other side
+    return F.pow(F.greatest(p - PQ_C1, F.lit(0.0)) / F.greatest(PQ_C2 - PQ_C3 * p, F.lit(floor)), F.lit(1 / PQ_M1))
 
 
 def pq_nits(signal: Column) -> Column:

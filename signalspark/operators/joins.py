@@ -111,7 +111,7 @@ def hash_pairs(hashes: DataFrame, key: str, words: list[str], max_bits: int, seg
     cut = [F.shiftrightunsigned(F.col(w), 64 - segment * (k + 1)).bitwiseAND(F.lit((1 << segment) - 1).cast("long")) for w in words for k in range(each)]
     flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(segment), r)]
     ball = F.array(*(F.lit(f).cast("long") for f in flips))
-    distinct = hash_members(hashes, key, words).select("first", *words).distinct()
+    distinct = hashes.dropna(subset=words).groupBy(*words).agg(F.min(key).alias("first"))
     filed = distinct.select(F.col("first").alias("_a"), *words, F.posexplode(F.array(*cut)).alias("_place", "_value"))
     asked = filed.select(F.col("_a").alias("_b"), *(F.col(w).alias(f"{w}_b") for w in words), "_place", F.explode(F.transform(ball, lambda f: F.col("_value").bitwiseXOR(f))).alias("_value"))
     bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))

@@ -438,15 +438,22 @@ def psnr_aligned(spark, sf):
 
 #: What a text's 64-bit hash looks at: whether a character's count, in eighths and sixteenths, is odd.
 _SIGNS = "etaoinshrdlucmfwypvbgkjqxzéöüä,. "
-_WORD_SQL = "list_sum([" + ", ".join(f"((length(text) - length(replace(text, '{c}', ''))) // {n} % 2)::HUGEINT << {2 * k + (n > 8)}" for k, c in enumerate(_SIGNS[:32]) for n in (8, 16)) + "])"
+
+
+def _place(k: int) -> int:
+    """The lower of a character's two bits: frequent characters, which tell most, are spread over the four segments."""
+    return 16 * (k % 4) + 2 * (k // 4)
+
+
+_WORD_SQL = "list_sum([" + ", ".join(f"((length(text) - length(replace(text, '{c}', ''))) // {n} % 2)::HUGEINT << {_place(k) + (n > 8)}" for k, c in enumerate(_SIGNS[:32]) for n in (8, 16)) + "])"
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORD_SQL} AS h FROM documents WHERE text IS NOT NULL), h AS (SELECT min(doc_id) AS id, h::UBIGINT AS h FROM w GROUP BY h)
 SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 7""")
 def hash_hamming_pairs(spark, sf):
     count = lambda c: (F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).cast("long")
-    bit = lambda k, c, n: F.shiftleft(F.floor(count(c) / n) % 2, 2 * k + (n > 8))
-    word = reduce(Column.bitwiseOR, (bit(k, c, n) for k, c in enumerate(_SIGNS[:32]) for n in (8, 16)))
+    bits = lambda k, c: F.shiftleft(F.floor(count(c) / 8).bitwiseAND(F.lit(3).cast("long")), _place(k))
+    word = reduce(Column.bitwiseOR, (bits(k, c) for k, c in enumerate(_SIGNS[:32])))
     return joins.hash_pairs(table(spark, sf, "documents").select("doc_id", word.alias("h")), "doc_id", ["h"], 7)
 
 

@@ -140,7 +140,7 @@ def level_rows(docs: DataFrame, keys: list[str], body: str = "body") -> DataFram
     rows = docs.select(*keys, F.posexplode(F.from_json(body, f"array<{frame}>")).alias("frame", "f")).withColumn("d", F.col("f.vdr_dm_data"))
     block = F.element_at(F.filter("d.ext_metadata_blocks", lambda b: b.level == 1), -1)
     of = lambda name: F.when(F.size(F.filter("d.ext_metadata_blocks", lambda b: b.level == 1)) > 0, block[name]).otherwise(F.col("d")[name])
-    nits = lambda name: F.rint(pq_nits(of(name) / 4095)).cast("long")
+    nits = lambda name: F.when(of(name).isNotNull(), F.rint(pq_nits(of(name) / 4095)).cast("long"))
     return rows.select(*keys, "frame", nits("min_pq").alias("min_nits"), nits("max_pq").alias("max_nits"), nits("avg_pq").alias("avg_nits"))
 
 
