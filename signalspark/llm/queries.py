@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from signalspark.session import table
 
-from . import chat, quality_classifier, toxicity
+from . import chat, pii, quality_classifier, toxicity
 from .bpe import token_digests
+from .collocations import collocations
 from .common import in_fold
 from .decontaminate import contamination
 from .line_dedup import drop_common_lines
+from .periodic_runs import most_periods, periodic_runs, with_cycle
 from .quality_rules import MEASURES, judged
 from .secret_scan import find_secrets, span_digests
 from .simhash import near_duplicates
@@ -88,6 +90,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"), max_words=3, min_count=10, absorbed_per_100=50, top=2000)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs(with_cycle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text"), min_words=24, min_periods=3)
+    best, lines = most_periods(F.col("runs")), F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    of_best = docs.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")).alias("lines"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return of_best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_pii": op13_pii,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -199,10 +220,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
+_COLLOCATIONS_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+counts AS (
+    SELECT lang, m, phrase, count(*) AS f
+    FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3)) sizes(m) WHERE len(w) >= m))
+    GROUP BY lang, m, phrase
+), total AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+    SELECT lang, phrase, max(f) AS most, max(f) FILTER (place = 2) AS left_most, max(f) FILTER (place = 1) AS right_most
+    FROM (SELECT lang, f, place, array_to_string(w[place : place + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS place FROM candidates WHERE m = 3))
+    GROUP BY lang, phrase
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+    score::BIGINT AS score, coalesce(left_most, 0)::BIGINT AS left_most, coalesce(right_most, 0)::BIGINT AS right_most
+FROM best LEFT JOIN around USING (lang, phrase) JOIN total USING (lang)
+WHERE coalesce(100 * most < 50 * a, true)
+QUALIFY rank <= 2000
+"""
+
 #: The other operators have no SQL: hashes, merges or learned scores that SQL doesn't have; tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": _CHAT_SQL,
     "op4_line_dedup": _LINES_SQL,
     "op9_decontamination": _CONTAMINATION_SQL,
     "op10_quality_rules": _RULES_SQL,
+    "op11_collocations": _COLLOCATIONS_SQL,
 }
