@@ -28,7 +28,7 @@ from .common import mixed, stored, utf8
 #: A-Z folded, what ends a piece made a full stop, tabs made spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 #: A shard ends with the text that fills it: bytes of text, and distinct words.
-_SHARD_BYTES, _SHARD_WORDS = 16 << 20, 1 << 20
+_SHARD_BYTES, _SHARD_WORDS = 8 << 20, 1 << 19
 
 
 def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
@@ -39,7 +39,8 @@ def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
         rows: list[np.ndarray] = []
         number, size = count(1), 0
         for batch in batches:
-            for group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for group, text in zip(*batch.columns, strict=True):
+                group, text = group.as_py(), text.as_py()
                 code = codes.setdefault(group, defaultdict(number.__next__, {b".": 0}))
                 words = text.translate(_PLAIN).replace(b".", b" . ").split()
                 rows.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))

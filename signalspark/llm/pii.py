@@ -89,7 +89,7 @@ def _items(found: Column, gaps: Column) -> Column:
     before, after = F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n)
     ends = _running(F.zip_with(found, before, lambda m, g: F.length(m) + F.length(g)))
     left = F.transform(before, lambda g: F.struct(F.slice(F.reverse(_words(F.right(g, F.lit(_REACH)))), 1, 2).alias("words"), F.right(g, F.lit(4)).alias("near")))
-    right = F.transform(after, lambda g: F.struct(F.slice(_words(F.left(g, F.lit(_REACH))), 1, 1).alias("words"), F.left(g, F.lit(4)).alias("near")))
+    right = F.transform(after, lambda g, i: F.struct(F.slice(_words(F.left(g, F.lit(_REACH))), 1, 1).alias("words"), F.left(g, F.lit(4)).alias("near"), (i == n - 1).alias("last")))
     zipped = F.arrays_zip(found.alias("value"), ends.alias("end"), left.alias("left"), right.alias("right"))
     return F.transform(zipped, lambda x, i: F.struct((x.end - F.length(x.value)).alias("start"), x.end.alias("end"), x.value.alias("value"), x.left.alias("left"), x.right.alias("right"), (i == 0).alias("first")))
 
@@ -120,10 +120,10 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
 def _stands_alone(x: Column) -> Column:
     """Whether a written token has four digits, is no base span and has no other group of digits beside it."""
     joint = r"^[\x20().+-]{1,3}$"  # the gap between two groups of one number
-    apart = x.first | ~x.left.near.rlike(joint)
+    apart = (x.first | ~x.left.near.rlike(joint)) & (x.right.last | ~x.right.near.rlike(joint))
     card = F.regexp_extract(x.value, _CARD, 0)
     known = x.value.rlike(_EMAIL) | (x.value.rlike(_IP) & _holds("ip", F.regexp_extract(x.value, _IP, 0))) | _holds("card", card)
-    return (F.length(_digits(x.value)) >= 4) & apart & ~x.left.near.rlike(r"\+$") & ~x.right.near.rlike(r"^[\x20-]?[0-9]") & ~known
+    return (F.length(_digits(x.value)) >= 4) & apart & ~x.left.near.rlike(r"\+$") & ~known
 
 
 def trusted(occurrences: DataFrame, *, rounds: int, least_seeds: int, least_trust: float) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +135,7 @@ def trusted(occurrences: DataFrame, *, rounds: int, least_seeds: int, least_trus
     patterns is right; from least_trust on it is taken for its best kind.
     """
     edges = occurrences.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
-    often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).filter((F.col("n") >= least_seeds) & (F.col("seeds") > 0)).select("pattern", "n")
+    often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_seeds)
     edges = stored(edges.join(often, "pattern"))
     open_edges = edges.filter(F.col("kind").isNull()).select("pattern", "value")
     known = edges.filter(F.col("kind").isNotNull()).select("pattern", "value", "kind", F.lit(1.0).alias("trust"), "n")
