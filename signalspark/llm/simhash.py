@@ -1,15 +1,17 @@
 """SimHash near-dedup by multi-index hashing.
 
-Each text becomes a 64-bit fingerprint of its word shingles. Two fingerprints within two bits differ by at most one bit
-in one of two segments, or by two in one and none in the other; either way they meet if each enumerates the Hamming ball
-of radius one within each segment, beside the other segment's value. So every distinct fingerprint is filed under each
-value of its balls, a bucket of the table is fetched whole, and complete distances are verified. A bucket's value is the
-whole fingerprint's width, so a bucket holds at most 65 fingerprints, whatever cluster they come from.
-Components of the links are found by hooking and pointer jumping over stored tables.
+Each text becomes a 64-bit fingerprint of its word shingles. A table files every distinct fingerprint under the value of
+each of its segments. Fingerprints within max_bits differ by at most max_bits // segments bits in one segment, so each
+asks the table for all values of that small Hamming ball in each segment, and complete distances of what it fetches are
+verified. A value that more than `crowd` fingerprints share (those of a cluster) isn't fetched: who has it or asks for
+it meets at common centres, whole fingerprints half of max_bits away, and is linked to one other there, so no pairs of a
+cluster are made. Components of the links are found by hooking and pointer jumping over stored tables.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -56,30 +58,65 @@ def fingerprint(text: Column | str, shingle_words: int = 3) -> Column:
     return of(utf8(text))
 
 
-def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2) -> DataFrame:
-    """(a, b), a < b: pairs of the distinct longs `fp` that connect all fingerprints within `max_bits` (0 to 2) bits.
+def _ball(bits: range, radius: int) -> list[int]:
+    """All masks, as signed longs, of up to `radius` of the bits."""
+    masks = [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(bits, r)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    A bucket is kept as one bit for each place in which a fingerprint may differ from the bucket's value, so it has one
-    size and no rows are gathered. Within two bits all of a bucket are linked to its least; within
-    one bit the bucket's own value is linked to the others. The components are those of all pairs within max_bits.
-    """
-    if not 0 <= max_bits <= 2 or 64 % segments:
-        raise ValueError("max_bits is 0 to 2, and segments are of equal size")
+
+def _asked(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """(segment, value, fp): the values of each segment's ball; of two that differ in one bit of a segment the one asks that has it set."""
+    size, radius = 64 // segments, max_bits // segments
+    once = lambda f: (F.bit_count(f) != 1) | (F.col("fp").bitwiseAND(f) == f)
+    value = lambda s, m: F.transform(F.filter(F.lit(_ball(range(s * size, (s + 1) * size), radius)), once), lambda f: F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseXOR(f).bitwiseAND(F.lit(m)).alias("value")))
+    return fps.select("fp", F.explode(F.concat(*(value(s, m) for s, m in enumerate(_segments(segments))))).alias("at")).select("at.segment", "at.value", "fp")
+
+
+def _segments(segments: int) -> list[int]:
+    """The mask of each segment, as a signed long."""
     size = 64 // segments
-    balls = [F.struct(F.lit(s * size + b).alias("at"), F.shiftleft(F.lit(1).cast("long"), s * size + b).alias("flip")) for s in range(segments) for b in range(size)]
-    own = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("flip"))
-    filed = fps.select("fp", F.explode(F.array(own, *balls)).alias("ball")).select(F.col("fp").bitwiseXOR(F.col("ball.flip")).alias("value"), F.col("ball.flip").alias("flip"), (F.col("ball.at") < 0).alias("own"))
-    # hardly two rows of a task share a bucket, so nothing is combined (and held) before the shuffle
-    bucket = filed.repartition("value").groupBy("value").agg(F.bit_or("flip").alias("flips"), F.max("own").alias("own"))
-    met = bucket.filter(F.bit_count("flips") + F.col("own").cast("int") > (1 if max_bits else 65))
-    inside = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("flips", i) == 1), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    if max_bits == 2:
-        everyone = F.when(F.col("own"), F.concat(inside, F.array("value"))).otherwise(inside)
-        fetched = met.select(everyone.alias("found")).select(F.array_min("found").alias("x"), F.explode("found").alias("y"))
-    else:
-        fetched = met.filter("own").select(F.col("value").alias("x"), F.explode(inside).alias("y"))
-    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits)
-    return fetched.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    masks = [((1 << size) - 1) << (s * size) for s in range(segments)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def candidates(fps: DataFrame, *, max_bits: int, segments: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """((x, y), (fp)): the pairs that lookups in the segments' tables fetch, and the fingerprints that have or ask for a crowded value."""
+    filed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for s, m in enumerate(_segments(segments))))).alias("at"))
+    filed = stored(filed.select("at.segment", "at.value", "fp"))
+    sizes = filed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(sizes.filter(F.col("n") > crowd).select("segment", "value"))
+    asked = _asked(fps, max_bits, segments)
+    key = ["segment", "value"]
+    fetched = asked.withColumnRenamed("fp", "x").join(filed.join(crowded, key, "left_anti").withColumnRenamed("fp", "y"), key).filter("x != y").select("x", "y")
+    if crowded.isEmpty():
+        return fetched, fps.limit(0)
+    return fetched, asked.join(crowded, key, "left_semi").select("fp").unionByName(filed.join(crowded, key, "left_semi").select("fp")).distinct()
+
+
+def _meetings(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(x, y): links that connect all of `fps` within max_bits bits, by the centres that they share.
+
+    Two within max_bits have a centre of which one is at most max_bits // 2 bits away and the other the rest; all who are
+    as near as the first are within max_bits of each other and of all others, so the least of them is linked to everyone.
+    """
+    near, far = max_bits // 2, max_bits - max_bits // 2
+    flips = F.explode(F.lit(_ball(range(64), far))).alias("flip")
+    met = fps.select("fp", flips).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"), "fp", (F.bit_count("flip") <= near).alias("near")).repartition("centre")
+    hub = met.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("x"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("x").isNotNull())
+    return met.join(hub.select("centre", "x"), "centre").filter(F.col("fp") != F.col("x")).select("x", F.col("fp").alias("y"))
+
+
+def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2, crowd: int = 8) -> DataFrame:
+    """(a, b), a < b: pairs of the distinct longs `fp` within max_bits bits that connect all such pairs.
+
+    segments, a divisor of 64, and crowd change what is looked up, not what is connected.
+    """
+    if max_bits < 0 or segments < 1 or 64 % segments or crowd < 1:
+        raise ValueError("max_bits is 0 or more, segments divide 64, crowd is 1 or more")
+    fetched, crowded = candidates(fps, max_bits=max_bits, segments=segments, crowd=crowd)
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits
+    pairs = fetched.filter(near).unionByName(_meetings(crowded, max_bits).filter(near))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,7 +189,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     label = components(links(smallest.select("fp"), max_bits=max_bits, segments=segments))
     named = smallest.join(label, smallest["fp"] == label["node"], "left").select(F.coalesce("label", "fp").alias("root"), "least", "most")
     chosen = stored(named.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).select(F.col("least.id").alias("chosen_id"), F.col("least.text_hash").alias("chosen_hash"), "most"))
-    picked = docs.withColumn("_text_hash", hashed).join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id")) & (F.col("_text_hash") == F.col("chosen_hash")), "left_semi")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), hashed)
+    picked = whole.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")), "left_semi")
     if not chosen.filter(F.col("most") > 1).isEmpty():
-        picked = picked.dropDuplicates([id_col, "_text_hash"])
-    return picked.drop("_text_hash")
+        picked = picked.dropDuplicates(["id", "text_hash"])
+    return picked.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

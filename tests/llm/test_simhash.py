@@ -4,7 +4,7 @@ import re
 import xxhash
 from cases import frame, lowered, texts
 
-from signalspark.llm.simhash import components, fingerprint_bytes, keep_one, links, near_duplicates
+from signalspark.llm.simhash import candidates, components, fingerprint_bytes, keep_one, links, near_duplicates
 
 
 def plain_fingerprint(text, size=3):
@@ -46,6 +46,8 @@ def test_near_duplicates_match_brute_force(spark):
     got = near_duplicates(frame(spark, rows).selectExpr("*", "1 AS fp", "2 AS component_id"))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got.collect()) == want
     assert near_duplicates(frame(spark, [])).count() == 0
+    clashing = keep_one(frame(spark, rows).selectExpr("*", "1 AS _text_hash", "2 AS text_hash", "3 AS row", "4 AS id"))
+    assert all((r._text_hash, r.text_hash, r.row, r.id) == (1, 2, 3, 4) for r in clashing.collect())
     kept = keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert kept.count() == len(set(root.values()))
@@ -67,17 +69,31 @@ def test_links_match_brute_force(spark):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
     table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    for max_bits, segments in ((2, 2), (2, 4), (1, 2), (0, 2)):
+    for max_bits, segments, crowd in ((2, 2, 8), (2, 2, 1), (2, 4, 1000), (3, 2, 8), (3, 4, 2), (1, 2, 1), (0, 2, 8), (4, 2, 10**6), (2, 1, 8)):
         near = lambda a, b, m=max_bits: ((a ^ b) & (2**64 - 1)).bit_count() <= m
         root = groups({signed(f) for f in fps}, near)
         want = {n: r for n, r in root.items() if sum(x == r for x in root.values()) > 1}
-        edges = links(table, max_bits=max_bits, segments=segments)
+        edges = links(table, max_bits=max_bits, segments=segments, crowd=crowd)
         assert all(a < b and near(a, b) for a, b in edges.collect())
         assert {r.node: r.label for r in components(edges).collect()} == want
 
 
+def test_segments_change_the_candidates_not_the_links(spark):
+    rng = random.Random(7)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    fps |= {f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in list(fps)[:60]} | {(f & 0xFFFF) | rng.getrandbits(48) << 16 for f in list(fps)[:80]}
+    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    fetched, near, linked = {}, {}, {}
+    for segments in (2, 4):
+        pairs = {frozenset((r.x, r.y)) for r in candidates(table, max_bits=2, segments=segments, crowd=10**6)[0].collect()}
+        fetched[segments], near[segments] = pairs, {p for p in pairs if (min(p) ^ max(p)).bit_count() <= 2 or ((min(p) ^ max(p)) & (2**64 - 1)).bit_count() <= 2}
+        linked[segments] = {frozenset(r) for r in links(table, max_bits=2, segments=segments, crowd=10**6).collect()}
+    assert fetched[2] != fetched[4] and near[2] == near[4] == linked[2] == linked[4] and len(linked[2]) >= 55
+    assert len(fetched[4]) > len(linked[4]) + 50  # what shares a segment and nothing else is verified and left out
+
+
 def test_a_large_cluster_makes_few_rows(spark):
-    """All 2,081 fingerprints within two bits of one: each bucket has 65 at most, and links stay linear."""
+    """All 2,081 fingerprints within two bits of one: each value is crowded, and links stay linear."""
     fps = [0, *(1 << b for b in range(64)), *(1 << b | 1 << c for b in range(64) for c in range(b))]
     edges = links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
     labels = [r.label for r in components(edges).collect()]
