@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import mixed, stored, utf8
 #: A-Z folded, what ends a piece made a full stop, tabs made spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 #: A shard ends with the text that fills it: bytes of text, and distinct words.
-_SHARD_BYTES, _SHARD_WORDS = 8 << 20, 1 << 19
+_SHARD_BYTES, _SHARD_WORDS = 8 << 20, 1 << 17
 
 
 def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
@@ -80,29 +81,42 @@ class WordIndex:
     def __init__(self, ids: np.ndarray, depth: int):
         self.n, self.kinds = len(ids), int(ids.max(initial=0)) + 1
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=self.kinds))))
-        self.before = self._transform(ids, depth)  # what comes before each place of the sorted row,
-        self.after = self._transform(ids[::-1], depth)  # and after each place of the sorted reversed row
-        self._ranks: dict[int, np.ndarray] = {}
+        self._ids, self._depth = ids, depth
+        self._ranks: dict[bool, np.ndarray] = {}
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """What comes before each place of the sorted row."""
+        return self._transform(self._ids, self._depth)
+
+    @cached_property
+    def after(self) -> np.ndarray:
+        """What comes after each place of the sorted reversed row."""
+        return self._transform(self._ids[::-1], self._depth)
 
     def _transform(self, ids: np.ndarray, depth: int) -> np.ndarray:
         """The word before each place of the row, the places sorted by their next `depth` words; the row is a circle."""
         bits = max(1, (self.kinds - 1).bit_length())
-        order = np.arange(self.n)
-        done = depth
+        order, done = None, depth
         while done > 0:  # from the last words to the first, as many at a time as 63 bits hold
             take = min(done, max(1, 63 // bits))
             key = np.zeros(self.n, np.int64)
             for k in range(done - take, done):
-                key = key << bits | np.roll(ids, -k)
+                key <<= bits
+                key |= np.roll(ids, -k)
             order = np.argsort(key) if done == depth else order[np.argsort(key[order], kind="stable")]
             done -= take
-        return np.roll(ids, 1)[order]
+        return ids[order - 1]
 
     def rank(self, left: bool, word: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each word stands in the transform before each place."""
         transform = self.before if left else self.after
         if left not in self._ranks:
-            self._ranks[left] = np.sort(transform.astype(np.int64) * self.n + np.arange(self.n))
+            at = transform.astype(np.int64)
+            at *= self.n
+            at += np.arange(self.n)
+            at.sort()
+            self._ranks[left] = at
         return np.searchsorted(self._ranks[left], word.astype(np.int64) * self.n + place) - self.starts[word]
 
     def words(self) -> Phrases:
@@ -115,14 +129,18 @@ class WordIndex:
         """Every phrase that is one of `phrases` and a word more on the left, or on the right."""
         here, there = (phrases.forward, phrases.backward) if left else (phrases.backward, phrases.forward)
         transform = self.before if left else self.after
-        number = np.repeat(np.arange(len(here)), phrases.times)
-        offset = np.arange(len(number)) - np.repeat(np.cumsum(phrases.times) - phrases.times, phrases.times)
-        pair = np.sort(number * self.kinds + transform[here[number] + offset])
+        begins = np.cumsum(phrases.times) - phrases.times
+        inside = np.arange(int(phrases.times.sum()))  # the places of all intervals, one interval after the other
+        inside += np.repeat(here - begins, phrases.times)
+        pair = np.repeat(np.arange(len(here)) * self.kinds, phrases.times)
+        pair += transform[inside]
+        del inside
+        pair.sort()
         new = np.flatnonzero(np.diff(pair, prepend=-1) != 0)
         times = np.diff(new, append=len(pair))
         number, word = pair[new] // self.kinds, pair[new] % self.kinds
         # the interval of the other direction is cut in the order of the words
-        cut = there[number] + (new - (np.cumsum(phrases.times) - phrases.times)[number])
+        cut = there[number] + (new - begins[number])
         inner = word > 0
         number, word, times, cut = number[inner], word[inner], times[inner], cut[inner]
         own = self.starts[word] + self.rank(left, word, here[number])
@@ -200,7 +218,8 @@ def _hash_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                     for a in range(0, len(h), _ROWS):
                         yield pa.RecordBatch.from_arrays([pa.array(h[a : a + _ROWS]), pa.array(phrases.times[a : a + _ROWS])], ["h", "f"])
 
-    return table.mapInArrow(counted, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    # a shard has each phrase once, so nothing is combined (and held) before the shuffle
+    return table.mapInArrow(counted, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
 
 
 def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
@@ -218,7 +237,7 @@ def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                     columns = [groups.take(pa.array(part[:, 0])), phrase, pa.array(np.full(len(part), size, np.int32)), pa.array(kept.times[a : a + _ROWS])]
                     yield pa.RecordBatch.from_arrays(columns, ["g", "phrase", "size", "f"])
 
-    return table.mapInArrow(named, "g string, phrase string, size int, f long").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
+    return table.mapInArrow(named, "g string, phrase string, size int, f long").repartition("g", "phrase").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
 
 
 def _indexes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[WordIndex, np.ndarray, pa.Array, pa.Array]]:
