@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, struct, utf8
+from .common import beside, slices, struct, utf8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -221,11 +221,13 @@ class Transducer:
         return found
 
     def encode(self, text: str, pattern: regex.Pattern) -> np.ndarray:
-        """The ids, int32.
+        """The ids, int32. Any other pattern than WORDS_APART is matched over the whole text, each match by itself.
 
         No match goes on over a space that stands between two characters that aren't white space, so the text is cut
         there, unless white space stands together.
         """
+        if pattern.pattern != WORDS_APART:
+            return np.concatenate([np.zeros(0, np.int32), *(np.array(self.encode_piece(m[0].encode()), np.int32) for m in pattern.finditer(text) if m[0])])
         known = self.young
         if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER_WHITE.search(text):
             cut = pattern.findall(text)
@@ -252,6 +254,8 @@ NEVER = 1 << 60
 #: Bytes of a piece that are looked up together.
 HEAD = 6
 #: White space other than the space and \n.
+#: Fixed value: the pattern for which words met before are remembered with the space before them.
+WORDS_APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _OTHER_WHITE = re.compile(r"[^\S \n]")
 
 
@@ -395,5 +399,5 @@ def token_digests(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
         return struct(n_tokens=pa.array(counts, pa.int64()), ids_sha256=pa.array(ids_hex, pa.string()), decoded_sha256=pa.array(decoded_hex, pa.string()))
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*kept, of(utf8(F.col(f"`{text_col}`"))).alias("_round")).select(*kept, *(F.col(f"_round.{n}").alias(n) for n in names))
+    rows, own = beside(docs, names, of(utf8(F.col(f"`{text_col}`"))))
+    return rows.select(*own, *(F.col(f"value.{n}").alias(n) for n in names))

@@ -162,6 +162,13 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], value: Column) -> tuple[DataFrame, list[Column]]:
+    """(row, value), where row holds the columns of docs but `names`, so that no name clashes; and these columns again."""
+    kept = [c for c in docs.columns if c not in names]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(0).alias("none"))
+    return docs.select(row.alias("row"), value.alias("value")), [F.col("row").getField(c).alias(c) for c in kept]
+
+
 def in_fold(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, as text, leaves `fold` modulo `folds`; false for a null id."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds == fold, F.lit(False))

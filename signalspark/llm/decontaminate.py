@@ -276,7 +276,7 @@ def _match(shared: Broadcast, window: int) -> Callable[[Column], Column]:
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_mb: int = 16) -> DataFrame:
     """docs plus `match`: n_words, hits (places of hit words), items (sorted ids as strings, null last), and longest, the
     longest verbatim match of a window or more (words, at, item, item_at; 0 and null without one; places count words from
-    0; the first of equally long ones).
+    0; the first of equally long ones; which one of several items that hold it alike may vary).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Items without an id are searched for like others and share the id null.
@@ -297,13 +297,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col
         return docs.withColumn("match", last)
     # one row for each block that a text was hit by, so the lists are as long as the benchmark has blocks
     sets = [F.array_distinct(F.flatten(F.collect_list(f"m.{c}"))).alias(c) for c in ("hits", "items")]
-    longest = F.max_by("m.longest", F.struct("m.longest.words", -F.col("m.longest.at"))).alias("longest")
+    # the longest, of those the first, of those the least item
+    rank = lambda x: F.struct((-F.col(f"{x}.words")).alias("less"), F.col(f"{x}.at").alias("at"), F.col(f"{x}.item").isNull().alias("unnamed"), F.col(f"{x}.item").alias("item"), F.col(f"{x}.item_at").alias("item_at"))
+    longest = F.min_by("m.longest", rank("m.longest")).alias("longest")
     before = earlier.groupBy("t1", "t2").agg(*sets, longest).select("t1", "t2", F.struct("hits", "items", "longest").alias("before"))
     both = F.struct(
         F.col("match.n_words").alias("n_words"),
         F.array_sort(F.array_union("match.hits", "before.hits")).alias("hits"),
         F.array_sort(F.array_union("match.items", "before.items")).alias("items"),
-        F.when(F.col("match.longest.words") >= F.col("before.longest.words"), F.col("match.longest")).otherwise(F.col("before.longest")).alias("longest"),
+        F.when(rank("match.longest") <= rank("before.longest"), F.col("match.longest")).otherwise(F.col("before.longest")).alias("longest"),
     )
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *hashes, last.alias("match"))
     joined = rows.join(before, ["t1", "t2"], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Words, bounded_ids, one_text_each, slices, struct, utf8
+from .common import NOT_WHITE, Words, beside, bounded_ids, one_text_each, slices, struct, utf8
 
 #: Byte classes whose share of the words is a measure.
 CLASSES = (b"#$%&*@^~`", b"|<>{}[]\\/_=+", b"!?", b".", b",;:", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(0xC2, 0xF5)))
@@ -125,6 +125,6 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFram
         found = [model.scores(style(part)) for part in slices(texts)]
         return struct(score=pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64()))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*kept, of(utf8(F.col(f"`{text_col}`"))).alias("_s")).select(*kept, F.col("_s.score").alias("score"))
+    rows, own = beside(docs, ("score", "predicted"), of(utf8(F.col(f"`{text_col}`"))))
+    out = rows.select(*own, F.col("value.score").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

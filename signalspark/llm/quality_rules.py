@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, slices, utf8
+from .common import WHITE, beside, slices, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_WORD = WHITE.encode()
@@ -171,7 +171,6 @@ def judged(docs: DataFrame, *, text_col: str = "text", least_words: int = 10, re
     empty table. The order of the rules comes from about sample_rows rows of all partitions; it changes no verdict.
     """
     added = (*MEASURES, "base_failed", "kept", "rejected_by")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     text = utf8(F.col(f"`{text_col}`"))
     cascade = ordered(sampled(docs, text, sample_rows), base_rules(least_words, repeat_per_100) + (rules() if more_rules is None else more_rules), report)
     kind = pa.struct([*((m, pa.int64()) for m in report), ("rejected_by", pa.string())])
@@ -185,7 +184,8 @@ def judged(docs: DataFrame, *, text_col: str = "text", least_words: int = 10, re
                 rows.append((*_asked(own, report), next((rule.name for rule in cascade if rule.rejects(own)), None)))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
-    out = docs.select(*kept, of(text).alias("_m")).select(*kept, "_m.*")
+    rows, own = beside(docs, added, of(text))
+    out = rows.select(*own, "value.*")
     if {"n_words", "n_repeat_words"} <= set(report):
         out = out.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_per_100 * F.col("n_words")))
     return out.withColumn("kept", F.col("rejected_by").isNull())

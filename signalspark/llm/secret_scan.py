@@ -48,7 +48,7 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@"),
 )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, Words, bounded_ids, byte_class, one_text_each, slices, struct, utf8
+from .common import FOLD, Words, beside, bounded_ids, byte_class, one_text_each, slices, struct, utf8
 
 #: Words are runs of ASCII letters, digits and bytes of other code points.
 WORD = byte_class(without=bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -72,14 +72,14 @@ def select(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, least: int =
     return np.flatnonzero((told > gain) & (present >= min(least, max(1, ones))))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, rank: int = 4, steps: int = 160, rate: float = 0.05, decay: float = 2e-5) -> Machine:
+def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, rank: int = 4, steps: int = 160, rate: float = 0.05, decay: float = 2e-5, gain: float = 12.0, least: int = 3) -> Machine:
     """Logistic loss by Adam over all rows, the best of its steps on every eighth row, which isn't learned from.
 
     row, bucket: the distinct terms of each text. Without both labels every text scores the share of ones.
     """
     share = np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99)
     start = float(np.log(share / (1 - share)))
-    chosen = select(row, bucket, label) if 0 < label.sum() < len(label) else np.zeros(0, np.int64)
+    chosen = select(row, bucket, label, least, gain) if 0 < label.sum() < len(label) else np.zeros(0, np.int64)
     column = np.full(BUCKETS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(11)
@@ -152,6 +152,6 @@ def scored(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> Data
         found = [machine.scores(part) for part in slices(texts)]
         return struct(score=pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64()))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*kept, of(utf8(F.col(f"`{text_col}`"))).alias("_s")).select(*kept, F.col("_s.score").alias("score"))
+    rows, own = beside(docs, ("score", "predicted"), of(utf8(F.col(f"`{text_col}`"))))
+    out = rows.select(*own, F.col("value.score").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

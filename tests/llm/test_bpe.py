@@ -55,3 +55,10 @@ def test_few_states_and_little_memory(library):
 def test_incremental_utf8(parts):
     stream = bpe.Utf8Stream()
     assert "".join([*map(stream.push, parts), stream.close()]) == b"".join(parts).decode("utf-8", "replace")
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r" ?[a-z]+|.", r"(?s).{1,5}"])
+def test_other_patterns_match_the_library(pattern):
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    for text in [*(t or "" for _, t in texts()), "a bc", "the  house, of \n gold"]:
+        assert bpe.transducer(PATH).encode(text, regex.compile(pattern)).tolist() == other.encode_ordinary(text)
