@@ -29,7 +29,7 @@ from .common import mixed, stored, utf8
 #: A-Z folded, what ends a piece made a full stop, tabs made spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 #: A shard ends with the text that fills it: bytes of text, and distinct words.
-_SHARD_BYTES, _SHARD_WORDS = 8 << 20, 1 << 17
+_SHARD_BYTES, _SHARD_WORDS = 4 << 20, 1 << 17
 
 
 def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
