@@ -27,6 +27,23 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataF
     return met.filter(first).select(*keys, "a0", "a1", "b0", "b1", (high - low).alias("shared"))
 
 
+def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The columns of points and those of spans (begin, end and others) for each span with begin <= at < end.
+
+    A span is filed in buckets of the power of two from its length on, so in two at most, whatever its length; a point
+    looks once into each power that spans have. begin, end and `at` are whole numbers.
+    """
+    wide = F.col("end") - F.col("begin")
+    power = F.greatest(F.lit(0), F.ceil(F.log2(wide)).cast("int"))
+    bucket = lambda x, p: F.call_function("shiftright", x, p)
+    sized = spans.filter(wide > 0).withColumn("_power", power)
+    filed = sized.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("begin"), F.col("_power")), bucket(F.col("end") - 1, F.col("_power")))))
+    # 64 powers at most, so this is a short list for each key
+    powers = sized.groupBy(*keys).agg(F.collect_set("_power").alias("_powers"))
+    asked = points.join(powers, keys).withColumn("_power", F.explode("_powers")).drop("_powers").withColumn("_bucket", bucket(F.col(at), F.col("_power")))
+    return asked.join(filed, [*keys, "_power", "_bucket"]).filter((F.col("begin") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_power", "_bucket")
+
+
 def coverage(spans: DataFrame, covers: DataFrame, keys: list[str], width: float) -> DataFrame:
     """(keys, total, covered, share): how much of the spans the covers overlap; covers that overlap count twice."""
     total = spans.groupBy(*keys).agg(F.sum(F.col("t1") - F.col("t0")).alias("total"))

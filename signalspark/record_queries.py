@@ -17,8 +17,8 @@ from signalspark.functions import text as texts
 from signalspark.operators import aggregates, captions, findings, glyphs, images, joins, qc, segments, series, signals
 from signalspark.plans import reports
 from signalspark.queries import FRAMES, PACKETS, QUERIES, SQL, K, frames, packets, query, r6
-from signalspark.session import table
-from signalspark.sources import containers, dynamic, exports, probes
+from signalspark.session import new_folder, table
+from signalspark.sources import containers, dynamic, exports, probes, ranges
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -306,12 +306,50 @@ def hidden_in_container(spark, sf):
     return containers.hidden_data(containers.mp4_boxes(files, K), files, K).select("media", "kind", "offset", "size")
 
 
-@query("""WITH p AS (SELECT page_id AS media, strlen(html) AS n FROM pages) SELECT media, 'ZIP' AS format, n AS "offset" FROM p UNION ALL SELECT media, 'GIF89a', n + 20 FROM p UNION ALL SELECT media, 'PNG', 0 FROM p WHERE media % 2 = 0 AND false""")
+@query("""WITH p AS (SELECT page_id AS media, strlen(html) AS n FROM pages) SELECT media, 'ZIP' AS format, n AS "offset" FROM p UNION ALL SELECT media, 'GIF89a', n + 20 FROM p""")
 def magic_hits(spark, sf):
     content = F.concat(F.col("html").cast("binary"), F.lit(b"PK\x03\x04" + bytes(16) + b"GIF89a"))
     return containers.magic_hits(table(spark, sf, "pages").select(F.col("page_id").alias("media"), content.alias("content")), K, block=1000)
 
 
+@query(f"""WITH {_MP4_SQL} SELECT media, CASE kind WHEN 'a' THEN 'warn' WHEN 'b' THEN 'info' WHEN 'c' THEN 'warn' ELSE 'info' END AS severity, CASE kind WHEN 'a' THEN 124 + mdat + moov WHEN 'b' THEN 24 WHEN 'c' THEN 40 ELSE mdat_at + 8 END::BIGINT AS "offset",
+    CASE kind WHEN 'a' THEN 'ZIP' WHEN 'b' THEN 'GZIP' WHEN 'c' THEN 'PDF' ELSE 'BZIP2' END AS format, CASE kind WHEN 'a' THEN 'trailing' WHEN 'd' THEN 'media' ELSE 'header' END AS place, CASE kind WHEN 'a' THEN NULL WHEN 'd' THEN 'mdat' ELSE 'free' END AS held_by
+    FROM m, (VALUES ('a'), ('b'), ('c'), ('d')) v(kind) WHERE CASE kind WHEN 'a' THEN k % 4 = 0 WHEN 'd' THEN k % 100 > 0 ELSE true END""")
+def embedded_files(spark, sf):
+    """Signatures planted in the padding, at the head of the media, and behind the last box."""
+    begins = F.expr("CASE WHEN media % 3 = 0 THEN 133 ELSE locate('mdat', decode(content, 'ISO-8859-1')) + 4 END")
+    planted = F.concat(F.substring("content", 1, 24), F.lit(b"\x1f\x8b\x08" + bytes(13) + b"%PDF-" + bytes(79)), F.expr("substring(content, 125, length(content))"))
+    files = _mp4(spark, sf).withColumn("content", planted)
+    opening = F.concat(F.expr("substring(content, 1, _at - 1)"), F.lit(b"BZhBZ"), F.expr("substring(content, _at + 5, length(content))"))
+    files = files.withColumn("_at", begins).withColumn("content", F.when(F.col("media") % 100 > 0, opening).otherwise(F.col("content"))).select("media", "content")
+    found = containers.embedded_files(containers.magic_hits(files, K), containers.mp4_boxes(files, K), K)
+    return found.select("media", "severity", "offset", "format", "place", "held_by")
+
+
+@query(f"""WITH {_MP4_SQL}, e AS (SELECT media, 124 + mdat + moov AS behind FROM m WHERE k % 4 = 0)
+SELECT media, behind::BIGINT AS "offset", 11::BIGINT AS size, round(log2(11.0) - 2.0 / 11, 6) AS entropy, false AS packed FROM e""")
+def appended_entropy(spark, sf):
+    files = _mp4(spark, sf)
+    found = containers.appended_data(containers.mp4_boxes(files, K), files, K)
+    return found.withColumn("entropy", r6("entropy"))
+
+
+_SIGNED = "html || CASE page_id % 5 WHEN 0 THEN 'PK' || chr(3) || chr(4) WHEN 1 THEN 'GIF89a' WHEN 2 THEN '%PDF-' || 'BZh' WHEN 3 THEN '-----BEGIN ' ELSE '' END"
+
+
+@query(f"""WITH p AS (SELECT page_id % 4 AS bucket, page_id, {_SIGNED} AS x, strlen({_SIGNED}) + 1 AS n FROM pages), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY bucket ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p),
+g AS (SELECT * FROM (VALUES ('ZIP', 'PK' || chr(3) || chr(4)), ('GIF89a', 'GIF89a'), ('PDF', '%PDF-'), ('BZIP2', 'BZh'), ('PEM', '-----BEGIN ')) v(format, sign)),
+c AS (SELECT bucket, format, sign, base, string_split(x, sign) AS parts FROM s, g WHERE contains(x, sign)), r AS (SELECT *, unnest(range(1, len(parts))) AS i FROM c)
+SELECT bucket::BIGINT AS bucket, format, (base + list_sum([strlen(y) FOR y IN parts[1:i]]) + (i - 1) * strlen(sign))::BIGINT AS "offset" FROM r""")
+def file_signatures(spark, sf):
+    """Pages written to four files, which are read back as byte ranges of 10,000 bytes, two to a partition."""
+    rows = table(spark, sf, "pages").select((F.col("page_id") % 4).cast("long").alias("bucket"), "page_id", F.expr(_SIGNED).alias("value"))
+    folder = new_folder(spark)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "value").write.partitionBy("bucket").text(folder)
+    found = ranges.signature_hits(spark, folder, size=10_000, stretch=20_000)
+    return found.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "format", "offset")
+
+
 @query("""SELECT s_suppkey AS media, 3 AS messages, 2 AS user_data, (s_suppkey % 3000 + 20)::BIGINT AS user_bytes, (s_suppkey % 3000 > 2048)::BIGINT AS large FROM supplier""")
 def sei_tally(spark, sf):
     k = F.col("s_suppkey") % 3000
@@ -751,12 +789,12 @@ def loop_scan(spark, sf):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, least(l_quantity / 50, 1) AS i, l_discount * 5 AS t, l_tax * 8 AS u FROM lineitem),
-x AS (SELECT *, least(greatest(i, 0.0625), 0.9375) AS x FROM l), c AS (SELECT *, CASE WHEN x < 0.5 THEN 0.125 + 0.5 * x + 0.25 * x * x ELSE 0.25 + 0.5 * i + 0.125 * t - 0.25 * u + 0.0625 * i * t + 0.03125 * i * u - 0.015625 * t * u + 0.5 * i * t * u END AS y FROM x)
+x AS (SELECT *, least(greatest(i, 0.0625), 0.9375) AS x FROM l), c AS (SELECT *, CASE WHEN x < 0.5 THEN 0.1283791 + 0.5119373 * x + 0.2390761 * x * x ELSE 0.2467109 + 0.5038717 * i + 0.1261397 * t - 0.2517913 * u + 0.0619373 * i * t + 0.0313987 * i * u - 0.0157219 * t * u + 0.4967231 * i * t * u END AS y FROM x)
 SELECT k, n, p, s, round(least(greatest(y, 0.0625), 0.9375), 6) AS i FROM c""")
 def reshaped_signal(spark, sf):
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.least(F.col("l_quantity") / 50, F.lit(1.0)).alias("i"), (F.col("l_discount") * 5).alias("t"), (F.col("l_tax") * 8).alias("u"))
     piece = lambda low, high, kind, *c: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(kind).alias("kind"), F.array(*(F.lit(v) for v in c)).alias("coefficients"))
-    pieces = F.array(piece(0.0625, 0.5, "polynomial", 0.125, 0.5, 0.25), piece(0.5, 0.9375, "mmr", 0.25, 0.5, 0.125, -0.25, 0.0625, 0.03125, -0.015625, 0.5))
+    pieces = F.array(piece(0.0625, 0.5, "polynomial", 0.1283791, 0.5119373, 0.2390761), piece(0.5, 0.9375, "mmr", 0.2467109, 0.5038717, 0.1261397, -0.2517913, 0.0619373, 0.0313987, -0.0157219, 0.4967231))
     return line.select("k", "n", "p", "s", r6(colour.reshaped([F.col(c) for c in "itu"], 0, pieces)).alias("i"))
 
 
@@ -847,7 +885,7 @@ def hidden_data_marks(spark, sf):
     return reports.hidden_data_marks(_hidden(spark, sf), K)
 
 
-@query(f"{_CHECKS_SQL} SELECT media, s.check_id AS check_id, media % 2 = 0 AND s.check_id IN ('splices', 'recompress') AS weakened FROM k WHERE s.profile = 'integrity'")
+@query(f"{_CHECKS_SQL} SELECT media, s.check_id AS check_id, media % 2 = 0 AND s.check_id IN ('splices', 'recompress', 'noise') AS weakened FROM k WHERE s.profile = 'integrity'")
 def weakened_checks(spark, sf):
     checks = qc.evaluate(_context(spark, sf), K, "integrity").select("media", "check_id")
     return reports.weakened(checks, frames(spark, sf).select("media", (F.col("media") % 2 == 0).alias("reencoded")).distinct(), K)
@@ -941,11 +979,11 @@ def mkv_elements(spark, sf):
     return containers.mkv_elements(files, K).drop("head")
 
 
-@query("""SELECT s_suppkey AS media, CASE WHEN s_suppkey % 3 > 0 THEN substr('x264 - core ' || s_suppkey || ' crf=' || repeat('9', s_suppkey * 20), 1, 911) END AS settings, CASE WHEN s_suppkey % 3 > 0 THEN 'x264' ELSE '' END || CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 3 > 0 THEN ',' ELSE '' END || 'libavformat' ELSE '' END AS encoders, CASE WHEN s_suppkey % 5 = 0 THEN 'C2PA,JUMBF' ELSE '' END AS marks FROM supplier""")
+@query("""SELECT s_suppkey AS media, CASE WHEN s_suppkey % 3 > 0 THEN substr('x264 - core ' || s_suppkey || ' crf=' || repeat('9', s_suppkey * 20), 1, 911) END AS settings, CASE WHEN s_suppkey % 3 > 0 THEN 'x264' ELSE '' END || CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 3 > 0 THEN ',' ELSE '' END || 'ffmpeg-mux (Lavf)' ELSE '' END || CASE WHEN s_suppkey % 7 = 0 THEN CASE WHEN s_suppkey % 3 > 0 OR s_suppkey % 2 = 0 THEN ',' ELSE '' END || 'DJI' ELSE '' END AS encoders, CASE WHEN s_suppkey % 5 = 0 THEN 'C2PA,JUMBF' ELSE '' END AS marks FROM supplier""")
 def encoder_marks(spark, sf):
     k = F.col("s_suppkey")
     settings = F.when(k % 3 > 0, F.concat(F.lit("x264 - core "), k.cast("string"), F.lit(" crf="), F.repeat(F.lit("9"), (k * 20).cast("int")), F.lit("\0\0"))).otherwise("")
-    body = F.concat(F.lit(b"\0\xff\1"), F.encode(settings, "UTF-8"), F.when(k % 2 == 0, F.lit(b"Lavf60.1")).otherwise(F.lit(b"")), _zeros(5000), F.when(k % 5 == 0, F.lit(b"jumb....c2pa")).otherwise(F.lit(b"")))
+    body = F.concat(F.lit(b"\0\xff\1"), F.encode(settings, "UTF-8"), F.when(k % 2 == 0, F.lit(b"Lavf60.1")).otherwise(F.lit(b"")), F.when(k % 7 == 0, F.lit(b"DJI Air")).otherwise(F.lit(b"")), _zeros(5000), F.when(k % 5 == 0, F.lit(b"jumb....c2pa")).otherwise(F.lit(b"")))
     files = table(spark, sf, "supplier").select(k.alias("media"), containers.latin1(body, 4096, 64).alias("text"))
     named = lambda df, marks: containers.marker_scan(df, "text", marks)
     out = named(files, containers.ENCODERS).withColumnRenamed("found", "encoders")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +24,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: that of spark.checkpoint.dir, a temporary one where none is
+    set and all runs in one process. A cluster without that setting is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
