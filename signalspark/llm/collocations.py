@@ -219,7 +219,7 @@ def _hash_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(h[a : a + _ROWS]), pa.array(phrases.times[a : a + _ROWS])], ["h", "f"])
 
     # a shard has each phrase once, so nothing is combined (and held) before the shuffle
-    return table.mapInArrow(counted, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
+    return table.mapInArrow(counted, "h long, f long").repartition(_parts_of(table), "h").groupBy("h").agg(F.sum("f").alias("f"))
 
 
 def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
@@ -237,7 +237,12 @@ def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                     columns = [groups.take(pa.array(part[:, 0])), phrase, pa.array(np.full(len(part), size, np.int32)), pa.array(kept.times[a : a + _ROWS])]
                     yield pa.RecordBatch.from_arrays(columns, ["g", "phrase", "size", "f"])
 
-    return table.mapInArrow(named, "g string, phrase string, size int, f long").repartition("g", "phrase").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
+    return table.mapInArrow(named, "g string, phrase string, size int, f long").repartition(_parts_of(table), "g", "phrase").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
+
+
+def _parts_of(table: DataFrame) -> int:
+    """Three times the partitions of other shuffles: a partition's phrases are all unlike and are counted in one hash map."""
+    return 3 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _indexes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[WordIndex, np.ndarray, pa.Array, pa.Array]]:
@@ -249,7 +254,7 @@ def _indexes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[Wo
             yield WordIndex(ids, depth), hashes, batch.column("words")[row].values, batch.column("groups")[row].values
 
 
-def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "lang", max_words: int = 3, min_count: int = 10, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "lang", max_words: int = 3, min_count: int = 10, filter_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
     """(g, phrase, size, f) of the phrases of 1 to max_words words that occur min_count times or more in a group, and (g, n).
 
     A-Z are lower-cased; texts fall into pieces at .,;:!? and line ends and those into words at spaces and tabs; phrases
@@ -277,7 +282,7 @@ def _parts(phrase: Column, first: Column | int, size: Column | int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " ", -1), first, size), " ")
 
 
-def collocations(docs: DataFrame, *, text_col: str = "text", group_col: str = "lang", max_words: int = 3, min_count: int = 10, absorbed_per_100: int = 50, top: int = 2000, filter_bits: int = 1 << 27) -> DataFrame:
+def collocations(docs: DataFrame, *, text_col: str = "text", group_col: str = "lang", max_words: int = 3, min_count: int = 10, absorbed_per_100: int = 50, top: int = 2000, filter_bits: int = 1 << 26) -> DataFrame:
     """(group_col, rank, phrase, a, l, r, n, score, left_most, right_most): each group's `top` phrases of 2 to max_words words.
 
     a is how often the phrase occurs; a cut after k words gives l and r, how often its parts occur, and the score
