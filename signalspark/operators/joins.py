@@ -5,10 +5,13 @@ Interval and nearest joins go through buckets of time, so they are equi-joins th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import along
 
@@ -221,6 +224,46 @@ def loop_scan(frames: DataFrame, keys: list[str], words: list[str], least: int,
     return out.select(*keys, "delta", "source", "repeat", "n", tiles.alias("periodic"))
 
 
+def ranked_loops(loops: DataFrame, keys: list[str], least: int, most: int = 20) -> DataFrame:
+    """The stretches of loop_scan that don't tile their series, the longest first in order of `rank`, `most` at most.
+
+    A stretch is left out if one before it in that order begins its repeat within `least` frames of its own and has a
+    distance within `least` of its own. Of equally long ones the nearer source comes first, then the earlier repeat. What
+    stays of a series lies in a grid of cells of `least` by `least`, so a stretch is compared with nine cells.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, cells, n = None, {}, 0
+        for batch in batches:
+            ranks = []
+            for *k, repeat, delta in batch[[*keys, "repeat", "delta"]].itertuples(index=False):
+                if k != key:
+                    key, cells, n = k, {}, 0
+                a, b = repeat // least, delta // least
+                near = n >= most or any(abs(repeat - r) < least and abs(delta - d) < least for i in (-1, 0, 1) for j in (-1, 0, 1) for r, d in cells.get((a + i, b + j), ()))
+                if not near:
+                    cells.setdefault((a, b), []).append((repeat, delta))
+                    n += 1
+                ranks.append(0 if near else n)
+            yield batch.assign(rank=ranks)[lambda x: x["rank"] > 0]
+
+    single = loops.filter(~F.col("periodic")).select(*keys, "delta", "source", "repeat", "n")
+    ordered = single.repartition(*keys).sortWithinPartitions(*keys, F.desc("n"), "delta", "repeat")
+    return ordered.mapInPandas(stream, T.StructType([*single.schema.fields, T.StructField("rank", T.IntegerType())]))
+
+
+def periods(loops: DataFrame, frames: DataFrame, keys: list[str], least: int, most: int = 6) -> DataFrame:
+    """(keys, period, stretches, coverage_pct, cycles): one row for each distance at which a series tiles, the best covered
+    first, `most` at most; `least` is that of the scan. Coverage is the share of the frames that could come again which do."""
+    size = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_size"))
+    tiled = loops.filter("periodic").groupBy(*keys, F.rint(F.col("delta") / least).alias("_about"))
+    found = tiled.agg(F.floor(F.percentile("delta", F.lit(0.5))).cast("long").alias("period"), F.count(F.lit(1)).alias("stretches"), F.sum("n").alias("_total")).join(size, keys)
+    share = 100 * F.col("_total") / F.greatest(F.lit(1), F.col("_size") - F.col("period"))
+    out = found.select(*keys, "period", "stretches", F.round(share, 1).alias("coverage_pct"), F.round(F.col("_size") / F.col("period"), 1).alias("cycles"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("coverage_pct"), "period"))
+    return out.withColumn("_n", nth).filter(F.col("_n") <= most).drop("_n")
+
+
 def _near_hashes(kinds: DataFrame, keys: list[str], words: list[str], tolerance: int, segment: int) -> DataFrame:
     """(keys, words, words_b, _n_b): for each distinct hash of a series all within `tolerance` bits, itself included."""
     each = 64 // segment

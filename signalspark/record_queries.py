@@ -785,6 +785,24 @@ def loop_scan(spark, sf):
     return joins.loop_scan(f, K, ["h"], least=3, tolerance=1)
 
 
+_LOOPS_SQL = SQL["loop_scan"].replace("SELECT p.media, delta, source, repeat, n, size >=", ", loops AS (SELECT p.media, delta, source, repeat, n, size, size >=") + ")"
+
+
+@query(_LOOPS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, picks AS (
+    SELECT media, arg_min({'delta': delta, 'repeat': repeat}, (-n, delta, repeat)) AS one, [arg_min({'delta': delta, 'repeat': repeat}, (-n, delta, repeat))] AS kept FROM loops WHERE NOT periodic GROUP BY media
+    UNION ALL SELECT k.media, arg_min({'delta': c.delta, 'repeat': c.repeat}, (-c.n, c.delta, c.repeat)) AS one, list_append(any_value(kept), arg_min({'delta': c.delta, 'repeat': c.repeat}, (-c.n, c.delta, c.repeat))) AS kept
+        FROM picks k JOIN loops c ON c.media = k.media AND NOT c.periodic WHERE len(kept) < 20 AND len(list_filter(kept, lambda u: abs(c.repeat - u.repeat) < 3 AND abs(c.delta - u.delta) < 3)) = 0 GROUP BY k.media, len(kept))
+SELECT loops.media, loops.delta, source, loops.repeat, n, len(kept)::INT AS rank FROM picks JOIN loops ON loops.media = picks.media AND loops.delta = one.delta AND loops.repeat = one.repeat""")
+def loop_ranks(spark, sf):
+    return joins.ranked_loops(loop_scan(spark, sf), K, least=3)
+
+
+@query(_LOOPS_SQL + """, g AS (SELECT media, floor(median(delta))::BIGINT AS period, count(*) AS stretches, sum(n) AS total, any_value(size) AS size FROM loops WHERE periodic GROUP BY media, round_even(delta / 3.0, 0))
+SELECT media, period, stretches, round(100 * total / greatest(1, size - period), 1) AS coverage_pct, round(size / period, 1) AS cycles FROM g QUALIFY row_number() OVER (PARTITION BY media ORDER BY round(100 * total / greatest(1, size - period), 1) DESC, period) <= 6""")
+def loop_periods(spark, sf):
+    return joins.periods(loop_scan(spark, sf), frames(spark, sf), K, least=3)
+
+
 # ---- colour of reshaped signals, scales
 
 
@@ -1143,3 +1161,19 @@ def verdict_layer(spark, sf):
     rules = verdict_rules.INTEGRITY.add("league", verdict_rules.Rule("tempo", "tempo_score >= 0.26", "note", "medium", "faster than the league allows"))
     rules = rules.add("trial", verdict_rules.Rule("audio", "true", "review", "high", "listen")).retract("trial")
     return verdict_rules.judged(again.withColumn("faded", faded), K, rules, "faded").select("media", "id", "verdict", "confidence")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS media, floor(least(greatest((0.15 + l_quantity / 100) / 0.8, 0), 1) * 511)::INT AS px, floor(511 - least(greatest((0.05 + l_extendedprice / 150000 + l_discount) / 0.9, 0), 1) * 511)::INT AS py FROM lineitem),
+c AS (SELECT media, px, min(py) AS low, max(py) AS high, count(*) AS n FROM p GROUP BY media, px),
+s AS (SELECT media, px, high AS v, 1 AS side FROM c UNION ALL SELECT media, px, -low, 2 FROM c),
+b AS (SELECT a.media, a.side, a.px, a.v, min((a.v - q.v) / (a.px - q.px)) FILTER (q.px < a.px) AS before, max((q.v - a.v) / (q.px - a.px)) FILTER (q.px > a.px) AS after FROM s a JOIN s q ON q.media = a.media AND q.side = a.side GROUP BY ALL),
+e AS (SELECT *, lead(px) OVER w AS px2, lead(v) OVER w AS v2 FROM b WHERE coalesce(before >= after, true) WINDOW w AS (PARTITION BY media, side ORDER BY px)),
+t AS (SELECT media, sum((px2 - px) * (v + v2) / 2.0) AS area FROM e GROUP BY media), z AS (SELECT media, sum(n)::BIGINT AS n FROM c GROUP BY media)
+SELECT media, n, round(coalesce(area, 0), 2) AS area, round(least(100, 100 * coalesce(area, 0) / TRIANGLE), 6) AS coverage_pct FROM t JOIN z USING (media)""")
+def gamut_area(spark, sf):
+    points = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("media"), (0.15 + F.col("l_quantity") / 100).alias("x"), (0.05 + F.col("l_extendedprice") / 150000 + F.col("l_discount")).alias("y"))
+    return aggregates.gamut_coverage(points, K, "x", "y").withColumn("area", F.round("area", 2)).withColumn("coverage_pct", r6("coverage_pct"))
+
+
+# the triangle of BT.2020 on a chart of 512 places
+SQL["gamut_area"] = SQL["gamut_area"].replace("TRIANGLE", str(aggregates.chart_triangle("2020", 512)))
