@@ -78,11 +78,11 @@ def clicks(samples: DataFrame, keys: list[str], rate: float, times: float = 16.0
 
 def load_kinds(frames: DataFrame, keys: list[str], fps: float, still: float = 0.9, dark: float = 18.0, match: float = 14.0, still_s: float = 0.5) -> DataFrame:
     """frames plus kind: 3 matches a reference, 2 black, 1 part of a still stretch, else 0."""
-    held = runs(frames, F.col("diff") < still, keys, ["frame"], "frame").filter(F.col("n") >= still_s * fps)
-    spans = held.select(*keys, F.col("t0").alias("f0"), F.col("t1").alias("f1"))
-    inside = frames.join(spans, keys).filter(F.col("frame").between(F.col("f0"), F.col("f1"))).select(*keys, "frame", F.lit(True).alias("still"))
-    kind = F.when(F.col("refd") < match, 3).when(F.col("luma") < dark, 2).when(F.col("still"), 1).otherwise(0)
-    return frames.join(inside, [*keys, "frame"], "left").withColumn("kind", kind).drop("still")
+    held = F.coalesce(F.col("diff") < still, F.lit(False))
+    marked = mark_runs(frames.withColumn("_held", held), F.col("_held"), keys, ["frame"], "_run")
+    enough = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run")) >= still_s * fps  # the rows lie together already
+    kind = F.when(F.col("refd") < match, 3).when(F.col("luma") < dark, 2).when(F.col("_held") & enough, 1).otherwise(0)
+    return marked.withColumn("kind", kind).drop("_held", "_run")
 
 
 def load_segments(kinds: DataFrame, keys: list[str], fps: float, bridge_s: float = 0.15, least_s: float = 0.30) -> DataFrame:
