@@ -198,6 +198,51 @@ def ipt_linear(signal: list[Column], nonlinear: Column, offset: Column, linear:
     return F.struct(*(F.greatest(v, F.lit(0.0)).alias(n) for v, n in zip(_product(LMS_TO_2020, lms), "rgb", strict=True)))
 
 
+def unshaped(value: Column, pieces: Column, steps: int = 52) -> Column:
+    """What `reshaped` makes the value of, for a curve of polynomials that nowhere falls: the least such signal to within
+    2**-steps of the curve's range; an end of the range for values beyond what the curve reaches, null for other curves,
+    and the value itself without pieces.
+
+    The range is halved `steps` times, a fold of fixed length, so there is no test of convergence.
+    """
+    low, high = F.element_at(pieces, 1)["low"], F.element_at(pieces, -1)["high"]
+
+    def curve(x: Column) -> Column:
+        piece = F.coalesce(F.get(F.filter(pieces, lambda p: (x >= p["low"]) & (x < p["high"])), F.lit(0)), F.element_at(pieces, -1))
+        return polynomial(x, piece["coefficients"])
+
+    def halved(span: Column, _: Column) -> Column:
+        middle = (span["low"] + span["high"]) / 2
+        below = curve(middle) < value
+        return F.struct(F.when(below, middle).otherwise(span["low"]).alias("low"), F.when(below, span["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")), halved)["high"]
+    return F.when(F.size(pieces) == 0, value).when(F.forall(pieces, lambda p: p["kind"] == "polynomial") & value.isNotNull(), found)
+
+
+def inverse(matrix: Column) -> Column:
+    """The inverse of an array of nine values, rows first; null where there is none."""
+    m = [F.get(matrix, F.lit(k)) for k in range(9)]
+    minor = lambda r, c: m[(r + 1) % 3 * 3 + (c + 1) % 3] * m[(r + 2) % 3 * 3 + (c + 2) % 3] - m[(r + 1) % 3 * 3 + (c + 2) % 3] * m[(r + 2) % 3 * 3 + (c + 1) % 3]
+    whole = m[0] * minor(0, 0) + m[1] * minor(0, 1) + m[2] * minor(0, 2)
+    return F.when(whole != 0, F.array(*(minor(c, r) / whole for r in range(3) for c in range(3))))
+
+
+def ipt_encoded(rgb: list[Column], nonlinear: Column, offset: Column, linear: Column) -> Column:
+    """An array of the three signals (not held to 0 to 1) of which ipt_linear makes this linear BT.2020 light, 1 for 10,000 nits."""
+    lms_2020 = np.linalg.inv(np.array(LMS_TO_2020)).tolist()
+    row = lambda m, k, v: F.get(m, F.lit(3 * k)) * v[0] + F.get(m, F.lit(3 * k + 1)) * v[1] + F.get(m, F.lit(3 * k + 2)) * v[2]
+    lms = [row(inverse(linear), k, _product(lms_2020, rgb)) for k in range(3)]
+    signal = [pq_oetf(v) for v in lms]
+    return F.array(*(row(inverse(nonlinear), k, signal) + F.get(offset, F.lit(k)) for k in range(3)))
+
+
+def ipt_native(signal: list[Column], nonlinear: Column, offset: Column, linear: Column) -> Column:
+    """A struct (r, g, b) of BT.2020 signals in PQ of a reshaped IPT signal: what an HDR10 picture of it would hold."""
+    light = ipt_linear(signal, nonlinear, offset, linear)
+    return F.struct(*(pq_oetf(light[n]).alias(n) for n in "rgb"))
+
+
 def displayed(rgb: Column, peak: Column, white_nits: float = 100.0) -> Column:
     """A struct (r, g, b) of 8-bit BT.709 values: linear BT.2020 light (1 for 10,000 nits) through the filmic curve on its
     largest channel, up to the source's peak in nits."""

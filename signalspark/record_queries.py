@@ -1177,3 +1177,45 @@ def gamut_area(spark, sf):
 
 # the triangle of BT.2020 on a chart of 512 places
 SQL["gamut_area"] = SQL["gamut_area"].replace("TRIANGLE", str(aggregates.chart_triangle("2020", 512)))
+
+
+# ---- curves in JSON, and their inverse
+
+
+def _side_data(k: Column) -> Column:
+    """A document whose curves rise, of two polynomials each; every seventh lacks a matrix, every fifth a coefficient."""
+    whole = lambda v: str(round(v * (1 << 23)))
+    gentle = f'"poly_coef": [{whole(0.05)}, {whole(0.9)}]'
+    steep = F.when(k % 5 == 0, F.lit('"poly_coef": []')).otherwise(f'"poly_coef": "{whole(0.2)} {whole(0.6)}"')
+    one = F.concat(F.lit('{"pivots": [64, 512, 940], "pieces": [{"mapping_idc_name": "polynomial", ' + gentle + '}, {"mapping_idc": 0, '), steep, F.lit("}]}"))
+    matrix = F.when(k % 7 == 0, F.lit("")).otherwise(F.lit('"ycc_to_rgb_matrix": "8192/8192 799/8192 1681/8192 1 -933/8192 1091/8192 1 267/8192 -5545/8192", '))
+    return F.concat(F.lit("{"), matrix, F.lit('"ycc_to_rgb_offset": "0 1/2 1/2", "rgb_to_lms_matrix": "1 0 0 0 1 0 0 0 1", "source_max_pq": 3079, "components": ['), one, F.lit(", "), one, F.lit(", "), one, F.lit("]}"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS media, CASE WHEN l_suppkey % 7 = 0 THEN 'none' WHEN l_suppkey % 5 = 0 THEN 'plain' ELSE 'curves' END AS kind,
+    round(CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN l_quantity / 50 ELSE least(greatest(l_quantity / 50, 64.0 / 1023), 940.0 / 1023) END, 6) AS back FROM lineitem""")
+def curve_round_trip(spark, sf):
+    """Signals of all line items through their supplier's curve, read from JSON, and back."""
+    docs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("media"), _side_data(F.col("s_suppkey")).alias("body"))
+    colours = dynamic.side_data_colour(docs, K)
+    streams = colours.limit(0)
+    chain = dynamic.colour_chain(docs.select("media"), colours, streams, K)
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("media"), (F.col("l_quantity") / 50).alias("x"))
+    pieces = F.coalesce(F.col("curves")[0], F.array().cast("array<struct<low: double, high: double, kind: string, coefficients: array<double>>>"))
+    shaped = line.join(chain, "media").withColumn("pieces", pieces).withColumn("y", colour.reshaped([F.col("x")] * 3, 0, F.col("pieces")))
+    kind = F.when(F.col("source").isNull(), "none").when(F.col("curves").isNull(), "plain").otherwise("curves")
+    back = F.when(F.col("source").isNotNull(), colour.unshaped(F.col("y"), F.col("pieces")))
+    return shaped.select("k", "n", "media", kind.alias("kind"), r6(back).alias("back"))
+
+
+@query("""WITH e AS (SELECT event_id, 0.001 + value / 1013 AS r, 0.002 + value / 2011 AS g, 0.05 AS b FROM events), x AS (SELECT event_id, least(r, 1) AS r, least(g, 1) AS g, b::DOUBLE AS b FROM e)
+SELECT event_id, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b, round(pow((0.8359375 + 18.8515625 * pow(r, 0.1593017578125)) / (1 + 18.6875 * pow(r, 0.1593017578125)), 78.84375), 5) AS pq_r FROM x""")
+def ipt_round_trip(spark, sf):
+    """Light encoded as an IPT signal, decoded again, and as a PQ signal."""
+    v = F.col("value")
+    array = lambda *x: F.array(*(F.lit(float(c)) for c in x))
+    matrices = (array(1, 0.0975, 0.2052, 1, -0.1139, 0.1332, 1, 0.0326, -0.6769), array(0, 0.5, 0.5), array(1, 0, 0, 0, 1, 0, 0, 0, 1))
+    encoded = table(spark, sf, "events").select("event_id", colour.ipt_encoded([F.least(0.001 + v / 1013, F.lit(1.0)), F.least(0.002 + v / 2011, F.lit(1.0)), F.lit(0.05)], *matrices).alias("s"))
+    signal = [F.col("s")[k] for k in range(3)]
+    back = encoded.select("event_id", colour.ipt_linear(signal, *matrices).alias("c"), colour.ipt_native(signal, *matrices).alias("p"))
+    return back.select("event_id", *(F.round(F.col("c")[n], 5).alias(n) for n in "rgb"), F.round("p.r", 5).alias("pq_r"))

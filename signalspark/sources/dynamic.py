@@ -158,3 +158,58 @@ def rationals(text: Column, n: int) -> Column:
     value = lambda w: F.when(F.contains(w, F.lit("/")), F.try_divide(F.split_part(w, F.lit("/"), F.lit(1)).try_cast("double"), F.coalesce(F.nullif(F.split_part(w, F.lit("/"), F.lit(2)).try_cast("double"), F.lit(0.0)), F.when(F.split_part(w, F.lit("/"), F.lit(2)).try_cast("double") == 0, 1.0)))).otherwise(w.try_cast("double"))
     found = F.transform(words, value)
     return F.when((F.size(found) == n) & ~F.exists(found, lambda v: v.isNull()), found)
+
+
+_WHOLE = r"(-?[0-9]+)"
+
+
+def curves_in(document: Column) -> Column:
+    """The three reshaping curves of a side-data document in JSON: an array of three arrays of (low, high, kind,
+    coefficients), as functions.colour takes them; null unless all three are whole.
+
+    Bounds are codes of bl_bit_depth bits (10 by default), coefficients whole numbers over 2 to the coef_log2_denom (23 by
+    default); lists may be JSON or text. A polynomial has coefficients, a regression of order 1 to 3 a constant and seven
+    for each order.
+    """
+    piece = "struct<mapping_idc: string, mapping_idc_name: string, poly_coef: string, mmr_order: int, mmr_constant: long, mmr_coef: string>"
+    side = F.from_json(document, f"struct<coef_log2_denom: int, bl_bit_depth: int, components: array<struct<pivots: string, pieces: array<{piece}>>>, component_list: array<struct<pivots: string, piece_list: array<{piece}>>>>")
+    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(1)), lambda v: v.cast("double"))
+    one = lambda value, use: F.transform(F.array(value), use)[0]  # worked out once
+    share = F.pow(F.lit(2.0), F.coalesce(side.coef_log2_denom, F.lit(23)))
+    top = F.pow(F.lit(2.0), F.coalesce(side.bl_bit_depth, F.lit(10))) - 1
+
+    def shaped(p: Column) -> Column:
+        named = F.nullif(p.mapping_idc_name, F.lit(""))
+        kind = F.when(F.coalesce(named == "polynomial", p.mapping_idc == "0", F.lit(False)), "polynomial").otherwise("mmr")
+        poly, mmr = numbers(F.coalesce(p.poly_coef, F.lit(""))), numbers(F.coalesce(p.mmr_coef, F.lit("")))
+        order = p.mmr_order.between(1, 3) & (F.size(mmr) == 7 * p.mmr_order)
+        weights = F.when(kind == "polynomial", F.when(F.size(poly) > 0, poly)).when(order, F.concat(F.array(F.coalesce(p.mmr_constant, F.lit(0)).cast("double")), mmr))
+        return F.struct(kind.alias("kind"), F.transform(weights, lambda v: v / share).alias("coefficients"))
+
+    def curve(pivots: Column, pieces: Column) -> Column:
+        bounds = F.transform(numbers(pivots), lambda v: v / top)
+        joined = lambda b: F.zip_with(F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda x, y: F.struct(x.alias("low"), y.alias("high"))), F.transform(pieces, shaped), lambda s, p: F.struct(s.low.alias("low"), s.high.alias("high"), p.kind.alias("kind"), p.coefficients.alias("coefficients")))
+        return one(bounds, lambda b: F.when((F.size(b) >= 2) & (F.size(pieces) == F.size(b) - 1), joined(b)))
+
+    found = F.coalesce(F.transform(side.components, lambda c: curve(c.pivots, c.pieces)), F.transform(side.component_list, lambda c: curve(c.pivots, c.piece_list)))
+    whole = lambda cs: F.when((F.size(cs) >= 3) & F.forall(F.slice(cs, 1, 3), lambda c: c.isNotNull() & F.forall(c, lambda p: p.coefficients.isNotNull())), F.slice(cs, 1, 3))
+    return one(found, whole)
+
+
+def side_data_colour(docs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """(keys, nonlinear, offset, linear, source_max_pq, curves) of side-data documents with all three matrices; curves are
+    null where they aren't whole, which means a signal that isn't reshaped."""
+    side = F.from_json(body, "struct<ycc_to_rgb_matrix: string, ycc_to_rgb_offset: string, rgb_to_lms_matrix: string, source_max_pq: int>")
+    found = docs.select(*keys, side.alias("s"), F.col(body).alias("doc"))
+    read = found.select(*keys, rationals(F.col("s.ycc_to_rgb_matrix"), 9).alias("nonlinear"), rationals(F.col("s.ycc_to_rgb_offset"), 3).alias("offset"), rationals(F.col("s.rgb_to_lms_matrix"), 9).alias("linear"), F.coalesce(F.nullif("s.source_max_pq", F.lit(0)), F.lit(DEFAULT_PEAK)).alias("source_max_pq"), curves_in(F.col("doc")).alias("curves"))
+    return read.filter(F.col("nonlinear").isNotNull() & F.col("offset").isNotNull() & F.col("linear").isNotNull())
+
+
+def colour_chain(media: DataFrame, side_data: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """media plus (source, nonlinear, offset, linear, source_max_pq, curves): by the side data if it has the matrices, else by
+    the stream's own units, else null. Each of the two has one row for a key at most."""
+    fields = ("nonlinear", "offset", "linear", "source_max_pq", "curves")
+    named = lambda df, source: df.select(*keys, F.struct(F.lit(source).alias("source"), *(F.col(c) for c in fields)).alias(source))
+    both = media.join(named(side_data, "side data"), keys, "left").join(named(streams, "stream"), keys, "left")
+    chosen = both.withColumn("chosen", F.coalesce(F.col("`side data`"), F.col("stream")))
+    return chosen.select(*(F.col(f"`{c}`") for c in media.columns), *(F.col("chosen").getField(c).alias(c) for c in ("source", *fields)))
