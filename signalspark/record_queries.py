@@ -1219,3 +1219,19 @@ def ipt_round_trip(spark, sf):
     signal = [F.col("s")[k] for k in range(3)]
     back = encoded.select("event_id", colour.ipt_linear(signal, *matrices).alias("c"), colour.ipt_native(signal, *matrices).alias("p"))
     return back.select("event_id", *(F.round(F.col("c")[n], 5).alias(n) for n in "rgb"), F.round("p.r", 5).alias("pq_r"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS media, c_custkey % 4 AS kind FROM customer)
+SELECT media, 0 AS depth, 'a' AS manifest, unnest([0, 1]) AS place, unnest(['source ' || media, 'loose']) AS title FROM c WHERE kind < 3
+UNION ALL SELECT media, 1, 'b', 0, 'older' FROM c WHERE kind < 3 UNION ALL SELECT media, 2, 'c', 0, 'oldest' FROM c WHERE kind IN (0, 2)""")
+def ingredient_lists(spark, sf):
+    """Stores whose first ingredient has a manifest, by name or address, and that one another; some turn back in a circle."""
+    k = F.col("c_custkey")
+    ingredient = lambda title, ref: F.concat(F.lit('{"title": "'), title, F.lit('"'), ref, F.lit("}"))
+    named = lambda v: F.lit(f', "active_manifest": "{v}"')
+    first = ingredient(F.concat(F.lit("source "), k.cast("string")), F.when(k % 4 == 2, F.lit(', "c2pa_manifest": {"url": "self#jumbf=/c2pa/b"}')).otherwise(named("b")))
+    manifest = lambda name, *own: F.concat(F.lit(f'"{name}": {{"ingredients": ['), F.concat_ws(", ", *own), F.lit("]}"))
+    second = ingredient(F.lit("older"), F.when(k % 4 == 1, named("a")).otherwise(named("c")))
+    body = F.concat(F.lit('{"active_manifest": "a", "manifests": {'), F.concat_ws(", ", manifest("a", first, ingredient(F.lit("loose"), F.lit(""))), manifest("b", second), manifest("c", ingredient(F.lit("oldest"), named("b")))), F.lit("}}"))
+    docs = table(spark, sf, "customer").select(k.alias("media"), F.when(k % 4 == 3, '{"active_manifest": "gone", "manifests": {}}').otherwise(body).alias("body"))
+    return containers.ingredients(docs, K).select("media", "depth", "manifest", "place", "title")
