@@ -5,8 +5,8 @@ Burrows-Wheeler transforms of the row and of the reversed row, both sorted to th
 of one is kept in step with that of the other, so a phrase can be extended on either side. All intervals of a depth
 are extended at once. Counts are summed across shards.
 
-Phrases are followed only while their parts may be frequent: after words, and after each depth but the last, hashes of
-what is frequent in the whole corpus are set in a bitmap of fixed size that the tasks look up. A bit that is set by
+Phrases are followed only while they may be frequent: after words, and after each depth, hashes of what is frequent in
+the whole corpus are set in a bitmap of fixed size that the tasks look up. A bit that is set by
 chance costs a row more and changes no result; counts are summed by the phrase itself.
 """
 
@@ -184,64 +184,103 @@ def _bitmap(hashes: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _enumerated(index: WordIndex, hashes: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[Phrases, bool]]:
-    """The phrases of each depth whose parts the bitmaps hold, one bitmap a depth, and one depth more; whether it is the last."""
+def _enumerated(index: WordIndex, hashes: np.ndarray, maps: list[np.ndarray], most: int) -> Iterator[Phrases]:
+    """The phrases of two words, of three, and so on to `most`, whose parts one word shorter the bitmaps hold (one bitmap
+    for each number of words) and which they hold themselves, where there is a bitmap for their number."""
     phrases = index.words()
     parts = _held(maps[0], hashes)
     phrases = phrases[parts[phrases.word[:, 0]]]
-    for depth in range(2, len(maps) + 2):
-        # on the right first, then the phrase itself is looked up, then the phrase without its first word
-        phrases = index.extended(phrases, left=depth % 2 == 1)
-        both = (phrases.word[:, :-1], phrases.word[:, 1:])
+    for size in range(2, most + 1):
+        phrases = index.extended(phrases, left=size % 2 == 1)
         held = np.ones(len(phrases.times), bool)
-        for part in both:
-            held &= parts[part[:, 0]] if depth == 2 else _held(maps[depth - 2], _phrase_hash(hashes, part))
+        for part in (phrases.word[:, :-1], phrases.word[:, 1:]):
+            held &= parts[part[:, 0]] if size == 2 else _held(maps[size - 2], _phrase_hash(hashes, part))
         phrases = phrases[held]
-        last = depth == len(maps) + 1
-        yield phrases, last
-        if not last:
-            phrases = phrases[_held(maps[depth - 1], _phrase_hash(hashes, phrases.word))]
+        if size <= len(maps):
+            phrases = phrases[_held(maps[size - 1], _phrase_hash(hashes, phrases.word))]
+        yield phrases
 
 
 _ROWS = 1 << 17
+#: Bits of a hash that are counted. Two phrases of one hash are looked at again, by themselves, so it needn't be longer.
+_BITS = 40
 
 
-def _hash_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """(h, f): how often the phrases of one depth more than there are bitmaps occur, by hash."""
-    sent = table.sparkSession.sparkContext.broadcast(maps)
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """Whole numbers as planes of bytes, the lowest first: planes of zeros take no room once they are compressed."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _from_planes(data: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(data) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return wide.view("<u8").ravel()
+
+
+def _summed(h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the sums of their counts."""
+    order = np.argsort(h)
+    h, f = h[order], f[order]
+    first = np.flatnonzero(np.diff(h, prepend=h[:1] + 1) != 0)
+    return h[first], np.add.reduceat(f, first) if len(first) else f
+
+
+def _frequent_hashes(table: DataFrame, maps: list[np.ndarray], min_count: int) -> DataFrame:
+    """(h, f): the hashes of phrases one word longer than there are bitmaps that occur min_count times or more.
+
+    A shard's hashes go out in order, as differences, a row for each range of hashes; a task sums those of its ranges.
+    """
+    sent, n = table.sparkSession.sparkContext.broadcast(maps), _parts_of(table)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.array([(k << _BITS) // n for k in range(1, n)], np.uint64)
         for index, hashes, _, _ in _indexes(batches, len(sent.value) + 1):
-            for phrases, last in _enumerated(index, hashes, sent.value):
-                if last:
-                    h = _phrase_hash(hashes, phrases.word).view(np.int64)
-                    for a in range(0, len(h), _ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[a : a + _ROWS]), pa.array(phrases.times[a : a + _ROWS])], ["h", "f"])
+            *_, phrases = _enumerated(index, hashes, sent.value, len(sent.value) + 1)
+            h, f = _summed(_phrase_hash(hashes, phrases.word) & np.uint64((1 << _BITS) - 1), phrases.times.astype(np.uint64))
+            cuts = [0, *np.searchsorted(h, ends).tolist(), len(h)]
+            rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            columns = [
+                pa.array([k for k, _, _ in rows], pa.int32()),
+                pa.array([_planes(np.diff(h[a:b], prepend=np.uint64(0)), 5) for _, a, b in rows], pa.binary()),
+                pa.array([_planes(f[a:b], 5) for _, a, b in rows], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "h", "f"])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, size = (np.zeros(0, np.uint64), np.zeros(0, np.uint64)), [], 0
+        for batch in batches:
+            for h, f in zip(batch.column("h"), batch.column("f"), strict=True):
+                waiting.append((np.cumsum(_from_planes(h.as_py(), 5)), _from_planes(f.as_py(), 5)))
+                size += len(waiting[-1][0])
+                if size > 1 << 20:
+                    total, waiting, size = _summed(*map(np.concatenate, zip(total, *waiting, strict=True))), [], 0
+        h, f = _summed(*map(np.concatenate, zip(total, *waiting, strict=True)))
+        often = f >= min_count
+        yield pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(f[often].astype(np.int64))], ["h", "f"])
 
-    # a shard has each phrase once, so nothing is combined (and held) before the shuffle
-    return table.mapInArrow(counted, "h long, f long").repartition(_parts_of(table), "h").groupBy("h").agg(F.sum("f").alias("f"))
+    return table.mapInArrow(counted, "part int, h binary, f binary").repartition(n, "part").mapInArrow(frequent, "h long, f long")
 
 
 def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """(g, phrase, size, f): how often each phrase of two words and more occurs, whose parts the bitmaps hold."""
+    """(g, phrase, size, f): how often each phrase of two words and more occurs that the bitmaps hold."""
     sent = table.sparkSession.sparkContext.broadcast(maps)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for index, hashes, words, groups in _indexes(batches, len(sent.value) + 1):
-            for phrases, last in _enumerated(index, hashes, sent.value):
-                size = phrases.word.shape[1]
-                kept = phrases if last else phrases[_held(sent.value[size - 1], _phrase_hash(hashes, phrases.word))]
+        for index, hashes, words, groups in _indexes(batches, len(sent.value)):
+            for kept in _enumerated(index, hashes, sent.value, len(sent.value)):
+                size = kept.word.shape[1]
                 for a in range(0, len(kept.times), _ROWS):
                     part = kept.word[a : a + _ROWS] - 1
                     phrase = pc.binary_join_element_wise(*(words.take(pa.array(part[:, k])) for k in range(size)), b" ").cast(pa.string())
                     columns = [groups.take(pa.array(part[:, 0])), phrase, pa.array(np.full(len(part), size, np.int32)), pa.array(kept.times[a : a + _ROWS])]
                     yield pa.RecordBatch.from_arrays(columns, ["g", "phrase", "size", "f"])
 
+    # a shard has each phrase once, so nothing is combined (and held) before the shuffle
     return table.mapInArrow(named, "g string, phrase string, size int, f long").repartition(_parts_of(table), "g", "phrase").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
 
 
 def _parts_of(table: DataFrame) -> int:
-    """Three times the partitions of other shuffles: a partition's phrases are all unlike and are counted in one hash map."""
+    """Three times the partitions of other shuffles: hardly two of a partition's phrases are alike, so what is counted there is large."""
     return 3 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -259,9 +298,9 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "
 
     A-Z are lower-cased; texts fall into pieces at .,;:!? and line ends and those into words at spaces and tabs; phrases
     are contiguous within a piece, overlapping ones count. A null group is `und`; null and empty texts have no words.
-    filter_bits, a power of two from 32768 on, is the size of each of the max_words - 1 bitmaps that are broadcast.
+    filter_bits, a power of two from 32768 on, is the size of each of the max_words bitmaps that are broadcast.
     """
-    if filter_bits < 32768 or filter_bits & filter_bits - 1 or max_words < 2:
+    if not 32768 <= filter_bits <= 1 << _BITS or filter_bits & filter_bits - 1 or max_words < 2:
         raise ValueError("filter_bits is a power of two from 32768 on, max_words is 2 or more")
     table = stored(shards(docs, text_col, group_col))
     each = table.select(F.explode(F.arrays_zip("groups", "words", "times", "hashes")).alias("w"))
@@ -271,8 +310,8 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "
     one = words.filter(frequent).select("g", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("size"), "f")
     index = table.select("ids", "hashes", "words", "groups")
     maps = [_bitmap(words.filter(frequent), filter_bits)]
-    while len(maps) < max_words - 1:
-        maps.append(_bitmap(_hash_counts(index, maps).filter(frequent), filter_bits))
+    while len(maps) < max_words:
+        maps.append(_bitmap(_frequent_hashes(index, maps, min_count), filter_bits))
     more = _phrase_counts(index, maps).filter(frequent)
     return stored(one.unionByName(more)), total
 

@@ -95,3 +95,16 @@ def test_counts_over_32_bits_are_exact(spark, monkeypatch):
     total = spark.createDataFrame([("en", 10**15)], "g string, n long")
     monkeypatch.setattr(module, "phrase_counts", lambda *_, **__: (counts, total))
     assert found(collocations(counts)) == [("en", 1, "p q", a, x, y, 10**15, 1_000_000 * a * a // (x * y))]
+
+
+def test_hashes_that_collide_change_nothing(spark, monkeypatch):
+    rows = corpus(7)
+    monkeypatch.setattr(module, "_BITS", 15)
+    assert found(collocations(spark.createDataFrame(rows, "lang string, text string"), filter_bits=32768)) == plain(rows)
+
+
+def test_hashes_as_planes_and_sums():
+    values = np.array([0, 1, 255, 256, 2**39 + 7], np.uint64)
+    assert module._from_planes(module._planes(values, 5), 5).tolist() == values.tolist()
+    h, f = module._summed(np.array([5, 3, 5, 0], np.uint64), np.array([1, 2, 3, 4], np.uint64))
+    assert (h.tolist(), f.tolist()) == ([0, 3, 5], [4, 2, 4]) and len(module._summed(values[:0], values[:0])[0]) == 0
