@@ -1235,3 +1235,24 @@ def ingredient_lists(spark, sf):
     body = F.concat(F.lit('{"active_manifest": "a", "manifests": {'), F.concat_ws(", ", manifest("a", first, ingredient(F.lit("loose"), F.lit(""))), manifest("b", second), manifest("c", ingredient(F.lit("oldest"), named("b")))), F.lit("}}"))
     docs = table(spark, sf, "customer").select(k.alias("media"), F.when(k % 4 == 3, '{"active_manifest": "gone", "manifests": {}}').otherwise(body).alias("body"))
     return containers.ingredients(docs, K).select("media", "depth", "manifest", "place", "title")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS media, s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '16:11' WHEN s_suppkey % 3 = 1 THEN '1:1' END AS sar, CASE WHEN s_suppkey % 4 = 0 THEN 90 ELSE 0 END AS turn, 720 + s_suppkey % 7 * 16 AS w, 576 AS h FROM supplier),
+d AS (SELECT *, CASE WHEN turn = 90 THEN h WHEN sar = '16:11' THEN round_even(w * 16 / 11.0, 0)::INT ELSE w END AS dw, CASE WHEN turn = 90 THEN CASE WHEN sar = '16:11' THEN round_even(w * 16 / 11.0, 0)::INT ELSE w END ELSE h END AS dh FROM s)
+SELECT media, list_aggregate(list_filter([
+    CASE WHEN k % 5 > 0 THEN 'Container=Long name ' || k ELSE 'Container=mov' END, 'Codec=h264' || CASE WHEN k % 2 = 0 THEN ' (High)' ELSE '' END,
+    'Resolution=' || w || 'x' || h || CASE WHEN sar = '16:11' AND turn = 90 THEN '  (anamorphic SAR 16:11, rotated 90\u00b0)' WHEN sar = '16:11' THEN '  (anamorphic SAR 16:11)' WHEN turn = 90 THEN '  (rotated 90\u00b0)' ELSE '' END,
+    CASE WHEN dw <> w OR dh <> h THEN printf('Display AR=%d:%d (%.2f:1, shown %dx%d)', (dw // gcd(dw, dh))::INT, (dh // gcd(dw, dh))::INT, dw / dh::DOUBLE, dw, dh) END,
+    CASE WHEN k % 6 > 0 THEN printf('Frame Rate=%.3f fps', (24000 + k) / 1001.0::DOUBLE) END, 'Pixel Format=yuv420p', CASE WHEN k % 2 = 1 THEN 'Bit Depth=8-bit' END,
+    printf('Duration=%02d:%02d:%02d', (k * 37 // 3600)::INT, (k * 37 % 3600 // 60)::INT, (k * 37 % 60)::INT), CASE WHEN k % 3 = 2 THEN 'Bit Rate=' || (k * 11) || ' kbps' END], lambda x: x IS NOT NULL), 'string_agg', '; ') AS headline FROM d""")
+def headlines(spark, sf):
+    k = F.col("s_suppkey")
+    text = lambda name, value: F.concat(F.lit(f'"{name}": "'), value.cast("string"), F.lit('"'))
+    some = lambda on, name, value: F.when(on, text(name, value))
+    form = F.concat_ws(", ", text("format_name", F.lit("mov")), some(k % 5 > 0, "format_long_name", F.concat(F.lit("Long name "), k)), text("duration", k * 37), some(k % 3 == 2, "bit_rate", k * 11000))
+    ratio = F.when(k % 3 == 0, "16:11").when(k % 3 == 1, "1:1")
+    tags = F.when(k % 4 == 0, F.lit('"tags": {"rotate": "90"}'))
+    video = F.concat_ws(", ", F.lit('"codec_type": "video", "codec_name": "h264", "height": 576, "pix_fmt": "yuv420p"'), F.concat(F.lit('"width": '), (720 + k % 7 * 16).cast("string")), some(k % 2 == 0, "profile", F.lit("High")), some(k % 2 == 1, "bits_per_raw_sample", F.lit(8)), some(ratio.isNotNull(), "sample_aspect_ratio", ratio), text("avg_frame_rate", F.when(k % 6 > 0, F.concat((24000 + k).cast("string"), F.lit("/1001"))).otherwise("0/0")), tags)
+    body = F.concat(F.lit('{"format": {'), form, F.lit('}, "streams": [{"codec_type": "audio"}, {'), video, F.lit("}]}"))
+    found = probes.headline(probes.media(probes.parsed(table(spark, sf, "supplier").select(k.alias("media"), body.alias("body")))))
+    return found.select("media", F.array_join(F.transform("headline", lambda p: F.concat(p["name"], F.lit("="), p["value"])), "; ").alias("headline"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalspark.functions.text import aspect, rate
+from signalspark.functions.text import aspect, hms, rate
 
 #: The part of a probe document that is read.
 PROBE = """struct<
-  format: struct<filename: string, duration: string, format_name: string, tags: map<string, string>>,
-  streams: array<struct<index: int, codec_type: string, codec_name: string, profile: string, width: int, height: int, pix_fmt: string,
+  format: struct<filename: string, duration: string, format_name: string, format_long_name: string, bit_rate: string, tags: map<string, string>>,
+  streams: array<struct<index: int, codec_type: string, codec_name: string, profile: string, width: int, height: int, pix_fmt: string, bits_per_raw_sample: string,
     avg_frame_rate: string, r_frame_rate: string, nb_frames: string, duration: string, sample_aspect_ratio: string, sample_rate: string, channels: int,
     color_transfer: string, color_primaries: string, color_space: string, tags: map<string, string>, side_data_list: array<map<string, string>>>>,
   frames: array<struct<media_type: string, pts_time: string, pkt_pts_time: string, best_effort_timestamp_time: string, side_data_list: array<map<string, string>>>>>"""
@@ -75,6 +75,59 @@ def media(probes: DataFrame) -> DataFrame:
     return out.withColumn("display_width", F.when(across, F.col("height")).otherwise(wide)).withColumn("display_height", F.when(across, wide).otherwise(F.col("height")))
 
 
+def _shared_factor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two numbers under 2**31, by a fold of Euclid's steps."""
+    step = lambda s, _: F.when(s["b"] > 0, F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))).otherwise(s)
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(46)), start, step)["a"]
+
+
+def headline(records: DataFrame) -> DataFrame:
+    """records (with `probe` and the columns of media) plus headline: an array of (name, value), what is known of container,
+    codec, size, shape as shown, rate, pixels, depth, length and bit rate, in this order."""
+    f, v = F.col("probe.format"), _first(F.col("probe.streams"), "video")
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    pair = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.alias("value")))
+    shape = F.when(~v.sample_aspect_ratio.isin("", "1:1", "0:1", "N/A"), F.concat(F.lit("anamorphic SAR "), v.sample_aspect_ratio))
+    turned = F.when(F.col("rotation") != 0, F.concat(F.lit("rotated "), F.col("rotation").cast("string"), F.lit("\u00b0")))
+    extra = F.array_join(F.array_compact(F.array(shape, turned)), ", ")
+    size = F.when(v.width > 0, F.concat(v.width.cast("string"), F.lit("x"), v.height.cast("string"), F.when(extra != "", F.concat(F.lit("  ("), extra, F.lit(")"))).otherwise("")))
+    w, h = F.col("display_width"), F.col("display_height")
+    other = (w != v.width) | (h != v.height)
+    by = _shared_factor(w, h)
+    shown = F.when(other & (h > 0) & (w > 0), F.format_string("%d:%d (%.2f:1, shown %dx%d)", (w / by).cast("int"), (h / by).cast("int"), w / h, w, h))
+    stated = F.coalesce(said(v.avg_frame_rate), said(v.r_frame_rate))
+    over, under = F.split_part(stated, F.lit("/"), F.lit(1)).try_cast("int"), F.split_part(stated, F.lit("/"), F.lit(2)).try_cast("int")
+    fps = F.when(F.contains(stated, F.lit("/")) & (under != 0) & over.isNotNull(), F.format_string("%.3f fps", over / under))
+    codec = F.when(v.isNotNull(), F.concat(F.coalesce(v.codec_name, F.lit("?")), F.coalesce(F.concat(F.lit(" ("), said(v.profile), F.lit(")")), F.lit(""))))
+    seconds, bits = f.duration.try_cast("double"), f.bit_rate.try_cast("double")
+    pairs = [
+        pair("Container", F.coalesce(said(f.format_long_name), said(f.format_name))),
+        pair("Codec", codec),
+        pair("Resolution", size),
+        pair("Display AR", shown),
+        pair("Frame Rate", fps),
+        pair("Pixel Format", said(v.pix_fmt)),
+        pair("Bit Depth", F.concat(said(v.bits_per_raw_sample), F.lit("-bit"))),
+        pair("Duration", F.when(said(f.duration).isNotNull(), F.coalesce(hms(seconds), F.lit("n/a")))),
+        pair("Bit Rate", F.when(bits.isNotNull(), F.format_string("%.0f kbps", bits / 1000))),
+    ]
+    return records.withColumn("headline", F.array_compact(F.array(*pairs)))
+
+
+def hdr_lines(records: DataFrame) -> DataFrame:
+    """records (with the columns of media, hdr_class and declared_light) plus hdr_lines: the dynamic metadata in words."""
+    data = side_data(records)
+    has = lambda pattern: F.exists(data, lambda d: F.coalesce(F.rlike(d["side_data_type"], F.lit(pattern)), F.lit(False)))
+    present = lambda name, on: F.concat(F.lit(name), F.when(on, "present").otherwise("none"))
+    profile = F.concat(F.lit("Dolby Vision: profile "), F.col("dv_profile").cast("string"), F.coalesce(F.concat(F.lit(", base compatibility "), F.col("dv_compat").cast("string")), F.lit("")))
+    cll, fall = F.col("declared_cll"), F.col("declared_fall")
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    light = F.when(cll.isNotNull() | fall.isNotNull(), F.concat(F.lit("MaxCLL/MaxFALL: "), number(cll), F.lit(" / "), number(fall), F.lit(" nits"))).when(has("(?i)content light"), "MaxCLL/MaxFALL: declared, values unknown").otherwise("MaxCLL/MaxFALL: none")
+    lines = (F.coalesce(profile, F.lit("Dolby Vision: none")), present("HDR10+: ", has("(?i)2094-40|hdr10\\+|hdr dynamic metadata")), present("Mastering display: ", has("(?i)mastering display")), light)
+    return records.withColumn("hdr_lines", F.array(*lines))
+
+
 def signal_tags(records: DataFrame) -> DataFrame:
     """records plus signal (pq, hlg, sdr) and gamut (2020, p3, 709)."""
     signal = F.when(F.col("is_pq"), "pq").when(F.col("is_hlg"), "hlg").otherwise("sdr")
