@@ -275,8 +275,8 @@ def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                     columns = [groups.take(pa.array(part[:, 0])), phrase, pa.array(np.full(len(part), size, np.int32)), pa.array(kept.times[a : a + _ROWS])]
                     yield pa.RecordBatch.from_arrays(columns, ["g", "phrase", "size", "f"])
 
-    # a shard has each phrase once, so nothing is combined (and held) before the shuffle
-    return table.mapInArrow(named, "g string, phrase string, size int, f long").repartition(_parts_of(table), "g", "phrase").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
+    # what is frequent stands in most shards, so a task's shards are summed before the shuffle
+    return table.mapInArrow(named, "g string, phrase string, size int, f long").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
 
 
 def _parts_of(table: DataFrame) -> int:
