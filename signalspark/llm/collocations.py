@@ -20,7 +20,6 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +32,9 @@ _SHARD_BYTES, _SHARD_WORDS = 4 << 20, 1 << 17
 
 
 def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
-    """(ids, words, groups, times, hashes): a row for each shard; a word's id is its place in `words`, counted from 1."""
+    """(ids, words, groups, times): a row for each shard; a word's id, in planes of bytes, is its place in `words`, counted from 1.
+
+    Words are in order, so that those beside one another are alike and take less room once they are compressed."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, dict[bytes, int]] = {}
@@ -53,7 +54,7 @@ def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
         if rows:
             yield _shard(rows, codes)
 
-    kinds = "ids binary, words array<binary>, groups array<string>, times array<long>, hashes array<long>"
+    kinds = "ids binary, words array<binary>, groups array<string>, times array<long>"
     return docs.select(F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("und")).alias("g"), utf8(F.col(f"`{text_col}`")).alias("t")).mapInArrow(build, kinds)
 
 
@@ -61,17 +62,15 @@ _BREAK = np.zeros(1, np.int32)
 
 
 def _shard(rows: list[np.ndarray], codes: dict[str, dict[bytes, int]]) -> pa.RecordBatch:
-    ids = np.concatenate(rows)
-    named = [(i, w, g) for g, code in codes.items() for w, i in code.items() if i]
-    named.sort()
-    words, groups = [w for _, w, _ in named], [g for _, _, g in named]
+    named = sorted((g, w, i) for g, code in codes.items() for w, i in code.items() if i)
+    place = np.zeros(len(named) + 1, np.int32)
+    place[[i for _, _, i in named]] = np.arange(1, len(named) + 1)
+    ids = place[np.concatenate(rows)]
     times = np.bincount(ids, minlength=len(named) + 1)[1:]
-    seeds = {g: xxhash.xxh64_intdigest(g.encode()) for g in codes}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seeds[g]) for w, g in zip(words, groups, strict=True)), np.uint64, len(words))
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.RecordBatch.from_arrays(
-        [pa.array([ids.tobytes()], pa.binary()), one(words, pa.binary()), one(groups, pa.string()), one(times, pa.int64()), one(hashes.view(np.int64), pa.int64())],
-        ["ids", "words", "groups", "times", "hashes"],
+        [pa.array([_planes(ids, 4)], pa.binary()), one([w for _, w, _ in named], pa.binary()), one([g for g, _, _ in named], pa.string()), one(times, pa.int64())],
+        ["ids", "words", "groups", "times"],
     )
 
 
@@ -201,7 +200,7 @@ def _enumerated(index: WordIndex, hashes: np.ndarray, maps: list[np.ndarray], mo
         yield phrases
 
 
-_ROWS = 1 << 17
+_ROWS, _WAITING = 1 << 17, 1 << 20
 #: Bits of a hash that are counted. Two phrases of one hash are looked at again, by themselves, so it needn't be longer.
 _BITS = 40
 
@@ -261,34 +260,112 @@ def _frequent_hashes(table: DataFrame, maps: list[np.ndarray], min_count: int) -
     return table.mapInArrow(counted, "part int, h binary, f binary").repartition(n, "part").mapInArrow(frequent, "h long, f long")
 
 
-def _phrase_counts(table: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """(g, phrase, size, f): how often each phrase of two words and more occurs that the bitmaps hold."""
-    sent = table.sparkSession.sparkContext.broadcast(maps)
+def _packed(part: np.ndarray, group: pa.Array, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    """(part, g, n, size, data): a row for each stretch of phrases of one part and group: the compressed n counts and texts."""
+    group = group.dictionary_encode()
+    code = group.indices.to_numpy()
+    cuts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    ends = np.append(cuts[1:], len(part))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cuts, len(part)), pa.int32()), phrase), b"\n")
+    plain = [_planes(times[a:b], 4) + text.as_py() for a, b, text in zip(cuts, ends, texts, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cuts], pa.int32()), group.take(pa.array(cuts)).cast(pa.string()), pa.array(ends - cuts, pa.int32()), pa.array([len(x) for x in plain], pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in plain], pa.binary())],
+        ["part", "g", "n", "size", "data"],
+    )
+
+
+def _sums(tables: list[pa.Table]) -> pa.Table:
+    """(g, phrase, f): the sums of the counts."""
+    sums = pa.concat_tables(tables).group_by(["g", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    return sums.select(["g", "phrase", "f_sum"]).rename_columns(["g", "phrase", "f"])
+
+
+def _summed_texts(rows: DataFrame, n: int, min_count: int) -> DataFrame:
+    """(g, phrase, size, f): packed rows summed by the phrase itself, of those that occur min_count times or more."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, new = [], 0
+        for batch in batches:
+            for g, k, size, data in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "size", "data")), strict=True):
+                plain = pa.decompress(data, size, "zstd", asbytes=True)
+                text = pc.split_pattern(pa.array([plain[4 * k :]], pa.binary()), b"\n").flatten()
+                times = pa.array(_from_planes(plain[: 4 * k], 4).astype(np.int64))
+                waiting.append(pa.table([pa.repeat(pa.scalar(g), k), text, times], ["g", "phrase", "f"]))
+                new += k
+                if new > max(_WAITING, len(waiting[0])):  # the first may be the sums so far
+                    waiting, new = [_sums(waiting)], 0
+        if waiting:
+            found = _sums(waiting)
+            for batch in found.filter(pc.greater_equal(found["f"], min_count)).combine_chunks().to_batches(_ROWS):
+                size = pc.add(pc.count_substring(batch["phrase"], b" "), 1).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([batch["g"], batch["phrase"], size, batch["f"]], ["g", "phrase", "size", "f"])
+
+    return rows.repartition(n, "part").mapInArrow(summed, "g string, phrase binary, size int, f long")
+
+
+_PACKED = "part int, g string, n int, size int, data binary"
+
+
+def _word_counts(table: DataFrame) -> DataFrame:
+    """(g, phrase, size, f): how often each word occurs."""
+    n = _shuffles(table)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, groups, times, hashes in zip(*(batch.column(c) for c in ("words", "groups", "times", "hashes")), strict=True):
+                if len(words):
+                    part = _part(hashes.values.to_numpy().view(np.uint64), n)
+                    order = np.argsort(part, kind="stable")
+                    yield _packed(part[order], groups.values.take(pa.array(order)), words.values.take(pa.array(order)), times.values.to_numpy()[order])
+
+    return _summed_texts(table.select("words", "groups", "times", "hashes").mapInArrow(packed, _PACKED), n, 1)
+
+
+def _part(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+
+
+def _phrase_counts(table: DataFrame, maps: list[np.ndarray], min_count: int) -> DataFrame:
+    """(g, phrase, size, f): how often each phrase of two words and more occurs that the bitmaps hold, of those that occur
+    min_count times or more.
+
+    A shard's phrases go out in order, those of a part compressed in one row; a task sums those of its parts."""
+    sent, n = table.sparkSession.sparkContext.broadcast(maps), _shuffles(table)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = len(sent.value)
+        for index, hashes, words, groups in _indexes(batches, most):
+            word, times, part = [np.zeros((0, most), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for kept in _enumerated(index, hashes, sent.value, most):
+                word.append(np.pad(kept.word, ((0, 0), (0, most - kept.word.shape[1]))))
+                times.append(kept.times)
+                part.append(_part(_phrase_hash(hashes, kept.word), n))
+            word, times, part = map(np.concatenate, (word, times, part))
+            # words are in the order of their groups, so phrases of a part are
+            order = np.lexsort((*word.T[::-1], part))
+            for a in range(0, len(order), _ROWS):
+                chosen = order[a : a + _ROWS]
+                # no word is 0, which stands after the last one: nothing is joined there
+                text = pc.binary_join_element_wise(*(words.take(pa.array(word[chosen, k] - 1, mask=word[chosen, k] == 0)) for k in range(most)), b" ", null_handling="skip")
+                yield _packed(part[chosen], groups.take(pa.array(word[chosen, 0] - 1)), text, times[chosen])
+
+    return _summed_texts(table.mapInArrow(packed, _PACKED), n, min_count)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for index, hashes, words, groups in _indexes(batches, len(sent.value)):
-            for kept in _enumerated(index, hashes, sent.value, len(sent.value)):
-                size = kept.word.shape[1]
-                for a in range(0, len(kept.times), _ROWS):
-                    part = kept.word[a : a + _ROWS] - 1
-                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(part[:, k])) for k in range(size)), b" ").cast(pa.string())
-                    columns = [groups.take(pa.array(part[:, 0])), phrase, pa.array(np.full(len(part), size, np.int32)), pa.array(kept.times[a : a + _ROWS])]
-                    yield pa.RecordBatch.from_arrays(columns, ["g", "phrase", "size", "f"])
 
-    # what is frequent stands in most shards, so a task's shards are summed before the shuffle
-    return table.mapInArrow(named, "g string, phrase string, size int, f long").groupBy("g", "phrase", "size").agg(F.sum("f").alias("f"))
+def _shuffles(table: DataFrame) -> int:
+    return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _parts_of(table: DataFrame) -> int:
     """Three times the partitions of other shuffles: hardly two of a partition's phrases are alike, so what is counted there is large."""
-    return 3 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 3 * _shuffles(table)
 
 
 def _indexes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[WordIndex, np.ndarray, pa.Array, pa.Array]]:
     """For each shard its index, the hashes of its words by id (0 first), the words and their groups."""
     for batch in batches:
         for row in range(batch.num_rows):
-            ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
+            ids = _from_planes(batch.column("ids")[row].as_py(), 4).astype(np.int32)
             hashes = np.concatenate((np.zeros(1, np.int64), batch.column("hashes")[row].values.to_numpy())).view(np.uint64)
             yield WordIndex(ids, depth), hashes, batch.column("words")[row].values, batch.column("groups")[row].values
 
@@ -302,18 +379,17 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "
     """
     if not 32768 <= filter_bits <= 1 << _BITS or filter_bits & filter_bits - 1 or max_words < 2:
         raise ValueError("filter_bits is a power of two from 32768 on, max_words is 2 or more")
-    table = stored(shards(docs, text_col, group_col))
-    each = table.select(F.explode(F.arrays_zip("groups", "words", "times", "hashes")).alias("w"))
-    words = stored(each.groupBy(F.col("w.groups").alias("g"), F.col("w.words").alias("word"), F.col("w.hashes").alias("h")).agg(F.sum("w.times").alias("f")))
+    # hashes are worked out where they are needed: kept, they would be a quarter of the table
+    table = stored(shards(docs, text_col, group_col), "zstd").withColumn("hashes", F.zip_with("groups", "words", lambda g, w: F.xxhash64(g, w)))
+    words = stored(_word_counts(table), "zstd")
     total = words.groupBy("g").agg(F.sum("f").alias("n"))
-    frequent = F.col("f") >= min_count
-    one = words.filter(frequent).select("g", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("size"), "f")
+    one = words.filter(F.col("f") >= min_count)
     index = table.select("ids", "hashes", "words", "groups")
-    maps = [_bitmap(words.filter(frequent), filter_bits)]
+    maps = [_bitmap(one.select(F.xxhash64("g", "phrase").alias("h")), filter_bits)]
     while len(maps) < max_words:
         maps.append(_bitmap(_frequent_hashes(index, maps, min_count), filter_bits))
-    more = _phrase_counts(index, maps).filter(frequent)
-    return stored(one.unionByName(more)), total
+    counts = one.unionByName(_phrase_counts(index, maps, min_count))
+    return stored(counts.withColumn("phrase", F.col("phrase").cast("string"))), total
 
 
 def _parts(phrase: Column, first: Column | int, size: Column | int) -> Column:

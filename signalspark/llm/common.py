@@ -48,11 +48,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df, computed once, as a parquet table in the shared checkpoint folder: compressed, without lineage, and with
     the size that it has. (A checkpoint() keeps the estimate of its plan, which grows from round to round of a loop.)"""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,11 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,35 @@ def test_hashes_as_planes_and_sums():
     assert module._from_planes(module._planes(values, 5), 5).tolist() == values.tolist()
     h, f = module._summed(np.array([5, 3, 5, 0], np.uint64), np.array([1, 2, 3, 4], np.uint64))
     assert (h.tolist(), f.tolist()) == ([0, 3, 5], [4, 2, 4]) and len(module._summed(values[:0], values[:0])[0]) == 0
+
+
+def test_what_is_stored_is_smaller_than_half_the_text(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(20_000)])
+    rows = [("en", " ".join(words[(20_000 * rng.random(200) ** 6).astype(int)])) for _ in range(4_000)]
+    sizes, kept = [], module.stored
+
+    def stored(*a):
+        out = kept(*a)
+        sizes.append(sum(os.path.getsize(unquote(urlparse(f).path)) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "stored", stored)
+    phrase_counts(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert sum(sizes) < sum(len(t) for _, t in rows) / 2
+
+
+def test_phrases_go_out_in_less_than_half_their_bytes():
+    phrases = sorted(f"{a} {b} {c}".encode() for a in ("the", "river") for b in ("long", "stone", "x-ray") for c in range(500))
+    part, group = np.repeat(np.arange(5, dtype=np.int32), 600), pa.array(["de"] * 1500 + ["en"] * 1500)
+    batch = module._packed(part, group, pa.array(phrases, pa.binary()), np.arange(3000) % 7 + 1)
+    assert [(r["part"], r["g"], r["n"]) for r in batch.to_pylist()] == [(0, "de", 600), (1, "de", 600), (2, "de", 300), (2, "en", 300), (3, "en", 600), (4, "en", 600)]
+    assert sum(map(len, batch.column("data").to_pylist())) < sum(map(len, phrases)) / 2
+
+
+def test_sums_in_many_steps_and_parts(spark, monkeypatch):
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    for name, value in (("_SHARD_BYTES", 900), ("_WAITING", 3), ("_ROWS", 5)):
+        monkeypatch.setattr(module, name, value)
+    assert found(collocations(df)) == plain(rows)
