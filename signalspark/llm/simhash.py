@@ -87,7 +87,8 @@ def candidates(fps: DataFrame, *, max_bits: int, segments: int, crowd: int) -> t
     crowded = stored(sizes.filter(F.col("n") > crowd).select("segment", "value"))
     asked = _asked(fps, max_bits, segments)
     key = ["segment", "value"]
-    fetched = asked.withColumnRenamed("fp", "x").join(filed.join(crowded, key, "left_anti").withColumnRenamed("fp", "y"), key).filter("x != y").select("x", "y")
+    # Spark sizes a table before it is exploded, so without the hint it broadcasts what is dozens of times as large
+    fetched = asked.withColumnRenamed("fp", "x").hint("shuffle_merge").join(filed.join(crowded, key, "left_anti").withColumnRenamed("fp", "y"), key).filter("x != y").select("x", "y")
     if crowded.isEmpty():
         return fetched, fps.limit(0)
     return fetched, asked.join(crowded, key, "left_semi").select("fp").unionByName(filed.join(crowded, key, "left_semi").select("fp")).distinct()
@@ -103,7 +104,7 @@ def _meetings(fps: DataFrame, max_bits: int) -> DataFrame:
     flips = F.explode(F.lit(_ball(range(64), far))).alias("flip")
     met = fps.select("fp", flips).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"), "fp", (F.bit_count("flip") <= near).alias("near")).repartition("centre")
     hub = met.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("x"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("x").isNotNull())
-    return met.join(hub.select("centre", "x"), "centre").filter(F.col("fp") != F.col("x")).select("x", F.col("fp").alias("y"))
+    return met.join(hub.select("centre", "x").hint("shuffle_merge"), "centre").filter(F.col("fp") != F.col("x")).select("x", F.col("fp").alias("y"))
 
 
 def links(fps: DataFrame, *, max_bits: int = 2, segments: int = 2, crowd: int = 8) -> DataFrame:

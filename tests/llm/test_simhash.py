@@ -4,7 +4,8 @@ import re
 import xxhash
 from cases import frame, lowered, texts
 
-from signalspark.llm.simhash import candidates, components, fingerprint_bytes, keep_one, links, near_duplicates
+from signalspark.llm.common import stored
+from signalspark.llm.simhash import _meetings, candidates, components, fingerprint_bytes, keep_one, links, near_duplicates
 
 
 def plain_fingerprint(text, size=3):
@@ -132,3 +133,26 @@ def test_components_of_random_graphs(spark):
     root = groups({n for e in edges for n in e}, lambda a, b: frozenset((a, b)) in linked)
     assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def broadcast_explodes(df):
+    """Whether the plan broadcasts what it explodes, which Spark sizes too low."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    depth = None
+    for line in df._jdf.queryExecution().explainString(mode).splitlines():
+        at = re.search(r"[A-Za-z]", line)
+        if depth is not None and at and at.start() <= depth:
+            depth = None
+        if depth is not None and "Generate explode" in line:
+            return True
+        if depth is None and at and "BroadcastExchange" in line:
+            depth = at.start()
+    return False
+
+
+def test_what_lookups_ask_for_is_not_broadcast(spark):
+    """Under Spark's own broadcast limit: a small file of fingerprints asks for 33 values each, and has 65 centres."""
+    rng = random.Random(8)
+    fps = stored(spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(500)], "fp long"))
+    fetched, _ = candidates(fps, max_bits=2, segments=2, crowd=8)
+    assert not any(broadcast_explodes(df) for df in (fetched, _meetings(fps, 2), links(fps)))
