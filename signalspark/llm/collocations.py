@@ -29,6 +29,8 @@ from .common import mixed, stored, utf8
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 #: A shard ends with the text that fills it: bytes of text, and distinct words.
 _SHARD_BYTES, _SHARD_WORDS = 4 << 20, 1 << 17
+#: Shards for each part of what is counted, at most.
+_PART_SHARDS = 4
 
 
 def shards(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
@@ -224,12 +226,12 @@ def _summed(h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(f, first) if len(first) else f
 
 
-def _frequent_hashes(table: DataFrame, maps: list[np.ndarray], min_count: int) -> DataFrame:
+def _frequent_hashes(table: DataFrame, maps: list[np.ndarray], min_count: int, n: int) -> DataFrame:
     """(h, f): the hashes of phrases one word longer than there are bitmaps that occur min_count times or more.
 
     A shard's hashes go out in order, as differences, a row for each range of hashes; a task sums those of its ranges.
     """
-    sent, n = table.sparkSession.sparkContext.broadcast(maps), _parts_of(table)
+    sent, n = table.sparkSession.sparkContext.broadcast(maps), 3 * n  # hardly two of a shard's phrases are alike, so what is counted is large
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.array([(k << _BITS) // n for k in range(1, n)], np.uint64)
@@ -257,7 +259,7 @@ def _frequent_hashes(table: DataFrame, maps: list[np.ndarray], min_count: int) -
         often = f >= min_count
         yield pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(f[often].astype(np.int64))], ["h", "f"])
 
-    return table.mapInArrow(counted, "part int, h binary, f binary").repartition(n, "part").mapInArrow(frequent, "h long, f long")
+    return table.mapInArrow(counted, "part int, h binary, f binary").repartitionById(n, "part").mapInArrow(frequent, "h long, f long")
 
 
 def _packed(part: np.ndarray, group: pa.Array, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
@@ -300,15 +302,14 @@ def _summed_texts(rows: DataFrame, n: int, min_count: int) -> DataFrame:
                 size = pc.add(pc.count_substring(batch["phrase"], b" "), 1).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([batch["g"], batch["phrase"], size, batch["f"]], ["g", "phrase", "size", "f"])
 
-    return rows.repartition(n, "part").mapInArrow(summed, "g string, phrase binary, size int, f long")
+    return rows.repartitionById(n, "part").mapInArrow(summed, "g string, phrase binary, size int, f long")
 
 
 _PACKED = "part int, g string, n int, size int, data binary"
 
 
-def _word_counts(table: DataFrame) -> DataFrame:
+def _word_counts(table: DataFrame, n: int) -> DataFrame:
     """(g, phrase, size, f): how often each word occurs."""
-    n = _shuffles(table)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,12 +326,12 @@ def _part(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
 
-def _phrase_counts(table: DataFrame, maps: list[np.ndarray], min_count: int) -> DataFrame:
+def _phrase_counts(table: DataFrame, maps: list[np.ndarray], min_count: int, n: int) -> DataFrame:
     """(g, phrase, size, f): how often each phrase of two words and more occurs that the bitmaps hold, of those that occur
     min_count times or more.
 
     A shard's phrases go out in order, those of a part compressed in one row; a task sums those of its parts."""
-    sent, n = table.sparkSession.sparkContext.broadcast(maps), _shuffles(table)
+    sent = table.sparkSession.sparkContext.broadcast(maps)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = len(sent.value)
@@ -352,13 +353,10 @@ def _phrase_counts(table: DataFrame, maps: list[np.ndarray], min_count: int) ->
     return _summed_texts(table.mapInArrow(packed, _PACKED), n, min_count)
 
 
-def _shuffles(table: DataFrame) -> int:
-    return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _parts_of(table: DataFrame) -> int:
-    """Three times the partitions of other shuffles: hardly two of a partition's phrases are alike, so what is counted there is large."""
-    return 3 * _shuffles(table)
+    """How many parts what is counted is dealt to, a partition each: the partitions of other shuffles, or one for each
+    _PART_SHARDS shards where that is more, so that what a task holds doesn't grow with the table."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // _PART_SHARDS))
 
 
 def _indexes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[WordIndex, np.ndarray, pa.Array, pa.Array]]:
@@ -381,14 +379,15 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", group_col: str = "
         raise ValueError("filter_bits is a power of two from 32768 on, max_words is 2 or more")
     # hashes are worked out where they are needed: kept, they would be a quarter of the table
     table = stored(shards(docs, text_col, group_col), "zstd").withColumn("hashes", F.zip_with("groups", "words", lambda g, w: F.xxhash64(g, w)))
-    words = stored(_word_counts(table), "zstd")
+    parts = _parts_of(table)
+    words = stored(_word_counts(table, parts), "zstd")
     total = words.groupBy("g").agg(F.sum("f").alias("n"))
     one = words.filter(F.col("f") >= min_count)
     index = table.select("ids", "hashes", "words", "groups")
     maps = [_bitmap(one.select(F.xxhash64("g", "phrase").alias("h")), filter_bits)]
     while len(maps) < max_words:
-        maps.append(_bitmap(_frequent_hashes(index, maps, min_count), filter_bits))
-    counts = one.unionByName(_phrase_counts(index, maps, min_count))
+        maps.append(_bitmap(_frequent_hashes(index, maps, min_count, parts), filter_bits))
+    counts = one.unionByName(_phrase_counts(index, maps, min_count, parts))
     return stored(counts.withColumn("phrase", F.col("phrase").cast("string"))), total
 
 

@@ -143,3 +143,14 @@ def test_sums_in_many_steps_and_parts(spark, monkeypatch):
     for name, value in (("_SHARD_BYTES", 900), ("_WAITING", 3), ("_ROWS", 5)):
         monkeypatch.setattr(module, name, value)
     assert found(collocations(df)) == plain(rows)
+
+
+def test_a_task_counts_one_part_and_parts_follow_the_shards(spark, monkeypatch):
+    """Whatever the session's shuffle partitions are: a part for four shards at most, each in a partition of its own."""
+    monkeypatch.setattr(module, "_SHARD_BYTES", 300)
+    table = shards(frame(spark, [(i, " ".join(f"w{i * 50 + k}" for k in range(50))) for i in range(60)]), "text", "lang").withColumn("hashes", F.zip_with("groups", "words", lambda g, w: F.xxhash64(g, w)))
+    n = module._parts_of(table)
+    assert n >= table.count() / 4 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = module._word_counts(table, n).select(F.xxhash64("g", "phrase").alias("h"), F.spark_partition_id().alias("p")).collect()
+    part = module._part(np.array([r.h for r in rows], np.int64).view(np.uint64), n)
+    assert len(rows) == 3000 and part.tolist() == [r.p for r in rows]
