@@ -184,6 +184,8 @@ def frame_time(frame: Column) -> Column:
 
 # ---- logs: one line a row, (keys, line_no, line)
 
+#: A number as tools write it, small ones with an exponent.
+NUMBER = r"[-\d.]+(?:[eE][-+]?\d+)?"
 METRICS = ("YMIN", "YAVG", "YMAX", "UAVG", "VAVG", "SATAVG", "SATMAX", "HUEMED", "HUEAVG", "YDIF", "TOUT", "VREP", "BRNG")
 
 
@@ -217,7 +219,7 @@ def loudness_series(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, M, S) of `pts_time:` heads and `lavfi.r128.M=` lines."""
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     at = F.regexp_extract("line", r"pts_time:\s*([-\d.]+)", 1).try_cast("double")
-    value = lambda k: F.regexp_extract("line", rf"r128\.{k}=(-?inf|[-\d.]+)", 1)
+    value = lambda k: F.regexp_extract("line", rf"r128\.{k}=(-?inf|{NUMBER})", 1)
     number = lambda k: F.when(value(k) == "-inf", F.lit(float("-inf"))).otherwise(value(k).try_cast("double"))
     timed = lines.withColumn("t", F.last(at, ignorenulls=True).over(w)).filter("t IS NOT NULL")
     return timed.groupBy(*keys, "t").agg(F.max(number("M")).alias("M"), F.max(number("S")).alias("S")).filter("M IS NOT NULL OR S IS NOT NULL")
@@ -227,7 +229,7 @@ def loudness_summary(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts plus integrated_lufs, lra_lu, threshold_lufs and true_peak_dbfs of a summary; -inf is a value."""
 
     def number(pattern: str) -> Column:
-        found = F.regexp_extract(text, pattern + r":\s*(-?inf|[-\d.]+)", 1)
+        found = F.regexp_extract(text, pattern + rf":\s*(-?inf|{NUMBER})", 1)
         return F.when(found == "-inf", F.lit(float("-inf"))).otherwise(found.try_cast("double"))
 
     return texts.withColumn("integrated_lufs", number(r"\bI")).withColumn("lra_lu", number("LRA")).withColumn("threshold_lufs", number("Threshold")).withColumn("true_peak_dbfs", number("Peak"))
