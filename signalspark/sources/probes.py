@@ -244,12 +244,12 @@ def packet_log(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def psnr_log(lines: DataFrame, keys: list[str]) -> DataFrame:
-    number = F.regexp_extract("line", r"psnr_avg:(inf|[-\d.]+)", 1)
+    number = F.regexp_extract("line", rf"psnr_avg:(inf|{NUMBER})", 1)
     return lines.select(*keys, F.regexp_extract("line", r"\bn:(\d+)", 1).try_cast("long").alias("n"), F.when(number == "inf", F.lit(float("inf"))).otherwise(number.try_cast("double")).alias("psnr")).filter("psnr IS NOT NULL")
 
 
 def ssim_log(lines: DataFrame, keys: list[str]) -> DataFrame:
-    return lines.select(*keys, F.regexp_extract("line", r"\bn:(\d+)", 1).try_cast("long").alias("n"), F.regexp_extract("line", r"All:([-\d.]+)", 1).try_cast("double").alias("ssim")).filter("ssim IS NOT NULL")
+    return lines.select(*keys, F.regexp_extract("line", r"\bn:(\d+)", 1).try_cast("long").alias("n"), F.regexp_extract("line", rf"All:({NUMBER})", 1).try_cast("double").alias("ssim")).filter("ssim IS NOT NULL")
 
 
 # ---- captions
@@ -277,7 +277,7 @@ def sidecars(media: DataFrame, files: DataFrame, path: str = "path") -> DataFram
 
 def xpsnr_log(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_no, xpsnr): luma values of a log, one line a frame."""
-    number = F.regexp_extract("line", r"\by:\s*(inf|[-\d.]+)", 1)
+    number = F.regexp_extract("line", rf"\by:\s*(inf|{NUMBER})", 1)
     return lines.select(*keys, "line_no", F.when(number == "inf", F.lit(float("inf"))).otherwise(number.try_cast("double")).alias("xpsnr")).filter("xpsnr IS NOT NULL")
 
 

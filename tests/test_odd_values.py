@@ -37,3 +37,7 @@ TINY = "SELECT * REPLACE (value / 10000000 AS value) FROM old_events"
 
 def test_loudness_with_an_exponent(agrees):
     assert agrees("loudness_log", events=TINY)
+
+
+def test_quality_with_an_exponent(agrees):
+    assert agrees("quality_logs", events=TINY)
