@@ -222,7 +222,8 @@ def flash_rate(frames: DataFrame, keys: list[str], value: str, swing: float, fps
 
 
 def flash_risk(frames: DataFrame, keys: list[str], luma: str, bits: str, jump: float = 40.0) -> DataFrame:
-    """Frames whose mean luma leaps by `jump` of 255, scaled to the bit depth."""
+    """Frames whose mean luma leaps by `jump` of 255, scaled to the bit depth. The leap has six decimals, and it is these that
+    reach the jump or don't: a difference such as 60.1 - 20.1 lies a little beside its own value."""
     w = along(keys, ["frame"])
-    leap = frames.withColumn("leap", F.abs(F.col(luma) - F.lag(luma).over(w)))
+    leap = frames.withColumn("leap", F.round(F.abs(F.col(luma) - F.lag(luma).over(w)) * 1e6) / 1e6)
     return leap.filter(F.col("leap") >= jump * (F.pow(F.lit(2.0), F.col(bits)) - 1) / 255)

@@ -45,3 +45,8 @@ def test_quality_with_an_exponent(agrees):
 
 def test_entropy_of_an_empty_text(agrees):
     assert agrees("entropy_chars", documents="SELECT * REPLACE (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text END AS text) FROM old_documents")
+
+
+def test_a_leap_that_is_the_limit_but_for_its_last_bits(agrees):
+    """Leaps of forty between values with two decimals."""
+    assert agrees("flash_risk", events="SELECT * REPLACE ((2400 + event_id // 2 % 1000 + event_id % 2 * 4000) / 100.0::DOUBLE AS value, event_id // 2 AS user_id) FROM old_events")
