@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hms(seconds: Column) -> Column:
-    """HH:MM:SS, wrapped at a day; n/a if negative, missing or over a hundred years."""
-    s = F.floor(seconds) % 86400
+def hms(seconds: Column, wrapped: bool = True) -> Column:
+    """HH:MM:SS, wrapped at a day unless told otherwise; n/a if negative, missing or over a hundred years."""
+    s = F.floor(seconds) % 86400 if wrapped else F.floor(seconds)
     text = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
     return F.when((seconds >= 0) & (seconds <= 100 * 365.25 * 86400), text).otherwise("n/a")
 

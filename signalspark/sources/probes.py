@@ -109,7 +109,7 @@ def headline(records: DataFrame) -> DataFrame:
         pair("Frame Rate", fps),
         pair("Pixel Format", said(v.pix_fmt)),
         pair("Bit Depth", F.concat(said(v.bits_per_raw_sample), F.lit("-bit"))),
-        pair("Duration", F.when(said(f.duration).isNotNull(), F.coalesce(hms(seconds), F.lit("n/a")))),
+        pair("Duration", F.when(said(f.duration).isNotNull(), F.coalesce(hms(seconds, wrapped=False), F.lit("n/a")))),
         pair("Bit Rate", F.when(bits.isNotNull(), F.format_string("%.0f kbps", bits / 1000))),
     ]
     return records.withColumn("headline", F.array_compact(F.array(*pairs)))

@@ -50,3 +50,7 @@ def test_entropy_of_an_empty_text(agrees):
 def test_a_leap_that_is_the_limit_but_for_its_last_bits(agrees):
     """Leaps of forty between values with two decimals."""
     assert agrees("flash_risk", events="SELECT * REPLACE ((2400 + event_id // 2 % 1000 + event_id % 2 * 4000) / 100.0::DOUBLE AS value, event_id // 2 AS user_id) FROM old_events")
+
+
+def test_headline_of_more_than_a_day(agrees):
+    assert agrees("headlines", supplier="SELECT * REPLACE (s_suppkey * 997 AS s_suppkey) FROM old_supplier")
