@@ -1001,11 +1001,13 @@ def mkv_elements(spark, sf):
 def encoder_marks(spark, sf):
     k = F.col("s_suppkey")
     settings = F.when(k % 3 > 0, F.concat(F.lit("x264 - core "), k.cast("string"), F.lit(" crf="), F.repeat(F.lit("9"), (k * 20).cast("int")), F.lit("\0\0"))).otherwise("")
-    body = F.concat(F.lit(b"\0\xff\1"), F.encode(settings, "UTF-8"), F.when(k % 2 == 0, F.lit(b"Lavf60.1")).otherwise(F.lit(b"")), F.when(k % 7 == 0, F.lit(b"DJI Air")).otherwise(F.lit(b"")), _zeros(5000), F.when(k % 5 == 0, F.lit(b"jumb....c2pa")).otherwise(F.lit(b"")))
-    files = table(spark, sf, "supplier").select(k.alias("media"), containers.latin1(body, 4096, 64).alias("text"))
-    named = lambda df, marks: containers.marker_scan(df, "text", marks)
+    body = F.concat(F.lit(b"\0\xff\1"), settings.cast("binary"), F.when(k % 2 == 0, F.lit(b"Lavf60.1")).otherwise(F.lit(b"")), F.when(k % 7 == 0, F.lit(b"DJI Air")).otherwise(F.lit(b"")), _zeros(5000), F.when(k % 5 == 0, F.lit(b"jumb....c2pa")).otherwise(F.lit(b"")))
+    # files grow with their number, and a small table of them is one partition
+    rows = table(spark, sf, "supplier").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    files = rows.select(k.alias("media"), body.alias("content"), containers.settings_of(containers.latin1(body)).alias("settings"))
+    named = lambda df, marks: containers.marker_scan(df, "content", marks)
     out = named(files, containers.ENCODERS).withColumnRenamed("found", "encoders")
-    return named(out, containers.CREDENTIALS).select("media", F.substring(containers.settings_of(F.col("text")), 1, 911).alias("settings"), F.array_join("encoders", ",").alias("encoders"), F.array_join("found", ",").alias("marks"))
+    return named(out, containers.CREDENTIALS).select("media", F.substring("settings", 1, 911).alias("settings"), F.array_join("encoders", ",").alias("encoders"), F.array_join("found", ",").alias("marks"))
 
 
 @query(f"""WITH {_CELLS}, n AS (SELECT media, max(frame) + 1 AS n FROM c GROUP BY media), p AS (SELECT DISTINCT media, floor(n * (i + 1.0::DOUBLE) / 6)::BIGINT AS frame FROM n, range(5) t(i)),

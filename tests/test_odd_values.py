@@ -54,3 +54,7 @@ def test_a_leap_that_is_the_limit_but_for_its_last_bits(agrees):
 
 def test_headline_of_more_than_a_day(agrees):
     assert agrees("headlines", supplier="SELECT * REPLACE (s_suppkey * 997 AS s_suppkey) FROM old_supplier")
+
+
+def test_encoder_marks_behind_long_settings(agrees):
+    assert agrees("encoder_marks", supplier="SELECT * REPLACE (s_suppkey * 97 AS s_suppkey) FROM old_supplier")
