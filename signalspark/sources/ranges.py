@@ -55,11 +55,15 @@ class _Ranges(DataSourceReader):
         self.paths = [p for p in options.get("path", "").split("\n") if p]
         self.size, self.overlap = int(options.get("size", 8 << 20)), int(options.get("overlap", 64))
         self.stretch = max(self.size, int(options.get("stretch", 256 << 20)) // self.size * self.size)
-        if self.size < 1 or self.overlap < 0:
-            raise ValueError("size is 1 or more, overlap 0 or more")
+        self.most = int(options.get("most", 2000))
+        if self.size < 1 or self.overlap < 0 or self.most < 1:
+            raise ValueError("size and most are 1 or more, overlap 0 or more")
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Stretch(path, a, min(a + self.stretch, n), n) for path, n in listed(self.paths) for a in range(0, n, self.stretch)] or [Stretch("", 0, 0, 0)]
+        files = listed(self.paths)
+        # the driver keeps something of every task, so of many stretches longer ones are made; a piece stays as long as it is
+        stretch = max(self.stretch, -(-sum(n for _, n in files) // (max(1, self.most - len(files)) * self.size)) * self.size)
+        return [Stretch(path, a, min(a + stretch, n), n) for path, n in files for a in range(0, n, stretch)] or [Stretch("", 0, 0, 0)]
 
     def pieces(self, part: Stretch) -> Iterator[tuple[int, int, bytes]]:
         """(start, own, bytes): pieces in order, each with bytes that the next one owns, `overlap` at most."""
@@ -102,8 +106,8 @@ def places(data: bytes, sign: bytes, own: int) -> Iterator[int]:
 
 
 class ByteRanges(DataSource):
-    """Format `byte_ranges`: (path, length, start, own, content). Options: path (several: a line each), size, overlap, and
-    stretch, the bytes of a partition."""
+    """Format `byte_ranges`: (path, length, start, own, content). Options: path (several: a line each), size, overlap,
+    stretch, the bytes of a partition, and most, how many partitions there are (one for each file at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,12 +140,12 @@ def _loaded(spark: SparkSession, source: type[DataSource], paths: str | Sequence
     return spark.read.format(source.name()).options(**options).option("path", "\n".join(given)).load()
 
 
-def byte_ranges(spark: SparkSession, paths: str | Sequence[str], *, size: int = 8 << 20, overlap: int = 64, stretch: int = 256 << 20) -> DataFrame:
+def byte_ranges(spark: SparkSession, paths: str | Sequence[str], *, size: int = 8 << 20, overlap: int = 64, stretch: int = 256 << 20, most: int = 2000) -> DataFrame:
     """(path, length, start, own, content): the files in pieces of `size` bytes, each followed by up to `overlap` bytes of
     the next; the first `own` bytes of the content are the piece's. An empty file has no piece."""
-    return _loaded(spark, ByteRanges, paths, {"size": size, "overlap": overlap, "stretch": stretch})
+    return _loaded(spark, ByteRanges, paths, {"size": size, "overlap": overlap, "stretch": stretch, "most": most})
 
 
-def signature_hits(spark: SparkSession, paths: str | Sequence[str], *, size: int = 8 << 20, stretch: int = 256 << 20) -> DataFrame:
+def signature_hits(spark: SparkSession, paths: str | Sequence[str], *, size: int = 8 << 20, stretch: int = 256 << 20, most: int = 2000) -> DataFrame:
     """(path, format, offset): every place with the signature of an embedded format, once, in files of any size."""
-    return _loaded(spark, SignatureHits, paths, {"size": size, "stretch": stretch})
+    return _loaded(spark, SignatureHits, paths, {"size": size, "stretch": stretch, "most": most})

@@ -47,6 +47,16 @@ def test_partitions_are_ranges(spark, tmp_path):
     assert byte_ranges(spark, str(tmp_path), size=100, stretch=10**6).rdd.getNumPartitions() == 1
 
 
+def test_partitions_are_no_more_than_asked_for(spark, tmp_path):
+    data = bytes(500) + b"PK\x03\x04" + bytes(996)
+    written(tmp_path, {"a": data, "b": data})
+    rows = byte_ranges(spark, str(tmp_path), size=10, overlap=0, stretch=20, most=12)
+    assert rows.rdd.getNumPartitions() == 10  # of 300 bytes in place of 20
+    assert {len(r.content) for r in rows.collect()} == {10}
+    assert sorted(r.offset for r in signature_hits(spark, str(tmp_path), size=10, stretch=20, most=12).collect()) == [500, 500]
+    assert byte_ranges(spark, str(tmp_path), size=1, stretch=1).rdd.getNumPartitions() <= 2000 < 2 * len(data)
+
+
 def test_a_file_over_two_gigabytes(spark, tmp_path):
     at = (1 << 31) + 12_345
     with open(f"{tmp_path}/sparse.bin", "wb") as f:
