@@ -33,10 +33,10 @@ def sync(cues: DataFrame, speech: DataFrame, keys: list[str], within: float = 2.
     return spread.withColumn("systematic", (F.abs("offset") > 0.30) & (F.col("spread") < 0.45))
 
 
-def summary(cues: DataFrame, speech: DataFrame, durations: DataFrame, keys: list[str], width: float = 30.0) -> DataFrame:
+def summary(cues: DataFrame, speech: DataFrame, durations: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each media: counts of flags, coverage in percent, and the synchrony."""
     flags = cue_checks(cues, keys, durations).groupBy(*keys).agg(F.count(F.lit(1)).alias("cues"), *(F.count_if(f).alias(f) for f in ("fast", "brief", "tall_or_wide", "overlaps", "beyond_end")))
-    covered = coverage(speech, cues, keys, width).select(*keys, (100 * F.col("share")).alias("coverage_pct"))
+    covered = coverage(speech, cues, keys).select(*keys, (100 * F.col("share")).alias("coverage_pct"))
     return durations.join(flags, keys, "left").join(covered, keys, "left").join(sync(cues, speech, keys), keys, "left")
 
 

@@ -47,11 +47,23 @@ def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> Da
     return asked.join(filed, [*keys, "_power", "_bucket"]).filter((F.col("begin") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_power", "_bucket")
 
 
-def coverage(spans: DataFrame, covers: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """(keys, total, covered, share): how much of the spans the covers overlap; covers that overlap count twice."""
-    total = spans.groupBy(*keys).agg(F.sum(F.col("t1") - F.col("t0")).alias("total"))
-    covered = overlaps(spans, covers, keys, width).groupBy(*keys).agg(F.sum("shared").alias("covered"))
-    return total.join(covered, keys, "left").select(*keys, "total", F.coalesce("covered", F.lit(0.0)).alias("covered")).withColumn("share", F.try_divide(F.col("covered"), F.col("total")))
+def coverage(spans: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, covered, share): how much of the spans the covers overlap; covers that overlap count twice.
+
+    One pass over the ends of both in order: between two ends next to one another the open spans times the open covers
+    overlap. No pairs are made, however long or many they are.
+    """
+    true = F.coalesce(F.col("t1") > F.col("t0"), F.lit(False))
+    end = lambda t, a, b, own: F.struct(F.when(true, t).alias("t"), F.when(true, F.lit(a)).otherwise(0).alias("a"), F.when(true, F.lit(b)).otherwise(0).alias("b"), own.alias("own"))
+    none, t0, t1 = F.lit(None).cast("double"), F.col("t0"), F.col("t1")
+    first = spans.select(*keys, F.explode(F.array(end(t0, 1, 0, (t1 - t0).cast("double")), end(t1, -1, 0, none))).alias("e"), F.lit(True).alias("_span"))
+    second = covers.select(*keys, F.explode(F.array(end(t0, 0, 1, none), end(t1, 0, -1, none))).alias("e"), F.lit(False).alias("_span"))
+    w = along(keys, ["_t"])
+    ends = first.unionByName(second).select(*keys, F.col("e.t").alias("_t"), "e.a", "e.b", "e.own", "_span")
+    open_now = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    shared = ends.withColumn("_shared", open_now("a") * open_now("b") * (F.lead("_t").over(w) - F.col("_t")))
+    summed = shared.groupBy(*keys).agg(F.sum("own").alias("total"), F.coalesce(F.sum("_shared"), F.lit(0.0)).alias("covered"), F.bool_or("_span").alias("_span")).filter("_span")
+    return summed.select(*keys, "total", "covered", F.try_divide(F.col("covered"), F.col("total")).alias("share"))
 
 
 def nearest(a: DataFrame, b: DataFrame, keys: list[str], within: float) -> DataFrame:

@@ -256,6 +256,18 @@ def test_greedy_picks_leave_out_unknown_times(spark):
     assert sorted(r.t for r in series.best_first(df, K, "t", "s", 5.0, 9).collect()) == [0.0, 10.0, 20.0, 30.0]
 
 
+def test_coverage_of_long_and_odd_intervals(spark):
+    """Without buckets, so a span of any length is two ends: every pair's overlap, repeated ones too."""
+    rng = random.Random(9)
+    spans, covers = ([(m, float(a), float(a + rng.choice([-3, 0, 1, 9, 10**12]))) for m in (1, 2) for a in rng.choices(range(60), k=40)] for _ in range(2))
+    spans += [(3, 5.0, 6.0), (3, None, 6.0), (4, None, None)]
+    covers += [(3, None, 9.0), (9, 0.0, 1.0)]
+    make = lambda rows: spark.createDataFrame(rows, "media int, t0 double, t1 double")
+    got = {r.media: (r.total, r.covered) for r in joins.coverage(make(spans), make(covers), K).collect()}
+    shared = lambda m: sum(max(0.0, min(b, d) - max(a, c)) for k, a, b in spans for q, c, d in covers if k == q == m and a < b and c < d)
+    assert got == {m: (sum(b - a for k, a, b in spans if k == m), shared(m)) for m in (1, 2)} | {3: (1.0, 0.0), 4: (None, 0.0)}
+
+
 def test_hash_pairs_match_brute_force(spark):
     rng = random.Random(3)
     rows = []
