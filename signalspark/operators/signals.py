@@ -6,8 +6,11 @@ and the series over blocks is a window. Only the transforms are NumPy; threshold
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,21 +178,55 @@ def music_cuts(features: DataFrame, keys: list[str], hop_s: float, least: float
     return best_first(scored, keys, "t", "score", 0.35, 12)
 
 
+#: Passages that go to a task together.
+_TILE = 1024
+
+
 def reused(features: DataFrame, keys: list[str], cuts: DataFrame, hop_s: float, span_s: float = 3.0, away_s: float = 6.0) -> DataFrame:
-    """(keys, t, source, likeness): for the passage after each cut (20 at most a series) its likest earlier passage.
+    """(keys, t, source, likeness): for the passage after each cut its likest earlier passage, of equally like ones the first.
 
-    A passage is its blocks' spectra in 24 bands; cosines come from sums over pairs of blocks at one distance, so only
-    cuts times blocks are compared.
+    A passage is its blocks' spectra in bands, all blocks there and all bands known. All cuts are compared with all
+    passages before them, so the work is their product: tiles of passages meet, a pair of tiles a row, and a task holds
+    the likenesses of one pair.
     """
-    n = round(span_s / hop_s)
-    after = cuts.select(*keys, F.rint(F.col("t") / hop_s).cast("long").alias("start")).distinct()
-    a = features.join(after, keys).filter((F.col("block") >= F.col("start")) & (F.col("block") < F.col("start") + n)).select(*keys, "start", (F.col("block") - F.col("start")).alias("k"), F.col("bands").alias("u"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    b = features.select(*keys, F.col("block").alias("at"), F.col("bands").alias("v"))
-    met = a.join(b, keys).withColumn("source", F.col("at") - F.col("k")).filter((F.col("source") >= 0) & (F.col("source") <= F.col("start") - round(away_s / hop_s)))
-    sums = met.groupBy(*keys, "start", "source").agg(F.sum(dot("u", "v")).alias("uv"), F.sum(dot("u", "u")).alias("uu"), F.sum(dot("v", "v")).alias("vv"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == n)
-    like = sums.withColumn("likeness", F.col("uv") / (F.sqrt(F.col("uu") * F.col("vv")) + 1e-12))
-    return like.groupBy(*keys, "start").agg(F.max_by("source", F.struct("likeness", -F.col("source"))).alias("s"), F.max("likeness").alias("likeness")).select(*keys, (F.col("start") * hop_s).alias("t"), (F.col("s") * hop_s).alias("source"), "likeness")
+    n, away = round(span_s / hop_s), round(away_s / hop_s)
+    row = F.collect_list(F.struct("block", "bands")).over(along(keys, ["block"]).rowsBetween(0, n - 1))
+    whole = features.select(*keys, F.col("block").alias("_at"), row.alias("_row")).filter((F.size("_row") == n) & (F.col("_row")[n - 1]["block"] == F.col("_at") + n - 1) & (F.col("_at") >= 0))
+    passages = whole.select(*keys, "_at", F.flatten(F.transform("_row", lambda r: r["bands"])).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull() & ~F.exists("_v", F.isnull))
+    after = cuts.select(*keys, F.rint(F.col("t") / hop_s).cast("long").alias("_at")).distinct()
+    tiled = lambda df: df.groupBy(*keys, F.size("_v").alias("_size"), F.floor(F.col("_at") / _TILE).alias("_tile")).agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_rows"))
+    columns = lambda name: (F.col("_rows")["_at"].alias(f"_{name}"), F.col("_rows")["_v"].alias(f"_{name}_v"))
+    met = [*keys, "_size", "_tile"]
+    # Spark sizes tiles too low to be left the choice of a broadcast, or of how many tasks compare them
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = tiled(passages.join(after, [*keys, "_at"], "left_semi")).select(*keys, "_size", F.explode(F.sequence(F.lit(0).cast("long"), "_tile")).alias("_tile"), *columns("start"))
+    pairs = asked.repartition(parts, *met).hint("shuffle_merge").join(tiled(passages).select(*met, *columns("source")).repartition(parts, *met), met)
+
+    @F.arrow_udf("array<struct<start: long, likeness: double, source: long>>")
+    def likest(start: pa.Array, start_v: pa.Array, source: pa.Array, source_v: pa.Array) -> pa.Array:
+        flat = lambda x: x.values.to_numpy()
+        wide = lambda x: x.values.flatten().to_numpy().reshape(len(x.values), -1)
+        return pa.array([_likest(flat(a), wide(u), flat(b), wide(v), n, away) for a, u, b, v in zip(start, start_v, source, source_v, strict=True)], kind)
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("likeness", pa.float64()), ("source", pa.int64())]))
+    found = pairs.select(*keys, F.explode(likest("_start", "_start_v", "_source", "_source_v")).alias("r")).select(*keys, "r.*")
+    best = found.groupBy(*keys, "start").agg(F.max_by("source", F.struct("likeness", -F.col("source"))).alias("s"), F.max("likeness").alias("likeness"))
+    return best.select(*keys, (F.col("start") * hop_s).alias("t"), (F.col("s") * hop_s).alias("source"), "likeness")
+
+
+def _likest(start: np.ndarray, u: np.ndarray, source: np.ndarray, v: np.ndarray, n: int, away: int) -> list[dict]:
+    """For each passage of u the likest of v that begins `away` blocks before it or earlier, the first of equal ones. Products
+    are summed one after the other, block by block, so that equal passages are equally like."""
+    size = u.shape[1] // n
+
+    def summed(products: Callable[[int], np.ndarray]) -> np.ndarray:
+        return sum(sum((products(b * size + k) for k in range(1, size)), products(b * size)) for b in range(n))
+
+    both = summed(lambda k: u[:, k, None] * v[None, :, k])
+    like = both / (np.sqrt(summed(lambda k: u[:, k] ** 2)[:, None] * summed(lambda k: v[:, k] ** 2)[None, :]) + 1e-12)
+    like[source[None, :] > start[:, None] - away] = -np.inf
+    at = like.argmax(axis=1)
+    return [{"start": int(s), "likeness": float(like[i, k]), "source": int(source[k])} for i, (s, k) in enumerate(zip(start, at, strict=True)) if source[k] <= s - away]
 
 
 def bands(pcm: DataFrame, keys: list[str], count: int = 24) -> DataFrame:

@@ -193,6 +193,27 @@ def test_reused_passage(spark):
     assert got.source == 5.0 and got.likeness == pytest.approx(1.0)
 
 
+def test_reused_passages_over_many_tiles(spark, monkeypatch):
+    """Against all pairs, with equal passages, missing blocks and an unknown band."""
+    monkeypatch.setattr(signals, "_TILE", 7)
+    rng = np.random.default_rng(2)
+    rows = {(m, i): rng.integers(0, 4, 5).astype(float).tolist() for m in (1, 2) for i in range(60) if (m, i) not in ((1, 20), (2, 33))}
+    for i in range(45, 55):
+        rows[1, i] = rows[1, 30 + i % 5] = rows[1, 8 + i % 5]
+    rows[2, 10] = [1.0, None, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(m, i, v) for (m, i), v in rows.items()], "media int, block long, bands array<double>")
+    cuts = spark.createDataFrame([(m, float(i)) for m in (1, 2) for i in range(3, 60, 4)], "media int, t double")
+    whole = {(m, i): sum((rows[m, i + k] for k in range(3)), []) for m, i in rows if all((m, i + k) in rows and None not in rows[m, i + k] for k in range(3))}
+    want = {}
+    for m, i in ((m, i) for m, i in whole if i % 4 == 3 and i >= 3):
+        like = {j: np.dot(whole[m, i], whole[q, j]) / (np.sqrt(np.dot(whole[m, i], whole[m, i]) * np.dot(whole[q, j], whole[q, j])) + 1e-12) for q, j in whole if q == m and j <= i - 5}
+        if like:
+            top = max(like.values())
+            want[m, float(i)] = (float(min(j for j, x in like.items() if x > top - 1e-12)), round(top, 9))
+    got = signals.reused(df, K, cuts, 1.0, span_s=3.0, away_s=5.0)
+    assert {(r.media, r.t): (r.source, round(r.likeness, 9)) for r in got.collect()} == want
+
+
 # ---- aggregates
 
 
