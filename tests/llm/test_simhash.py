@@ -156,3 +156,18 @@ def test_what_lookups_ask_for_is_not_broadcast(spark):
     fps = stored(spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(500)], "fp long"))
     fetched, _ = candidates(fps, max_bits=2, segments=2, crowd=8)
     assert not any(broadcast_explodes(df) for df in (fetched, _meetings(fps, 2), links(fps)))
+
+
+def test_the_pipelines_stage_broadcasts_nothing_exploded(spark, monkeypatch):
+    """All tables that keep_one stores are planned without such a broadcast."""
+    planned = []
+
+    def watched(df, *more):
+        planned.append(broadcast_explodes(df))
+        return stored(df, *more)
+
+    monkeypatch.setattr("signalspark.llm.simhash.stored", watched)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(12))) for i in range(200)]
+    assert 0 < keep_one(frame(spark, rows)).count() <= 200
+    assert len(planned) > 4 and not any(planned)
