@@ -1151,7 +1151,8 @@ def verdict_layer(spark, sf):
     evidence = table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("media")).agg(
         F.floor(n(c("l_quantity") > 48) / 8).alias("strong_splices"),
         F.floor(n(c("l_discount") > 0.09) / 20).alias("noise_outliers"),
-        (F.avg("l_tax") * 9).alias("double_quant"),
+        # exact, so that a mean that is the limit itself doesn't depend on the order of the rows
+        (F.sum(c("l_tax").cast("decimal(20,18)")) * 9 / F.count("l_tax")).cast("double").alias("double_quant"),
         F.floor(n(c("l_linenumber") == 7) / 20).alias("loops"),
         (n(c("l_quantity") == 1) % 3).alias("enf_jumps"),
         (n(c("l_returnflag") == "R") / F.count(F.lit(1))).alias("tempo_score"),

@@ -58,3 +58,14 @@ def test_headline_of_more_than_a_day(agrees):
 
 def test_encoder_marks_behind_long_settings(agrees):
     assert agrees("encoder_marks", supplier="SELECT * REPLACE (s_suppkey * 97 AS s_suppkey) FROM old_supplier")
+
+
+def test_a_mean_that_is_the_limit_is_not_over_it(spark, tmp_path):
+    """The SQL's sum of doubles is over or under it by the order of the rows."""
+    from signalspark.record_queries import QUERIES
+
+    taxes = [0.08, 0.08, 0.06, 0.08, 0.07, 0.08, 0.07, 0.08, 0.1]
+    for order, name in ((sorted(taxes), "a"), (sorted(taxes)[::-1], "b")):
+        rows = [(1, 1.0, 0.0, t / 2, 1, "A", "O") for t in order]
+        spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_discount double, l_tax double, l_linenumber int, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        assert "recompress" not in [r.id for r in QUERIES["verdict_layer"](spark, f"{tmp_path}/{name}").collect()]
